@@ -1,0 +1 @@
+"""Part of the profile-segmentation engine."""
