@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenbin
+from . import packing, secrets, sharding, tokenbin
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of near-equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op3_packing": op3_packing,
+    "op8_secrets": op8_secrets,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {}
