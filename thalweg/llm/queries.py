@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, sharding, tokenbin
+from . import neardup, packing, secrets, sharding, tokenbin
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of every document: three-word shingles, similarity 0.85."""
+    return neardup.groups(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
@@ -36,6 +41,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op3_packing": op3_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
 }
