@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, packing, secrets, sharding, tokenbin
-from .common import table
+from . import langid, neardup, packing, secrets, sharding, tokenbin, toxicity
+from .common import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +19,27 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a quarter of the ids is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(doc_crc(), F.lit(4)) == 2, F.lit(False))
+    found = langid.predict(docs, langid.fit(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(doc_crc(), F.lit(5)) == 0, F.lit(False))
+    found = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of every document: three-word shingles, similarity 0.85."""
     return neardup.groups(table(spark, sf_dir, "documents"), 3, 85)
@@ -40,7 +57,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
