@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, secrets, sharding, tokenbin, toxicity
+from . import langid, neardup, packing, secrets, sharding, tokenbin, topk, toxicity, urls
 from .common import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,26 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), 3, 85)
 
 
+#: The rules of op6.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for each query vector; queries are the ids divisible by 100."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
@@ -61,8 +81,10 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op7_exact_topk": op7_exact_topk,
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_exact_topk": topk.ORACLE}
