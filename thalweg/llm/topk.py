@@ -123,13 +123,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 #: The same in SQL: `vec_id % 100 = 0` are the queries.
 ORACLE = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
+    AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+         CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
   FROM whole q JOIN whole c ON c.vec_id <> q.vec_id
   WHERE q.vec_id % 100 = 0
 ), ranked AS (
