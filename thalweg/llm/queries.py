@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, secrets, sharding, tokenbin, topk, toxicity, urls
+from . import decontam, langid, neardup, packing, secrets, sharding, tokenbin, topk, toxicity, urls
 from .common import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op2_language_id": op2_language_id,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op7_exact_topk": op7_exact_topk,
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_topk": topk.ORACLE}
