@@ -9,10 +9,11 @@ as no later rank can lower any of its places.
 Steps: documents with equal shingle sets form one class by a 128-bit fingerprint, and only
 class representatives go on. Equal bands put them in buckets. In each bucket members are
 checked against one hub, on whole shingle sets, never all against all. What is linked is
-grouped; buckets that then still hold several groups get another hub, and at last every
-pair in them that lies across groups is checked, so no candidate link is left out: a
-pair that is not checked is already in one group. Groups come from union-find inside
-partitions and minimum labels with pointer jumping between them.
+grouped; buckets that then still hold several groups get another hub. What is left after
+that is joined by prefixes of rare shingles, an exact filter: every pair across groups that
+can be similar enough is checked, so no link is left out, and a pair that is not checked
+is already in one group. Groups come from union-find inside partitions and minimum labels
+with pointer jumping between them.
 
 With 20 bands of 4 rows a pair of similarity 0.85 is missed with chance 4e-7.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, small_batches
@@ -231,6 +232,53 @@ def _candidates(left: DataFrame, percent: int) -> DataFrame:
     return sized.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
+def _hub_pairs(members: DataFrame, round_: int) -> DataFrame:
+    """Each bucket's members with its hub: first the one that most others meet, then any."""
+    chance = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = members.groupBy("h").agg(F.count("*").alias("c"))
+    met = members.join(sizes, "h").groupBy("id").agg(F.sum("c").alias("met"))
+    order = (F.col("met") + chance) if not round_ else chance
+    hubs = members.join(met, "id").groupBy("h").agg(F.max_by("id", order).alias("a"), F.max_by("n", order).alias("n_a"))
+    return members.join(hubs, "h").select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b"))
+
+
+def prefix_pairs(who: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every pair of who (id, n, label) with different labels that may be similar enough, and few others.
+
+    In any fixed order of shingles, two similar sets share one of their first few, and what
+    stands behind the first that they share must still make up the overlap that is needed
+    (the prefix and position filters of Xiao and others, 2008). The order is by rising
+    number of sets, so those few are mostly a text's own and met by nobody.
+    """
+    sets = sets_of(docs, who.select("id"), k)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, raw in zip(batch["id"], batch["shingles"]):
+                token = np.frombuffer(raw, dtype=np.int64)
+                yield pd.DataFrame({"id": np.full(len(token), d, dtype=np.int64), "token": token})
+
+    tokens = cut(sets.mapInPandas(spread, "id long, token long"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "token")
+    ranked = tokens.join(counts, "token").withColumn("r", F.row_number().over(order)).join(who, "id")
+    large = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    # rest: the overlap that this shingle and those behind it can give at most.
+    first = cut(ranked.where((F.col("r") <= large) & (F.col("df") > 1)).select("token", "id", "n", "label", (F.col("n") - F.col("r") + 1).alias("rest")))
+    # Most rows of a token belong to one group; only the others look for partners.
+    shares = first.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("token").agg(F.max_by("label", "c").alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    rows = first.join(mixed.select("token", "top"), "token")
+    names = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "rest")]
+    x = rows.where("label <> top").select("token", *names("x"))
+    y = rows.select("token", "top", *names("y"))
+    once = (F.col("label_y") == F.col("top")) | (F.col("id_x") < F.col("id_y"))
+    # 100 * overlap >= percent * (n_x + n_y - overlap), which also bounds the sizes.
+    fits = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    same = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & once & fits)
+    return same.select(F.col("id_x").alias("a"), F.col("n_x").alias("n_a"), F.col("id_y").alias("b"), F.col("n_y").alias("n_b"))
+
+
 def _linked(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Labels of the representatives that are linked with another one."""
     spark = docs.sparkSession
@@ -240,20 +288,14 @@ def _linked(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     left = members
     for round_ in range(HUB_ROUNDS + 1):
         if round_ < HUB_ROUNDS:
-            order = F.xxhash64("id", F.lit(round_))
-            hubs = left.groupBy("h").agg(F.min_by("id", order).alias("a"), F.min_by("n", order).alias("n_a"))
-            pairs = left.join(hubs, "h").select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b"))
+            pairs = _hub_pairs(left, round_)
         else:
-            x = left.select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("_la"))
-            y = left.select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("_lb"))
-            pairs = x.join(y, "h").where("_la < _lb").select("a", "n_a", "b", "n_b")
+            pairs = prefix_pairs(left.select("id", "n", "label").distinct(), docs, k, percent)
         pairs = _candidates(pairs, percent)
         if round_:
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty() and round_ == HUB_ROUNDS:
-            break
         if not pairs.isEmpty():
             found = cut(verify(pairs, docs, k, percent))
             tested = tested.unionByName(pairs.select("a", "b"))
