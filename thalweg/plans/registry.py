@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from . import queries as q
+
+    return dict(q.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    from . import oracles as o
+
+    return dict(o.ORACLES)

@@ -25,14 +25,15 @@ def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), t
     table = features.build_features(profile, used, config.features, config.feature, external)
     if config.standardize:
         table = features.standardize(table, *columns)
-    z = features.impute(table, *columns)
-    runs = changepoint.family_runs(changepoint.sweep(z, columns, config.penalties, config.jump, config.min_size), used)
+    # Several tables below are made from these, and solving is the dear part.
+    z = features.impute(table, *columns).persist()
+    runs = changepoint.family_runs(changepoint.sweep(z, columns, config.penalties, config.jump, config.min_size), used).persist()
     return {"plan": plan, "windows": used, "features": table, "z": z, "runs": runs, "support": support.support_table(runs, config.stability_tolerance_m)}
 
 
 def select_and_agree(base: dict[str, DataFrame], settings: dict[str, list[Setting]], config: PipelineConfig, agree: ConsensusConfig) -> dict[str, DataFrame]:
     """Selections of every setting, and the consensus of them."""
-    chosen = selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection)
+    chosen = selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection).persist()
     rows = selection.break_rows(chosen)
     table = consensus.consensus(rows, agree)
     return {"selections": chosen, "break_rows": rows, "consensus": table, "stable": consensus.stable_breaks(table)}
@@ -152,6 +153,7 @@ def two_stage(profile: DataFrame, first: dict[str, DataFrame], config: PipelineC
     Breaks of the second stage are not held apart from those of the first.
     """
     parts, short = sub_profiles(profile, first["segments"])
+    parts = parts.persist()
     second = finalize(parts, config, family, settings, threshold_m, external=external)
     shifts = parts.select("mip", "shift_m").distinct()
     added = second["stable"].join(shifts, "mip").select(F.floor(F.col("mip") / SEGMENT_KEY).cast("long").alias("mip"), F.explode("stable_breaks_m").alias("_b"), "shift_m")
