@@ -19,6 +19,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,6 @@ def place(rows: DataFrame) -> tuple[DataFrame, int, int]:
         full = [r for r in known if r["w"] > OVERFULL * total / RANGES and r["n"] > 1 and r["lo"] < r["hi"]]
         if not full:
             break
-        more = []
         part = ranged.where(F.col("_range").isin([r["_range"] for r in full]))
         in_full = float(sum(r["w"] for r in full))
         cuts = max(2 * len(full), int(2 * RANGES * in_full / total))
@@ -108,23 +109,18 @@ def place(rows: DataFrame) -> tuple[DataFrame, int, int]:
         if len(grown) == len(splitters):
             break
         splitters = grown
-    ranged = rows.withColumn("_range", _range_of(splitters))
+    ranged = cut(rows.withColumn("_range", _range_of(splitters)))
     known = ranged.groupBy("_range").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
     known.sort(key=lambda r: r["_range"])
-    at_row, at_byte, bases = 0, 0, []
+    # What stands before each range: two lists as long as the number of ranges, some thousands at most.
+    row0, byte0 = [0] * (len(splitters) + 2), [0] * (len(splitters) + 2)
     for r in known:
-        bases.append((r["_range"], at_row, at_byte))
-        at_row, at_byte = at_row + r["n"], at_byte + r["b"]
-    # A row for each range, some thousands at most.
-    table = rows.sparkSession.createDataFrame(bases, "_range int, _row0 long, _byte0 long")
+        row0[r["_range"] + 1], byte0[r["_range"] + 1] = r["n"], r["b"]
+    before = lambda sums: F.get(F.lit(list(accumulate(sums))), F.col("_range")).cast("long")
     inside = Window.partitionBy("_range").orderBy("_key", "doc_id", "text_crc32", "size")
     run = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        ranged.withColumn("_n", F.row_number().over(inside) - 1)
-        .withColumn("_b", F.coalesce(F.sum("size").over(run), F.lit(0)))
-        .join(F.broadcast(table), "_range")
-        .withColumn("_rank", F.col("_row0") + F.col("_n"))
-        .withColumn("_before", F.col("_byte0") + F.col("_b"))
+    placed = ranged.withColumn("_rank", before(row0) + F.row_number().over(inside) - 1).withColumn(
+        "_before", before(byte0) + F.coalesce(F.sum("size").over(run), F.lit(0))
     )
     return placed.select(*rows.columns, "_rank", "_before"), n, total
 
@@ -153,7 +149,6 @@ def shard(docs: DataFrame, shards: int, law: str = "bytes") -> DataFrame:
         at = F.least(F.floor(middle * F.lit(float(shards) / max(total, 1))), F.lit(shards - 1)).cast("int")
         grown = none
     elif law == "rows":
-        at = F.floor(F.col("_rank") * F.lit(shards) / F.lit(max(n, 1))).cast("int")
         at = F.expr(f"cast(_rank * {shards} div {max(n, 1)} as int)")
         grown = none
     elif law == "key":
@@ -167,8 +162,9 @@ def shard(docs: DataFrame, shards: int, law: str = "bytes") -> DataFrame:
     else:
         # Shards are stretches of one order, so a slot is a rank less the shard's first rank.
         placed = cut(placed)
-        firsts = placed.groupBy("shard").agg(F.min("_rank").alias("_first"))  # a row for each shard
-        placed = placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_rank") - F.col("_first"))
+        firsts = {r["shard"]: r["m"] for r in placed.groupBy("shard").agg(F.min("_rank").alias("m")).collect()}  # a row for each shard
+        first = F.get(F.lit([firsts.get(k, 0) for k in range(shards)]), F.col("shard"))
+        placed = placed.withColumn("slot", (F.col("_rank") - first).cast("long"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "grown_shard")
 
 
