@@ -65,7 +65,7 @@ class Network:
             sets.find(("U", i))
             sets.find(("D", i))
             for dn in r.rch_id_dn if r.rch_id_dn is not None else ():
-                if dn and dn != i and int(dn) in self.reach:
+                if dn and dn == dn and dn != i and int(dn) in self.reach:
                     sets.union(("D", i), ("U", int(dn)))
         members = defaultdict(set)
         for i in self.reach:

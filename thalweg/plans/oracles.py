@@ -213,4 +213,14 @@ ORACLES: dict[str, str] = {
         SELECT family, threshold, count(*) AS n_paths, round(avg(n_kept), 6) AS mean_kept, round(avg(n_kept / n_all), 6) AS mean_kept_share, round(avg(s), 6) AS mean_support, round(avg(w), 6) AS mean_span_m, round(max(x), 6) AS max_span_m FROM p GROUP BY 1, 2""",
     "percent_rank": """SELECT p_partkey, round((rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 6) AS up,
         round((rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 6) AS down FROM part""",
+    "downstream_pairs": "SELECT DISTINCT l_suppkey AS reach_id, l_partkey % 100 AS dn_id FROM lineitem WHERE l_partkey % 100 <> 0 AND l_partkey % 100 <> l_suppkey",
+    "line_graph": "WITH e AS (SELECT o_custkey AS u, (o_orderkey * 7) % 1500 AS v, o_orderkey AS r FROM orders) SELECT DISTINCT a.r AS from_reach, b.r AS to_reach FROM e a JOIN e b ON a.v = b.u WHERE a.r <> b.r",
+    "width_summary": """SELECT p_brand AS k, round(CAST(sum(CASE WHEN p_size % 5 = 0 THEN 1 ELSE p_size % 5 END) AS DOUBLE), 6) AS length_m, round(quantile_cont(p_retailprice, 0.5), 6) AS median, round(avg(p_retailprice), 6) AS mean,
+        round(sum(p_retailprice * (p_size % 5)) / sum(p_size % 5), 6) AS weighted FROM part GROUP BY 1""",
+    "line_summary": f"""WITH {SP}, s AS (SELECT mip, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM profile WINDOW w AS (PARTITION BY mip ORDER BY pos))
+        SELECT mip AS main_path_id, CAST(count(*) AS INTEGER) AS n_points, count(*) < 2 AS is_empty, round(sum(step), 4) AS length_m FROM s GROUP BY mip""",
+    "oriented_lines": f"""WITH {SP}, e AS (SELECT mip, arg_min(x, pos) AS ax, arg_min(y, pos) AS ay, arg_max(x, pos) AS zx, arg_max(y, pos) AS zy FROM profile GROUP BY mip), g AS (SELECT mip, 2 * sqrt(pow(ax - zx, 2) + pow(ay - zy, 2)) AS gap FROM e)
+        SELECT mip, CASE WHEN mip % 2 = 1 THEN 'reversed_to_match_node_dist' ELSE 'already_oriented' END AS status, mip % 2 = 1 AS reversed, round(CASE WHEN mip % 2 = 1 THEN gap ELSE 0 END, 6) AS error_forward_m,
+          round(CASE WHEN mip % 2 = 1 THEN 0 ELSE gap END, 6) AS error_reverse_m, round(gap, 6) AS margin_m FROM g""",
+    "metric_at_nodes": f"WITH {SP} SELECT n.mip, n.pos, round(quantile_cont(p.width, 0.5), 6) AS width FROM profile n JOIN profile p ON p.mip = n.mip AND abs(p.dist_m - n.dist_m) <= 500 GROUP BY 1, 2",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CalibrationConfig, ConsensusConfig, Family, PipelineConfig, SelectionConfig, WindowConfig
-from ..operators import calibration, changepoint, consensus, features, profile, selection, support, tuning, windows
+from ..operators import calibration, centerline, changepoint, consensus, features, geometry, graph, profile, selection, support, tuning, windows
 from . import runner, standin
 
 #: Windows of 5 and 10 points, for profiles of 50 points and more.
@@ -359,10 +359,87 @@ def two_stage(spark, d):
     return runner.two_stage(p, first, SMALL.with_(features=("channels",)), "w2", threshold_m=1500.0)["segments"]
 
 
+def downstream_pairs(spark, d):
+    standin.views(spark, d, "lineitem")
+    return graph.downstream_pairs(spark.sql("SELECT l_suppkey AS reach_id, collect_set(l_partkey % 100) AS rch_id_dn FROM lineitem GROUP BY l_suppkey"))
+
+
+def line_graph(spark, d):
+    standin.views(spark, d, "orders")
+    return graph.line_graph(spark.sql("SELECT o_custkey AS u, (o_orderkey * 7) % 1500 AS v, o_orderkey AS reach_id FROM orders"))
+
+
+def width_summary(spark, d):
+    standin.views(spark, d, "part")
+    rows = spark.sql("SELECT p_brand AS k, p_retailprice AS width, CAST(p_size % 5 AS DOUBLE) AS reach_len FROM part")
+    out = graph.total_length(rows, ("k",))
+    for how in ("median", "mean", "weighted"):
+        out = out.join(graph.width_summary(rows, ("k",), how).withColumnRenamed("width", how), "k")
+    return rounded(out)
+
+
+def side_channels(spark, d):
+    """Main stems out of the long profiles, with a side loop at every tenth node."""
+    standin.long(spark, d).createOrReplaceTempView("profile")
+    reaches = spark.sql("""
+      SELECT mip * 1000000 + pos AS reach_id, mip AS main_path_id, true AS is_mainstem,
+             CASE WHEN pos % 10 = 3 THEN array(mip * 1000000 + pos + 1, mip * 1000000 + 500000 + pos) ELSE array(mip * 1000000 + pos + 1) END AS rch_id_dn, 200.0D AS reach_len, width, n_channels AS n_chan FROM profile
+      UNION ALL SELECT mip * 1000000 + 500000 + pos, mip, false, array(mip * 1000000 + 600000 + pos), 500.0D, width / 2, 1.0D FROM profile WHERE pos % 10 = 3
+      UNION ALL SELECT mip * 1000000 + 600000 + pos, mip, false, array(mip * 1000000 + pos + 4), 400.0D, width / 3, 1.0D FROM profile WHERE pos % 10 = 3""")
+    return rounded(graph.enrichment(reaches))
+
+
+def _lines(spark, d) -> DataFrame:
+    p = _short(spark, d)
+    line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda n: F.struct(n["x"].alias("x"), n["y"].alias("y")))
+    return p.groupBy("mip").agg(line.alias("line"))
+
+
+def line_summary(spark, d):
+    return rounded(geometry.summarize_lines(_lines(spark, d).withColumnRenamed("mip", "main_path_id")), 4)
+
+
+def oriented_lines(spark, d):
+    lines = _lines(spark, d).withColumn("line", F.when(F.col("mip") % 2 == 1, F.reverse("line")).otherwise(F.col("line")))
+    return rounded(geometry.orient(lines, _short(spark, d)).select("mip", "status", "reversed", "error_forward_m", "error_reverse_m", "margin_m"))
+
+
+def geometry_windows(spark, d):
+    p = _short(spark, d)
+    return rounded(geometry.geometry_features(p, _lines(spark, d), windows.plan_windows(p, FIXED, TWO)))
+
+
+def sampled_lines(spark, d):
+    return rounded(geometry.sampled(_lines(spark, d), 50.0))
+
+
+def node_coordinates(spark, d):
+    return rounded(geometry.node_coordinates(_short(spark, d), _lines(spark, d)))
+
+
+def metric_at_nodes(spark, d):
+    p = _short(spark, d)
+    return rounded(geometry.metric_at_nodes(p, p, "width", "median", 500.0))
+
+
+def merged_centerlines(spark, d):
+    """Lines cut to reaches of ten nodes, and merged again."""
+    p = _short(spark, d)
+    both = p.withColumn("_r", F.explode(F.array(F.floor(F.col("pos") / 10), F.when((F.col("pos") % 10 == 0) & (F.col("pos") > 0), F.floor(F.col("pos") / 10) - 1)))).where("_r is not null")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda n: F.struct(n["x"].alias("x"), n["y"].alias("y")))
+    reaches = both.groupBy(F.col("mip").alias("main_path_id"), F.col("_r").alias("reach_id")).agg(line.alias("geometry"), F.min("dist_m").alias("dist_out")).withColumn("is_mainstem", F.lit(True))
+    return rounded(centerline.merge_mainpaths(reaches).select("main_path_id", "n_parts", "input_length_m", "merged_length_m", "loss_fraction", "terminals", "status"), 4)
+
+
+def smoothed_lines(spark, d):
+    return rounded(centerline.smooth_mainpaths(_lines(spark, d), 100.0).select("mip", F.size("line").alias("n_points"), "sigma_m", "drop", "status"))
+
+
 NAMES = (
     "profile_short node_heights nodes_with_heights enriched_nodes ordered_nodes reach_means distance_faults feature_health spacing_and_quantiles window_plan window_feasibility "
     "rolling_features rolling_slope filled_gaps rolling_sinuosity moving_average curvature standardized useful_features nan_rates chain_clusters support_table candidates all_run_candidates "
     "consensus_table stable_segments segment_labels cut_indices exact_positions gap_pairs family_gaps limit_sweep plateau relative_quality calinski_harabasz span_statistics setting_centrality "
-    "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary percent_rank change_points selections segments support_sweep reach_summary two_stage"
+    "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary percent_rank change_points selections segments support_sweep reach_summary two_stage "
+    "downstream_pairs line_graph width_summary side_channels line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines smoothed_lines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

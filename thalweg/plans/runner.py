@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from dataclasses import replace
 
@@ -14,6 +15,17 @@ from ..config import (
 from ..operators import calibration, changepoint, consensus, features, selection, support, tuning, windows
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute df once, in the shared folder of spark.checkpoint.dir, and forget how it was made.
+
+    Only where that is unset (a local session) a folder of our own is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="thalweg-"))
+    return df.checkpoint(eager=True)
+
+
 def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), tuning_run: bool = False, external: DataFrame | None = None) -> dict[str, DataFrame]:
     """Window plan, standardised features, runs and support of every path and family.
 
@@ -26,14 +38,14 @@ def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), t
     if config.standardize:
         table = features.standardize(table, *columns)
     # Several tables below are made from these, and solving is the dear part.
-    z = features.impute(table, *columns).persist()
-    runs = changepoint.family_runs(changepoint.sweep(z, columns, config.penalties, config.jump, config.min_size), used).persist()
+    z = settle(features.impute(table, *columns))
+    runs = settle(changepoint.family_runs(changepoint.sweep(z, columns, config.penalties, config.jump, config.min_size), used))
     return {"plan": plan, "windows": used, "features": table, "z": z, "runs": runs, "support": support.support_table(runs, config.stability_tolerance_m)}
 
 
 def select_and_agree(base: dict[str, DataFrame], settings: dict[str, list[Setting]], config: PipelineConfig, agree: ConsensusConfig) -> dict[str, DataFrame]:
     """Selections of every setting, and the consensus of them."""
-    chosen = selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection).persist()
+    chosen = settle(selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection))
     rows = selection.break_rows(chosen)
     table = consensus.consensus(rows, agree)
     return {"selections": chosen, "break_rows": rows, "consensus": table, "stable": consensus.stable_breaks(table)}
@@ -153,7 +165,7 @@ def two_stage(profile: DataFrame, first: dict[str, DataFrame], config: PipelineC
     Breaks of the second stage are not held apart from those of the first.
     """
     parts, short = sub_profiles(profile, first["segments"])
-    parts = parts.persist()
+    parts = settle(parts)
     second = finalize(parts, config, family, settings, threshold_m, external=external)
     shifts = parts.select("mip", "shift_m").distinct()
     added = second["stable"].join(shifts, "mip").select(F.floor(F.col("mip") / SEGMENT_KEY).cast("long").alias("mip"), F.explode("stable_breaks_m").alias("_b"), "shift_m")
