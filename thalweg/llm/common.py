@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the system.
+
+    Python workers are used again by later stages, so what one stage has freed must not
+    stay with it.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import mix64, release, small_batches
 
 PASSAGE = 32
 DIM, EXTRA = 128, 16
@@ -46,6 +46,8 @@ COPY, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
 ANSWER_TERMS = 5
 ITEM_BLOCK = 1024
 _CHUNK = 64
+#: Terms that are worked on at once, which bounds a task's memory.
+_PART = 1 << 14
 FOUND = "doc_id long, item_id long, lcs double, answer double, cosine double, first_word long, last_word long"
 
 #: All ASCII but letters and digits parts words, and so do capitals' differences vanish.
@@ -154,8 +156,8 @@ def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
             passages += int(firsts[-1])
             if not len(term):
                 continue
-            for lo in range(0, len(term), 1 << 16):  # bounds the memory; a passage cut here counts as two
-                t, c = term[lo : lo + (1 << 16)], cell[lo : lo + (1 << 16)]
+            for lo in range(0, len(term), _PART):  # bounds the memory; a passage cut here counts as two
+                t, c = term[lo : lo + _PART], cell[lo : lo + _PART]
                 seen, y = _sum_rows(w, t, c)
                 order = np.argsort(t, kind="stable")
                 which, s = _sum_rows(y, np.searchsorted(seen, c[order]), t[order])
@@ -165,6 +167,7 @@ def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
         used = [q for q in range(0, n, _CHUNK) if total[q : q + _CHUNK, k].any()]
         rows = [(q, passages if not i else 0, total[q : q + _CHUNK].astype(np.float32).tobytes()) for i, q in enumerate(used)]
         yield pd.DataFrame(rows or [(0, passages, np.zeros((min(_CHUNK, n), k + 1), dtype=np.float32).tobytes())], columns=["chunk", "passages", "part"])
+        release()
 
     def join_up(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(p, dtype=np.float32).astype(np.float64) for p in rows["part"])
@@ -234,6 +237,7 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "lcs", "answer", "cosine", "first_word", "last_word"])
             out["doc_id"] = pd.array([None if pd.isna(r[0]) else int(r[0]) for r in rows], dtype="Int64")
             yield out
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(find, FOUND)
 
@@ -242,9 +246,9 @@ def _cosines(term: np.ndarray, cell: np.ndarray, firsts: np.ndarray, space: np.n
     """First cells of passages (two cells each) and their cosines with every item."""
     if not len(term):
         return
-    for lo in range(0, len(term), 1 << 16):
+    for lo in range(0, len(term), _PART):
         # A cell that is cut here is taken whole with the later part.
-        hi = lo + (1 << 16)
+        hi = lo + _PART
         a = lo if not lo else int(np.searchsorted(cell, cell[lo] - 1))
         t, c = term[a:hi], cell[a:hi]
         seen, value = _sum_rows(space, t, c)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import release, small_batches
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -35,7 +35,7 @@ DIM = 16
 TRAIN_ROWS, TRAIN_CHARS = 1000, 20_000
 #: Share of right answers that accepted ones must reach on the rows held back.
 TARGET = 0.99
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII: letters to lower case, all else to a blank. Bytes of other characters stay.
@@ -110,8 +110,6 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list:
     """At most about `rows` labelled rows of each language: those of the least hashes."""
-    from .common import doc_crc  # noqa: F401
-
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
     counts = labelled.groupBy("lang").count().collect()  # a row for each language
@@ -205,6 +203,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         for text in batches:
             names, score = m.predict(text.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": score})
+        release()
 
     judged = docs.select("doc_id", *keep, judge("text").alias("_judged"))
     out = judged.select("doc_id", *keep, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"))

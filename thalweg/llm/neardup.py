@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small_batches
+from .common import cut, mix64, release, small_batches
 from .shingles import shingle_sets
 
 BANDS, ROWS = 20, 4
@@ -116,6 +116,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 for c in ("doc_id", "fp_hi", "fp_lo"):
                     out[c] = pd.array([None if pd.isna(v) else int(v) for v in [r[{"doc_id": 0, "fp_hi": 2, "fp_lo": 3}[c]] for r in rows]], dtype="Int64")
                 yield out
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(make, FEATURES)
 
@@ -127,6 +128,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), k)
             yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.tobytes() for s in sets]})
+        release()
 
     wanted = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     return wanted.mapInPandas(make, "id long, shingles binary")

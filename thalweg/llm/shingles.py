@@ -78,7 +78,7 @@ def _shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 
 #: Bytes hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:

@@ -13,7 +13,7 @@ import sys
 from array import array
 
 #: Words that a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
