@@ -99,6 +99,35 @@ def test_language_model_learns_and_calibrates():
     assert langid.train([]).predict(["x"])[0] == ["und"]
 
 
+@pytest.mark.parametrize("wrong", [0.0, 0.01, 0.03, 0.05, 0.1])
+def test_language_threshold_spares_clean_texts_under_wrong_labels(wrong):
+    shares = []
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        score = 1 - rng.beta(1, 60, 800)
+        shares.append((score < langid._threshold(score, rng.random(800) >= wrong)).mean())
+    assert np.mean(shares) < 0.01 and max(shares) <= langid.MOST_REJECTED
+    few = np.linspace(0.9, 1, 40)
+    assert (few < langid._threshold(few, np.arange(40) != 38)).sum() == 0  # one confident row with a wrong label
+
+
+def test_language_threshold_rejects_what_is_not_known():
+    rng = np.random.default_rng(1)
+    score = np.concatenate([rng.uniform(0.3, 0.5, 30), rng.uniform(0.95, 1, 770)])
+    right = np.concatenate([rng.random(30) < 0.4, rng.random(770) >= 0.02])
+    threshold = langid._threshold(score, right)
+    assert 0.4 < threshold < 0.96
+
+
+def test_language_model_with_wrong_labels():
+    rng = np.random.default_rng(3)
+    en, de = "the house and the garden were there with thing", "das haus und der garten waren dort mit ding"
+    rows = [(" ".join(rng.permutation((en, de)[i % 2].split())), ("en", "de")[(i % 2) ^ (rng.random() < 0.03)]) for i in range(800)]
+    m = langid.train(rows)
+    names, score = m.predict([r[0] for r in rows])
+    assert (score < m.threshold).mean() <= 0.05 and np.mean([n == ("en", "de")[i % 2] for i, n in enumerate(names)]) > 0.99
+
+
 def test_toxicity_tolerates_gaps():
     rng = np.random.default_rng(0)
     plain = ["table", "window", "garden", "river", "house", "green", "walk", "water", "stone", "paper"]

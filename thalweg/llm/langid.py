@@ -7,8 +7,12 @@ labelled rows. Since the whole is linear up to the softmax, embeddings and layer
 multiplied into one table of bucket by language before they are applied.
 
 A part of the sample is held back to calibrate: a temperature makes probabilities match
-frequencies, and the rejection threshold is the lowest probability at which the accepted
-ones are right at least TARGET of the time. Texts without a letter are always rejected.
+frequencies, and the rejection threshold lets the accepted ones be right at least TARGET of
+the time where rejecting the least probable texts can reach that. A text is never rejected
+where the accuracy near its probability is at least LOCAL of that among the more probable
+half, nor more than MOST_REJECTED of the rows held back, so wrong labels on clean texts, which
+are errors at any probability, do not raise the threshold. Texts without a letter are always
+rejected.
 
 Defined cases: lang_pred of a null text, or of one without a letter, is "und" with score 0;
 rows with null lang, null text or null doc_id are not learned from; without any labelled
@@ -35,6 +39,8 @@ DIM = 16
 TRAIN_ROWS, TRAIN_CHARS = 1000, 20_000
 #: Share of right answers that accepted ones must reach on the rows held back.
 TARGET = 0.99
+#: Accuracy near the threshold, relative to the more probable half, and the largest share of the rows held back that it may reject.
+LOCAL, MOST_REJECTED = 0.9, 0.05
 CHUNK = 1 << 19
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -171,16 +177,32 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
     loss = [-np.log(np.maximum(_softmax(z / t)[at, y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(z / model.temperature)
-    score, right = p.max(axis=1), p.argmax(axis=1) == y
-    order = np.argsort(-score)
-    share = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(share >= TARGET)
-    if len(good) == len(y) or (len(good) and good[-1] == len(y) - 1):
-        model.threshold = 0.0  # every one may be accepted
-    elif len(good):
-        model.threshold = float(score[order[good[-1]]])
-    else:
-        model.threshold = float(score.max())
+    model.threshold = _threshold(p.max(axis=1), p.argmax(axis=1) == y)
+
+
+def _rising(right: np.ndarray) -> np.ndarray:
+    """The rising sequence nearest to `right` in squares (pooled adjacent violators)."""
+    pools: list[list[float]] = []
+    for r in right:
+        pools.append([float(r), 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            total, count = pools.pop()
+            pools[-1][0] += total
+            pools[-1][1] += count
+    return np.repeat([t / c for t, c in pools], [int(c) for _, c in pools])
+
+
+def _threshold(score: np.ndarray, right: np.ndarray) -> float:
+    """The score under which texts are rejected, from the rows held back."""
+    order = np.argsort(score, kind="stable")
+    score, right = score[order], right[order]
+    n = len(score)
+    kept = np.cumsum(right[::-1])[::-1] / np.arange(n, 0, -1)  # accuracy with the k least probable rejected
+    good = np.flatnonzero(kept >= TARGET)
+    wanted = int(good[0]) if len(good) else n
+    unsure = int((_rising(right) < LOCAL * right[n // 2 :].mean()).sum())
+    k = min(wanted, unsure, int(MOST_REJECTED * n))
+    return float(score[k]) if k else 0.0
 
 
 def fit(docs: DataFrame, usable: Column | None = None) -> Model:
