@@ -142,6 +142,36 @@ def test_toxicity_tolerates_gaps():
     assert toxicity.windows("a" * 60) and all(len(w) <= 24 for w in toxicity.windows("a" * 60))
 
 
+INSULTS = ["idiot", "stupid", "moron", "loser", "trash", "clown", "scum", "pathetic", "worthless", "disgusting"]
+
+
+def _disguised(rng, word, kind):
+    put = lambda n: "".join(rng.choice(list("bfjkqvwxyz"), n))
+    if kind == "every gap":
+        return "".join(c + put(1) for c in word[:-1]) + word[-1]
+    if kind == "left out":
+        k = rng.integers(0, len(word))
+        return word[:k] + word[k + 1 :]
+    k = rng.integers(1, len(word))
+    return word[:k] + put(kind) + word[k:]
+
+
+def test_toxicity_tolerates_letters_put_in_and_left_out():
+    """In held-out rows of syllable words; an insult of four letters without one of them is not asked for."""
+    rng = np.random.default_rng(0)
+    syllables = ["th", "er", "on", "an", "re", "ti", "es", "or", "st", "en", "la", "mi", "du", "co", "pa"]
+    text = lambda: " ".join("".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(60))
+    toxic = np.arange(1600) % 2
+    texts = [f"{text()} {' '.join(rng.choice(INSULTS, 3))} {text()}" if y else f"{text()} {text()}" for y in toxic]
+    m = toxicity.train(texts, toxic)
+    read = toxicity.Reader(m.kernel)
+    score = lambda rows: m.score(read.features(rows))
+    assert (score([f"{text()} {text()}" for _ in range(400)]) >= 0.5).mean() < 0.05
+    for kind, least in ((1, 0.9), (2, 0.9), (3, 0.85), (4, 0.85), ("every gap", 0.8), ("left out", 0.35)):
+        words = [w for w in INSULTS if kind != "left out" or len(w) > 4]
+        assert (score([f"{text()} {_disguised(rng, w, kind)} {text()}" for w in words for _ in range(30)]) >= 0.5).mean() >= least, kind
+
+
 def test_top_k_blocks_prune_and_stay_exact():
     rng = np.random.default_rng(4)
     centers = rng.normal(0, 500, (8, 16))

@@ -1,15 +1,18 @@
 """Toxicity by a subsequence string kernel, Nystrom landmarks and a linear support vector machine.
 
-Two words are compared by the letter triples that both contain in order, with gaps: a
-triple that spans d letters counts DECAY ** (d - 3), and spans over SPAN do not count. An
-insult with letters put in, left out or swapped near each other keeps many triples.
+Two words are compared by the letter triples that both contain in order, with gaps of any
+length: a triple that spans d letters counts DECAY ** (d - 3). An insult with letters put in
+keeps all its triples, one with letters left out or swapped near each other many. A value is
+relative to the landmark with itself, and to the word's own letters of the landmark where
+these hold more triples, so that repeated syllables do not add up to an insult.
 
 Landmarks are strings of the labelled sentences: words, and beginnings of words, that are
 commoner in toxic ones, and some ordinary words. A document's feature for a landmark is the
-largest kernel value of any of its words, relative to the landmark with itself; multiplied
-with the inverse root of the landmarks' own kernel matrix these are Nystrom features. A
-linear machine is trained on them by subgradient steps in numpy, and a logistic curve,
-weighted back to the share of toxic rows, turns its margin into a score.
+largest kernel value of any of its words; multiplied with the inverse root of the landmarks'
+own kernel matrix these are Nystrom features. A linear machine is trained on them by
+subgradient steps in numpy, and a logistic curve, weighted back to the share of toxic rows,
+turns its margin into a score. Toxic rows are learned from a second time with their landmarks
+disguised by letters put in or left out, so the weights judge low kernel values too.
 
 Letters are folded (case and accents do not count), signs inside a word are dropped, and
 letters written one by one ("i d i o t") are read as one word too. A word of more than
@@ -35,21 +38,19 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-SPAN, DECAY = 5, 0.8
+DECAY = 0.9
 WORD = 24
 LANDMARKS, ORDINARY = 72, 8
 #: Log-likelihood ratio from which a string is a toxic landmark, well over what chance gives among all words.
 EVIDENCE = 30.0
 #: Kernel values are raised to this power, which is a kernel again and tells near from far better.
 POWER = 3
-#: Kernel values (of at most 1) under this count as none.
-FLOOR = 0.45
+#: Kernel values (of at most 1) under this are 0.008 at most once raised, and are not kept.
+FLOOR = 0.2
 #: Bound of the training sample: labelled rows of each kind, and characters of a row in it.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 CACHE_WORDS = 250_000
 
-#: Letters between which a triple may have gaps, as offsets from its first.
-_STEPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _SINGLES = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 
 
@@ -75,19 +76,27 @@ def _letters(words: list[str]) -> np.ndarray:
     return np.where(raw == 0, 0, np.where(latin, raw - 96, 27 + raw % 5)).astype(np.int32)
 
 
-def _triples(words: list[str]) -> Iterator[tuple[np.ndarray, float]]:
-    """Codes of one triple of each word, and what it counts, until all triples are through.
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Kernel of each column of a with that of b (letters by words; b may have a single column).
 
-    A code with a zero letter stands for no triple.
+    one and two hold what pairs of first letters, and of first two, before each place count.
     """
-    a = _letters(words)
-    n = a.shape[1]
-    for first in range(n - 2):
-        for mid, last in _STEPS:
-            if first + last < n:
-                code = a[:, first] << 10 | a[:, first + mid] << 5 | a[:, first + last]
-                code[a[:, first + last] == 0] = 0
-                yield code, DECAY ** (last - 2)
+    one = np.zeros((len(b), a.shape[1]), dtype=np.float32)
+    two, three = one.copy(), np.zeros(a.shape[1], dtype=np.float32)
+    decay = np.float32(DECAY)
+    for letter in a:
+        same = (b == letter) & (letter > 0)
+        three += (two * same).sum(axis=0)
+        ahead, first = np.zeros_like(three), np.zeros_like(three)
+        hit = one * same
+        for j in range(len(b)):
+            one[j] *= decay
+            one[j] += first
+            two[j] *= decay
+            two[j] += ahead
+            first = decay * first + same[j]
+            ahead = decay * ahead + hit[j]
+    return three
 
 
 class Kernel:
@@ -95,36 +104,45 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        table = np.zeros((len(landmarks), 1 << 15))
-        for code, w in _triples(landmarks):
-            np.add.at(table, (np.arange(len(landmarks)), code), w)
-        table[:, 0] = 0
-        gram = table @ table.T
-        self.own = np.maximum(np.diag(gram).copy(), 1e-9)
-        self.table = np.ascontiguousarray((table / self.own[:, None]).T.astype(np.float32))
-        self.most = self.table.max(axis=1)
+        letters = _letters(landmarks)
+        self.letters = [r[r > 0] for r in letters]
+        self.counts = np.stack([np.bincount(r, minlength=32) for r in self.letters]).astype(np.float32)
+        self.own = np.array([max(float(_common(r[:, None], r[:, None])[0]), 1e-9) for r in self.letters])
+        # A word may lack a third of a landmark's letters, but one at least: without more, little is left of the triples.
+        self.need = np.array([len(r) - max(1, len(r) // 3) for r in self.letters])
+        gram = np.stack([_common(letters.T, r[:, None]) for r in self.letters])
         scale = np.sqrt(np.outer(self.own, self.own))
         value, vector = np.linalg.eigh((gram / scale) ** POWER + 1e-3 * np.eye(len(landmarks)))
         self.root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """A row for each word (folded, of at most WORD letters), under FLOOR set to 0."""
-        out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
+    def pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, landmark and raised value of all pairs of FLOOR or more; words are folded, of at most WORD letters."""
+        out = []
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for lo in range(0, len(order), 4096):
             at = np.array(order[lo : lo + 4096])
-            some = [words[i] for i in at]
-            bound = np.zeros(len(at), dtype=np.float32)
-            for code, w in _triples(some):
-                bound += w * self.most[code]
-            near = np.flatnonzero(bound >= FLOOR)  # for the others no landmark can reach it
-            if len(near):
-                got = np.zeros((len(near), len(self.landmarks)), dtype=np.float32)
-                for code, w in _triples([some[i] for i in near]):
-                    got += np.float32(w) * self.table[code]
-                got[got < FLOOR] = 0
-                out[at[near]] = np.minimum(got, 1) ** POWER
-        return out
+            a = _letters([words[i] for i in at])
+            has = np.zeros((len(at), 32), dtype=np.float32)
+            has[np.arange(len(at))[:, None], a] = 1
+            enough = has @ self.counts.T >= self.need
+            a = np.ascontiguousarray(a.T.astype(np.int8))
+            for k in np.flatnonzero(enough.any(axis=0)):
+                near = np.flatnonzero(enough[:, k])
+                letters, some = self.letters[k].astype(np.int8), a[:, near]
+                got = _common(some, letters[:, None]) / self.own[k]
+                high = np.flatnonzero(got >= FLOOR)
+                if len(high):
+                    some = some[:, high]
+                    some = np.where(np.isin(some, letters), some, 0)
+                    got = got[high] / np.sqrt(np.maximum(1, _common(some, some) / self.own[k]))
+                    kept = got >= FLOOR
+                    rows = at[near[high[kept]]]
+                    out.append((rows, np.full(len(rows), k), np.minimum(got[kept], 1) ** POWER))
+        if not out:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
+        rows, marks, values = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(rows, kind="stable")
+        return rows[order], marks[order], values[order].astype(np.float32)
 
 
 class Reader:
@@ -135,25 +153,29 @@ class Reader:
         self._restart()
 
     def _restart(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.values = np.zeros((0, len(self.kernel.landmarks)), dtype=np.float32)
+        self.rows: dict[str, tuple[int, int] | None] = {}
+        self.marks, self.values = np.zeros(0, np.int16), np.zeros(0, np.float32)
 
     def _learn(self, words: list[str]) -> None:
         parts = {w: windows(fold(w)) for w in words}
         flat = sorted({p for ps in parts.values() for p in ps if len(p) >= 3})
-        got = self.kernel.values(flat) if flat else self.values[:0]
-        hit = np.flatnonzero(got.any(axis=1))
-        near = {flat[i]: got[i] for i in hit}
-        new = []
+        rows, marks, values = self.kernel.pairs(flat)
+        start = np.searchsorted(rows, np.arange(len(flat) + 1))
+        place = {flat[i]: (int(start[i]), int(start[i + 1])) for i in np.flatnonzero(np.diff(start))}
+        base, new, size = len(self.marks), [], 0
         for w, ps in parts.items():
-            found = [near[p] for p in ps if p in near]
+            found = [place[p] for p in ps if p in place]
             if found:
-                self.rows[w] = len(self.values) + len(new)
-                new.append(np.max(found, axis=0))
+                n = sum(hi - lo for lo, hi in found)
+                self.rows[w] = (base + size, base + size + n)
+                new += found
+                size += n
             else:
-                self.rows[w] = -1
+                self.rows[w] = None
         if new:
-            self.values = np.concatenate([self.values, np.stack(new)])
+            at = np.concatenate([np.arange(lo, hi) for lo, hi in new])
+            self.marks = np.concatenate([self.marks, marks[at].astype(np.int16)])
+            self.values = np.concatenate([self.values, values[at]])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.kernel.landmarks)), dtype=np.float32)
@@ -169,9 +191,11 @@ class Reader:
             self._restart()
         self._learn([w for w in seen if w not in self.rows])
         for i, words in enumerate(lists):
-            at = [r for r in map(self.rows.__getitem__, words) if r >= 0]
-            if at:
-                out[i] = self.values[at].max(axis=0)
+            found = np.array([r for r in map(self.rows.__getitem__, words) if r], dtype=np.int64)
+            if len(found):
+                n = found[:, 1] - found[:, 0]
+                at = np.arange(n.sum()) + np.repeat(found[:, 0] - (np.cumsum(n) - n), n)
+                np.maximum.at(out[i], self.marks[at], self.values[at])
         return out
 
 
@@ -184,7 +208,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, ordinary: int = ORDINARY) -> list[str]:
+def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, ordinary: int = ORDINARY) -> tuple[list[str], list[str]]:
     """Words and beginnings of words that tell toxic rows best, then ordinary words of the commonest."""
     seen: dict[str, list[int]] = {}
     for i, t in enumerate(texts):
@@ -213,7 +237,30 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, or
         longer = [v for _, _, v in ranked if v.startswith(w) and seen[v][1] >= 0.8 * seen[w][1]]
         chosen.append(max(longer, key=len))
     common = Counter({w: c[0] for w, c in seen.items() if c[1] / nt < 2 * c[0] / nn and len(w) >= 5})
-    return chosen + [w for w, _ in common.most_common(ordinary)]
+    return chosen, [w for w, _ in common.most_common(ordinary) if w not in chosen]
+
+
+def disguise(text: str, insults: list[str], rng: np.random.Generator) -> str:
+    """The text with one of the words that hold an insult, written with letters put in or left out."""
+    look = re.compile("|".join(map(re.escape, sorted(insults, key=len, reverse=True))) or "(?!)")
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    def change(m: re.Match) -> str:
+        w, kind = m[0], rng.integers(0, 4)
+        if kind == 0:
+            return "".join(c + letters(1) for c in w[:-1]) + w[-1]
+        if kind == 1 and len(w) > 4:
+            k = rng.integers(0, len(w))
+            return w[:k] + w[k + 1 :]
+        n = int(rng.integers(1, 5))
+        for k in [int(rng.integers(1, len(w)))] * n if kind == 2 else rng.integers(1, len(w), n):
+            w = w[:k] + letters(1) + w[k:]
+        return w
+
+    words = [(w, fold(w)) for w in text.split()]
+    hits = [i for i, (_, f) in enumerate(words) if look.search(f)]
+    only = hits[rng.integers(0, len(hits))] if hits else -1
+    return " ".join(look.sub(change, f) if i == only else w for i, (w, f) in enumerate(words) if i == only or not look.search(f))
 
 
 def train(texts: list[str], toxic: np.ndarray, rate: tuple[float, float] = (1.0, 1.0), seed: int = 0) -> Model:
@@ -226,16 +273,27 @@ def train(texts: list[str], toxic: np.ndarray, rate: tuple[float, float] = (1.0,
     order = rng.permutation(len(texts))
     texts, toxic, weight = [texts[i] for i in order], toxic[order], weight[order]
     held = len(texts) // 4
-    landmarks = choose_landmarks(texts[held:], toxic[held:])
+    insults, ordinary = choose_landmarks(texts[held:], toxic[held:])
+    landmarks = insults + ordinary
     if not landmarks or len(set(toxic[held:].tolist())) < 2 or len(set(toxic[:held].tolist())) < 2:
         held = 0
-        landmarks = choose_landmarks(texts, toxic) or ["none"]
+        insults, ordinary = choose_landmarks(texts, toxic)
+        landmarks = insults + ordinary or ["none"]
     kernel = Kernel(landmarks)
-    x = Reader(kernel).features(texts).astype(np.float64) @ kernel.root
+    reader = Reader(kernel)
+    x = reader.features(texts)
+    ones = [i for i in np.flatnonzero(toxic) if texts[i]]
+    masked = reader.features([disguise(texts[i], insults, rng) for i in ones])
+    x = np.concatenate([x, masked]).astype(np.float64) @ kernel.root
+    toxic = np.concatenate([toxic, np.ones(len(ones), toxic.dtype)])
+    part = np.concatenate([np.arange(len(texts)), ones]) < held
+    # A toxic row and its disguised copy share the row's weight.
+    weight = np.concatenate([weight, weight[ones]])
+    weight[toxic == 1] /= 2
     y = 2.0 * toxic - 1
-    w, b = _svm(x[held:], y[held:], rng)
+    w, b = _svm(x[~part], y[~part], rng)
     margin = x @ w + b
-    part = slice(0, held) if held else slice(None)
+    part = part if held else slice(None)
     slope, shift = _logistic(margin[part], toxic[part], weight[part])
     return Model(kernel, (kernel.root @ w).astype(np.float32), b, slope, shift)
 
