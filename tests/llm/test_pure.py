@@ -172,6 +172,24 @@ def test_toxicity_tolerates_letters_put_in_and_left_out():
         assert (score([f"{text()} {_disguised(rng, w, kind)} {text()}" for w in words for _ in range(30)]) >= 0.5).mean() >= least, kind
 
 
+def _long_tail(lexicon, rows, each, seed=0):
+    """Texts of which the toxic half holds each word of the lexicon with chance `each`."""
+    rng = np.random.default_rng(seed)
+    plain = ["".join(rng.choice(list("abdeghilmnoprstu"), 7)) for _ in range(3000)]
+    toxic = np.arange(rows) % 2
+    return [" ".join([*rng.choice(plain, 60), *(w for w in lexicon if y and rng.random() < each)]) for y in toxic], toxic
+
+
+def test_toxicity_landmarks_hold_a_long_tail_and_few_labels():
+    rng = np.random.default_rng(9)
+    lexicon = ["".join(rng.choice(list("cfjkqvwxyz"), 8)) for _ in range(200)]
+    insults, _ = toxicity.choose_landmarks(*_long_tail(lexicon, 4500, 0.005))
+    assert len(set(insults) & set(lexicon)) >= 150 and len(insults) <= 1.2 * len(set(insults) & set(lexicon))
+    insults, _ = toxicity.choose_landmarks(*_long_tail(lexicon[:1], 40, 0.9))
+    assert insults == lexicon[:1]
+    assert toxicity.choose_landmarks(*_long_tail([], 2000, 0))[0] == []
+
+
 def test_top_k_blocks_prune_and_stay_exact():
     rng = np.random.default_rng(4)
     centers = rng.normal(0, 500, (8, 16))

@@ -7,7 +7,8 @@ relative to the landmark with itself, and to the word's own letters of the landm
 these hold more triples, so that repeated syllables do not add up to an insult.
 
 Landmarks are strings of the labelled sentences: words, and beginnings of words, that are
-commoner in toxic ones, and some ordinary words. A document's feature for a landmark is the
+commoner in toxic ones (as many as the evidence tells apart from chance, up to LANDMARKS;
+those that are only a little commoner up to WEAK), and some ordinary words. A document's feature for a landmark is the
 largest kernel value of any of its words; multiplied with the inverse root of the landmarks'
 own kernel matrix these are Nystrom features. A linear machine is trained on them by
 subgradient steps in numpy, and a logistic curve, weighted back to the share of toxic rows,
@@ -30,6 +31,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from math import erfc
 
 import numpy as np
 import pandas as pd
@@ -40,9 +42,11 @@ from .common import small_batches
 
 DECAY = 0.9
 WORD = 24
-LANDMARKS, ORDINARY = 72, 8
-#: Log-likelihood ratio from which a string is a toxic landmark, well over what chance gives among all words.
-EVIDENCE = 30.0
+#: Bounds of the landmarks: all, ordinary words, and strings less than LIFT times as common in toxic rows.
+LANDMARKS, ORDINARY, WEAK = 512, 8, 64
+LIFT = 8.0
+#: Share of false ones among the strings taken as commoner in toxic rows (Benjamini and Hochberg).
+FALSE = 0.05
 #: Kernel values are raised to this power, which is a kernel again and tells near from far better.
 POWER = 3
 #: Kernel values (of at most 1) under this are 0.008 at most once raised, and are not kept.
@@ -79,23 +83,23 @@ def _letters(words: list[str]) -> np.ndarray:
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Kernel of each column of a with that of b (letters by words; b may have a single column).
 
-    one and two hold what pairs of first letters, and of first two, before each place count.
+    Letters of b are never 0, which fills up columns of a. one and two hold what pairs of first letters, and of first two, before each place count.
     """
     one = np.zeros((len(b), a.shape[1]), dtype=np.float32)
     two, three = one.copy(), np.zeros(a.shape[1], dtype=np.float32)
     decay = np.float32(DECAY)
     for letter in a:
-        same = (b == letter) & (letter > 0)
-        three += (two * same).sum(axis=0)
-        ahead, first = np.zeros_like(three), np.zeros_like(three)
+        same = (b == letter).astype(np.float32)
+        three += np.einsum("jp,jp->p", two, same)
+        # Both recurrences run over the places of b; what a place adds counts from the next one on.
         hit = one * same
-        for j in range(len(b)):
-            one[j] *= decay
-            one[j] += first
-            two[j] *= decay
-            two[j] += ahead
-            first = decay * first + same[j]
-            ahead = decay * ahead + hit[j]
+        one *= decay
+        two *= decay
+        for j in range(1, len(b)):
+            one[j] += same[j - 1]
+            two[j] += hit[j - 1]
+            same[j] += decay * same[j - 1]
+            hit[j] += decay * hit[j - 1]
     return three
 
 
@@ -108,8 +112,8 @@ class Kernel:
         self.letters = [r[r > 0] for r in letters]
         self.counts = np.stack([np.bincount(r, minlength=32) for r in self.letters]).astype(np.float32)
         self.own = np.array([max(float(_common(r[:, None], r[:, None])[0]), 1e-9) for r in self.letters])
-        # A word may lack a third of a landmark's letters, but one at least: without more, little is left of the triples.
-        self.need = np.array([len(r) - max(1, len(r) // 3) for r in self.letters])
+        # A word may lack a quarter of a landmark's letters, but one at least: without more, little is left of the triples.
+        self.need = np.array([len(r) - max(1, len(r) // 4) for r in self.letters])
         gram = np.stack([_common(letters.T, r[:, None]) for r in self.letters])
         scale = np.sqrt(np.outer(self.own, self.own))
         value, vector = np.linalg.eigh((gram / scale) ** POWER + 1e-3 * np.eye(len(landmarks)))
@@ -119,8 +123,8 @@ class Kernel:
         """Word, landmark and raised value of all pairs of FLOOR or more; words are folded, of at most WORD letters."""
         out = []
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for lo in range(0, len(order), 4096):
-            at = np.array(order[lo : lo + 4096])
+        for lo in range(0, len(order), 16384):
+            at = np.array(order[lo : lo + 16384])
             a = _letters([words[i] for i in at])
             has = np.zeros((len(at), 32), dtype=np.float32)
             has[np.arange(len(at))[:, None], a] = 1
@@ -134,7 +138,7 @@ class Kernel:
                 if len(high):
                     some = some[:, high]
                     some = np.where(np.isin(some, letters), some, 0)
-                    got = got[high] / np.sqrt(np.maximum(1, _common(some, some) / self.own[k]))
+                    got = got[high] / np.sqrt(np.maximum(1, _common(some, np.where(some > 0, some, -1)) / self.own[k]))
                     kept = got >= FLOOR
                     rows = at[near[high[kept]]]
                     out.append((rows, np.full(len(rows), k), np.minimum(got[kept], 1) ** POWER))
@@ -225,17 +229,23 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, or
             return 0.0
         return 2 * (c[1] * np.log(c[1] / (share * both)) + (c[0] * np.log(c[0] / ((1 - share) * both)) if c[0] else 0))
 
-    ranked = sorted(((round(float(evidence(c)), 6), len(w), w) for w, c in seen.items() if c[1] >= 3), reverse=True)
-    ranked = [r for r in ranked if r[0] > EVIDENCE]
+    # Only strings of some rows are tested, whatever their kind, so the bound follows the sample and their number.
+    tested = [(round(float(evidence(c)), 6), len(w), w) for w, c in seen.items() if sum(c) >= 4]
+    chance = np.sort([erfc((r[0] / 2) ** 0.5) / 2 for r in tested])
+    passed = np.flatnonzero(chance <= FALSE * np.arange(1, len(chance) + 1) / max(1, len(chance)))
+    bound = chance[passed[-1]] if len(passed) else -1.0
+    ranked = sorted((r for r in tested if r[0] > 0 and erfc((r[0] / 2) ** 0.5) / 2 <= bound), reverse=True)
+    strong = {w for _, _, w in ranked if seen[w][1] / nt >= LIFT * seen[w][0] / nn}
     chosen: list[str] = []
-    for _, _, w in ranked:
-        if len(chosen) == n - ordinary:
-            break
-        # A beginning of, or a longer form of, what was chosen adds nothing.
-        if any(w.startswith(c) or c.startswith(w) for c in chosen):
-            continue
-        longer = [v for _, _, v in ranked if v.startswith(w) and seen[v][1] >= 0.8 * seen[w][1]]
-        chosen.append(max(longer, key=len))
+    for some, most in ((strong, n - ordinary), ({r[2] for r in ranked} - strong, min(WEAK, n - ordinary))):
+        for _, _, w in ranked:
+            if len(chosen) >= most:
+                break
+            # A beginning of, or a longer form of, what was chosen adds nothing.
+            if w not in some or any(w.startswith(c) or c.startswith(w) for c in chosen):
+                continue
+            longer = [v for _, _, v in ranked if v.startswith(w) and seen[v][1] >= 0.8 * seen[w][1]]
+            chosen.append(max(longer, key=len))
     common = Counter({w: c[0] for w, c in seen.items() if c[1] / nt < 2 * c[0] / nn and len(w) >= 5})
     return chosen, [w for w, _ in common.most_common(ordinary) if w not in chosen]
 
