@@ -188,6 +188,8 @@ def test_toxicity_landmarks_hold_a_long_tail_and_few_labels():
     insults, _ = toxicity.choose_landmarks(*_long_tail(lexicon[:1], 40, 0.9))
     assert insults == lexicon[:1]
     assert toxicity.choose_landmarks(*_long_tail([], 2000, 0))[0] == []
+    texts, toxic = _long_tail([], 200, 0)
+    assert toxicity.choose_landmarks(texts * 10, np.tile(toxic, 10))[0] == []  # copies are no evidence
 
 
 def test_top_k_blocks_prune_and_stay_exact():

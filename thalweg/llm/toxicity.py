@@ -214,6 +214,9 @@ class Model:
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, ordinary: int = ORDINARY) -> tuple[list[str], list[str]]:
     """Words and beginnings of words that tell toxic rows best, then ordinary words of the commonest."""
+    # Copies of a text are no evidence of their own.
+    single = list(dict.fromkeys(zip(texts, toxic.tolist())))
+    texts, toxic = [t for t, _ in single], np.array([y for _, y in single], dtype=np.int64)
     seen: dict[str, list[int]] = {}
     for i, t in enumerate(texts):
         words = {p for w in set((t or "").split()) for p in windows(fold(w))}
