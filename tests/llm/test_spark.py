@@ -1,6 +1,8 @@
 """Operators on small tables with every awkward row, and queries against brute force."""
 
 import os
+import random
+import time
 import zlib
 
 import numpy as np
@@ -110,6 +112,25 @@ def test_secrets(docs, none):
     assert masked[11].count("[SECRET]") == 2 and masked[2] is None and masked[1] == ROWS[0][1] and secrets.mask(docs).columns == docs.columns
 
 
+def test_secrets_against_a_plain_version(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    texts = {
+        0: " ".join(f"password: {key(12)} 😀 {key(30)} {'0123456789abcdef' * 2} Token='{key(rng.randint(4, 12))}'" for _ in range(300)),
+        1: "token=" + "0123456789abcdef" * 4 + " secret=" + key(9) + "password=" + key(22),
+        2: " ".join(f"api_key = {key(12)} {key(30)}" for _ in range(10_000)),
+        3: f"x {key(1_000_000)} y",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(df).collect()}
+    assert time.perf_counter() - began < 60  # many matches and a long token take seconds
+    for i, t in texts.items():
+        assert [(s["start"], s["kind"], s["stop"]) for s in got[i]] == secrets.spans_by_hand(t), i
+        assert masked[i] == secrets.mask_by_hand(t), i
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows", "key"])
 def test_sharding(docs, none, law):
     got = sharding.shard(docs, 4, law).collect()

@@ -8,7 +8,9 @@ joined in the usual ways (label 0), so nothing of the scanned corpus is needed.
 threshold is the sample quantile at which at most `MISS` of the ordinary strings pass.
 
 Spans are in code points, end exclusive. Positions come from splitting a text at the
-matches of a pattern: what lies between them and their own lengths add up.
+matches of a pattern: what lies between them and their own lengths add up. Everything is
+linear in a text's length and its matches, but for a logarithm, so a text with many
+thousand matches and a token of a megabyte are scanned like others.
 
 Defined cases: a null text counts as an empty one and has no spans; repeated rows are
 scanned each; other columns are not read; an empty table gives an empty result.
@@ -102,37 +104,61 @@ def train(n: int = SAMPLE, miss: float = MISS) -> tuple[list[float], float]:
     return table.round(4).reshape(-1).tolist(), max(threshold, 0.0)
 
 
-def _ends(text: Column, pattern: str, group: Column) -> Column:
-    """(start, length, group) of every match, as an array."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    spans = F.aggregate(
-        F.zip_with(found, group, lambda m, g: F.struct(F.length(m).alias("n"), F.length(g).alias("g"))),
-        F.struct(
-            F.lit(0).alias("k"), F.lit(0).alias("at"),
-            F.array().cast("array<struct<start:int,stop:int,g:int>>").alias("out"),
-        ),
-        lambda acc, m: F.struct(
-            (acc["k"] + 1).alias("k"),
-            (acc["at"] + F.length(F.get(between, acc["k"])) + m["n"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(
-                    (acc["at"] + F.length(F.get(between, acc["k"]))).alias("start"),
-                    (acc["at"] + F.length(F.get(between, acc["k"])) + m["n"]).alias("stop"),
-                    m["g"].alias("g"),
-                )),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once; a column named inside a lambda is computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, join) -> Column:
+    """Running totals of an array under `join` (a sum, a maximum): log2(n) rounds, each adding what stands 2^r places before."""
+    rounds = F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int")
+
+    def step(totals: Column, r: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), r)
+        return F.transform(totals, lambda x, i: F.when(i >= back, join(x, F.get(totals, i - back))).otherwise(x))
+
+    return F.when(F.size(values) > 1, F.aggregate(F.sequence(F.lit(0), rounds - 1), values, step)).otherwise(values)
+
+
+def _ends(text: Column, pattern: str, group: int = 0) -> Column:
+    """(start, stop, g) of every match as an array, g being the text of a group. Linear in text and matches, but for a logarithm."""
+    parts = F.struct(
+        F.transform(F.split(text, pattern, -1), F.length).alias("between"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"),
     )
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,stop:int,g:int>>"))
+
+    def place(p: Column) -> Column:
+        sizes = F.zip_with(F.slice(p["between"], F.lit(1), F.size(p["found"])), p["found"], lambda b, m: b + F.length(m))
+        return _once(
+            _running(sizes, lambda a, b: a + b),
+            lambda stops: F.transform(
+                stops,
+                lambda stop, i: F.struct((stop - F.length(F.get(p["found"], i))).alias("start"), stop.alias("stop"), F.get(p["g"], i).alias("g")),
+            ),
+        )
+
+    return _once(parts, place)
 
 
 def _kind(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
 
 
+def _meets(spans: Column, s: Column) -> Column:
+    """Whether s overlaps one of spans, which are of one kind: the last that starts before s stops is found by halving."""
+    bits = F.sequence(F.ceil(F.log2(F.size(spans) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
+    before = F.aggregate(
+        bits,
+        F.lit(0),
+        lambda n, r: _once(
+            n + F.call_function("shiftleft", F.lit(1), r),
+            lambda more: F.when((more <= F.size(spans)) & (F.get(spans, more - 1)["start"] < s["stop"]), more).otherwise(n),
+        ),
+    )
+    return F.when(F.size(spans) > 0, _once(before, lambda n: (n > 0) & (F.get(spans, n - 1)["stop"] > s["start"]))).otherwise(F.lit(False))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Each document's doc_id, text and spans: an array of (start, kind, stop), sorted.
 
@@ -146,25 +172,26 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"))
     t = F.col("text")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    assign = F.filter(_ends(t, ASSIGN, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))), lambda s: s["g"] >= ASSIGN_LEAST)
-    whole = lambda p: _ends(t, p, F.regexp_extract_all(t, F.lit(p), F.lit(0)))
+    assign = F.filter(_ends(t, ASSIGN, 2), lambda s: F.length(s["g"]) >= ASSIGN_LEAST)
     rows = rows.withColumn("_assign", F.when(t.rlike(ASSIGN), _kind(assign, 0)).otherwise(none))
-    rows = rows.withColumn("_access", F.when(t.contains("AKIA"), _kind(whole(ACCESS), 1)).otherwise(none))
-    rows = rows.withColumn("_hex", F.when(t.rlike(HEX), _kind(whole(HEX), 2)).otherwise(none))
+    rows = rows.withColumn("_access", F.when(t.contains("AKIA"), _kind(_ends(t, ACCESS), 1)).otherwise(none))
+    rows = rows.withColumn("_hex", F.when(t.rlike(HEX), _kind(_ends(t, HEX), 2)).otherwise(none))
     rows = rows.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    rows = rows.withColumn("_tokens", F.when(t.rlike(TOKEN), whole(TOKEN)).otherwise(F.array().cast("array<struct<start:int,stop:int,g:int>>")))
+    rows = rows.withColumn("_tokens", F.when(t.rlike(TOKEN), _ends(t, TOKEN)).otherwise(F.array().cast("array<struct<start:int,stop:int,g:string>>")))
 
     def looks_random(s: Column) -> Column:
-        token = F.substring(t, s["start"] + 1, s["stop"] - s["start"])
-        codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
         total = F.aggregate(
-            F.sequence(F.lit(1), s["stop"] - s["start"] - 1),
-            F.lit(0.0),
-            lambda acc, i: acc + F.get(ratio, F.get(codes, i - 1) * 128 + F.get(codes, i)),
+            F.split(s["g"], ""),
+            F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
+            lambda acc, c: F.struct(
+                F.ascii(c).alias("last"),
+                (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.get(ratio, acc["last"] * 128 + F.ascii(c)))).alias("sum"),
+            ),
+            lambda acc: acc["sum"],
         )
         return total / (s["stop"] - s["start"] - 1) > F.lit(threshold)
 
-    free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    free = lambda s: ~(_meets(F.col("_assign"), s) | _meets(F.col("_access"), s) | _meets(F.col("_hex"), s))
     rows = rows.withColumn("_random", _kind(F.filter(F.filter("_tokens", free), looks_random), 3))
     return rows.withColumn("spans", F.array_sort(F.concat("_base", "_random"))).select("doc_id", "text", F.col("_base").alias("base"), "spans")
 
@@ -184,20 +211,32 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
+#: Code points in a piece of a text that is being masked, so that a span is not looked for from the text's start.
+PIECE = 1024
+
+
+def _part(pieces: Column, start: Column, stop: Column) -> Column:
+    """Code points start to stop - 1 of a text cut into pieces."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((stop - 1) / PIECE).cast("int")
+    some = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.when(stop > start, F.substring(some, start - first * PIECE + 1, stop - start)).otherwise("")
+
+
 def mask(docs: DataFrame, sign: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by `sign`; overlapping spans count as one. A null text stays null."""
     keyed = docs.withColumn("_row", F.struct(*docs.columns))
     scanned = scan(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    cutting = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(sign)).alias("out")),
-        ).otherwise(F.struct(F.greatest(s["stop"], acc["at"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+    parts = F.struct(
+        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"),
+        _running(F.transform("spans", lambda s: s["stop"]), F.greatest).alias("reach"),
     )
-    clean = F.when(F.size("spans") > 0, cutting).otherwise(F.col("doc_id.text"))
+
+    def cutting(p: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(p["reach"], i - 1)).otherwise(0)
+        kept = F.transform("spans", lambda s, i: F.when(s["start"] >= before(i), F.concat(_part(p["pieces"], before(i), s["start"]), F.lit(sign))))
+        return F.concat(F.array_join(kept, ""), _part(p["pieces"], F.element_at(p["reach"], -1), F.length("text")))
+
+    clean = F.when(F.size("spans") > 0, _once(parts, cutting)).otherwise(F.col("doc_id.text"))
     return scanned.select(*[(clean.alias(c) if c == "text" else F.col(f"doc_id.`{c}`").alias(c)) for c in docs.columns])
 
 
@@ -215,5 +254,30 @@ def base_by_hand(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def spans_by_hand(text: str | None) -> list[tuple[int, int, int]]:
+    """All spans by Python's re and a loop over characters, for tests."""
+    import re
+
+    base = base_by_hand(text)
+    table, threshold = train()
+    out = list(base)
+    for m in re.finditer(r"(?<![^\W_])[A-Za-z0-9+/_=-]{20,}(?![^\W_])", text or ""):
+        if any(a < m.end() and m.start() < z for a, _, z in base):
+            continue
+        codes = m[0].encode()
+        if sum(table[a * 128 + b] for a, b in zip(codes, codes[1:])) / (len(codes) - 1) > threshold:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def mask_by_hand(text: str, sign: str = "[SECRET]") -> str:
+    out, at = "", 0
+    for start, _, stop in spans_by_hand(text):
+        if start >= at:
+            out += text[at:start] + sign
+        at = max(at, stop)
+    return out + text[at:]
+
+
 def sha_by_hand(spans: list[tuple[int, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans).encode()).hexdigest()
