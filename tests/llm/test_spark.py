@@ -152,18 +152,25 @@ def test_top_k(spark):
     good = [(i, [float(i % 7) - 3, float(i % 5) - 2]) for i in range(1, 250)] + [(0, [1.5, -0.5]), (0, [1.5, -0.5])]
     df = spark.createDataFrame([(i, v, "x") for i, v in bad + good], "vec_id long, embedding array<float>, score string")
     got = rows(topk.search(df, F.col("vec_id") % 100 == 0), "query_id", "rank", "vec_id", "score")
-    v = {i: np.floor(1024 * np.array(x)).astype(int) for i, x in good}
-    v.pop(100, None), v.pop(200, None)
-    v |= {i: np.floor(1024 * np.array(x)).astype(int) for i, x in good if i in (100, 200)}
-    # Ids 100 and 200 stand in both lists; of their rows only the whole ones count.
+    # Ids 100 and 200 stand in both lists; of their rows only the whole ones count. Each of the two rows of id 0 is a query.
     want = []
-    for q in (0, 100, 200):
-        best = sorted(((-int(v[q] @ x), i) for i, x in v.items() if i != q))[:10]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    every = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in good]
+    for n, (q, v) in enumerate(every):
+        if q % 100 == 0:
+            best = sorted((-int(v @ x), i) for m, (i, x) in enumerate(every) if m != n)[:10]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want, key=repr)
     assert topk.search(df.where("vec_id < 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_holds_scores_within_64_bits(spark):
+    rows_ = [(0, [2.0**62, 1.0]), (1, [2.0**61, 1.0, 5.0]), (2, [-(2.0**62), 0.0]), (3, [1.0]), (4, [0.0, 3.0]), (5, []), (6, [2.0**62])]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    most, least = (1 << 63) - 1, -(1 << 63)
+    got = rows(topk.search(df, F.col("vec_id") == 0), "rank", "vec_id", "score")
+    assert got == [(1, 1, most), (2, 3, most), (3, 6, most), (4, 4, 3 << 20), (5, 5, 0), (6, 2, least)]
+
+
 def test_urls(spark):
     cases = [
         (1, "http://WWW.Example.com/en/1?x=/a", "www.example.com", "/en/1", "www.example.com/en/", "allow"), (2, "https://a.example.com/en/", "a.example.com", "/en/", "example.com/en/", "block"),

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,17 @@ def release() -> None:
         pass  # another C library, which has no such call
 
 
+def plain_id(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with doc_id never null and _null beside it, since a null among them would turn pandas' integers into floats."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    return docs.select(doc_id.alias("doc_id"), F.col("doc_id").isNull().alias("_null"), *columns)
+
+
+def ids_of(rows: pd.DataFrame):
+    """The ids of rows that plain_id() made, null where they were."""
+    return pd.arrays.IntegerArray(rows["doc_id"].to_numpy(dtype=np.int64), rows["_null"].to_numpy(dtype=bool))
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

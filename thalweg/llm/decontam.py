@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release, small_batches
+from .common import ids_of, mix64, plain_id, release, small_batches
 
 PASSAGE = 32
 DIM, EXTRA = 128, 16
@@ -233,13 +233,12 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
                         old = best.get((d, i))
                         if old is None or (lcs, answer) > old[:2]:
                             best[d, i] = (lcs, answer, c, first, last)
-            rows = [(batch["doc_id"].iloc[d], items.ids[i], *v) for (d, i), v in sorted(best.items())]
+            rows = [(d, items.ids[i], *v) for (d, i), v in sorted(best.items())]
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "lcs", "answer", "cosine", "first_word", "last_word"])
-            out["doc_id"] = pd.array([None if pd.isna(r[0]) else int(r[0]) for r in rows], dtype="Int64")
-            yield out
+            yield out.assign(doc_id=ids_of(batch).take(out["doc_id"].to_numpy(dtype=np.int64)))
         release()
 
-    return docs.select("doc_id", "text").mapInPandas(find, FOUND)
+    return plain_id(docs, "text").mapInPandas(find, FOUND)
 
 
 def _cosines(term: np.ndarray, cell: np.ndarray, firsts: np.ndarray, space: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -22,7 +22,6 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +42,6 @@ TARGET = 0.99
 LOCAL, MOST_REJECTED = 0.9, 0.05
 CHUNK = 1 << 19
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII: letters to lower case, all else to a blank. Bytes of other characters stay.
 _FOLD = bytes(
     (i | 32) if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256)
@@ -68,6 +66,11 @@ def _fold(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace").translate(_FOLD) + b" "
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of Unicode's letters; signs and numbers that look like some are not."""
+    return any(map(str.isalpha, text))
+
+
 class Model:
     """languages, and a table of BUCKETS x languages whose mean over grams is the logits."""
 
@@ -97,7 +100,7 @@ class Model:
         return self._columns
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        found = [t is not None and t == t and _LETTER.search(t) is not None for t in texts]
+        found = [t is not None and t == t and has_letter(t) for t in texts]
         names, score = [UND] * len(texts), np.zeros(len(texts))
         at = [i for i, f in enumerate(found) if f]
         if at and self.languages:
@@ -128,7 +131,7 @@ def sample(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, chars: int =
 
 def train(rows: list, seed: int = 0, epochs: int = 6, step: float = 0.5, grams: int = 1024) -> Model:
     """Train on (text, lang) rows; each visit of a row draws at most `grams` of its grams."""
-    rows = [r for r in rows if r[0] and _LETTER.search(r[0])]
+    rows = [r for r in rows if r[0] and has_letter(r[0])]
     languages = sorted({r[1] for r in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), 1.0, 0.0)

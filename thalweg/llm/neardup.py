@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, release, small_batches
+from .common import cut, ids_of, mix64, plain_id, release, small_batches
 from .shingles import shingle_sets
 
 BANDS, ROWS = 20, 4
@@ -103,22 +103,20 @@ def features(docs: DataFrame, k: int) -> DataFrame:
             for lo in range(0, len(texts), 128):
                 sets = shingle_sets(texts[lo : lo + 128], k)
                 bands = band_hashes(signatures(sets))
-                ids = batch["doc_id"].iloc[lo : lo + 128]
-                rows = []
-                for d, s, b in zip(ids, sets, bands):
-                    if not len(s) or pd.isna(d):
-                        rows.append((d, len(s), None, None, None))
-                    else:
-                        fp = xxhash.xxh128_intdigest(s.tobytes())
-                        hi, lo_ = np.array([fp >> 64, fp & (1 << 64) - 1], dtype=np.uint64).view(np.int64).tolist()
-                        rows.append((d, len(s), hi, lo_, b))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "fp_hi", "fp_lo", "bands"])
-                for c in ("doc_id", "fp_hi", "fp_lo"):
-                    out[c] = pd.array([None if pd.isna(v) else int(v) for v in [r[{"doc_id": 0, "fp_hi": 2, "fp_lo": 3}[c]] for r in rows]], dtype="Int64")
-                yield out
+                part = batch.iloc[lo : lo + 128]
+                prints = np.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], dtype="S16")
+                halves = np.frombuffer(prints.tobytes(), dtype=np.int64).reshape(-1, 2)
+                none = part["_null"].to_numpy(dtype=bool) | np.array([not len(s) for s in sets])
+                yield pd.DataFrame(
+                    {
+                        "doc_id": ids_of(part), "n_shingles": [len(s) for s in sets],
+                        "fp_hi": pd.arrays.IntegerArray(halves[:, 0].copy(), none), "fp_lo": pd.arrays.IntegerArray(halves[:, 1].copy(), none),
+                        "bands": [None if n else b for n, b in zip(none, bands)],
+                    }
+                )
         release()
 
-    return docs.select("doc_id", "text").mapInPandas(make, FEATURES)
+    return plain_id(docs, "text").mapInPandas(make, FEATURES)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:

@@ -1,13 +1,13 @@
 """Sum-of-squares packing of documents into training sequences.
 
-A piece goes where the sum of N(g)^2 over residual gaps g becomes smallest, N(g) being
+Each piece goes where the sum of N(g)^2 over residual gaps g becomes smallest, N(g) being
 the number of open sequences with g tokens left (closed and untouched ones do not
 count); a new sequence is opened only for a piece that no open one holds, since
-sequences are to be few. Pieces of one length are alike, so the rule is run over the
-histogram of lengths, longest first: at most `capacity` numbers reach the driver,
-whatever the corpus, and the number of steps does not follow the counts. The plan maps
-ranks within a length to sequences; the documents themselves are only ranked and looked
-up.
+sequences are to be few. The rule is applied to every piece, longest first.
+
+Pieces are dealt evenly to cells of about CELL_ROWS, whatever their content, and each cell
+is packed by itself in one task: its last few sequences may stay open, one in some ten
+thousand. Nothing reaches the driver but the number of pieces.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is kept; repeated
 rows are packed as often as they occur; other columns are not read; an empty table gives
@@ -21,69 +21,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, small_batches
+from .common import cut, ids_of, plain_id, release, small_batches
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Portions in which the pieces of one length are placed.
-STEPS = 64
-#: Pieces that one salt of a length holds, about.
-SALT_ROWS = 200_000
+#: Pieces that one cell holds, about.
+CELL_ROWS = 131_072
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> dict[int, np.ndarray]:
-    """For each length, rows (first rank, number, first sequence, offset), by rank.
-
-    Ranks first to first + number - 1 of the length go to as many sequences in a row, all
-    at this offset. Lengths are placed from the longest down, the pieces of one length in
-    at most `steps` portions and one more for each gap that runs out.
-    """
-    placed: dict[int, np.ndarray] = {}
-    open_: dict[int, list[list[int]]] = {}
-    total = np.zeros(capacity + 1)  # open sequences by gap
-    sequences = 0
-    for n in sorted(histogram, reverse=True):
-        rows, done, count = [], 0, histogram[n]
-        portion = max(1, count // steps)
-        while done < count:
-            gap = _smallest(total, n, capacity)
-            if gap == capacity:  # only a new sequence holds it, and each one more of this length
-                take = count - done if 2 * n > capacity else min(portion, count - done)
-                first, sequences = sequences, sequences + take
-            else:
-                ranges = open_[gap]
-                take = min(portion, count - done, ranges[-1][1])
-                ranges[-1][1] -= take
-                first = ranges[-1][0] + ranges[-1][1]
-                if not ranges[-1][1]:
-                    ranges.pop()
-                total[gap] -= take
-            rows.append((done, take, first, capacity - gap))
-            done += take
-            if gap > n:
-                open_.setdefault(gap - n, []).append([first, take])
-                total[gap - n] += take
-        placed[n] = np.array(rows, dtype=np.int64).reshape(-1, 4)
-    return placed
-
-
-def _smallest(total: np.ndarray, n: int, capacity: int) -> int:
-    """The gap that a piece of length n takes; `capacity` (a new sequence) if no gap holds it.
+def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece; lengths fall.
 
     Moving a sequence from gap g to g - n changes the sum of squares by
     2 (N(g - n) - N(g) + 1), and closing it by 1 - 2 N(n). Ties: the smaller gap.
     """
-    gaps = n + np.flatnonzero(total[n:capacity])
-    if not len(gaps):
-        return capacity
-    change = 2 * (total[gaps - n] - total[gaps] + 1)
-    if gaps[0] == n:
-        change[0] = 1 - 2 * total[n]
-    return int(gaps[np.argmin(change)])
+    sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+    open_: list[list[int]] = [[] for _ in range(capacity + 1)]  # sequences by gap
+    total = np.zeros(capacity + 1)
+    made = 0
+    starts = np.flatnonzero(np.diff(lengths, prepend=-1))
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(lengths)]):
+        n = int(lengths[lo])
+        # change[g - n]: what a piece of this length does to the sum in gap g, kept up to date below.
+        change = 2 * (total[: capacity - n] - total[n:capacity] + 1)
+        if len(change):
+            change[0] = 1 - 2 * total[n]
+        change[total[n:capacity] == 0] = np.inf
+        for k in range(lo, hi):
+            gap = n + int(change.argmin()) if len(change) else capacity
+            if gap == capacity or change[gap - n] == np.inf:
+                gap, which, made = capacity, made, made + 1
+            else:
+                which = open_[gap].pop()
+                total[gap] -= 1
+            sequence[k], offset[k] = which, capacity - gap
+            left = gap - n
+            if left:
+                open_[left].append(which)
+                total[left] += 1
+            # The counts of gap and left differ now, and so do the changes from and into them.
+            for g in (gap, left, gap + n, gap):
+                if n <= g < capacity:
+                    into = total[g - n] - total[g] + 1 if g > n else 0.5 - total[n]
+                    change[g - n] = 2 * into if total[g] else np.inf
+    return sequence, offset
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -96,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
         for batch in batches:
             rows = []
             texts = [None if t is None or t != t else t for t in batch["text"]]
-            for d, ids in zip(batch["doc_id"], enc.encode(texts)):
+            for d, ids in enumerate(enc.encode(texts)):
                 ids = memoryview(ids + end)
                 n = len(ids) // 4
                 lo, k = 0, 0
@@ -105,42 +90,29 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
                     rows.append((d, k, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi])))
                     lo, k = hi, k + 1
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield out.assign(doc_id=ids_of(batch).take(out["doc_id"].to_numpy(dtype=np.int64)))
         release()
 
-    return docs.select("doc_id", "text").mapInPandas(encode, PIECES_SCHEMA)
-
-
-def assign(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (see PIECES_SCHEMA); reads them more than once."""
-    spark = items.sparkSession
-    histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(64, sum(histogram.values()) // SALT_ROWS)
-    # At most `capacity` lengths, each with STEPS rows and one for each gap that ran out: a few MB.
-    plans = spark.sparkContext.broadcast(plan(histogram, capacity))
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(salts)))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(inside) - 1).join(bases, ["length", "_salt"])
-    ranked = ranked.select(*items.columns, (F.col("_rank") + F.col("_base")).alias("_rank"))
-    schema = f"{PIECES_SCHEMA}, sequence_id long, offset long"
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = plans.value
-        for batch in batches:
-            sequence = np.zeros(len(batch), dtype=np.int64)
-            offset = np.zeros(len(batch), dtype=np.int64)
-            for n, at in batch.groupby("length").indices.items():
-                rows, rank = table[n], batch["_rank"].to_numpy()[at]
-                k = np.searchsorted(rows[:, 0], rank, side="right") - 1
-                sequence[at] = rows[k, 2] + rank - rows[k, 0]
-                offset[at] = rows[k, 3]
-            yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
-
-    return ranked.mapInPandas(place, schema)
+    return plain_id(docs, "text").mapInPandas(encode, PIECES_SCHEMA)
+
+
+def assign(items: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Add sequence_id and offset to pieces (see PIECES_SCHEMA), which must not change when read twice."""
+    cells = max(1, -(-items.count() // cell_rows))
+    # Rows of each partition go to the cells in turn, from a cell of its own on: what a row holds has no say.
+    at = F.monotonically_increasing_id()
+    cell = F.pmod(at.bitwiseAND((1 << 33) - 1) + F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(cells)), F.lit(cells))
+    columns = [c.split()[0] for c in PIECES_SCHEMA.split(", ")]
+    dealt = plain_id(items, *columns[1:], cell.alias("_cell"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        # Longest first; rows alike in all columns may change places.
+        order = ["length", "_null", "doc_id", "piece", "start", "ids_crc32"]
+        rows = rows.sort_values(order, ascending=[False] + [True] * 5, kind="stable")
+        sequence, offset = place(rows["length"].to_numpy(), capacity)
+        return rows[columns].assign(doc_id=ids_of(rows), sequence_id=(rows["_cell"].to_numpy() << 32) + sequence, offset=offset)
+
+    return dealt.groupBy("_cell").applyInPandas(pack, f"{PIECES_SCHEMA}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, small_batches
+from .common import filesystem, plain_id, scratch, small_batches
 from .tokens import encoder
 
 MAGIC = b"THWGBITS"
@@ -186,7 +186,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 out = TokenFileWriter(stream, bits)
             texts = [None if t is None or t != t else t for t in batch["text"]]
             ids = [np.frombuffer(x + end, dtype="<u4") for x in enc.encode(texts)]
-            out.add([None if pd.isna(d) else int(d) for d in batch["doc_id"]], ids)
+            out.add([None if n else d for d, n in zip(batch["doc_id"].tolist(), batch["_null"])], ids)
         if out is not None:
             out.close()
             stream.close()
@@ -194,7 +194,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             yield pd.DataFrame({"part": [part], "path": [name], "docs": [len(out.doc_ids)], "ids": [out.ids]})
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return sorted(tuple(r) for r in dealt.mapInPandas(write, FILES_SCHEMA).collect())
+    return sorted(tuple(r) for r in plain_id(dealt, "text").mapInPandas(write, FILES_SCHEMA).collect())
 
 
 def read_token_files(spark: SparkSession, files: list[tuple], folder: str) -> DataFrame:
