@@ -230,12 +230,33 @@ def test_top_k_blocks_prune_and_stay_exact():
     assert found == want and scored < 0.7 * 20 * 47
 
 
-def test_url_features_and_trees():
-    u, y = urls.sample_urls(2000)
-    x = urls.featurise(u)
-    m = urls.Trees(trees=40).fit(x[:1500], y[:1500])
-    assert ((m.score(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.93
-    assert urls.featurise([None, "", "nothing"]).shape == (3, len(urls.FEATURES))
+def test_url_model_on_words_it_has_not_seen():
+    m = urls.Model(*urls.sample_urls(6000))
+    held, y = urls.sample_urls(3000, seed=11, pool=1)
+    words = [{w for u in us for w in re.findall("[a-z]{6,}", u)} for us in (urls.sample_urls(6000)[0], held)]
+    assert len(words[0] & words[1]) < 0.02 * len(words[1])
+    wrong = (m.score(held) >= 0.5) != y
+    assert wrong.mean() < 0.06 and wrong[y == 0].mean() < 0.04
+    assert not {f for f in urls.FEATURES if "word" in f}
+    assert m.score([None, "", "nothing", "http://" + "a" * 100_000]).shape == (4,)
+
+
+def _trees_by_hand(x, y, rate, penalty, edges):
+    """One tree of depth 1: every feature and cut tried, with the sums taken anew."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = max(((g[x[:, j] < e].sum() ** 2 / (h[x[:, j] < e].sum() + penalty) + g[x[:, j] >= e].sum() ** 2 / (h[x[:, j] >= e].sum() + penalty), -j, -e) for j in range(x.shape[1]) for e in edges[j]))
+    j, e = -best[1], -best[2]
+    value = [-rate * g[s].sum() / (h[s].sum() + penalty) for s in (x[:, j] < e, x[:, j] >= e)]
+    return 1 / (1 + np.exp(-(np.log(p / (1 - p)) + np.where(x[:, j] < e, *value))))
+
+
+def test_boosted_trees_split_as_a_plain_search_does():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)).round(1)
+    y = (x[:, 2] + rng.normal(0, 0.5, 400) > 0.3).astype(float)
+    m = urls.Trees(trees=1, depth=1).fit(x, y)
+    assert np.allclose(m.score(x), _trees_by_hand(x, y, m.rate, m.penalty, m.edges))
 
 
 def test_secret_model_parts_samples():

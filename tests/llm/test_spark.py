@@ -183,6 +183,13 @@ def test_urls(spark):
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
     assert urls.judge(df.where("page_id < 0"), queries.URL_RULES).count() == 0
+    # Repeated and very long ones, by the trees alone, and by a model of labelled rows.
+    odd = spark.createDataFrame([(k, u) for k, u in enumerate(["http://" + "x" * 200_000 + "/", "http://a.b/", "http://a.b/", None])], "page_id long, url string")
+    label = spark.createDataFrame([(u, int(k)) for u, k in zip(*urls.sample_urls(400))] + [(None, 1), ("x", None)], "url string, label int")
+    mine = urls.fit(label)
+    got = {r["page_id"]: r for r in urls.judge(odd, [], mine).collect()}
+    assert len(got) == 4 and got[1]["score"] == got[2]["score"] and got[1]["verdict"] == ("block" if got[1]["score"] >= 0.5 else "allow")
+    assert [round(got[k]["score"], 9) for k in (0, 1, 3)] == [round(float(x), 9) for x in mine.score(["http://" + "x" * 200_000 + "/", "http://a.b/", None])]
 
 
 def test_decontamination(spark, docs, none):

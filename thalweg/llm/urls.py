@@ -1,10 +1,10 @@
 """URL verdicts: host and path rules first, then gradient-boosted trees on lexical features.
 
 The trees see numbers only: lengths, depth, shares of digits and signs, entropy, parameter
-counts, statistics of the host's suffix and labels, and how many parts of the host are
-advertising words. They are trained in numpy on labelled URLs, second-order boosting of
-the logistic loss over binned features. Any labelled URLs will do; without some of one's
-own, `sample_urls` makes them by rule from the word lists below.
+counts, shapes of labels, and the host's suffix by its odds and number in the training
+sample. No feature is a word. They are trained in numpy on labelled URLs, second-order
+boosting of the logistic loss over binned features. `fit` takes a table of labelled URLs;
+without one, `sample_urls` makes them by rule.
 
 Defined cases: a null url, and one without "://", has an empty host and path, fits no rule
 and is judged as an empty string; repeated rows are judged each; other columns are not
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,102 +28,147 @@ from .common import small_batches
 
 ALLOW, BLOCK = "allow", "block"
 
-#: Words of advertising, adult, gambling and pharmacy hosts, and of ordinary ones.
-BAD_WORDS = (
-    "ads adult bet bets bonus buy casino cash cheap click coupon credit dating deal deals drugs escort farm free gambling girls "
-    "hot jackpot loan loans lottery lucky meds money pharmacy pills poker porn prize promo replica sale sex slots spam spin "
-    "track tracker traffic viagra vip win winner x xxx"
-).split()
-GOOD_WORDS = (
-    "art blog book city club code college data design family food forum garden green health history home house journal kids law "
-    "library life local market media museum music news north open park people photo press project radio research river school "
-    "science shop society south space sport state story street studio team tech theatre times tower travel university valley "
-    "village water weather week west wiki wood world"
-).split()
+#: Syllables of made-up words, suffixes, and how an ordinary and an unwanted sample URL choose among these.
+SYLLABLES = "an ar be ble co de di ed en er es ha he in ing la le li lo ly ma me mo nd ne no nt on or ou pa ra re ri ro sa sh st ta te th ti tion to un ve wh".split()
 SUFFIXES = "com org net edu gov info biz xyz top click de fr es uk io ru cn tk".split()
-#: How an ordinary and an unwanted sample URL choose among SUFFIXES.
 GOOD_WEIGHTS = [30, 20, 16, 6, 4, 3, 1, 1, 1, 0, 5, 4, 4, 5, 3, 1, 1, 0]
 BAD_WEIGHTS = [22, 12, 16, 0, 0, 8, 6, 8, 8, 6, 1, 1, 1, 1, 2, 4, 4, 5]
+#: Bound of the training sample from a table of labelled URLs: rows of each kind.
+TRAIN_ROWS = 20_000
+
 
+def sample_urls(n: int = 8000, seed: int = 6, pool: int = 0) -> tuple[list[str], np.ndarray]:
+    """n labelled URLs (1: unwanted), always the same.
 
-def sample_urls(n: int = 6000, seed: int = 6) -> tuple[list[str], np.ndarray]:
-    """n labelled URLs (1: unwanted), always the same."""
+    Unwanted ones are made by ways of building hosts, paths and queries that machines use: generated
+    hosts, farms of hyphens, stacks of subdomains, bare addresses, redirects with long parameters, and
+    deep numbered paths. Words are made up of syllables; those of pool 0 and of pool 1 are disjoint.
+    """
     draw = random.Random(seed)
-    syllables = "an ar be ble co de di ed en er es ha he in ing la le li lo ly ma me mo nd ne no nt on or ou pa ra re ri ro sa sh st ta te th ti tion to un ve wh".split()
-
-    def name(lo: int, hi: int) -> str:
-        return "".join(draw.choices(syllables, k=draw.randint(lo, hi)))
-
-    def tail(bad: bool) -> str:
-        depth = draw.choice([0, 1, 2, 2, 3]) if not bad else draw.choice([0, 1, 2, 2, 3, 5])
-        parts = [draw.choice([name(1, 3), str(draw.randint(1, 99999)), draw.choice("en de fr es it".split()), draw.choice(GOOD_WORDS)]) for _ in range(depth)]
-        path = "/" + "/".join(parts) + draw.choice(["", "/", ".html", ""]) if parts else draw.choice(["", "/"])
-        count = draw.choice([0, 0, 0, 1, 2]) if not bad else draw.choice([0, 0, 0, 1, 2, 4])
-        query = "&".join(f"{name(1, 2)}={draw.choice([name(1, 2), str(draw.randint(1, 9999))])}" for _ in range(count))
-        return path + ("?" + query if query else "") + draw.choice(["", "", "", "#top"])
-
-    urls, y = [], []
-    for i in range(n):
-        bad = i % 2
-        if bad:
-            words = [draw.choice(BAD_WORDS), draw.choice(BAD_WORDS + GOOD_WORDS)]
-            draw.shuffle(words)
-            core = draw.choice(["-".join(words), "-".join(words), "".join(words), "-".join([*words, str(draw.randint(1, 999))])])
-            suffix = draw.choices(SUFFIXES, BAD_WEIGHTS)[0]
-        else:
-            core = draw.choice([name(1, 4), name(2, 5), name(1, 3), draw.choice(GOOD_WORDS), "-".join(draw.choices(GOOD_WORDS, k=2)), "".join(draw.choices(GOOD_WORDS, k=2))])
-            suffix = draw.choices(SUFFIXES, GOOD_WEIGHTS)[0]
-        sub = draw.choice(["", "", "www.", "m.", "blog."])
-        middle = draw.choice(["", "", "example.", name(1, 3) + "."])
-        urls.append(draw.choice(["http://", "https://"]) + sub + core + "." + middle + suffix + tail(bool(bad)))
-        y.append(bad)
-    return urls, np.array(y)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def text(alphabet: str, lo: int, hi: int) -> str:
+        return "".join(draw.choices(alphabet, k=draw.randint(lo, hi)))
+
+    def word(lo: int = 2, hi: int = 4) -> str:
+        while True:
+            w = "".join(draw.choices(SYLLABLES, k=draw.randint(lo, hi)))
+            if zlib.crc32(w.encode()) % 2 == pool:
+                return w
+
+    def ordinary() -> str:
+        host = draw.choice(["", "", "www.", "www.", "m.", "blog.", word() + "."]) + draw.choice([word(), word(), word() + "-" + word(), word() + text(digits, 1, 2)])
+        if draw.random() < 0.3:
+            host += "." + word()
+        parts = [draw.choice([word(), word() + "-" + word() + "-" + word(), text(digits, 1, 5), draw.choice("en de fr es it".split()), str(draw.randint(1998, 2026))]) for _ in range(draw.choice([0, 1, 2, 2, 3, 4]))]
+        path = "/" + "/".join(parts) + draw.choice(["", "", "/", ".html"]) if parts else draw.choice(["", "/"])
+        query = "&".join(draw.choice(["page=" + text(digits, 1, 2), "ref=" + word(1, 1), f"utm_source={word()}", f"q={word()}", f"id={text(digits, 2, 6)}"]) for _ in range(draw.choice([0, 0, 0, 1, 2])))
+        return host + "." + draw.choices(SUFFIXES, GOOD_WEIGHTS)[0] + path + ("?" + query if query else "") + draw.choice(["", "", "", "#top"])
+
+    def unwanted() -> str:
+        suffix = "." + draw.choices(SUFFIXES, BAD_WEIGHTS)[0]
+        plain = draw.choice(["", "", "www."]) + draw.choice([word(), word() + "-" + word()]) + suffix
+        tail = draw.choice(["", "/", "/" + word(), "/" + text(letters + digits, 4, 12), "/?" + word(1, 1) + "=" + text(digits, 1, 8)])
+        kind = draw.randrange(6)
+        if kind == 0:
+            return text(draw.choice([letters, letters + digits, "bcdfghjklmnpqrstvwxz" + digits]), 9, 26) + suffix + tail
+        if kind == 1:
+            return "-".join([*(word(1, 3) for _ in range(draw.randint(3, 6))), *draw.choice([[], [text(digits, 2, 5)]])]) + suffix + tail
+        if kind == 2:
+            return ".".join(draw.choice([word(1, 3), text(letters + digits, 4, 12), text(digits, 2, 8)]) for _ in range(draw.randint(4, 7))) + suffix + tail
+        if kind == 3:
+            host = ".".join(str(draw.randint(1, 254)) for _ in range(4)) + draw.choice(["", ":" + text(digits, 4, 4).replace("0", "8")])
+            return host + "/" + draw.choice([text(letters + digits, 6, 20), word() + "/" + word() + ".php"])
+        values = [lambda: text("0123456789abcdef", 16, 48), lambda: text(letters + letters.upper() + digits, 20, 60), lambda: "http%3A%2F%2F" + word() + "%2F" + word(), lambda: text(digits, 8, 16)]
+        if kind == 4:
+            query = "&".join(word(1, 2) + "=" + draw.choice(values)() for _ in range(draw.randint(3, 9)))
+            return plain + "/" + draw.choice(["", word(1, 2), text(letters, 1, 3)]) + "?" + query
+        parts = [draw.choice([text(digits, 3, 12), text(letters + digits, 6, 24), word(1, 2)]) for _ in range(draw.randint(5, 10))]
+        return plain + "/" + "/".join(parts) + draw.choice(["", "?" + word(1, 1) + "=" + draw.choice(values)()])
+
+    y = np.arange(n) % 2
+    return [draw.choice(["http://", "https://"]) + (unwanted() if bad else ordinary()) for bad in y], y
 
 
 FEATURES = (
-    "length host_length path_length depth params query_length has_fragment digit_ratio host_digit_ratio sign_ratio hyphens "
-    "labels longest_label suffix_length suffix_rank entropy host_entropy vowel_ratio bad_words good_words"
+    "length host_length path_length query_length depth longest_part params longest_value has_fragment digit_ratio host_digit_ratio path_digit_ratio "
+    "sign_ratio percent_signs hyphens labels longest_label is_address has_port entropy host_entropy path_entropy vowel_ratio longest_consonant_run "
+    "case_changes suffix_length suffix_odds suffix_count"
 ).split()
-_PART = re.compile(r"[^a-z]+")
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]+")
+_CASE = re.compile(r"[a-z][A-Z]|[A-Z][a-z]|[0-9][A-Za-z]|[A-Za-z][0-9]")
 
 
 def _entropy(s: str) -> float:
     if not s:
         return 0.0
-    p = np.array([s.count(c) for c in set(s)]) / len(s)
+    p = np.fromiter(Counter(s).values(), dtype=float) / len(s)
     return float(-(p * np.log2(p)).sum())
 
 
-def _words_in(part: str, words: frozenset[str]) -> int:
-    """1 if part is one of the words or two of them run together."""
-    return int(part in words or any(part[:i] in words and part[i:] in _ALL for i in range(2, len(part) - 1)))
+def _digits(s: str) -> float:
+    return sum(map(str.isdigit, s)) / max(1, len(s))
+
+
+def _suffix(url: str | None) -> str:
+    m = _URL.search(url or "")
+    return m[1].lower().partition(":")[0].rpartition(".")[2] if m else ""
 
 
-_BAD, _GOOD = frozenset(BAD_WORDS), frozenset(GOOD_WORDS)
-_ALL = _BAD | _GOOD
-_RANK = {s: i for i, s in enumerate(SUFFIXES)}
+_URL = re.compile(r"://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?", re.S)
 
 
-def featurise(urls: list[str | None]) -> np.ndarray:
-    """A row of FEATURES for each url."""
+def featurise(urls: list[str | None], suffixes: dict[str, tuple[float, float]]) -> np.ndarray:
+    """A row of FEATURES for each url. suffixes: log odds and log count of each in the training sample."""
     out = np.zeros((len(urls), len(FEATURES)))
     for i, url in enumerate(urls):
         url = url or ""
-        m = re.search(r"://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?", url, re.S)
+        m = _URL.search(url)
         host, path, query, mark = (m[1].lower(), m[2], m[3] or "", m[4]) if m else ("", "", "", None)
-        labels = host.split(".") if host else []
-        parts = [p for p in _PART.split(host) if p]
-        n, h = max(1, len(url)), max(1, len(host))
+        name, _, port = host.partition(":")
+        labels = name.split(".") if name else []
+        parts = [p for p in path.split("/") if p]
+        pairs = [p for p in query[1:].split("&") if p]
         out[i] = (
-            len(url), len(host), len(path), len([p for p in path.split("/") if p]), query.count("=") or query.count("&"),
-            len(query), mark is not None, sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in host) / h,
-            sum(not c.isalnum() for c in url) / n, host.count("-"), len(labels), max(map(len, labels), default=0),
-            len(labels[-1]) if labels else 0, _RANK.get(labels[-1], len(SUFFIXES)) if labels else -1, _entropy(url), _entropy(host),
-            sum(c in "aeiou" for c in host) / h, sum(_words_in(p, _BAD) for p in parts), sum(_words_in(p, _GOOD) for p in parts),
+            len(url), len(host), len(path), len(query), len(parts), max(map(len, parts), default=0), len(pairs),
+            max((len(p.partition("=")[2]) for p in pairs), default=0), mark is not None, _digits(url), _digits(name), _digits(path),
+            sum(not c.isalnum() for c in url) / max(1, len(url)), url.count("%"), name.count("-"), len(labels), max(map(len, labels), default=0),
+            bool(labels) and all(map(str.isdigit, labels)), bool(port), _entropy(url), _entropy(name), _entropy(path),
+            sum(c in "aeiou" for c in name) / max(1, len(name)), max(map(len, _CONSONANTS.findall(name)), default=0),
+            len(_CASE.findall(path + query)), len(labels[-1]) if labels else 0, *suffixes.get(labels[-1] if labels else "", (0.0, 0.0)),
         )
     return out
 
 
+class Model:
+    """Suffix statistics and boosted trees, from labelled URLs."""
+
+    def __init__(self, urls: list[str | None], y: np.ndarray, **options):
+        seen: dict[str, list[float]] = {}
+        for u, label in zip(urls, y):
+            seen.setdefault(_suffix(u), [0.0, 0.0])[int(label)] += 1
+        # Eight more rows of either kind, so that a suffix of few rows says little.
+        self.suffixes = {s: (float(np.log((c[1] + 8) / (c[0] + 8))), float(np.log1p(sum(c)))) for s, c in seen.items()}
+        self.trees = Trees(**options).fit(featurise(urls, self.suffixes), np.asarray(y, dtype=float))
+
+    def score(self, urls: list[str | None]) -> np.ndarray:
+        return self.trees.score(featurise(urls, self.suffixes)) if len(urls) else np.zeros(0)
+
+
+def fit(labelled: DataFrame | None = None, rows: int = TRAIN_ROWS) -> Model:
+    """Train on labelled(url, label 0 or 1), at most about `rows` of each kind drawn by a hash; on sample_urls() without it."""
+    if labelled is None:
+        return Model(*sample_urls())
+    known = labelled.where(F.col("label").isin(0, 1) & F.col("url").isNotNull())
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    draw = F.pmod(F.xxhash64("url"), F.lit(1 << 30))
+    limit = F.when(F.col("label") == 1, F.lit(int(min(1.0, rows / max(1, counts.get(1, 0))) * (1 << 30)))).otherwise(F.lit(int(min(1.0, rows / max(1, counts.get(0, 0))) * (1 << 30))))
+    drawn = sorted((r["url"], r["label"]) for r in known.where(draw < limit).select("url", "label").collect())
+    if len({label for _, label in drawn}) < 2:
+        raise ValueError("labelled URLs of both kinds are needed")
+    return Model([u for u, _ in drawn], np.array([label for _, label in drawn]))
+
+
 class Trees:
     """Boosted trees for a yes-or-no target, over features cut into bins at training quantiles."""
 
@@ -196,24 +243,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, capitals, capitals.lower()), path
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], model: Trees | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], model: Model | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' score of each url.
 
-    rules: (verdict, rule), a rule being a host and a path. It fits the host and its
+    model: that of fit(), of made-up URLs by default. rules: (verdict, rule), a rule being a host and a path. It fits the host and its
     subdomains where the url's path starts with the rule's; the longest rule wins, then
     the first given.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    if model is None:
-        urls, y = sample_urls()
-        model = Trees().fit(featurise(urls), y)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(fit() if model is None else model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for url in batches:
-            yield pd.Series(shared.value.score(featurise(url.where(url.notna(), None).tolist())), dtype="float64")
+            yield pd.Series(shared.value.score(url.where(url.notna(), None).tolist()), dtype="float64")
 
     host, path = host_and_path(F.col("url"))
     rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
