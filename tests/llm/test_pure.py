@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -159,13 +160,52 @@ def test_toxicity_tolerates_gaps():
     toxic = np.arange(200) % 2
     texts = [t + " stupid " + t + " idiot" if y else t for t, y in zip(texts, toxic)]
     m = toxicity.train(texts, toxic)
-    read = toxicity.Reader(m.kernel)
-    s = m.score(read.features(["you stupid idiot", "you stuupid idiiot", "s t u p i d and i d i o t", "st.up.id id-iot", "green garden", "", None]))
+    s = m.score(["you stupid idiot", "you stuupid idiiot", "s t u p i d and i d i o t", "st.up.id id-iot", "green garden", "", None])
     assert (s[:4] > 0.5).all() and (s[4:] < 0.5).all()
-    assert toxicity.train([], np.zeros(0, int)).score(np.zeros((2, 0))).max() < 0.01
+    assert toxicity.train([], np.zeros(0, int)).score(["a", None]).max() < 0.01
     assert toxicity.windows("a" * 60) and all(len(w) <= 24 for w in toxicity.windows("a" * 60))
 
 
+def _triples_by_hand(a, b):
+    of = lambda w: [("".join(w[i] for i in t), 0.9 ** (t[2] - t[0] - 2)) for t in combinations(range(len(w)), 3)]
+    return sum(x * y for p, x in of(a) for q, y in of(b) if p == q)
+
+
+def test_word_kernel_is_that_of_the_definition():
+    words = ["idiot", "ixdxixoxt", "idio", "banana", "<fu>", "дурак", "дуррак", "傻瓜蛋子", "aaaaaa", "xyz"]
+    marks = ["idiot", "дурак", "banana", "傻瓜蛋子", "<fu>"]
+    k = toxicity.Kernel(marks)
+    got = {(words[r], marks[m]): float(v) for r, m, v in zip(*k.pairs(words))}
+    for w in words:
+        for m in marks:
+            both = _triples_by_hand(w, w) * _triples_by_hand(m, m)
+            sums = _triples_by_hand(w, m)
+            want = sums / both**toxicity.SCALE * (1 + toxicity.SHARP * (sums / both**0.5) ** toxicity.SHARP_POWER)
+            near = sum(c in w for c in m) >= len(m) - max(1, len(m) // 4) and want >= toxicity.FLOOR
+            assert np.isclose(got.get((w, m), 0.0), want if near else 0.0, rtol=1e-4), (w, m)
+    gram = np.array([[_triples_by_hand(a, b) / (_triples_by_hand(a, a) * _triples_by_hand(b, b)) ** toxicity.SCALE for a in words] for b in words])
+    assert np.linalg.eigvalsh(gram).min() > -1e-9  # a kernel
+    whole = np.linalg.inv(k.root @ k.root)  # the landmarks' own matrix, but for the ridge
+    assert np.allclose(whole, np.stack([k._value(toxicity._letters(marks).T, k.own, i) for i in range(len(marks))]) + toxicity.RIDGE * np.diag(k.diagonal), rtol=1e-3, atol=1e-3)
+    assert toxicity.windows("fu") == ["<fu>"] and toxicity.windows("") == [""]
+
+
+def test_features_of_a_text_are_the_largest_of_its_words():
+    k = toxicity.Kernel(["idiot", "stupid", "garden"])
+    read = toxicity.Reader(k)
+    texts = ["you idiot and stuupid", None, "", "gaarden idiiot", "s t u p i d"]
+    owner, word = read.words(texts)
+    got = read.pooled(len(texts), owner, word)
+    for t, row in zip(texts, got):
+        parts = [p for w in toxicity.words_of(t) for p in toxicity.windows(toxicity.fold(w)) if p]
+        want = np.zeros(3)
+        for r, m, v in zip(*k.pairs(parts)):
+            want[m] = max(want[m], v)
+        assert np.allclose(row, want)
+    weight = np.array([1.0, -0.5, 2.0], dtype=np.float32)
+    assert np.allclose(read.margins(word, weight), [sum(v * weight[m] for m, v in zip(read.marks[read.first[i] : read.first[i + 1]], read.values[read.first[i] : read.first[i + 1]])) for i in word])
+
+
 INSULTS = ["idiot", "stupid", "moron", "loser", "trash", "clown", "scum", "pathetic", "worthless", "disgusting"]
 
 
@@ -188,8 +228,7 @@ def test_toxicity_tolerates_letters_put_in_and_left_out():
     toxic = np.arange(1600) % 2
     texts = [f"{text()} {' '.join(rng.choice(INSULTS, 3))} {text()}" if y else f"{text()} {text()}" for y in toxic]
     m = toxicity.train(texts, toxic)
-    read = toxicity.Reader(m.kernel)
-    score = lambda rows: m.score(read.features(rows))
+    score = m.score
     assert (score([f"{text()} {text()}" for _ in range(400)]) >= 0.5).mean() < 0.05
     for kind, least in ((1, 0.9), (2, 0.9), (3, 0.85), (4, 0.85), ("every gap", 0.8), ("left out", 0.35)):
         words = [w for w in INSULTS if kind != "left out" or len(w) > 4]

@@ -1,28 +1,34 @@
 """Toxicity by a subsequence string kernel, Nystrom landmarks and a linear support vector machine.
 
 Two words are compared by the letter triples that both contain in order, with gaps of any
-length: a triple that spans d letters counts DECAY ** (d - 3). An insult with letters put in
-keeps all its triples, one with letters left out or swapped near each other many. A value is
-relative to the landmark with itself, and to the word's own letters of the landmark where
-these hold more triples, so that repeated syllables do not add up to an insult.
+length: a triple that spans d letters counts DECAY ** (d - 3). The kernel of two words is the
+sum over such triples divided by both words' own sums to the power SCALE, and what is nearly
+alike counts for more: it is multiplied by 1 + SHARP cosine ** SHARP_POWER. Products and sums
+of kernels and such scalings are kernels again. An insult with letters put in keeps all its
+triples, one with letters left out or swapped near each other many.
 
 Landmarks are strings of the labelled sentences: words, and beginnings of words, that are
-commoner in toxic ones (as many as the evidence tells apart from chance, up to LANDMARKS;
-those that are only a little commoner up to WEAK), and some ordinary words. A document's feature for a landmark is the
-largest kernel value of any of its words; multiplied with the inverse root of the landmarks'
-own kernel matrix these are Nystrom features. A linear machine is trained on them by
-subgradient steps in numpy, and a logistic curve, weighted back to the share of toxic rows,
-turns its margin into a score. Toxic rows are learned from a second time with their landmarks
-disguised by letters put in or left out, so the weights judge low kernel values too.
+commoner in toxic ones (as many as the evidence tells apart from chance, up to LANDMARKS less
+ORDINARY; those that are only a little commoner up to WEAK), and ordinary words that begin as
+they do, or else the commonest. A word's Nystrom features are its kernel values with the
+landmarks times the inverse root of the landmarks' own kernel matrix. Two linear machines
+are trained on them by subgradient and gradient steps in numpy: one reads a sentence by its
+most toxic word (a support vector machine over multiple instances, so one disguised insult is
+enough), the other by the largest value of any word for each landmark, so that several weak
+words add up. A logistic curve of both margins, each held within bounds, weighted back to the
+share of toxic rows, gives the score. Toxic rows are learned from a second time with their
+landmarks disguised by letters put in or left out.
 
 Letters are folded (case and accents do not count), signs inside a word are dropped, and
-letters written one by one ("i d i o t") are read as one word too. A word of more than
-WORD letters is read in overlapping windows, so no part of a text is left out.
-
-Defined cases: a null or empty text has no features and gets the score of such a text;
-labels that are null, and repeated labels but the highest, are ignored; without labels of
-both kinds every score is the share of toxic labels (0 without any); repeated rows are
-scored each; other columns are not read; an empty table gives an empty result.
+letters written one by one ("i d i o t") are read as one word too. Letters of every script are
+compared as what they are. A word of one or two letters is read with a sign at both ends. A
+word of more than WORD letters is read in overlapping windows, so no part of a text is left out.
+
+Defined cases: a null or empty text, and one without any word like a landmark, gets the score
+of no likeness; labels that are null, and repeated labels but the highest, are ignored;
+without labels of both kinds every score is the share of toxic labels (0 without any);
+repeated rows are scored each; other columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -43,14 +49,18 @@ from .common import small_batches
 DECAY = 0.9
 WORD = 24
 #: Bounds of the landmarks: all, ordinary words, and strings less than LIFT times as common in toxic rows.
-LANDMARKS, ORDINARY, WEAK = 512, 8, 64
+LANDMARKS, ORDINARY, WEAK = 512, 128, 64
 LIFT = 8.0
 #: Share of false ones among the strings taken as commoner in toxic rows (Benjamini and Hochberg).
 FALSE = 0.05
-#: Kernel values are raised to this power, which is a kernel again and tells near from far better.
-POWER = 3
-#: Kernel values (of at most 1) under this are 0.008 at most once raised, and are not kept.
-FLOOR = 0.2
+#: Power of both words' own sums that a kernel value is divided by: 0.5 would count letters put in as heavily as others, 0 not at all.
+SCALE = 0.15
+#: How much more near likeness counts.
+SHARP, SHARP_POWER = 10.0, 10
+#: Share of a landmark's own kernel value that is added to it before the root is taken.
+RIDGE = 1e-4
+#: Kernel values of less than this are taken as 0, and so are those of words that lack more than a quarter of a landmark's letters.
+FLOOR = 0.1
 #: Bound of the training sample: labelled rows of each kind, and characters of a row in it.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 CACHE_WORDS = 250_000
@@ -67,23 +77,25 @@ def fold(word: str) -> str:
 
 
 def windows(word: str) -> list[str]:
+    """What is read of a folded word: itself, with signs at its ends if it is short, or overlapping windows."""
+    if 0 < len(word) < 3:
+        return [f"<{word}>"]
     if len(word) <= WORD:
         return [word]
     return [word[i : i + WORD] for i in range(0, len(word) - WORD // 2, WORD // 2)]
 
 
 def _letters(words: list[str]) -> np.ndarray:
-    """Words as rows of numbers 1 to 31, 0 behind the end; a-z have numbers of their own."""
+    """Words as rows of code points, 0 behind the end."""
     width = max(max(map(len, words), default=0), 3)
-    raw = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), dtype="<u4").reshape(-1, width)
-    latin = (raw >= 97) & (raw <= 122)
-    return np.where(raw == 0, 0, np.where(latin, raw - 96, 27 + raw % 5)).astype(np.int32)
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), dtype="<u4").reshape(-1, width).astype(np.int32)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Kernel of each column of a with that of b (letters by words; b may have a single column).
+def triples(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum over common triples of each column of a with that of b (letters by words; b may have a single column).
 
-    Letters of b are never 0, which fills up columns of a. one and two hold what pairs of first letters, and of first two, before each place count.
+    What fills up columns of b must not be a letter of a. one and two hold what pairs of first
+    letters, and of first two, before each place count.
     """
     one = np.zeros((len(b), a.shape[1]), dtype=np.float32)
     two, three = one.copy(), np.zeros(a.shape[1], dtype=np.float32)
@@ -103,45 +115,50 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return three
 
 
+def _own(a: np.ndarray) -> np.ndarray:
+    return np.maximum(triples(a, np.where(a > 0, a, -1)), 1e-9)
+
+
 class Kernel:
-    """Kernel values of words against landmarks, relative to each landmark with itself."""
+    """Kernel values of words with landmarks, and the inverse root of the landmarks' own matrix."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         letters = _letters(landmarks)
         self.letters = [r[r > 0] for r in letters]
-        self.counts = np.stack([np.bincount(r, minlength=32) for r in self.letters]).astype(np.float32)
-        self.own = np.array([max(float(_common(r[:, None], r[:, None])[0]), 1e-9) for r in self.letters])
-        # A word may lack a quarter of a landmark's letters, but one at least: without more, little is left of the triples.
+        self.alphabet = np.unique(letters[letters > 0])
+        self.counts = np.stack([(r[:, None] == self.alphabet).sum(axis=0) for r in self.letters]).astype(np.float32)
         self.need = np.array([len(r) - max(1, len(r) // 4) for r in self.letters])
-        gram = np.stack([_common(letters.T, r[:, None]) for r in self.letters])
-        scale = np.sqrt(np.outer(self.own, self.own))
-        value, vector = np.linalg.eigh((gram / scale) ** POWER + 1e-3 * np.eye(len(landmarks)))
-        self.root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+        self.own = _own(letters.T)
+        gram = np.stack([self._value(letters.T, self.own, k) for k in range(len(landmarks))])
+        self.diagonal = gram.diagonal().copy()
+        value, vector = np.linalg.eigh((gram + gram.T) / 2 + RIDGE * np.diag(self.diagonal))
+        self.root = vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T
+
+    def _value(self, words: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        both, sums = own * self.own[k], triples(words, self.letters[k][:, None])
+        return sums / both**SCALE * (1 + SHARP * (sums / np.sqrt(both)) ** SHARP_POWER)
 
     def pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word, landmark and raised value of all pairs of FLOOR or more; words are folded, of at most WORD letters."""
+        """Word, landmark and value of all pairs of FLOOR or more, by word; words are what windows() gives."""
         out = []
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for lo in range(0, len(order), 16384):
             at = np.array(order[lo : lo + 16384])
             a = _letters([words[i] for i in at])
-            has = np.zeros((len(at), 32), dtype=np.float32)
-            has[np.arange(len(at))[:, None], a] = 1
-            enough = has @ self.counts.T >= self.need
-            a = np.ascontiguousarray(a.T.astype(np.int8))
+            place = np.searchsorted(self.alphabet, a)
+            known = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == a
+            has = np.zeros((len(at), len(self.alphabet) + 1), dtype=np.float32)
+            has[np.arange(len(at))[:, None], np.where(known, place, len(self.alphabet))] = 1
+            enough = has[:, :-1] @ self.counts.T >= self.need
+            some = np.flatnonzero(enough.any(axis=1))
+            at, a, enough = at[some], np.ascontiguousarray(a[some].T), enough[some]
+            own = _own(a) if len(some) else np.zeros(0)
             for k in np.flatnonzero(enough.any(axis=0)):
                 near = np.flatnonzero(enough[:, k])
-                letters, some = self.letters[k].astype(np.int8), a[:, near]
-                got = _common(some, letters[:, None]) / self.own[k]
-                high = np.flatnonzero(got >= FLOOR)
-                if len(high):
-                    some = some[:, high]
-                    some = np.where(np.isin(some, letters), some, 0)
-                    got = got[high] / np.sqrt(np.maximum(1, _common(some, np.where(some > 0, some, -1)) / self.own[k]))
-                    kept = got >= FLOOR
-                    rows = at[near[high[kept]]]
-                    out.append((rows, np.full(len(rows), k), np.minimum(got[kept], 1) ** POWER))
+                got = self._value(a[:, near], own[near], k)
+                high = got >= FLOOR
+                out.append((at[near[high]], np.full(high.sum(), k), got[high]))
         if not out:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
         rows, marks, values = (np.concatenate(x) for x in zip(*out))
@@ -149,78 +166,103 @@ class Kernel:
         return rows[order], marks[order], values[order].astype(np.float32)
 
 
+def words_of(text: str | None) -> set[str]:
+    """The words of a text, and runs of single signs as words too."""
+    words = set(text.split()) if text else set()
+    if text and (runs := _SINGLES.findall(text)):
+        words |= {r.replace(" ", "") for r in runs}
+    return words
+
+
 class Reader:
-    """Features of texts: the largest kernel value of any word for each landmark."""
+    """Kernel values of the words of texts, remembered."""
 
     def __init__(self, kernel: Kernel, cache_words: int = CACHE_WORDS):
         self.kernel, self.limit = kernel, cache_words
         self._restart()
 
     def _restart(self) -> None:
-        self.rows: dict[str, tuple[int, int] | None] = {}
+        self.of: dict[str, tuple[int, ...]] = {}  # what is read of a word and is like some landmark
+        self.first = np.zeros(1, dtype=np.int64)
         self.marks, self.values = np.zeros(0, np.int16), np.zeros(0, np.float32)
 
     def _learn(self, words: list[str]) -> None:
         parts = {w: windows(fold(w)) for w in words}
-        flat = sorted({p for ps in parts.values() for p in ps if len(p) >= 3})
+        flat = sorted({p for ps in parts.values() for p in ps if p})
         rows, marks, values = self.kernel.pairs(flat)
-        start = np.searchsorted(rows, np.arange(len(flat) + 1))
-        place = {flat[i]: (int(start[i]), int(start[i + 1])) for i in np.flatnonzero(np.diff(start))}
-        base, new, size = len(self.marks), [], 0
+        alike, count = np.unique(rows, return_counts=True)
+        place = {flat[i]: len(self.first) - 1 + k for k, i in enumerate(alike)}
         for w, ps in parts.items():
-            found = [place[p] for p in ps if p in place]
-            if found:
-                n = sum(hi - lo for lo, hi in found)
-                self.rows[w] = (base + size, base + size + n)
-                new += found
-                size += n
-            else:
-                self.rows[w] = None
-        if new:
-            at = np.concatenate([np.arange(lo, hi) for lo, hi in new])
-            self.marks = np.concatenate([self.marks, marks[at].astype(np.int16)])
-            self.values = np.concatenate([self.values, values[at]])
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.kernel.landmarks)), dtype=np.float32)
-        lists = []
-        seen: set[str] = set()
-        for t in texts:
-            words = t.split() if t else []
-            if t and (runs := _SINGLES.findall(t)):
-                words += [r.replace(" ", "") for r in runs]
-            lists.append(words := set(words))
-            seen |= words
-        if len(self.rows) >= self.limit:
+            self.of[w] = tuple(place[p] for p in ps if p in place)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count)])
+        self.marks, self.values = np.concatenate([self.marks, marks.astype(np.int16)]), np.concatenate([self.values, values])
+
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Which text, ascending, and which word, for every word of the texts that is like some landmark."""
+        lists = [words_of(t) for t in texts]
+        if len(self.of) >= self.limit:
             self._restart()
-        self._learn([w for w in seen if w not in self.rows])
-        for i, words in enumerate(lists):
-            found = np.array([r for r in map(self.rows.__getitem__, words) if r], dtype=np.int64)
-            if len(found):
-                n = found[:, 1] - found[:, 0]
-                at = np.arange(n.sum()) + np.repeat(found[:, 0] - (np.cumsum(n) - n), n)
-                np.maximum.at(out[i], self.marks[at], self.values[at])
+        self._learn(sorted(w for w in set().union(*lists) if w not in self.of))
+        found = [sorted({i for w in ws for i in self.of[w]}) for ws in lists]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        return owner, np.array([i for x in found for i in x], dtype=np.int64)
+
+    def _spread(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values of each word, and how many each has."""
+        n = self.first[word + 1] - self.first[word]
+        return np.arange(n.sum()) + np.repeat(self.first[word] - (np.cumsum(n) - n), n), n
+
+    def pooled(self, texts: int, owner: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The largest kernel value of each text's words for each landmark."""
+        out = np.zeros((texts, len(self.kernel.landmarks)), dtype=np.float32)
+        at, n = self._spread(word)
+        np.maximum.at(out, (np.repeat(owner, n), self.marks[at]), self.values[at])
         return out
 
+    def margins(self, word: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        at, n = self._spread(word)
+        return np.bincount(np.repeat(np.arange(len(word)), n), self.values[at] * weight[self.marks[at]], len(word))
+
 
 class Model:
-    def __init__(self, kernel: Kernel | None, weight: np.ndarray, bias: float, slope: float, shift: float):
-        self.kernel, self.weight, self.bias, self.slope, self.shift = kernel, weight, bias, slope, shift
+    """Weights of the landmarks for words and for texts, and the curve from both margins to a score."""
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        margin = features @ self.weight + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+    #: Bounds of the margins of the highest word and of the text.
+    WORD, TEXT = (-1.0, 1.5), (-2.0, 2.0)
+
+    def __init__(self, kernel: Kernel | None, word: np.ndarray, text: np.ndarray, bias: float, curve: np.ndarray):
+        self.kernel, self.word, self.text, self.bias, self.curve = kernel, word, text, bias, curve
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "reader"}
+
+    def margins(self, reader: Reader, n: int, owner: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Two margins of each text; that of a text without likeness is -1 by its words."""
+        top = np.zeros(n)
+        np.maximum.at(top, owner, reader.margins(word, self.word))
+        text = reader.pooled(n, owner, word) @ self.text + self.bias
+        return np.stack([np.clip(top - 1, *self.WORD), np.clip(text, *self.TEXT)], axis=1)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        both = np.zeros((len(texts), 2))
+        if self.kernel is not None:
+            if not hasattr(self, "reader"):
+                self.reader = Reader(self.kernel)
+            both = self.margins(self.reader, len(texts), *self.reader.words(texts))
+        return 1 / (1 + np.exp(-np.clip(both @ self.curve[:2] + self.curve[2], -50, 50)))
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, ordinary: int = ORDINARY) -> tuple[list[str], list[str]]:
-    """Words and beginnings of words that tell toxic rows best, then ordinary words of the commonest."""
+    """Words and beginnings of words that tell toxic rows best, then ordinary words that begin as they do, or the commonest."""
     # Copies of a text are no evidence of their own.
     single = list(dict.fromkeys(zip(texts, toxic.tolist())))
     texts, toxic = [t for t, _ in single], np.array([y for _, y in single], dtype=np.int64)
     seen: dict[str, list[int]] = {}
+    whole: Counter = Counter()
     for i, t in enumerate(texts):
-        words = {p for w in set((t or "").split()) for p in windows(fold(w))}
-        for p in {w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | {w for w in words if len(w) >= 3}:
+        words = {p for w in words_of(t) for p in windows(fold(w)) if p}
+        whole.update(words)
+        for p in {w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | words:
             seen.setdefault(p, [0, 0])[int(toxic[i])] += 1
     nt, nn = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     share = nt / (nt + nn)
@@ -244,13 +286,14 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, or
         for _, _, w in ranked:
             if len(chosen) >= most:
                 break
-            # A beginning of, or a longer form of, what was chosen adds nothing.
-            if w not in some or any(w.startswith(c) or c.startswith(w) for c in chosen):
+            # A longer or shorter form of what was chosen adds nothing if it stands in nearly the same rows.
+            if w not in some or any((w.startswith(c) or c.startswith(w)) and 0.8 <= seen[w][1] / seen[c][1] <= 1.25 for c in chosen):
                 continue
             longer = [v for _, _, v in ranked if v.startswith(w) and seen[v][1] >= 0.8 * seen[w][1]]
             chosen.append(max(longer, key=len))
-    common = Counter({w: c[0] for w, c in seen.items() if c[1] / nt < 2 * c[0] / nn and len(w) >= 5})
-    return chosen, [w for w, _ in common.most_common(ordinary) if w not in chosen]
+    beginnings = {c[:4] for c in chosen}
+    plain = [w for w in whole if len(w) >= 4 and seen[w][1] / nt < 2 * seen[w][0] / nn and w not in chosen]
+    return chosen, sorted(plain, key=lambda w: (w[:4] not in beginnings, -seen[w][0], w))[:ordinary]
 
 
 def disguise(text: str, insults: list[str], rng: np.random.Generator) -> str:
@@ -281,7 +324,7 @@ def train(texts: list[str], toxic: np.ndarray, rate: tuple[float, float] = (1.0,
     weight = 1 / np.array(rate)[toxic] if len(toxic) else np.zeros(0)
     if len(set(toxic.tolist())) < 2:
         p = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-9, 1 - 1e-9))
-        return Model(None, np.zeros(0), 0.0, 0.0, float(np.log(p / (1 - p))))
+        return Model(None, np.zeros(0), np.zeros(0), 0.0, np.array([0.0, 0.0, np.log(p / (1 - p))]))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     texts, toxic, weight = [texts[i] for i in order], toxic[order], weight[order]
@@ -293,25 +336,58 @@ def train(texts: list[str], toxic: np.ndarray, rate: tuple[float, float] = (1.0,
         insults, ordinary = choose_landmarks(texts, toxic)
         landmarks = insults + ordinary or ["none"]
     kernel = Kernel(landmarks)
-    reader = Reader(kernel)
-    x = reader.features(texts)
     ones = [i for i in np.flatnonzero(toxic) if texts[i]]
-    masked = reader.features([disguise(texts[i], insults, rng) for i in ones])
-    x = np.concatenate([x, masked]).astype(np.float64) @ kernel.root
+    texts = texts + [disguise(texts[i], insults, rng) for i in ones]
     toxic = np.concatenate([toxic, np.ones(len(ones), toxic.dtype)])
-    part = np.concatenate([np.arange(len(texts)), ones]) < held
+    part = np.concatenate([np.arange(len(weight)), ones]) < held
     # A toxic row and its disguised copy share the row's weight.
     weight = np.concatenate([weight, weight[ones]])
     weight[toxic == 1] /= 2
+    reader = Reader(kernel, len(texts) + (1 << 62))
+    owner, word = reader.words(texts)
     y = 2.0 * toxic - 1
-    w, b = _svm(x[~part], y[~part], rng)
-    margin = x @ w + b
+    by_word = _word_machine(reader, owner, word, y, ~part, len(insults))
+    x = reader.pooled(len(texts), owner, word) @ kernel.root
+    size = max(1e-6, float(np.median(np.linalg.norm(x[toxic == 1], axis=1))))
+    by_text, bias = _text_machine(x[~part] / size, y[~part], rng)
+    model = Model(kernel, by_word.astype(np.float32), (kernel.root @ by_text / size).astype(np.float32), bias, np.zeros(3))
     part = part if held else slice(None)
-    slope, shift = _logistic(margin[part], toxic[part], weight[part])
-    return Model(kernel, (kernel.root @ w).astype(np.float32), b, slope, shift)
+    model.curve = _logistic(model.margins(reader, len(texts), owner, word)[part], toxic[part], weight[part])
+    return model
+
 
+def _word_machine(reader: Reader, owner: np.ndarray, word: np.ndarray, y: np.ndarray, used: np.ndarray, insults: int, cost: float = 1e-5, steps: int = 300) -> np.ndarray:
+    """Weights of the landmarks by the squared hinge loss of each text's highest word, and a small square penalty.
 
-def _svm(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, cost: float = 1e-4, epochs: int = 40) -> tuple[np.ndarray, float]:
+    The margin is that word's less 1, so that a text without any likeness is at -1. Steps are
+    full gradients in the Nystrom features, scaled by their running squares.
+    """
+    root, n = reader.kernel.root, len(reader.first) - 1
+    rows = np.repeat(np.arange(n), np.diff(reader.first))
+    each = np.where(y > 0, 0.5 / max(1, (used & (y > 0)).sum()), 0.5 / max(1, (used & (y < 0)).sum())) * used
+    # The last word, of margin 0, is in every text.
+    owner, word = np.concatenate([owner, np.arange(len(y))]), np.concatenate([word, np.full(len(y), n)])
+    order = np.argsort(owner, kind="stable")
+    owner, word = owner[order], word[order]
+    starts = np.searchsorted(owner, np.arange(len(y)))
+    u = np.linalg.solve(root, (np.arange(len(root)) < insults) * 2.0 / reader.kernel.diagonal)
+    mean, square, total = np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u))
+    for step in range(steps):
+        weight = root @ u
+        margin = np.append(np.bincount(rows, reader.values * weight[reader.marks], n), 0.0)[word]
+        top = np.maximum.reduceat(margin, starts)
+        at = np.flatnonzero(margin == top[owner])
+        best = word[at[np.searchsorted(owner[at], np.arange(len(y)))]]
+        push = np.bincount(best, 2 * each * y * np.maximum(0.0, 1 - y * (top - 1)), n + 1)[:-1]
+        grad = 2 * cost * u - root @ np.bincount(reader.marks, reader.values * push[rows], len(root))
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        u = u - 0.1 * (1 - step / steps) * mean / (1 - 0.9 ** (step + 1)) / (np.sqrt(square / (1 - 0.99 ** (step + 1))) + 1e-6)
+        if step >= steps - 50:
+            total += u / 50
+    return root @ total
+
+
+def _text_machine(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, cost: float = 1e-4, epochs: int = 40) -> tuple[np.ndarray, float]:
     """Hinge loss and a small square penalty, by averaged stochastic subgradient steps in batches."""
     each = np.where(y > 0, len(y) / 2 / max(1, (y > 0).sum()), len(y) / 2 / max(1, (y < 0).sum()))
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -330,20 +406,19 @@ def _svm(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, cost: float = 1
     return mean[:-1], float(mean[-1])
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a weighted logistic curve, by Newton steps with a small penalty."""
-    z = np.stack([margin, np.ones(len(margin))], axis=1)
-    beta = np.array([1.0, 0.0])
+def _logistic(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes and shift of a weighted logistic curve, by Newton steps with a small penalty."""
+    z = np.hstack([margins, np.ones((len(margins), 1))])
+    beta, penalty = np.array([1.0, 1.0, 0.0]), np.array([0.05, 0.05, 1e-6])
     weight = weight / weight.mean()
-    for _ in range(50):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        grad = z.T @ (weight * (p - y)) + np.array([0.05, 0]) * beta
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([0.05, 1e-6])
-        step = np.linalg.solve(hess, grad)
+        grad = z.T @ (weight * (p - y)) + penalty * [1, 1, 0] * beta
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty), grad)
         beta = beta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(beta[0], 1e-3)), float(beta[1])
+    return np.append(np.maximum(beta[:2], 0.0), beta[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
@@ -369,11 +444,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        reader = Reader(m.kernel) if m.kernel else None
         for text in batches:
-            texts = [None if t is None or t != t else t for t in text]
-            x = reader.features(texts) if reader else np.zeros((len(texts), 0), dtype=np.float32)
-            yield pd.Series(m.score(x).astype(np.float64))
+            yield pd.Series(m.score([None if t is None or t != t else t for t in text]).astype(np.float64))
 
     out = docs.select("doc_id", judge("text").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
