@@ -80,6 +80,13 @@ def test_near_duplicates(docs, none):
     assert neardup.groups(none, 3, 85).count() == 0
 
 
+def test_near_duplicates_where_texts_share_an_id(spark):
+    other = BASE.replace("tok1 ", "new ")
+    df = spark.createDataFrame([(5, BASE), (5, "words of its own here"), (3, other), (5, BASE), (4, "words of its own here"), (None, BASE)], "doc_id long, text string")
+    got = rows(neardup.groups(df, 3, 85), "doc_id", "component_id", "kept")
+    assert got == sorted([(5, 3, False), (5, 4, False), (3, 3, True), (5, 3, False), (4, 4, True), (None, None, True)], key=repr)
+
+
 def test_near_duplicates_of_a_crowd(spark):
     """Variants of one text, some only reachable through others, against all pairs."""
     rng = np.random.default_rng(7)
@@ -248,3 +255,28 @@ def test_pipeline(spark):
     items = [set(zip(*[w[i:] for i in range(8)])) for w in (decontam.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())]
     leaked = {d for d in kept if any(len(set(zip(*[decontam.words_of(texts[d])[i:] for i in range(8)])) & g) > 0.7 * len(g) for g in items)}
     assert ids == kept - leaked
+
+
+def test_pipeline_stages_judge_each_row_by_its_own_text(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = [f"term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    item, base, alone = say(30), say(80), say(60)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{say(40)} {item} {say(40)}"
+    table = [
+        (None, leak, "a"), (7, leak, "b"), (7, alone, "c"), (8, base, "d"), (9, base + " more", "e"), (None, base, "f"), (10, say(50), "g"), (10, say(50), "g"),
+        (11, None, "h"), (12, "", "i"), (None, None, "j"), (13, alone, "k"), (10, "x y z", "l"), (10, "x y z", "m"),
+    ]
+    schema = "doc_id long, text string, lang string, _row_key string, length string, n long"
+    docs = spark.createDataFrame([(i, t, "en", k, k, n) for n, (i, t, k) in enumerate(table)], schema).repartition(3)
+    once = rows(corpus_pipeline.near_dedup(spark, docs, str(tmp_path)), "doc_id", "length")
+    assert docs.columns == corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).columns
+    assert sorted(k for _, k in once) == list("bcdgghijl")
+    clean = rows(corpus_pipeline.decontaminate(spark, docs, str(tmp_path)), "length")
+    assert sorted(k for k, in clean) == list("cdefgghijklm")
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -28,18 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers, by rows and by bytes."""
+    """Bound the Arrow batches that go to Python workers, by rows and by bytes.
+
+    The options hold for the session from then on, since a result is computed when it is
+    used; one that is set lower already stays.
+    """
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
     ):
-        spark.conf.set(key, str(value))
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= value:
+            spark.conf.set(key, str(value))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (a local session, tests) a folder of our own is used.
+    Only where that is unset and the master is local (tests) a folder of our own is used.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
@@ -51,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

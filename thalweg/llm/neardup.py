@@ -19,8 +19,8 @@ With 20 bands of 4 rows a pair of similarity 0.85 is missed with chance 4e-7.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of
 fewer words than a shingle is one shingle; a null doc_id is never compared, has a null
-component and is kept; rows that share a doc_id are one document; repeated texts are one
-class; other columns are not read; an empty table gives an empty result.
+component and is kept; equal rows are one document, rows that share a doc_id but not their
+text are documents of their own under that id; repeated texts are one class; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -213,19 +213,38 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     k: words in a shingle. percent: linked if 100 * intersection >= percent * union.
     """
     seen = cut(features(docs, k))
-    classes = seen.where("fp_hi is not null").groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("doc_id"))
+    several = seen.where("fp_hi is not null").groupBy("doc_id").agg(F.min("fp_hi").alias("lo"), F.max("fp_hi").alias("hi")).where("lo < hi")
+    if not several.isEmpty():
+        return _by_row(docs, k, percent)
+    # Equal sets have equal sizes and bands, so a class takes those of any of its rows; copies are united before they are sent.
+    classes = seen.where("fp_hi is not null").groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes)
-    reps = seen.join(classes, ["fp_hi", "fp_lo", "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
+    reps = classes.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("h"))
     buckets = reps.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     members = cut(reps.join(buckets, "h"))
     labels = _linked(members, docs, k, percent)
-    named = classes.withColumnRenamed("doc_id", "id").join(labels, "id", "left")
+    named = classes.select("fp_hi", "fp_lo", F.col("doc_id").alias("id")).join(labels, "id", "left")
     named = named.select("fp_hi", "fp_lo", F.coalesce("label", "id").alias("_component"))
     out = seen.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(named, ["fp_hi", "fp_lo"], "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def row_key(docs: DataFrame) -> DataFrame:
+    """docs with doc_id replaced by a number of the row's id and text; a null id stays null."""
+    return docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+
+
+def _by_row(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """groups() where different texts share an id: each is a document of its own."""
+    own = docs.select(F.col("doc_id").alias("own"), F.xxhash64("doc_id", "text").alias("doc_id")).where("own is not null").distinct()
+    found = groups(row_key(docs), k, percent)
+    named = found.join(own, "doc_id", "left")
+    least = named.where("own is not null").groupBy("component_id").agg(F.min("own").alias("least"))
+    out = named.join(least, "component_id", "left").select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def _candidates(left: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs, hub first, whose sizes allow the similarity."""
     sized = left.where((F.col("a") != F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
