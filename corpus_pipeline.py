@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 the columns of documents. run() writes each stage's result as Parquet in the shared folder
 and reads it again as the next one's input.
 
-Cases: a null text is rejected by the language stage, since it has no letter; rows that
-share a doc_id are one document for the near-duplicate stage, which keeps one row of them;
-rows with a null doc_id are never compared and stay; an empty table goes through.
+Cases: a null text is rejected by the language stage, since it has no letter; every row is
+kept or dropped by its own text, also where rows share a doc_id or have none; of equal rows
+one stays, and of a group the row of the smallest id, rows without an id coming last; an
+empty table goes through; columns beside those of documents are carried along.
 """
 
 from __future__ import annotations
@@ -30,21 +31,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col("rejected")).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row by its id and text, and that column's name. Equal rows share it."""
+    name = "_row_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id."""
-    found = neardup.groups(docs, SHINGLE, PERCENT)
-    gone = cut(found.where(~F.col("kept")).select("doc_id").distinct())
-    # Rows that share an id count as one document; null ids are documents of their own.
-    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = docs.join(gone.unionByName(repeated), "doc_id", "left_anti")
-    first = docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(first.select(*docs.columns))
+    keyed, key = _keyed(docs)
+    found = neardup.groups(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT).select("doc_id", "component_id").distinct()
+    ids = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id")).groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("copies"))  # united before they are sent
+    rows = cut(ids.join(found.withColumnRenamed("doc_id", "k"), "k"))
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("f"))
+    gone = cut(rows.join(first.select(F.col("f.k").alias("k")), "k", "left_anti").select("k"))
+    repeated = cut(rows.where("copies > 1").join(gone, "k", "left_anti").select("k"))
+    once = keyed.join(gone.unionByName(repeated).withColumnRenamed("k", key), key, "left_anti")
+    # Equal rows may differ in columns beside id and text: the smallest stays.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct(F.lit(1), *others)).alias(key)
+    one = keyed.join(repeated.withColumnRenamed("k", key), key, "left_semi").drop(key).groupBy("doc_id", "text").agg(least)
+    kept = [F.col(f"{key}.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns]
+    return once.select(*docs.columns).unionByName(one.select(*kept))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(cut(found.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    found = decontam.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(cut(found.select(F.col("doc_id").alias(key)).distinct()), key, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
