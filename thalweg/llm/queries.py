@@ -93,4 +93,4 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_near_dedup": neardup.ORACLE, "op7_exact_topk": topk.ORACLE, "op9_sharding": sharding.ORACLE}

@@ -35,10 +35,6 @@ OVERFULL = 3
 ROUNDS = 4
 
 
-def _hex(c: Column) -> Column:
-    return F.lpad(F.hex(c), 16, "0")
-
-
 def records(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the order key of each record."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -46,7 +42,7 @@ def records(docs: DataFrame) -> DataFrame:
         "doc_id",
         (F.octet_length(raw).cast("long") + OVERHEAD).alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.concat(_hex(F.xxhash64("text")), _hex(F.xxhash64("doc_id"))).alias("_key"),
+        F.concat(F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")), F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))).alias("_key"),
     )
 
 
@@ -190,3 +186,29 @@ def write_shards(docs: DataFrame, shards: int, path: str, law: str = "bytes") ->
         F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("_crc") == F.col("text_crc32")) & (F.col("_size") == F.col("size")) & (F.col("d._copy") == F.col("p._copy")),
     )
     joined.select("d.doc_id", "d.text", "p.shard", "p.slot").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+#: Law "bytes" for 40 shards in SQL. crc32 is folded over the bytes, with its table made by the usual eight steps.
+ORACLE = """
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS l FROM steps WHERE k = 8
+), records AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]),
+                         lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32,
+         concat(coalesce(md5(text), ''), coalesce(md5(CAST(doc_id AS VARCHAR)), '')) AS k
+  FROM documents, crc
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY k, doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total
+  FROM records
+), sharded AS (
+  SELECT *, CAST(least(floor((before + size // 2) * (CAST(40 AS DOUBLE) / total)), 39) AS INTEGER) AS shard FROM placed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY k, doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded
+"""
