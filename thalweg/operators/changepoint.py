@@ -3,13 +3,14 @@
 Breaks minimise the sum of squared deviations from segment means over all features plus a
 penalty for each break, subject to a least segment size, among the multiples of `jump`.
 Method: the optimal partitioning recursion (Jackson and others, 2005; Killick, Fearnhead and
-Eckley, 2012), with segment costs from prefix sums that all penalties share. Nothing is
-pruned, so the minimum is exact on the grid; among equal costs the earliest start wins.
+Eckley, 2012), with segment costs from prefix sums that all penalties share, for many
+profiles of one length in each step. Nothing is pruned, so the minimum is exact on the grid;
+among equal costs the earliest start wins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,60 +20,99 @@ from pyspark.sql import functions as F
 from ..schemas import RUNS
 
 
-def solve(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int = 1) -> list[list[int]]:
-    """Break positions (first index of each later segment) for every penalty; none if two segments do not fit."""
-    n = len(x)
+#: Numbers that one step of the recursion works on at once, over all profiles solved together.
+STEP_NUMBERS = 1 << 21
+
+
+def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int = 1) -> list[list[list[int]]]:
+    """For each of many profiles of one length (profiles by points by features), what solve() gives."""
+    many, n = x.shape[:2]
     if n < 2 * min_size or n < 2:
-        return [[] for _ in penalties]
-    run = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
-    square = np.concatenate([[0.0], np.cumsum((x * x).sum(axis=1))])
+        return [[[] for _ in penalties] for _ in range(many)]
+    run = np.concatenate([np.zeros((many, 1, x.shape[2])), np.cumsum(x, axis=1)], axis=1)
+    square = np.concatenate([np.zeros((many, 1)), np.cumsum((x * x).sum(axis=2), axis=1)], axis=1)
     grid = np.unique(np.append(np.arange(0, n, jump), n))
+    run, square = run[:, grid], square[:, grid]
     pen = np.asarray(penalties, dtype=float)
-    best = np.full((len(grid), len(pen)), np.inf)
-    best[0] = -pen
-    came = np.zeros((len(grid), len(pen)), dtype=int)
+    best = np.full((many, len(pen), len(grid)), np.inf)
+    best[:, :, 0] = -pen
+    came = np.zeros((len(grid), many, len(pen)), dtype=np.int32)
     for k in range(1, len(grid)):
-        end = grid[k]
-        last = int(np.searchsorted(grid, end - min_size, side="right"))  # starts far enough back
+        last = int(np.searchsorted(grid, grid[k] - min_size, side="right"))  # starts far enough back
         if not last:
             continue
-        starts = grid[:last]
-        cost = square[end] - square[starts] - ((run[end] - run[starts]) ** 2).sum(axis=1) / (end - starts)
-        total = best[:last] + cost[:, None] + pen
-        came[k] = np.argmin(total, axis=0)
-        best[k] = total[came[k], np.arange(len(pen))]
+        apart = run[:, k : k + 1] - run[:, :last]
+        cost = square[:, k : k + 1] - square[:, :last] - (apart * apart).sum(axis=2) / (grid[k] - grid[:last])
+        total = best[:, :, :last] + cost[:, None, :]
+        came[k] = total.argmin(axis=2)
+        best[:, :, k] = np.take_along_axis(total, came[k][:, :, None], axis=2)[:, :, 0] + pen
     out = []
-    for p in range(len(pen)):
-        breaks, k = [], len(grid) - 1
-        while k > 0 and np.isfinite(best[k, p]):
-            k = came[k, p]
-            if k:
-                breaks.append(int(grid[k]))
-        out.append(breaks[::-1])
+    for g in range(many):
+        of = []
+        for p in range(len(pen)):
+            breaks, k = [], len(grid) - 1
+            while k > 0 and np.isfinite(best[g, p, k]):
+                k = int(came[k, g, p])
+                if k:
+                    breaks.append(int(grid[k]))
+            of.append(breaks[::-1])
+        out.append(of)
     return out
 
 
+def solve(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int = 1) -> list[list[int]]:
+    """Break positions (first index of each later segment) for every penalty; none if two segments do not fit."""
+    return solve_all(np.asarray(x, dtype=float)[None], penalties, min_size, jump)[0]
+
+
 def sweep(features: DataFrame, columns: Sequence[str], penalties: Sequence[float], jump: int = 1, min_size: int | None = None) -> DataFrame:
     """A row for each path, window and penalty (see RUNS), from standardised features without missing values.
 
-    The least segment is the window's number of points unless it is given.
+    The least segment is the window's number of points unless it is given. Paths are dealt to
+    partitions and read in order, many in one batch; profiles of one length are solved together.
     """
     columns, penalties = list(columns), [float(p) for p in penalties]
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
+        mip, window = rows["mip"].to_numpy(), rows["window_m"].to_numpy()
+        starts = np.flatnonzero(np.append(True, (np.diff(mip) != 0) | (np.diff(window) != 0)))
+        sizes = np.diff(np.append(starts, len(rows)))
         x, dist = rows[columns].to_numpy(dtype=float), rows["dist_m"].to_numpy()
-        least = max(int(min_size or rows["window_pts"].iloc[0]), 1)
-        status = "ok" if len(x) >= 2 * least else "too_short"
-        breaks = solve(x, penalties, least, jump)
+        least = np.maximum(rows["window_pts"].to_numpy()[starts] if min_size is None else np.full(len(starts), int(min_size)), 1)
+        breaks: list = [None] * len(starts)
+        for n, m in sorted(set(zip(sizes.tolist(), least.tolist()))):
+            alike = np.flatnonzero((sizes == n) & (least == m))
+            step = max(1, STEP_NUMBERS // (n * max(len(penalties), len(columns), 1)))
+            for lo in range(0, len(alike), step):
+                some = alike[lo : lo + step]
+                for g, found in zip(some, solve_all(x[starts[some, None] + np.arange(n)], penalties, m, jump)):
+                    breaks[g] = found
+        each = len(penalties)
         return pd.DataFrame(
             {
-                "mip": rows["mip"].iloc[0], "window_m": rows["window_m"].iloc[0], "penalty": penalties, "n_points": len(x), "min_size": least,
-                "break_index": breaks, "break_m": [[float(dist[b]) for b in bs] for bs in breaks], "status": status,
+                "mip": np.repeat(mip[starts], each), "window_m": np.repeat(window[starts], each), "penalty": penalties * len(starts),
+                "n_points": np.repeat(sizes, each), "min_size": np.repeat(least, each), "break_index": [b for of in breaks for b in of],
+                "break_m": [dist[lo + np.array(b, dtype=int)].tolist() for lo, of in zip(starts, breaks) for b in of],
+                "status": np.repeat(np.where(sizes >= 2 * least, "ok", "too_short"), each),
             }
         )
 
-    return features.select("mip", "window_m", "pos", "dist_m", "window_pts", *columns).groupBy("mip", "window_m").applyInPandas(fit, RUNS)
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []  # the last path of a batch may go on in the next
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["mip"].iloc[-1]
+            at = int(np.searchsorted(batch["mip"].to_numpy(), last))
+            if at or (kept and kept[-1]["mip"].iloc[-1] != last):
+                yield fit(pd.concat([*kept, batch.iloc[:at]], ignore_index=True))
+                kept = []
+            kept.append(batch.iloc[at:])
+        if kept:
+            yield fit(pd.concat(kept, ignore_index=True))
+
+    rows = features.select("mip", "window_m", "pos", "dist_m", "window_pts", *columns)
+    return rows.repartition("mip").sortWithinPartitions("mip", "window_m", "pos").mapInPandas(whole, RUNS)
 
 
 def family_runs(runs: DataFrame, plan: DataFrame) -> DataFrame:
