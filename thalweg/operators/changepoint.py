@@ -10,7 +10,7 @@ among equal costs the earliest start wins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -65,6 +65,22 @@ def solve(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int =
     return solve_all(np.asarray(x, dtype=float)[None], penalties, min_size, jump)[0]
 
 
+def by_path(batches: Iterator[pd.DataFrame], use: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """use() on whole paths, many at once, of batches whose rows ascend by mip; the last path of a batch may go on in the next."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch["mip"].iloc[-1]
+        at = int(np.searchsorted(batch["mip"].to_numpy(), last))
+        if at or (kept and kept[-1]["mip"].iloc[-1] != last):
+            yield use(pd.concat([*kept, batch.iloc[:at]], ignore_index=True))
+            kept = []
+        kept.append(batch.iloc[at:])
+    if kept:
+        yield use(pd.concat(kept, ignore_index=True))
+
+
 def sweep(features: DataFrame, columns: Sequence[str], penalties: Sequence[float], jump: int = 1, min_size: int | None = None) -> DataFrame:
     """A row for each path, window and penalty (see RUNS), from standardised features without missing values.
 
@@ -97,22 +113,8 @@ def sweep(features: DataFrame, columns: Sequence[str], penalties: Sequence[float
             }
         )
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []  # the last path of a batch may go on in the next
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = batch["mip"].iloc[-1]
-            at = int(np.searchsorted(batch["mip"].to_numpy(), last))
-            if at or (kept and kept[-1]["mip"].iloc[-1] != last):
-                yield fit(pd.concat([*kept, batch.iloc[:at]], ignore_index=True))
-                kept = []
-            kept.append(batch.iloc[at:])
-        if kept:
-            yield fit(pd.concat(kept, ignore_index=True))
-
     rows = features.select("mip", "window_m", "pos", "dist_m", "window_pts", *columns)
-    return rows.repartition("mip").sortWithinPartitions("mip", "window_m", "pos").mapInPandas(whole, RUNS)
+    return rows.repartition("mip").sortWithinPartitions("mip", "window_m", "pos").mapInPandas(lambda batches: by_path(batches, fit), RUNS)
 
 
 def family_runs(runs: DataFrame, plan: DataFrame) -> DataFrame:

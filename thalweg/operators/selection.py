@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SelectionConfig, Setting
+from .changepoint import by_path
 from .support import chain_clusters
 
 HISTORY = "array<struct<k:int,added_m:double,total_sse:double,improvement:double,relative:double>>"
@@ -117,47 +118,60 @@ def select(features: DataFrame, windows: DataFrame, support: DataFrame, columns:
     """
     columns = list(columns)
     settings = {k: list(v) for k, v in settings.items()}
+    known = ["support_runs", "support_windows", "n_windows_supported", "frequency"]
+    none = F.lit(None).cast("double")
     rows = windows.select("mip", "family", "window_m").distinct().join(features.select("mip", "window_m", "pos", "dist_m", *columns), ["mip", "window_m"])
-    found = support.select(F.col("mip").alias("c_mip"), F.col("family").alias("c_family"), "center_m", "support_runs", "support_windows", "n_windows_supported", "frequency")
-
-    def choose(data: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        names = "mip family setting min_windows min_windows_effective min_support_runs stop_relative status n_candidates n_breaks breaks_m base_sse final_sse history".split()
-        if not len(data):
-            return pd.DataFrame(columns=names)
-        mip, family = int(data["mip"].iloc[0]), str(data["family"].iloc[0])
-        tables, dist = [], None
-        for _, t in sorted(data.groupby("window_m"), key=lambda x: x[0]):
-            t = t.sort_values("pos", kind="stable")
-            dist = t["dist_m"].to_numpy(dtype=float)
-            tables.append(t[columns].to_numpy(dtype=float))
+    # Points and candidates of a path stand in one order, points first, so that a batch holds many paths.
+    rows = rows.select("mip", "family", F.lit(0).alias("kind"), "window_m", "pos", "dist_m", *columns, *[none.alias(k) for k in known])
+    points = support.select("mip", "family", F.lit(1).alias("kind"), none.alias("window_m"), F.lit(0).alias("pos"), F.col("center_m").alias("dist_m"), *[none.alias(c) for c in columns], *[F.col(k).cast("double").alias(k) for k in known])
+
+    def choose(mip: int, family: str, window: np.ndarray, dist: np.ndarray, x: np.ndarray, center: np.ndarray, s: np.ndarray) -> list[tuple]:
+        cuts = np.flatnonzero(np.append(True, np.diff(window) != 0)).tolist()
+        tables = [x[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(x)])]
+        dist = dist[cuts[-1] :]
         useful = np.max([t.std(axis=0) for t in tables], axis=0) > 1e-12
         profile = Profile(dist, [t[:, useful] for t in tables])
         done: dict[tuple[float, int], tuple] = {}
         out = []
-        for s in settings.get(family, []):
-            effective = min(s.min_windows, len(tables))
-            key = (s.min_support_runs, effective)
+        for setting in settings.get(family, []):
+            effective = min(setting.min_windows, len(tables))
+            key = (setting.min_support_runs, effective)
             if key not in done:
-                ok = (points["support_runs"] >= s.min_support_runs) & (points["n_windows_supported"] >= effective) & (points["support_windows"] >= config.min_support_windows)
+                ok = (s[:, 0] >= setting.min_support_runs) & (s[:, 2] >= effective) & (s[:, 1] >= config.min_support_windows)
                 if config.min_frequency is not None:
-                    ok &= points["frequency"] >= config.min_frequency
-                c = np.unique(np.round(points.loc[ok, "center_m"].to_numpy(dtype=float), 6))
+                    ok &= s[:, 3] >= config.min_frequency
+                c = np.unique(np.round(center[ok], 6))
                 c = c[(c > dist[0]) & (c < dist[-1])]
                 done[key] = (c, *(greedy(profile, c, config) if len(c) and useful.any() else (None, [])))
             c, base, made = done[key]
             status = "constant_features" if not useful.any() else "no_candidates" if not len(c) else "ok"
-            k = prefix(base, made, s.stop_relative, config.stop_absolute) if status == "ok" else 0
+            k = prefix(base, made, setting.stop_relative, config.stop_absolute) if status == "ok" else 0
             history = [
                 {"k": i + 1, "added_m": m, "total_sse": e, "improvement": g, "relative": g / base if base > 0 else 0.0}
                 for i, (m, e, g) in enumerate(made[:k])
             ]
             out.append(
-                (mip, family, s.label, s.min_windows, effective, s.min_support_runs, s.stop_relative, status, len(c), k, sorted(m for m, _, _ in made[:k]),
+                (mip, family, setting.label, setting.min_windows, effective, setting.min_support_runs, setting.stop_relative, status, len(c), k, sorted(m for m, _, _ in made[:k]),
                  base, None if base is None else (made[k - 1][1] if k else base), history)
             )
+        return out
+
+    names = [f.split()[0] for f in SELECTIONS.split(f", history {HISTORY}")[0].split(", ")] + ["history"]
+
+    def each(batch: pd.DataFrame) -> pd.DataFrame:
+        mip, family, kind = batch["mip"].to_numpy(), batch["family"].to_numpy(), batch["kind"].to_numpy()
+        window, dist = batch["window_m"].to_numpy(dtype=float), batch["dist_m"].to_numpy(dtype=float)
+        x, s = batch[columns].to_numpy(dtype=float), batch[known].to_numpy(dtype=float)
+        starts = np.flatnonzero(np.append(True, (mip[1:] != mip[:-1]) | (family[1:] != family[:-1]))).tolist()
+        out = []
+        for lo, hi in zip(starts, [*starts[1:], len(batch)]):
+            m = lo + int((kind[lo:hi] == 0).sum())
+            if m > lo:
+                out += choose(int(mip[lo]), str(family[lo]), window[lo:m], dist[lo:m], x[lo:m], dist[m:hi], s[m:hi])
         return pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("mip", "family").cogroup(found.groupBy("c_mip", "c_family")).applyInPandas(choose, SELECTIONS)
+    ordered = rows.unionByName(points).repartition("mip").sortWithinPartitions("mip", "family", "kind", "window_m", "pos")
+    return ordered.mapInPandas(lambda batches: by_path(batches, each), SELECTIONS)
 
 
 def break_rows(selections: DataFrame) -> DataFrame:
