@@ -93,12 +93,68 @@ def test_single_side_reach_and_bad_main_stem():
     assert "source" in graph.enrich(network([(1, True, [], 1.0), (2, True, [], 1.0)]))["status"].iloc[0]
 
 
-def test_simple_paths_and_cycle():
+def test_best_way_and_cycle():
     out = {"a": [("b", 1), ("c", 2)], "b": [("d", 3)], "c": [("d", 4)]}
-    assert sorted(graph.simple_paths(out, "a", "d")) == [[1, 3], [2, 4]]
-    assert len(list(graph.simple_paths(out, "a", "d", limit=1))) == 1
+    assert graph.best_way(out, "a", "d", lambda i: 1.0) == [1, 3] and graph.best_way(out, "a", "d", float) == [2, 4]
+    assert graph.best_way(out, "d", "a", float) is None
     with pytest.raises(ValueError):
-        graph.depth({"a": [("b", 1)], "b": [("a", 2)]})
+        graph.depth({"a": [("b", 1)], "b": [("a", 2)]}, "a")
+
+
+def test_ways_over_reaches_in_either_direction():
+    # Reaches that part at p do not meet head to tail, but both meet the one that comes to p.
+    edges = {1: ("a", "b"), 2: ("b", "c"), 3: ("p", "b"), 4: ("k", "p"), 5: ("p", "z")}
+    assert graph.reach_ways(edges, "a", "z") == ([[1, 2, 3, 4, 5]], False)
+    assert graph.reach_ways({1: ("a", "z")}, "a", "z") == ([[1]], False)
+    many = {k: ("a", "b") for k in range(80)} | {100 + k: ("b", "z") for k in range(80)}
+    assert graph.reach_ways(many, "a", "z", limit=10)[1]
+
+
+def test_parallel_channels_of_a_loop_within_the_corridor():
+    """Main stem of four reaches; beside it a way of three, from which a loop leaves that rejoins the main stem earlier."""
+    rows = network([
+        (1, True, [2, 11], 10.0), (2, True, [3], 10.0), (3, True, [4], 10.0), (4, True, [5], 10.0), (5, True, [], 10.0),
+        (11, False, [12], 4.0), (12, False, [13], 4.0), (13, False, [5], 6.0),
+    ])
+    net = graph.Network(rows.assign(chan_sum=1.0, chan_nodes=1))
+    source, sink = net.edges[2][0], net.edges[4][1]
+    ids = {2, 3, 4, 11, 12, 13}
+    assert graph.most_parallel(net, ids, source, sink) == 2
+    # A third channel of one reach beside 12 stands in its slice only; depth of the sides stays three.
+    rows = pd.concat([rows, network([(14, False, [13], 2.0)])], ignore_index=True)
+    rows.at[5, "rch_id_dn"] = [12, 14]
+    net = graph.Network(rows.assign(chan_sum=1.0, chan_nodes=1))
+    assert graph.most_parallel(net, ids | {14}, source, sink) == 3
+    out = graph.enrich(rows).set_index("reach_id")
+    assert sorted(out.index) == [2, 3, 4] and set(out["k_max"]) == {3} and set(out["l_dominant"]) == {3000.0} and set(out["l_extra"]) == {1000.0}
+    assert out["k_eff"].iloc[0] == 1.0 and out["width_extra"].iloc[0] == pytest.approx(4.0 + 1 / 3 * 2.0)
+
+
+def test_channels_are_averaged_over_nodes():
+    rows = network([(1, True, [2, 4], 10.0), (2, True, [3], 10.0), (3, True, [], 10.0), (4, False, [5], 4.0), (5, False, [3], 4.0)])
+    rows = rows.drop(columns="n_chan").assign(chan_sum=[0.0, 0.0, 0.0, 6.0, 1.0], chan_nodes=[0, 0, 0, 2, 1])
+    assert graph.enrich(rows)["k_eff"].iloc[0] == pytest.approx(7 / 3)
+
+
+def test_smoothing_blends_by_stretch():
+    rng = np.random.default_rng(0)
+    xy = np.stack([np.arange(0, 400.0, 10), rng.normal(0, 5, 40)], axis=1)
+    d = np.arange(40) * 10.0
+    cfg = config.GeometryConfig(smoothing="piecewise", step_m=10.0, blend_m=50.0, sigma_width_fraction=1.0, sigma_min_m=1.0, sigma_max_m=100.0)
+    groups = [(0.0, 200.0, 20.0), (200.0, 220.0, 30.0), (220.0, 390.0, 40.0)]
+    got = geometry.smooth_by_width(xy, d, groups, cfg)
+    total, weight = np.zeros_like(xy), np.zeros(40)
+    for lo, hi, width in groups:  # by hand: the middle stretch blends over half of its 20 m
+        blend = min(50.0, (hi - lo) / 2)
+        at = [i for i in range(40) if lo - blend <= d[i] <= hi + blend]
+        part = geometry.smooth_gaussian(xy[at], width, 10.0)
+        for i, q in zip(at, part):
+            w = 1.0 if lo <= d[i] <= hi else 1 - max(lo - d[i], d[i] - hi) / blend
+            total[i] += w * q
+            weight[i] += w
+    want = total / weight[:, None]
+    want[0], want[-1] = xy[0], xy[-1]
+    assert np.allclose(got, want)
 
 
 def test_circle_and_straight_line():

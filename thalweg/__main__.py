@@ -31,8 +31,7 @@ def main(argv: list[str] | None = None) -> None:
     nodes = profile.semi(readers.normalize_nodes(readers.read_table(spark, a.nodes)), reaches, "reach_id")
     if a.observations:
         nodes = profile.with_heights(nodes, profile.node_heights(readers.read_observations(spark, a.observations, a.continent), reaches))
-    channels = profile.reach_means(nodes).withColumnRenamed("mean_n_channels", "n_chan")
-    added = graph.enrichment(reaches.drop("n_chan").join(channels, "reach_id", "left"))
+    added = graph.enrichment(reaches, nodes.withColumnRenamed("n_channels", "n_chan_mod"))
     main_reaches = profile.mainstem(reaches).select("reach_id", F.col("main_path_id").alias("mip"))
     rich = profile.enrich_nodes(nodes, added).join(main_reaches, "reach_id").withColumn("width", F.col("multi_width")).withColumn("n_channels", F.col("multi_n_chan"))
     paths = profile.order_nodes(rich).persist()

@@ -125,25 +125,30 @@ def width_groups(dist: np.ndarray, width: np.ndarray, length: float, tolerance:
 
 
 def smooth_by_width(xy: np.ndarray, d: np.ndarray, groups: list[tuple[float, float, float]], config: GeometryConfig) -> np.ndarray:
-    """Each stretch smoothed by its own width on a range extended by the blend, and averaged by falling weights."""
+    """Each stretch smoothed by its own width on a range extended by the blend, and averaged by falling weights.
+
+    The blend is half a stretch at most; a stretch of under three points adds nothing.
+    """
     if config.smoothing == "none":
         return xy.copy()
     if config.smoothing == "fixed" or not groups:
         return smooth_gaussian(xy, config.fixed_sigma_m, config.step_m)
     total, weight = np.zeros_like(xy), np.zeros(len(xy))
-    blend = min(5 * config.step_m if config.blend_m is None else config.blend_m, d[-1] / 2)
+    most = 5 * config.step_m if config.blend_m is None else config.blend_m
     for lo, hi, width in groups:
+        if hi <= lo:
+            continue
+        blend = max(0.0, min(most, (hi - lo) / 2))
         sigma = float(np.clip(config.sigma_width_fraction * width, config.sigma_min_m, config.sigma_max_m))
         at = np.flatnonzero((d >= lo - blend) & (d <= hi + blend))
-        if not len(at):
+        if len(at) < 3:
             continue
         part = smooth_gaussian(xy[at], sigma, config.step_m)
         away = np.maximum(np.maximum(lo - d[at], d[at] - hi), 0.0)
         w = np.clip(1 - away / blend, 0, 1) if blend > 0 else np.ones(len(at))
-        w = np.maximum(w, 1e-9)
         total[at] += part * w[:, None]
         weight[at] += w
-    out = np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-12)[:, None], xy)
+    out = np.where(weight[:, None] > 0, total / np.where(weight > 0, weight, 1.0)[:, None], xy)
     out[0], out[-1] = xy[0], xy[-1]
     return out
 

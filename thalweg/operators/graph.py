@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the enumeration of simple paths, and the least extra length in metres that counts.
+#: Bounds of the enumeration of ways over reaches in either direction, and the least extra length in metres that counts.
 CUTOFF, MAX_PATHS, MIN_EXTRA_M = 200, 5000, 10.0
 ENRICHMENT = "mip long, reach_id long, component int, k_max int, k_eff double, k_eff_raw double, width_extra double, l_main double, l_dominant double, l_extra double, status string"
 
@@ -89,6 +89,10 @@ class Network:
         x = self.reach[i].reach_len
         return 1.0 if x is None or x != x or x == 0 else float(x)
 
+    def wide(self, i: int) -> float:
+        x = self.reach[i].width
+        return 1.0 if x is None or x != x or x == 0 else float(x)
+
     def out(self, ids) -> dict[str, list[tuple[str, int]]]:
         found = defaultdict(list)
         for i in sorted(ids):
@@ -155,66 +159,108 @@ def reverse(out: dict[str, list[tuple[str, int]]]) -> dict[str, list[tuple[str,
     return back
 
 
-def simple_paths(out: dict, source: str, sink: str, cutoff: int = CUTOFF, limit: int = MAX_PATHS):
-    """Simple paths as lists of reaches, neighbours by reach id, up to the bounds."""
-    made, stack, path, seen = 0, [iter(out.get(source, ()))], [], [source]
-    while stack and made < limit:
-        step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            seen.pop()
-            if path:
-                path.pop()
-            continue
-        v, i = step
-        if v in seen:
-            continue
-        if v == sink:
-            made += 1
-            yield [*path, i]
-        elif len(path) + 1 < cutoff:
-            path.append(i)
-            seen.append(v)
-            stack.append(iter(out.get(v, ())))
-
-
-def depth(out: dict, weight=lambda i: 1.0) -> dict[str, float]:
-    """Longest weighted distance of each junction from any start; a cycle is an error."""
+def topological(out: dict) -> list[str]:
+    """Junctions in downstream order; a cycle is an error."""
     into = defaultdict(int)
     nodes = set(out)
     for ways in out.values():
         for v, _ in ways:
             into[v] += 1
             nodes.add(v)
-    todo = deque(sorted(n for n in nodes if not into[n]))
-    far, done = dict.fromkeys(nodes, 0.0), 0
+    todo, order = deque(sorted(n for n in nodes if not into[n])), []
     while todo:
-        u = todo.popleft()
-        done += 1
-        for v, i in out.get(u, ()):
-            far[v] = max(far[v], far[u] + weight(i))
+        order.append(todo.popleft())
+        for v, _ in out.get(order[-1], ()):
             into[v] -= 1
             if not into[v]:
                 todo.append(v)
-    if done < len(nodes):
+    if len(order) < len(nodes):
         raise ValueError("the corridor has a cycle")
+    return order
+
+
+def depth(out: dict, source: str, weight=lambda i: 1.0) -> dict[str, float]:
+    """Longest weighted distance of each junction that is reached from the source."""
+    far = {source: 0.0}
+    for u in topological(out):
+        for v, i in out.get(u, ()) if u in far else ():
+            far[v] = max(far.get(v, 0.0), far[u] + weight(i))
     return far
 
 
-def most_parallel(net: Network, ids: set[int], sink: str) -> int:
-    """The largest number of reaches side by side, main reaches stretched to the depth of the side ones."""
-    side = depth(net.out(i for i in ids if not net.main(i)))
-    main = depth(net.out(i for i in ids if net.main(i)))
-    ds, dm = max(side.values(), default=0), max(main.values(), default=0)
-    stretch = ds / dm if ds > 0 and dm > 0 else 1.0
-    between_main = {net.edges[i] for i in ids if net.main(i)}
-    far = depth(net.out(ids), lambda i: stretch if net.edges[i] in between_main else 1.0)
+def best_way(out: dict, source: str, sink: str, score) -> list[int] | None:
+    """The way from source to sink with the greatest sum of scores, of equal ones that of the smaller reach ids; exact, since there is no cycle."""
+    best: dict[str, tuple[float, list[int]]] = {sink: (0.0, [])}
+    for u in reversed(topological(out)):
+        for v, i in out.get(u, ()) if u != sink else ():
+            if v in best:
+                new = (best[v][0] + score(i), [i, *best[v][1]])
+                old = best.get(u)
+                if old is None or new[0] > old[0] or (new[0] == old[0] and new[1] < old[1]):
+                    best[u] = new
+    return best[source][1] if source in best and best[source][1] else None
+
+
+def reach_ways(edges: dict[int, tuple[str, str]], source: str, sink: str, cutoff: int = CUTOFF, limit: int = MAX_PATHS) -> tuple[list[list[int]], bool]:
+    """Simple ways over reaches that meet head to tail, in either direction, from those that leave
+    the source to those that enter the sink; and whether a bound cut them off."""
+    heads, tails = defaultdict(list), defaultdict(list)
+    for i in sorted(edges):
+        tails[edges[i][0]].append(i)
+        heads[edges[i][1]].append(i)
+    ends, found, cut = set(heads[sink]), [], False
+    near = {i: sorted({*tails[v], *heads[u]} - {i}) for i, (u, v) in edges.items()}
+    for first in tails[source]:
+        way, todo = [first], [iter(near[first])]
+        if first in ends:
+            found.append([first])
+        while todo:
+            step = next(todo[-1], None)
+            if step is None:
+                todo.pop()
+                way.pop()
+            elif step not in way:
+                if step in ends:
+                    if len(found) >= limit:
+                        return found, True
+                    found.append([*way, step])
+                if len(way) <= cutoff:
+                    way.append(step)
+                    todo.append(iter(near[step]))
+                else:
+                    cut = True
+    return found, cut
+
+
+def most_parallel(net: Network, ids: set[int], source: str, sink: str) -> int:
+    """The largest number of reaches side by side, main reaches stretched so that both ways from source to sink are as deep.
+
+    Reaches between the same junctions are one step; it is a main one if one of them is.
+    """
+    steps: dict[tuple[str, str], bool] = {}
+    for i in sorted(ids):
+        steps[net.edges[i]] = steps.get(net.edges[i], False) or net.main(i)
+
+    def ways(kind: bool | None) -> dict:
+        out = defaultdict(list)
+        for (u, v), is_main in steps.items():
+            if kind is None or is_main is kind:
+                out[u].append((v, (u, v)))
+        return out
+
+    whole = ways(None)
+    topological(whole)
+    side, main = (depth(ways(kind), source).get(sink, 0.0) for kind in (False, True))
+    stretch = side / main if side > 0 and main > 0 else 1.0
+    far = depth(whole, source, lambda step: stretch if steps[step] else 1.0)
     slices = int(far.get(sink, 0))
     if slices < 1:
         return 0
     change = [0] * (slices + 1)
     for i in ids:
         u, v = net.edges[i]
+        if u not in far or v not in far or far[v] <= far[u]:
+            continue
         lo, hi = -int(-far[u] // 1), -int(-far[v] // 1)  # whole slices from far[u] on and under far[v]
         lo, hi = min(max(lo, 0), slices), min(max(hi, 0), slices)
         change[lo] += 1
@@ -226,9 +272,10 @@ def most_parallel(net: Network, ids: set[int], sink: str) -> int:
     return best
 
 
-def _mean(values) -> float | None:
-    known = [float(v) for v in values if v is not None and v == v]
-    return sum(known) / len(known) if known else None
+def _channels(net: Network, ids) -> float | None:
+    """Mean number of channels over the nodes of reaches."""
+    known = [(float(net.reach[i].chan_sum), int(net.reach[i].chan_nodes)) for i in ids if net.reach[i].chan_nodes]
+    return sum(s for s, _ in known) / sum(n for _, n in known) if known else None
 
 
 def _median(values) -> float | None:
@@ -239,8 +286,30 @@ def _median(values) -> float | None:
     return known[k] if len(known) % 2 else (known[k - 1] + known[k]) / 2
 
 
-def resolve_component(net: Network, order: list[str], nodes: set[str], side: set[int]) -> dict | None:
-    """What one side component adds, and to which main reaches; None if it does not leave and join the main stem."""
+def main_between(net: Network, source: str, sink: str) -> list[int]:
+    """Main reaches of the way of fewest reaches from source to sink."""
+    out = net.out(i for i in net.reach if net.main(i))
+    came, todo = {source: None}, deque([source])
+    while todo:
+        n = todo.popleft()
+        for v, i in out.get(n, ()):
+            if v not in came:
+                came[v] = (n, i)
+                todo.append(v)
+    way, n = [], sink
+    while came[n] is not None:
+        n, i = came[n]
+        way.append(i)
+    return way[::-1]
+
+
+def resolve_component(net: Network, order: list[str], nodes: set[str], side: set[int], by_width: bool = False, undirected: bool = True) -> dict | None:
+    """What one side component adds, and to which main reaches; None if it does not leave and join the main stem.
+
+    by_width: the dominant side way is the greatest by length times width. undirected: where no
+    side way runs downstream all along, ways over reaches in either direction are tried; if their
+    bound cuts them off, the status is "truncated".
+    """
     at = {n: k for k, n in enumerate(order)}
     touched = sorted((n for n in nodes if n in at), key=at.get)
     starts = {net.edges[i][0] for i in side}
@@ -253,29 +322,46 @@ def resolve_component(net: Network, order: list[str], nodes: set[str], side: set
     every = net.out(net.reach)
     inside = reachable(source, every) & reachable(sink, reverse(every))
     ids = {i for i, (u, v) in net.edges.items() if u in inside and v in inside}
-    main = {i for i in ids if net.main(i) and at.get(net.edges[i][0], -1) >= at[source] and at.get(net.edges[i][1], -1) <= at[sink]}
+    k_max = most_parallel(net, ids, source, sink)
+    main = main_between(net, source, sink)
     length = lambda p: sum(net.length(i) for i in p)
-    best = max(simple_paths(net.out(i for i in ids if not net.main(i)), source, sink), key=lambda p: (length(p),), default=None)
-    k_max = most_parallel(net, ids, sink)
-    l_main = length(main)
+    score = (lambda i: net.length(i) * net.wide(i)) if by_width else net.length
+    l_main = length(i for i in main if i in ids)
+    beside = [i for i in ids if not net.main(i)]
+    best, status = best_way(net.out(beside), source, sink, score), "ok"
+    if best is None and undirected:
+        found, cut = reach_ways({i: net.edges[i] for i in beside}, source, sink)
+        best = max(found, key=lambda p: sum(map(score, p)), default=None)
+        status = "truncated" if cut else "ok"
     if best is None:
-        return {"reaches": main, "k_max": k_max, "k_eff": 1.0, "k_eff_raw": 1.0, "width_extra": None, "l_main": l_main, "l_dominant": 0.0, "l_extra": 0.0, "status": "no_side_path"}
-    extra = {i for i in ids if not net.main(i) and i not in best}
+        return {"reaches": set(main), "k_max": k_max, "k_eff": 1.0, "k_eff_raw": 1.0, "width_extra": None, "l_main": l_main, "l_dominant": 0.0, "l_extra": 0.0, "status": "no_side_path"}
+    extra = ids.difference(main, best)
     l_extra = length(extra)
     share = l_extra / l_main if l_extra > MIN_EXTRA_M and l_main > 0 else 0.0
-    n_dominant = _mean(net.reach[i].n_chan for i in best)
-    n_extra = _mean(net.reach[i].n_chan for i in extra) or 0.0
-    base = n_dominant if n_dominant is not None else 1.0
-    over = share > k_max - 2  # extra channels count only over the cap
-    k_eff = base + (k_max / share * n_extra if over and share > 0 else 0.0)
-    raw = base + (share * n_extra if over else 0.0)
-    w_dominant, w_extra = _median(net.reach[i].width for i in best), _median(net.reach[i].width for i in extra)
-    width = None if w_dominant is None else w_dominant + min(share, max(0, k_max - 2)) * (w_extra or 0.0)
-    return {"reaches": main, "k_max": k_max, "k_eff": k_eff, "k_eff_raw": raw, "width_extra": width, "l_main": l_main, "l_dominant": length(best), "l_extra": l_extra, "status": "ok"}
-
-
-def enrich(rows: pd.DataFrame) -> pd.DataFrame:
-    """Enrichment of the main reaches of one path; of several components on a reach the last counts."""
+    base, more = _channels(net, best), 0.0
+    k_eff = raw = base
+    if share > k_max - 2:  # extra channels count only over the cap
+        more = _channels(net, extra) if extra else None
+        known = base is not None and more is not None and share > 0
+        k_eff, raw = (base + k_max / share * more, base + share * more) if known else (None, None)
+        if share == 0:
+            k_eff = raw = base
+    w_dominant, w_extra = _median(net.reach[i].width for i in best), 0.0
+    if extra:
+        w_extra = _median(net.reach[i].width for i in extra)
+        w_extra = None if w_extra is None else min(share, max(0, k_max - 2)) * w_extra
+    width = None if w_dominant is None or w_extra is None else w_dominant + w_extra
+    return {"reaches": set(main), "k_max": k_max, "k_eff": k_eff, "k_eff_raw": raw, "width_extra": width, "l_main": l_main, "l_dominant": length(best), "l_extra": l_extra, "status": status}
+
+
+def enrich(rows: pd.DataFrame, by_width: bool = False, undirected: bool = True) -> pd.DataFrame:
+    """Enrichment of the main reaches of one path; of several components on a reach the last counts.
+
+    rows without chan_sum and chan_nodes, the sum over a reach's nodes and their number, have one
+    node for each reach, with its n_chan.
+    """
+    if "chan_nodes" not in rows:
+        rows = rows.assign(chan_sum=rows["n_chan"], chan_nodes=rows["n_chan"].notna().astype(int))
     names = [c.split()[0] for c in ENRICHMENT.split(", ")]
     mip = int(rows["mip"].iloc[0])
     net = Network(rows)
@@ -286,7 +372,7 @@ def enrich(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(mip, None, None, None, None, None, None, None, None, None, str(e))], columns=names)
     for k, (nodes, side) in enumerate(net.components()):
         try:
-            r = resolve_component(net, order, nodes, side)
+            r = resolve_component(net, order, nodes, side, by_width, undirected)
         except ValueError as e:
             r = {"reaches": set(), "status": str(e)}
         for i in sorted(r["reaches"]) if r else ():
@@ -294,10 +380,18 @@ def enrich(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(found.values()), columns=names)
 
 
-def enrichment(reaches: DataFrame) -> DataFrame:
-    """ENRICHMENT rows of every path: reaches(reach_id, main_path_id, is_mainstem, rch_id_dn, reach_len, width, n_chan)."""
-    rows = reaches.select(F.col("main_path_id").alias("mip"), "reach_id", "is_mainstem", "rch_id_dn", "reach_len", "width", "n_chan")
-    return rows.groupBy("mip").applyInPandas(enrich, ENRICHMENT)
+def enrichment(reaches: DataFrame, nodes: DataFrame | None = None, by_width: bool = False, undirected: bool = True) -> DataFrame:
+    """ENRICHMENT rows of every path: reaches(reach_id, main_path_id, is_mainstem, rch_id_dn, reach_len, width).
+
+    Channels are averaged over nodes(reach_id, n_chan_mod), or, without these, over reaches by their n_chan.
+    """
+    rows = reaches.select(F.col("main_path_id").alias("mip"), "reach_id", "is_mainstem", "rch_id_dn", "reach_len", "width", *(["n_chan"] if nodes is None else []))
+    if nodes is None:
+        rows = rows.withColumn("chan_sum", F.coalesce("n_chan", F.lit(0.0)).cast("double")).withColumn("chan_nodes", F.col("n_chan").isNotNull().cast("long")).drop("n_chan")
+    else:
+        sums = nodes.groupBy("reach_id").agg(F.sum(F.col("n_chan_mod").cast("double")).alias("chan_sum"), F.count("n_chan_mod").alias("chan_nodes"))
+        rows = rows.join(sums, "reach_id", "left").fillna(0, ["chan_sum", "chan_nodes"])
+    return rows.groupBy("mip").applyInPandas(lambda part: enrich(part, by_width, undirected), ENRICHMENT)
 
 
 def width_summary(reaches: DataFrame, keys: tuple[str, ...], how: str = "median") -> DataFrame:

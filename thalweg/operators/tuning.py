@@ -203,26 +203,26 @@ def local_grid(settings: DataFrame, representative: DataFrame, min_keep: int = 4
 
 
 def compare_families(evaluated: DataFrame, reps: DataFrame, a: str, b: str, tie: float = 0.02) -> DataFrame:
-    """Path by path, which of two families' representatives has the higher index.
+    """Path by path, which of two families' representatives has the higher index, relative to the second's.
 
-    A path that only one of them has counts as a win for it; within the tie band none wins.
+    A path that only one of them has counts as a win for it; within the tie band, or where an
+    index is missing, none wins.
     """
     own = evaluated.join(reps.select("family", "setting"), ["family", "setting"], "left_semi").select("mip", "family", "ch")
     left = own.where(F.col("family") == a).select("mip", F.col("ch").alias("ch_a"), F.lit(True).alias("_a"))
     right = own.where(F.col("family") == b).select("mip", F.col("ch").alias("ch_b"), F.lit(True).alias("_b"))
     both = left.join(right, "mip", "full_outer")
-    difference = (F.col("ch_a") - F.col("ch_b")) / F.greatest(F.abs("ch_a"), F.abs("ch_b"))
-    winner = (
-        F.when(F.col("_b").isNull(), a).when(F.col("_a").isNull(), b)
-        .when(F.col("ch_a").isNull() & F.col("ch_b").isNull(), "tie").when(F.col("ch_b").isNull(), a).when(F.col("ch_a").isNull(), b)
-        .when(F.abs(difference) <= tie, "tie").when(difference > 0, a).otherwise(b)
-    )
+    difference = (F.col("ch_a") - F.col("ch_b")) / F.greatest(F.abs("ch_b"), F.lit(1e-12))
     source = F.when(F.col("_b").isNull(), "left_only").when(F.col("_a").isNull(), "right_only").otherwise("both")
-    return both.select("mip", "ch_a", "ch_b", source.alias("source"), winner.alias("winner"))
+    winner = F.when(F.col("_b").isNull(), a).when(F.col("_a").isNull(), b).when(difference > tie, a).when(difference < -tie, b).otherwise("tie")
+    return both.select("mip", "ch_a", "ch_b", source.alias("source"), F.when(source == "both", difference).alias("ch_difference"), winner.alias("winner"))
 
 
 def choose_family(evaluated: DataFrame, settings: DataFrame, config: TuningConfig = TuningConfig()) -> dict:
-    """The winning family and why: by mean index, by won paths, or by robustness. The choice is among a few rows."""
+    """The winning family and why: by mean index, by won paths, or by robustness. The choice is among a few rows.
+
+    gap is the difference of both mean indexes relative to the second's.
+    """
     reps = representatives(settings)
     rows = rank_families(reps).orderBy("family_rank").collect()
     if not rows:
@@ -231,16 +231,26 @@ def choose_family(evaluated: DataFrame, settings: DataFrame, config: TuningConfi
         return {"family": rows[0]["family"], "reason": "only_family", "setting": rows[0]["setting"]}
     first, second = rows[0], rows[1]
     x, y = first["mean_ch"], second["mean_ch"]
-    pick = lambda r, why: {"family": r["family"], "reason": why, "setting": r["setting"]}
-    if x is not None and (y is None or (x - y) / max(abs(x), 1e-12) > config.mean_ch_gap):
+    found: dict = {"gap": None if x is None or y is None else (x - y) / max(abs(y), 1e-12)}
+
+    def pick(r, why: str) -> dict:
+        other = second if r is first else first
+        return {"family": r["family"], "reason": why, "setting": r["setting"], "runner_up": other["family"], "mean_ch": r["mean_ch"], "runner_up_mean_ch": other["mean_ch"], **found}
+
+    if found["gap"] is not None and found["gap"] > config.mean_ch_gap:
         return pick(first, "mean_ch_gap")
-    wins = {r["winner"]: r["count"] for r in compare_families(evaluated, reps, first["family"], second["family"], config.reach_tie).groupBy("winner").count().collect()}
-    decided = wins.get(first["family"], 0) + wins.get(second["family"], 0)
+    pairs = compare_families(evaluated, reps, first["family"], second["family"], config.reach_tie)
+    counts = {(r["source"], r["winner"]): r["count"] for r in pairs.groupBy("source", "winner").count().collect()}
+    wins = {f["family"]: sum(n for (_, w), n in counts.items() if w == f["family"]) for f in (first, second)}
+    ties = sum(n for (_, w), n in counts.items() if w == "tie")
+    decided = sum(wins.values())
+    found |= {"n_paths": decided + ties, "n_both": sum(n for (s, _), n in counts.items() if s == "both"), "n_decided": decided, "n_ties": ties, "wins": wins}
     for r in (first, second):
-        if decided and wins.get(r["family"], 0) / decided >= config.win_share:
+        if decided and wins[r["family"]] / decided >= config.win_share:
             return pick(r, "path_wins")
-    worst = float("inf")
-    key = lambda r: (-(r["mean_centrality"] or -worst), r["instability"] if r["instability"] is not None else worst, r["mean_span_penalty"] or 0.0, r["mean_sse_ratio"] or 0.0)
+    last = float("inf")
+    known = lambda v: last if v is None else v
+    key = lambda r: (known(None if r["mean_centrality"] is None else -r["mean_centrality"]), known(r["instability"]), known(r["mean_span_penalty"]), known(r["mean_sse_ratio"]))
     return pick(min((first, second), key=key), "robustness")
 
 

@@ -206,8 +206,8 @@ ORACLES: dict[str, str] = {
         c AS (SELECT *, count(*) FILTER (step_distance <= 1) OVER (PARTITION BY family) AS near_, row_number() OVER (PARTITION BY family ORDER BY step_distance, mean_ch DESC NULLS LAST, mean_centrality DESC NULLS LAST, instability NULLS LAST, mean_span_penalty NULLS LAST, mean_sse_ratio NULLS LAST, setting) AS n FROM a)
         SELECT family, setting, CAST(step_distance AS INTEGER) AS step_distance FROM c WHERE CASE WHEN near_ >= 4 THEN step_distance <= 1 ELSE n <= 4 END""",
     "compare_families": f"""WITH {SETTINGS}, o AS (SELECT e.mip, e.family, e.ch FROM evaluated e JOIN reps USING (family, setting)), a AS (SELECT mip, ch FROM o WHERE family = '1-URGENT'), b AS (SELECT mip, ch FROM o WHERE family = '2-HIGH')
-        SELECT mip, round(a.ch, 8) AS ch_a, round(b.ch, 8) AS ch_b, CASE WHEN b.ch IS NULL THEN 'left_only' WHEN a.ch IS NULL THEN 'right_only' ELSE 'both' END AS source,
-          CASE WHEN b.ch IS NULL THEN '1-URGENT' WHEN a.ch IS NULL THEN '2-HIGH' WHEN abs(a.ch - b.ch) / greatest(abs(a.ch), abs(b.ch)) <= 0.02 THEN 'tie' WHEN a.ch > b.ch THEN '1-URGENT' ELSE '2-HIGH' END AS winner FROM a FULL OUTER JOIN b USING (mip)""",
+        SELECT mip, round(a.ch, 8) AS ch_a, round(b.ch, 8) AS ch_b, CASE WHEN b.ch IS NULL THEN 'left_only' WHEN a.ch IS NULL THEN 'right_only' ELSE 'both' END AS source, round((a.ch - b.ch) / greatest(abs(b.ch), 1e-12), 8) AS ch_difference,
+          CASE WHEN b.ch IS NULL THEN '1-URGENT' WHEN a.ch IS NULL THEN '2-HIGH' WHEN (a.ch - b.ch) / abs(b.ch) > 0.02 THEN '1-URGENT' WHEN (a.ch - b.ch) / abs(b.ch) < -0.02 THEN '2-HIGH' ELSE 'tie' END AS winner FROM a FULL OUTER JOIN b USING (mip)""",
     "threshold_summary": f"""WITH RECURSIVE {BR}, {anchored(900)}, t AS (SELECT unnest([0.5, 0.625, 0.75, 0.875])::DOUBLE AS threshold),
         p AS (SELECT family, threshold, mip, count(*) FILTER (support >= threshold) AS n_kept, count(*) AS n_all, avg(support) FILTER (support >= threshold) AS s, avg(span_m) FILTER (support >= threshold) AS w, max(span_m) FILTER (support >= threshold) AS x FROM consensus CROSS JOIN t GROUP BY 1, 2, 3)
         SELECT family, threshold, count(*) AS n_paths, round(avg(n_kept), 6) AS mean_kept, round(avg(n_kept / n_all), 6) AS mean_kept_share, round(avg(s), 6) AS mean_support, round(avg(w), 6) AS mean_span_m, round(max(x), 6) AS max_span_m FROM p GROUP BY 1, 2""",
