@@ -60,7 +60,7 @@ SHARP, SHARP_POWER = 10.0, 10
 #: Share of a landmark's own kernel value that is added to it before the root is taken.
 RIDGE = 1e-4
 #: Kernel values of less than this are taken as 0, and so are those of words that lack more than a quarter of a landmark's letters.
-FLOOR = 0.1
+FLOOR = 1.2
 #: Bound of the training sample: labelled rows of each kind, and characters of a row in it.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 CACHE_WORDS = 250_000
@@ -199,13 +199,15 @@ class Reader:
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Which text, ascending, and which word, for every word of the texts that is like some landmark."""
-        lists = [words_of(t) for t in texts]
         if len(self.of) >= self.limit:
             self._restart()
-        self._learn(sorted(w for w in set().union(*lists) if w not in self.of))
-        found = [sorted({i for w in ws for i in self.of[w]}) for ws in lists]
+        found: list[np.ndarray] = []
+        for lo in range(0, len(texts), 256):
+            lists = [words_of(t) for t in texts[lo : lo + 256]]
+            self._learn(sorted(w for w in set().union(*lists) if w not in self.of))
+            found += [np.array(sorted({i for w in ws for i in self.of[w]}), dtype=np.int64) for ws in lists]
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in found])
-        return owner, np.array([i for x in found for i in x], dtype=np.int64)
+        return owner, np.concatenate([np.zeros(0, dtype=np.int64), *found])
 
     def _spread(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the values of each word, and how many each has."""
@@ -214,14 +216,18 @@ class Reader:
 
     def pooled(self, texts: int, owner: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The largest kernel value of each text's words for each landmark."""
-        out = np.zeros((texts, len(self.kernel.landmarks)), dtype=np.float32)
-        at, n = self._spread(word)
-        np.maximum.at(out, (np.repeat(owner, n), self.marks[at]), self.values[at])
-        return out
+        marks = len(self.kernel.landmarks)
+        out = np.zeros(texts * marks, dtype=np.float32)
+        for lo in range(0, len(word), 1 << 17):
+            at, n = self._spread(word[lo : lo + (1 << 17)])
+            np.maximum.at(out, np.repeat(owner[lo : lo + (1 << 17)] * marks, n) + self.marks[at], self.values[at])
+        return out.reshape(texts, marks)
 
     def margins(self, word: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        at, n = self._spread(word)
-        return np.bincount(np.repeat(np.arange(len(word)), n), self.values[at] * weight[self.marks[at]], len(word))
+        # Words of a text are mostly those of others too, so each is weighed once.
+        single, of = np.unique(word, return_inverse=True)
+        at, n = self._spread(single)
+        return np.bincount(np.repeat(np.arange(len(single)), n), self.values[at] * weight[self.marks[at]], len(single))[of]
 
 
 class Model:
@@ -257,17 +263,17 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, or
     # Copies of a text are no evidence of their own.
     single = list(dict.fromkeys(zip(texts, toxic.tolist())))
     texts, toxic = [t for t, _ in single], np.array([y for _, y in single], dtype=np.int64)
-    seen: dict[str, list[int]] = {}
-    whole: Counter = Counter()
-    for i, t in enumerate(texts):
+    rows = [Counter(), Counter()]  # of either kind, by string
+    whole: set[str] = set()
+    for t, y in zip(texts, toxic.tolist()):
         words = {p for w in words_of(t) for p in windows(fold(w)) if p}
-        whole.update(words)
-        for p in {w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | words:
-            seen.setdefault(p, [0, 0])[int(toxic[i])] += 1
+        whole |= words
+        rows[y].update({w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | words)
+    seen = lambda w: (rows[0][w], rows[1][w])
     nt, nn = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     share = nt / (nt + nn)
 
-    def evidence(c: list[int]) -> float:
+    def evidence(c: tuple[int, int]) -> float:
         """Log-likelihood ratio for being commoner in toxic rows, 0 if it is not."""
         both = c[0] + c[1]
         if c[1] <= share * both:
@@ -275,30 +281,31 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, n: int = LANDMARKS, or
         return 2 * (c[1] * np.log(c[1] / (share * both)) + (c[0] * np.log(c[0] / ((1 - share) * both)) if c[0] else 0))
 
     # Only strings of some rows are tested, whatever their kind, so the bound follows the sample and their number.
-    tested = [(round(float(evidence(c)), 6), len(w), w) for w, c in seen.items() if sum(c) >= 4]
+    tested = [(round(float(evidence(c)), 6), len(w), w) for w in {*rows[0], *rows[1]} if sum(c := seen(w)) >= 4]
     chance = np.sort([erfc((r[0] / 2) ** 0.5) / 2 for r in tested])
     passed = np.flatnonzero(chance <= FALSE * np.arange(1, len(chance) + 1) / max(1, len(chance)))
     bound = chance[passed[-1]] if len(passed) else -1.0
     ranked = sorted((r for r in tested if r[0] > 0 and erfc((r[0] / 2) ** 0.5) / 2 <= bound), reverse=True)
-    strong = {w for _, _, w in ranked if seen[w][1] / nt >= LIFT * seen[w][0] / nn}
+    strong = {w for _, _, w in ranked if seen(w)[1] / nt >= LIFT * seen(w)[0] / nn}
     chosen: list[str] = []
     for some, most in ((strong, n - ordinary), ({r[2] for r in ranked} - strong, min(WEAK, n - ordinary))):
         for _, _, w in ranked:
             if len(chosen) >= most:
                 break
             # A longer or shorter form of what was chosen adds nothing if it stands in nearly the same rows.
-            if w not in some or any((w.startswith(c) or c.startswith(w)) and 0.8 <= seen[w][1] / seen[c][1] <= 1.25 for c in chosen):
+            if w not in some or any((w.startswith(c) or c.startswith(w)) and 0.8 <= seen(w)[1] / seen(c)[1] <= 1.25 for c in chosen):
                 continue
-            longer = [v for _, _, v in ranked if v.startswith(w) and seen[v][1] >= 0.8 * seen[w][1]]
+            longer = [v for _, _, v in ranked if v.startswith(w) and seen(v)[1] >= 0.8 * seen(w)[1]]
             chosen.append(max(longer, key=len))
     beginnings = {c[:4] for c in chosen}
-    plain = [w for w in whole if len(w) >= 4 and seen[w][1] / nt < 2 * seen[w][0] / nn and w not in chosen]
-    return chosen, sorted(plain, key=lambda w: (w[:4] not in beginnings, -seen[w][0], w))[:ordinary]
+    plain = [w for w in whole if len(w) >= 4 and seen(w)[1] / nt < 2 * seen(w)[0] / nn and w not in chosen]
+    return chosen, sorted(plain, key=lambda w: (w[:4] not in beginnings, -seen(w)[0], w))[:ordinary]
 
 
-def disguise(text: str, insults: list[str], rng: np.random.Generator) -> str:
-    """The text with one of the words that hold an insult, written with letters put in or left out."""
+def disguised(texts: list[str], insults: list[str], rng: np.random.Generator) -> list[str]:
+    """Each text with one of its words that hold an insult, written with letters put in or left out, and without the others."""
     look = re.compile("|".join(map(re.escape, sorted(insults, key=len, reverse=True))) or "(?!)")
+    held: dict[str, bool] = {}
     letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
 
     def change(m: re.Match) -> str:
@@ -313,10 +320,16 @@ def disguise(text: str, insults: list[str], rng: np.random.Generator) -> str:
             w = w[:k] + letters(1) + w[k:]
         return w
 
-    words = [(w, fold(w)) for w in text.split()]
-    hits = [i for i, (_, f) in enumerate(words) if look.search(f)]
-    only = hits[rng.integers(0, len(hits))] if hits else -1
-    return " ".join(look.sub(change, f) if i == only else w for i, (w, f) in enumerate(words) if i == only or not look.search(f))
+    out = []
+    for text in texts:
+        words = text.split()
+        for w in words:
+            if w not in held:
+                held[w] = look.search(fold(w)) is not None
+        hits = [i for i, w in enumerate(words) if held[w]]
+        only = hits[rng.integers(0, len(hits))] if hits else -1
+        out.append(" ".join(look.sub(change, fold(w)) if i == only else w for i, w in enumerate(words) if i == only or not held[w]))
+    return out
 
 
 def train(texts: list[str], toxic: np.ndarray, rate: tuple[float, float] = (1.0, 1.0), seed: int = 0) -> Model:
@@ -337,7 +350,7 @@ def train(texts: list[str], toxic: np.ndarray, rate: tuple[float, float] = (1.0,
         landmarks = insults + ordinary or ["none"]
     kernel = Kernel(landmarks)
     ones = [i for i in np.flatnonzero(toxic) if texts[i]]
-    texts = texts + [disguise(texts[i], insults, rng) for i in ones]
+    texts = texts + disguised([texts[i] for i in ones], insults, rng)
     toxic = np.concatenate([toxic, np.ones(len(ones), toxic.dtype)])
     part = np.concatenate([np.arange(len(weight)), ones]) < held
     # A toxic row and its disguised copy share the row's weight.
@@ -356,19 +369,19 @@ def train(texts: list[str], toxic: np.ndarray, rate: tuple[float, float] = (1.0,
     return model
 
 
-def _word_machine(reader: Reader, owner: np.ndarray, word: np.ndarray, y: np.ndarray, used: np.ndarray, insults: int, cost: float = 1e-5, steps: int = 300) -> np.ndarray:
+def _word_machine(reader: Reader, owner: np.ndarray, word: np.ndarray, y: np.ndarray, used: np.ndarray, insults: int, cost: float = 1e-5, steps: int = 150) -> np.ndarray:
     """Weights of the landmarks by the squared hinge loss of each text's highest word, and a small square penalty.
 
     The margin is that word's less 1, so that a text without any likeness is at -1. Steps are
     full gradients in the Nystrom features, scaled by their running squares.
     """
     root, n = reader.kernel.root, len(reader.first) - 1
-    rows = np.repeat(np.arange(n), np.diff(reader.first))
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(reader.first))
     each = np.where(y > 0, 0.5 / max(1, (used & (y > 0)).sum()), 0.5 / max(1, (used & (y < 0)).sum())) * used
     # The last word, of margin 0, is in every text.
     owner, word = np.concatenate([owner, np.arange(len(y))]), np.concatenate([word, np.full(len(y), n)])
     order = np.argsort(owner, kind="stable")
-    owner, word = owner[order], word[order]
+    owner, word = owner[order].astype(np.int32), word[order].astype(np.int32)
     starts = np.searchsorted(owner, np.arange(len(y)))
     u = np.linalg.solve(root, (np.arange(len(root)) < insults) * 2.0 / reader.kernel.diagonal)
     mean, square, total = np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u))
