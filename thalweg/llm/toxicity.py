@@ -59,7 +59,10 @@ SCALE = 0.15
 SHARP, SHARP_POWER = 10.0, 10
 #: Share of a landmark's own kernel value that is added to it before the root is taken.
 RIDGE = 1e-4
-#: Kernel values of less than this are taken as 0, and so are those of words that lack more than a quarter of a landmark's letters.
+#: Pairs of words and landmarks that are compared at once.
+COLUMNS = 8192
+#: Kernel values of less than this are taken as 0, and so are those of words that lack more than a quarter of a
+#: landmark's letters (or more than one of a shorter one's).
 FLOOR = 1.2
 #: Bound of the training sample: labelled rows of each kind, and characters of a row in it.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
@@ -119,13 +122,19 @@ def _own(a: np.ndarray) -> np.ndarray:
     return np.maximum(triples(a, np.where(a > 0, a, -1)), 1e-9)
 
 
+def _scaled(sums: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The kernel from the sum over common triples and the product of both words' own."""
+    return sums / both**SCALE * (1 + SHARP * (sums / np.sqrt(both)) ** SHARP_POWER)
+
+
 class Kernel:
     """Kernel values of words with landmarks, and the inverse root of the landmarks' own matrix."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         letters = _letters(landmarks)
-        self.letters = [r[r > 0] for r in letters]
+        self.table, self.letters = letters, [r[r > 0] for r in letters]
+        self.sizes = np.array([len(r) for r in self.letters])
         self.alphabet = np.unique(letters[letters > 0])
         self.counts = np.stack([(r[:, None] == self.alphabet).sum(axis=0) for r in self.letters]).astype(np.float32)
         self.need = np.array([len(r) - max(1, len(r) // 4) for r in self.letters])
@@ -136,8 +145,7 @@ class Kernel:
         self.root = vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T
 
     def _value(self, words: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        both, sums = own * self.own[k], triples(words, self.letters[k][:, None])
-        return sums / both**SCALE * (1 + SHARP * (sums / np.sqrt(both)) ** SHARP_POWER)
+        return _scaled(triples(words, self.letters[k][:, None]), own * self.own[k])
 
     def pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word, landmark and value of all pairs of FLOOR or more, by word; words are what windows() gives."""
@@ -153,12 +161,24 @@ class Kernel:
             enough = has[:, :-1] @ self.counts.T >= self.need
             some = np.flatnonzero(enough.any(axis=1))
             at, a, enough = at[some], np.ascontiguousarray(a[some].T), enough[some]
-            own = _own(a) if len(some) else np.zeros(0)
-            for k in np.flatnonzero(enough.any(axis=0)):
-                near = np.flatnonzero(enough[:, k])
-                got = self._value(a[:, near], own[near], k)
-                high = got >= FLOOR
-                out.append((at[near[high]], np.full(high.sum(), k), got[high]))
+            size = (a > 0).sum(axis=0)
+            near, mark = np.nonzero(enough)
+            alike, back = np.unique(near, return_inverse=True)
+            own = np.zeros(len(alike), dtype=np.float32)
+            for c in range(0, len(alike), COLUMNS):
+                some = alike[c : c + COLUMNS]
+                own[c : c + COLUMNS] = _own(a[: size[some].max(), some])
+            # Pairs with landmarks of one length together, shorter words first.
+            for n in np.unique(self.sizes[mark]):
+                of = np.flatnonzero(self.sizes[mark] == n)
+                of = of[np.argsort(near[of], kind="stable")]
+                for c in range(0, len(of), COLUMNS):
+                    some = of[c : c + COLUMNS]
+                    letters = self.table[mark[some], :n].T
+                    sums = triples(a[: size[near[some]].max(), near[some]], letters)
+                    got = _scaled(sums, own[back[some]] * self.own[mark[some]])
+                    high = got >= FLOOR
+                    out.append((at[near[some][high]], mark[some][high], got[high]))
         if not out:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
         rows, marks, values = (np.concatenate(x) for x in zip(*out))
