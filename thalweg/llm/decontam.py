@@ -41,7 +41,7 @@ PASSAGE = 32
 DIM, EXTRA = 128, 16
 #: Terms are words of at most this share of the items (two items at least), and the rarest of each item.
 TERM_SHARE, TERMS_AT_LEAST = 0.02, 4
-CANDIDATE = 0.45
+CANDIDATE = 0.3
 COPY, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
 ANSWER_TERMS = 5
 ITEM_BLOCK = 1024
@@ -156,8 +156,10 @@ def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
             passages += int(firsts[-1])
             if not len(term):
                 continue
-            for lo in range(0, len(term), _PART):  # bounds the memory; a passage cut here counts as two
-                t, c = term[lo : lo + _PART], cell[lo : lo + _PART]
+            lo = 0
+            while lo < len(term):  # bounds the memory; no passage is cut
+                hi = int(np.searchsorted(cell, cell[min(lo + _PART, len(cell)) - 1], side="right"))
+                t, c, lo = term[lo:hi], cell[lo:hi], hi
                 seen, y = _sum_rows(w, t, c)
                 order = np.argsort(t, kind="stable")
                 which, s = _sum_rows(y, np.searchsorted(seen, c[order]), t[order])
