@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thalweg import config
 from thalweg.config import ConsensusConfig, Family, PipelineConfig, SelectionConfig, WindowConfig
-from thalweg.operators import calibration, consensus, features, graph, profile, support, tuning, windows
+from thalweg.operators import calibration, centerline, consensus, features, graph, profile, selection, support, tuning, windows
 from thalweg.plans import registry, runner
 from thalweg.sources import readers, sinks
 
@@ -88,6 +89,86 @@ def test_calibration_falls_back(spark):
     assert found["method"] == "frozen" and found["threshold_km"] == 11.5
 
 
+def test_heights_of_the_asked_reaches_only(spark):
+    obs = spark.createDataFrame([(1, "7", 2.0, 0.1, 0.1, 20_000.0), (1, "7", 4.0, 0.1, 0.1, 20_000.0), (2, "8", 5.0, 0.1, 0.1, 20_000.0), (3, "7", 6.0, 2.0, 0.1, 20_000.0)], "node_id long, reach_id string, wse_sm double, wse_sm_u double, dark_frac double, xtrk_dist double")
+    reaches = spark.createDataFrame([(7,)], "reach_id long")
+    assert [tuple(r) for r in profile.node_heights(obs, reaches, dark=0.5).select("node_id", "wse").collect()] == [(1, 3.0)]
+
+
+def _family_rows(spark, a, b):
+    """Two families of one setting each with an index for every path, and their setting statistics."""
+    rows = [(m, f, "s", 1, 0.1, 0.05, 3, ch, c, 10.0, 0.0, 0.0, 0.0, 0, 0, 0) for f, chs, c in (("w2", a, 0.5), ("w3", b, 0.9)) for m, ch in enumerate(chs) if ch != "none"]
+    schema = "mip long, family string, setting string, min_windows int, min_support_runs double, stop_relative double, n_breaks long, ch double, centrality double, final_sse double, mean_span_m double, max_span_m double, span_penalty double, n_core long, n_medium long, n_weak long"
+    evaluated = tuning.relative_quality(spark.createDataFrame(rows, schema))
+    stats = tuning.setting_statistics(evaluated).withColumn("instability", F.lit(0.0)).withColumn("is_pareto", F.lit(True))
+    return evaluated, stats
+
+
+def test_the_four_ways_of_choosing_a_family(spark):
+    # The gap counts against the runner-up: 10.5 and 9.5 differ by 10.53 % of 9.5, but by 9.5 % of 10.5.
+    assert tuning.choose_family(*_family_rows(spark, [10.5] * 4, [9.5] * 4))["reason"] == "mean_ch_gap"
+    won = tuning.choose_family(*_family_rows(spark, [10.4, 10.4, 10.4, 9.9], [10.0] * 4))
+    assert (won["reason"], won["family"], won["n_ties"], won["wins"]) == ("path_wins", "w2", 1, {"w2": 3, "w3": 0})
+    second = tuning.choose_family(*_family_rows(spark, [15.0, 9.0, 9.0, 9.0], [10.0] * 4))
+    assert (second["reason"], second["family"], second["runner_up"]) == ("path_wins", "w3", "w2")
+    close = tuning.choose_family(*_family_rows(spark, [10.1, 10.5, 9.5, "none"], [10.0, 10.0, 10.0, 9.9]))
+    assert (close["reason"], close["family"], close["n_paths"], close["n_both"]) == ("robustness", "w3", 4, 3)
+    only = tuning.choose_family(*[t.where("family = 'w2'") for t in _family_rows(spark, [1.0], [2.0])])
+    assert only == {"family": "w2", "reason": "only_family", "setting": "s"}
+
+
+def test_candidates_of_all_runs_and_weights(spark):
+    rng = np.random.default_rng(1)
+    x = np.repeat([0.0, 4.0, 0.0], 20) + rng.normal(0, 0.1, 60)
+    z = spark.createDataFrame([(1, w, i, 200.0 * (i + 1), float(v if w == 1000.0 else rng.normal())) for w in (1000.0, 2000.0) for i, v in enumerate(x)], "mip long, window_m double, pos int, dist_m double, width double")
+    where = spark.createDataFrame([(1, "w2", 1000.0), (1, "w2", 2000.0)], "mip long, family string, window_m double")
+    none = spark.createDataFrame([], "mip long, family string, center_m double, support_runs double, support_windows double, n_windows_supported long, frequency double")
+    breaks = spark.createDataFrame([(1, "w2", w, p, m) for w, p in ((1000.0, 1.0), (2000.0, 1.0)) for m in (4200.0, 8200.0, 8400.0)], "mip long, family string, window_m double, penalty double, break_m double")
+    s = {"w2": [config.Setting(0.1, 1, 0.0)]}
+    plain = config.SelectionConfig(min_spacing_m=1000.0, source="all_runs", candidate_tolerance_m=500.0)
+    one = selection.select(z, where, none, ["width"], s, plain, breaks).first()
+    assert one["n_candidates"] == 2 and sorted(one["breaks_m"]) == [4200.0, 8300.0]
+    heavy = config.SelectionConfig(min_spacing_m=1000.0, source="all_runs", window_weights=(("W2km", 0.0),))
+    two = selection.select(z, where, none, ["width"], s, heavy, breaks).first()
+    alone = selection.select(z, where.where("window_m = 1000"), none, ["width"], s, config.SelectionConfig(min_spacing_m=1000.0, source="all_runs"), breaks).first()
+    assert two["n_candidates"] == 3 and two["base_sse"] == pytest.approx(alone["base_sse"]) and two["breaks_m"] == alone["breaks_m"]
+    faults = selection.break_faults(spark.createDataFrame([(1, "w2", "s", "ok", [100.0, 4200.0, 4300.0])], "mip long, family string, setting string, status string, breaks_m array<double>"), z, plain)
+    assert sorted(r["fault"] for r in faults.collect()) == ["outside", "too_near"]
+
+
+def test_lines_are_smoothed_by_their_own_widths(spark):
+    x = np.linspace(0, 40_000, 1500)
+    y = 15 * np.sin(x / 150)
+    lines = spark.createDataFrame([(m, [{"x": float(a), "y": float(b)} for a, b in zip(x, y)]) for m in (1, 2, 3)], "mip long, line array<struct<x:double,y:double>>")
+    reaches = spark.createDataFrame(
+        [(1, True, 20.0, 1.0, 40_000.0), (1, True, 35.0, 1.0, 40_000.0), (2, True, 500.0, 2.0, 20_000.0), (2, True, 600.0, 1.0, 20_000.0), (3, False, 900.0, 1.0, 40_000.0)],
+        "main_path_id long, is_mainstem boolean, width double, dist_out double, reach_len double",
+    )
+    got = {r["mip"]: r for r in centerline.smooth_mainpaths(lines, 100.0, reaches).collect()}
+    own = {r["mip"]: r for r in centerline.smooth_mainpaths(lines, 100.0).collect()}
+    assert got[2]["sigma_m"] > got[1]["sigma_m"] and got[3]["sigma_m"] == own[3]["sigma_m"]
+
+
+def test_command_line(spark, tmp_path):
+    """python -m thalweg on a small network, and again from what the first run left."""
+    n = 120
+    reaches = [(i, 7, True, i - 1 if i > 1 else 0, 4000.0, 50.0 + 40 * (i > 3), 4000.0 * i) for i in range(1, 7)]
+    nodes = [(k, 1 + k // 20, 200.0 * (k + 1), 200.0, 50.0 + 300 * (k > 60) + k % 3, 1.0, 200.0 * k, 3.0 * (k % 2)) for k in range(n)]
+    spark.createDataFrame(reaches, "reach_id long, main_path_id long, is_mainstem boolean, rch_id_dn_1 long, reach_len double, width double, dist_out double").write.parquet(f"{tmp_path}/reaches")
+    spark.createDataFrame(nodes, "node_id long, reach_id long, dist_out double, node_length double, width double, n_chan_mod double, x double, y double").write.parquet(f"{tmp_path}/nodes")
+    from thalweg import __main__ as cli
+
+    args = ["--reaches", f"{tmp_path}/reaches", "--nodes", f"{tmp_path}/nodes", "--setups", "01_width_channels", "--out", f"{tmp_path}/out"]
+    made = cli.run(spark, args)
+    for name in ("tuning/width_channels/selections", "tuning/width_channels/run_summary", "tuning/width_channels/windows", "01_width_channels/segments", "01_width_channels/reach_summary", "01_width_channels/skipped"):
+        assert f"{tmp_path}/out/{name}" in made, name
+        spark.read.parquet(f"{tmp_path}/out/{name}")
+    manifest = spark.read.json(f"{tmp_path}/out/manifest").first()
+    assert "01_width_channels" in str(manifest)
+    again = cli.run(spark, [*args, "--resume"])
+    assert not any("tuning/" in p for p in again) and f"{tmp_path}/out/01_width_channels/segments" in again
+
+
 def test_network_tables(spark):
     df = spark.createDataFrame([(1, 7, True, 2, 0, 9), (2, 7, True, 0, None, 1)], "reach_id long, main_path_id long, is_mainstem boolean, rch_id_dn_1 long, rch_id_dn_2 long, rch_id_dn_m1 long")
     reaches = readers.normalize_reaches(df)

@@ -38,7 +38,10 @@ class WindowConfig:
     high_quantile: float = 0.90
     low_multiple: float = 36.0
     high_multiple: float = 36.0
-    max_fraction: float = 0.15
+    #: Sizes in metres that take the place of the width multiples.
+    least_m: float | None = None
+    most_m: float | None = None
+    max_fraction: float | None = 0.15
     min_points: int = 5
     round_to_spacing: bool = True
 
@@ -54,6 +57,12 @@ class SelectionConfig:
     max_breaks: int = 30
     stop_relative: float = 0.01
     stop_absolute: float = 0.0
+    #: Where candidates come from: "support" (its clusters) or "all_runs" (breaks of the runs, or the
+    #: medians of their chain clusters under candidate_tolerance_m).
+    source: str = "support"
+    candidate_tolerance_m: float | None = None
+    #: Weights of windows by label in the squared error; those not named weigh 1.
+    window_weights: tuple[tuple[str, float], ...] = ()
 
 
 @dataclass(frozen=True)

@@ -44,8 +44,8 @@ def insert_point(xy: np.ndarray, distance: float, tolerance: float = 1e-6) -> np
 def snap_gaps(parts: list[np.ndarray], gap: float, connected: float = 1e-6, keep: set[tuple[int, int]] = frozenset()) -> tuple[list[np.ndarray], int]:
     """Close gaps between loose ends: mutual nearest ends meet halfway, other ends go to the nearest line.
 
-    An end that touches another part is left alone; ends in `keep` (part, 0 or -1) take no
-    part in pairing. Each end moves once at most, and each pair of parts is snapped once.
+    An end that touches another part is left alone; ends in `keep` (part, 0 or -1) stay
+    where they are. Each end moves once at most, and each pair of parts is snapped once.
     """
     parts = [p.copy() for p in parts]
     ends = [(i, e) for i in range(len(parts)) for e in (0, -1)]
@@ -75,7 +75,7 @@ def snap_gaps(parts: list[np.ndarray], gap: float, connected: float = 1e-6, keep
         parts[y[0]][y[1]] = middle
         moved |= {x, y}
     done: set[tuple[int, int]] = set()
-    for d, x in sorted((to_lines(x)[0], x) for x in loose if x not in moved):
+    for d, x in sorted((to_lines(x)[0], x) for x in loose if x not in moved and x not in keep):
         d, j, s, q = to_lines(x)
         if connected < d <= gap and (x[0], j) not in done:
             parts[j] = insert_point(parts[j], s)
@@ -198,6 +198,26 @@ def terminals(lines: list[np.ndarray], order: list[float]) -> tuple[np.ndarray,
     return outer(ranked[0]), outer(ranked[-1])
 
 
+def endpoint_records(lines: list[np.ndarray], connected: float = 1e-6) -> list[dict]:
+    """Both ends of every line: which, where, how far from the nearest other line, and whether it is loose."""
+    out = []
+    for i, p in enumerate(lines):
+        for end in (0, -1):
+            gap, part = min(((nearest_on(q, p[end])[0], j) for j, q in enumerate(lines) if j != i), default=(np.inf, -1))
+            out.append({"part": i, "end": end, "x": float(p[end][0]), "y": float(p[end][1]), "gap_m": gap, "nearest_part": part, "loose": gap > connected})
+    return out
+
+
+def farthest_pair(records: list[dict]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The two loose ends that are furthest apart as the crow flies; of equal pairs the first."""
+    p = np.array([[r["x"], r["y"]] for r in records if r["loose"]])
+    if len(p) < 2:
+        return None
+    apart = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
+    a, b = np.unravel_index(int(np.triu(apart, 1).argmax()), apart.shape)
+    return p[a], p[b]
+
+
 def repair(line: np.ndarray, tolerance: float = 1e-6, max_vertices: int = 250_000) -> np.ndarray:
     """A line without its loops: the shortest way from its start to its end over itself."""
     if len(line) < 4 or len(line) > max_vertices:
@@ -216,12 +236,17 @@ def merge_path(lines: list[np.ndarray], order: list[float], gap: float = 5.0, to
     if not lines:
         return np.zeros((0, 2)), "none", "empty"
     first, last = terminals(lines, order)
-    parts, _ = snap_gaps(lines, gap)
+    # The outer ends stay where they are.
+    at = lambda p: {(i, e) for i, q in enumerate(lines) for e in (0, -1) if (q[e] == p).all()}
+    parts, _ = snap_gaps(lines, gap, keep=at(first) | at(last))
     pieces = Pieces(node_parts(parts, tolerance), max(tolerance, 1e-9) * 10)
     if not pieces.place:
         return lines[0], "none", "only_closed_pieces"
     how, a, b = "reach_order", pieces.nearest(first), pieces.nearest(last)
     found = pieces.path(a, b) if a != b else None
+    if found is None and (pair := farthest_pair(endpoint_records(lines))) is not None:
+        how, a, b = "farthest_pair", pieces.nearest(pair[0]), pieces.nearest(pair[1])
+        found = pieces.path(a, b) if a != b else None
     if found is None:
         how = "longest_pair"
         a, b = pieces.longest_ends()
@@ -249,6 +274,23 @@ def merge_mainpaths(reaches: DataFrame, gap: float = 5.0, tolerance: float = 1e-
     return rows.groupBy("main_path_id").applyInPandas(merge, MERGED)
 
 
+def mainstem_paths(reaches: DataFrame) -> DataFrame:
+    """How many paths have mainstem reaches, and how many reaches these are."""
+    rows = reaches.where(F.coalesce("is_mainstem", F.lit(False)) & F.col("main_path_id").isNotNull())
+    return rows.agg(F.countDistinct("main_path_id").alias("n_paths"), F.countDistinct("reach_id").alias("n_reaches"))
+
+
+def line_faults(merged: DataFrame, reaches: DataFrame) -> DataFrame:
+    """(main_path_id, fault) of paths whose merged line is missing, empty, made up or much shorter than its parts."""
+    paths = reaches.where(F.coalesce("is_mainstem", F.lit(False)) & F.col("main_path_id").isNotNull()).select("main_path_id").distinct()
+    rows = paths.join(merged, "main_path_id", "left")
+    fault = (
+        F.when(F.col("status").isNull(), "missing_line").when(F.size("line") < 2, "empty_line").when(F.col("status") != "ok", F.col("status"))
+        .when(F.col("terminals") != "reach_order", "terminals_not_by_order").when(F.col("loss_fraction") > 0.05, "length_lost")
+    )
+    return rows.select("main_path_id", fault.alias("fault")).where("fault is not null")
+
+
 def resample(xy: np.ndarray, step: float) -> np.ndarray:
     """Equal spacing of at most a step, both ends kept."""
     total = along(xy)[-1]
@@ -284,9 +326,7 @@ def simplest_similar(xy: np.ndarray, step_m: float = 50.0, budget=None, budget_f
     of = {"max": np.max, "mean": np.mean, "p95": lambda x: np.quantile(x, 0.95)}[statistic]
 
     def feasible(sigma: float) -> bool:
-        smooth = smooth_gaussian(line, sigma, step_m)
-        off = np.array([nearest_on(smooth, p)[0] for p in line])
-        return bool(of(off - allowed) <= 0)
+        return bool(of(distances(smooth_gaussian(line, sigma, step_m), line) - allowed) <= 0)
 
     low, high = 2 * step_m, max(length / 2, 2000.0)
     if not feasible(low):
@@ -308,11 +348,74 @@ def simplest_similar(xy: np.ndarray, step_m: float = 50.0, budget=None, budget_f
     return {"line": smooth, "sigma_m": low, "status": "ok", "drop": drop}
 
 
-def smooth_mainpaths(lines: DataFrame, step_m: float = 50.0) -> DataFrame:
-    """Every path's line smoothed as far as it stays similar: (mip, line, sigma_m, drop, status)."""
+def relative_groups(width: np.ndarray, length: np.ndarray, tolerance: float = 0.2, statistic: str = "mean") -> tuple[list[float], list[float]]:
+    """Where groups of widths near their running mean end, by cumulative length from 0 on, and the width of each.
+
+    A group whose mean is zero takes no further reach.
+    """
+    run = np.cumsum(length)
+    groups, start, mean = [], 0, float(width[0])
+    for i in range(1, len(width)):
+        if mean != 0 and abs(width[i] - mean) / abs(mean) <= tolerance:
+            mean += (width[i] - mean) / (i - start + 1)
+        else:
+            groups.append((start, i))
+            start, mean = i, float(width[i])
+    groups.append((start, len(width)))
+    of = {"mean": np.mean, "median": np.median, "first": lambda x: x[0]}[statistic]
+    return [0.0, *(float(run[z - 1]) for _, z in groups)], [float(of(width[a:z])) for a, z in groups]
+
+
+def width_profile(breaks: list[float], widths: list[float]):
+    """The width at distances: widths[k] from breaks[k] up to breaks[k + 1], and the last beyond."""
+    at, w = np.asarray(breaks, dtype=float), np.asarray(widths, dtype=float)
+    if len(at) != len(w) + 1 or not (np.diff(at) > 0).all():
+        raise ValueError("breaks must rise and be one more than widths")
+    return lambda d: w[np.clip(np.searchsorted(at[1:], np.asarray(d, dtype=float), side="right"), 0, len(w) - 1)]
+
+
+def distances(line: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distance of each point to a line, some hundred points at once."""
+    a, v = line[:-1], np.diff(line, axis=0)
+    size = np.maximum((v**2).sum(axis=1), 1e-300)
+    out = np.empty(len(points))
+    step = max(1, (1 << 20) // max(1, len(a)))
+    for lo in range(0, len(points), step):
+        d = points[lo : lo + step, None, :] - a[None]
+        t = np.clip((d * v).sum(axis=2) / size, 0, 1)
+        out[lo : lo + step] = np.sqrt(((d - t[:, :, None] * v) ** 2).sum(axis=2).min(axis=1))
+    return out
+
+
+#: Reaches of this width in metres or less do not count for a path's budget.
+LEAST_WIDTH_M = 30.0
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        r = simplest_similar(as_points(part["line"].iloc[0]), step_m)
-        return pd.DataFrame([(int(part["mip"].iloc[0]), [{"x": x, "y": y} for x, y in r["line"].tolist()], r["sigma_m"], r["drop"], r["status"])], columns=["mip", "line", "sigma_m", "drop", "status"])
 
-    return lines.where("line is not null and size(line) >= 3").groupBy("mip").applyInPandas(run, f"mip long, line {LINE}, sigma_m double, drop double, status string")
+def smooth_mainpaths(lines: DataFrame, step_m: float = 50.0, reaches: DataFrame | None = None, budget_fraction: float = 0.30, tolerance: float = 0.2) -> DataFrame:
+    """Every path's line smoothed as far as it stays similar: (mip, line, sigma_m, drop, status).
+
+    reaches(main_path_id, is_mainstem, width, dist_out, reach_len): the budget follows the widths of
+    a path's mainstem reaches over LEAST_WIDTH_M, in groups of like width, upstream first. Without
+    them, or for a path without such reaches, it is a 400th of the line's length.
+    """
+    schema = f"mip long, line {LINE}, sigma_m double, drop double, status string"
+    lines = lines.where("line is not null and size(line) >= 3").select("mip", "line")
+    if reaches is None:
+        wide = lines.select("mip", F.array().cast("array<struct<d:double,width:double,len:double>>").alias("wide"))
+    else:
+        used = reaches.where(F.coalesce("is_mainstem", F.lit(False)) & (F.col("width") > LEAST_WIDTH_M))
+        row = F.struct((-F.col("dist_out")).alias("d"), F.col("width").alias("width"), F.coalesce("reach_len", F.lit(0.0)).alias("len"))
+        wide = used.groupBy(F.col("main_path_id").alias("mip")).agg(F.array_sort(F.collect_list(row)).alias("wide"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for mip, line, rows in zip(part["mip"], part["line"], part["wide"]):
+            profile = None
+            rows = [r for r in (rows if rows is not None else ()) if r["len"] > 0]
+            if rows:
+                profile = width_profile(*relative_groups(np.array([r["width"] for r in rows]), np.array([r["len"] for r in rows]), tolerance))
+            r = simplest_similar(as_points(line), step_m, width=profile, budget_fraction=budget_fraction)
+            found.append((int(mip), [{"x": x, "y": y} for x, y in r["line"].tolist()], r["sigma_m"], r["drop"], r["status"]))
+        return pd.DataFrame(found, columns=["mip", "line", "sigma_m", "drop", "status"])
+
+    return lines.join(wide, "mip", "left").mapInPandas(lambda batches: map(run, batches), schema)

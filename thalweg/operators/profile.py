@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..schemas import finite, first_of, require
 
 
+def renamed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old_path_id, new_path_id): the path that an old path's first shared reach has now; both tables have reach_id and main_path_id."""
+    pairs = old.select("reach_id", F.col("main_path_id").alias("old_path_id")).join(new.select("reach_id", F.col("main_path_id").alias("new_path_id")), "reach_id")
+    return pairs.where("old_path_id is not null and new_path_id is not null").groupBy("old_path_id").agg(F.min_by("new_path_id", F.struct("reach_id", "new_path_id")).alias("new_path_id"))
+
+
 def mainstem(df: DataFrame) -> DataFrame:
     """Rows on the main stem; an unknown flag counts as no."""
     return df.where(F.coalesce(F.col("is_mainstem"), F.lit(False)))

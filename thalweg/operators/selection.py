@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import SelectionConfig, Setting
 from .changepoint import by_path
 from .support import chain_clusters
+from .windows import label
 
 HISTORY = "array<struct<k:int,added_m:double,total_sse:double,improvement:double,relative:double>>"
 SELECTIONS = (
@@ -110,27 +111,38 @@ def prefix(base: float, made: list[tuple[float, float, float]], stop_relative: f
     return len(made)
 
 
-def select(features: DataFrame, windows: DataFrame, support: DataFrame, columns: Sequence[str], settings: dict[str, Sequence[Setting]], config: SelectionConfig = SelectionConfig()) -> DataFrame:
+def select(features: DataFrame, windows: DataFrame, support: DataFrame, columns: Sequence[str], settings: dict[str, Sequence[Setting]], config: SelectionConfig = SelectionConfig(), breaks: DataFrame | None = None) -> DataFrame:
     """A row for each path, family and setting of the family (see SELECTIONS).
 
     features: imputed z-scores by (mip, window_m, pos). windows: (mip, family, window_m).
+    breaks: those of the runs (mip, family, break_m, ...), where candidates come from all runs.
     Statuses: ok, no_candidates, constant_features.
     """
     columns = list(columns)
     settings = {k: list(v) for k, v in settings.items()}
     known = ["support_runs", "support_windows", "n_windows_supported", "frequency"]
     none = F.lit(None).cast("double")
+    if config.source == "all_runs":
+        if breaks is None:
+            raise ValueError("candidates of all runs need the breaks of the runs")
+        # Support rules do not hold for them.
+        support = all_run_candidates(breaks, config.candidate_tolerance_m).select("*", *[F.lit(float("inf")).alias(k) for k in known])
+    elif config.source != "support":
+        raise ValueError(f"unknown source of candidates: {config.source}")
+    weight = F.lit(1.0)
+    for named, w in config.window_weights:
+        weight = F.when(label(F.col("window_m")) == named, float(w)).otherwise(weight)
     rows = windows.select("mip", "family", "window_m").distinct().join(features.select("mip", "window_m", "pos", "dist_m", *columns), ["mip", "window_m"])
     # Points and candidates of a path stand in one order, points first, so that a batch holds many paths.
-    rows = rows.select("mip", "family", F.lit(0).alias("kind"), "window_m", "pos", "dist_m", *columns, *[none.alias(k) for k in known])
+    rows = rows.select("mip", "family", F.lit(0).alias("kind"), "window_m", "pos", "dist_m", *columns, weight.alias(known[0]), *[none.alias(k) for k in known[1:]])
     points = support.select("mip", "family", F.lit(1).alias("kind"), none.alias("window_m"), F.lit(0).alias("pos"), F.col("center_m").alias("dist_m"), *[none.alias(c) for c in columns], *[F.col(k).cast("double").alias(k) for k in known])
 
-    def choose(mip: int, family: str, window: np.ndarray, dist: np.ndarray, x: np.ndarray, center: np.ndarray, s: np.ndarray) -> list[tuple]:
+    def choose(mip: int, family: str, window: np.ndarray, dist: np.ndarray, x: np.ndarray, weights: np.ndarray, center: np.ndarray, s: np.ndarray) -> list[tuple]:
         cuts = np.flatnonzero(np.append(True, np.diff(window) != 0)).tolist()
         tables = [x[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(x)])]
         dist = dist[cuts[-1] :]
         useful = np.max([t.std(axis=0) for t in tables], axis=0) > 1e-12
-        profile = Profile(dist, [t[:, useful] for t in tables])
+        profile = Profile(dist, [t[:, useful] for t in tables], weights[cuts])
         done: dict[tuple[float, int], tuple] = {}
         out = []
         for setting in settings.get(family, []):
@@ -167,13 +179,50 @@ def select(features: DataFrame, windows: DataFrame, support: DataFrame, columns:
         for lo, hi in zip(starts, [*starts[1:], len(batch)]):
             m = lo + int((kind[lo:hi] == 0).sum())
             if m > lo:
-                out += choose(int(mip[lo]), str(family[lo]), window[lo:m], dist[lo:m], x[lo:m], dist[m:hi], s[m:hi])
+                out += choose(int(mip[lo]), str(family[lo]), window[lo:m], dist[lo:m], x[lo:m], s[lo:m, 0], dist[m:hi], s[m:hi])
         return pd.DataFrame(out, columns=names)
 
     ordered = rows.unionByName(points).repartition("mip").sortWithinPartitions("mip", "family", "kind", "window_m", "pos")
     return ordered.mapInPandas(lambda batches: by_path(batches, each), SELECTIONS)
 
 
+def break_faults(selections: DataFrame, profile: DataFrame, config: SelectionConfig = SelectionConfig()) -> DataFrame:
+    """(mip, family, setting, fault): chosen breaks that break a rule. None are to be expected."""
+    ends = profile.groupBy("mip").agg(F.min("dist_m").alias("_lo"), F.max("dist_m").alias("_hi"))
+    rows = selections.where("status = 'ok' and size(breaks_m) > 0").join(ends, "mip").withColumn("_b", F.array_sort("breaks_m"))
+    gaps = lambda a: F.zip_with(F.slice(a, 2, 1 << 30), F.slice(a, F.lit(1), F.size(a) - 1), lambda y, x: y - x)
+    some = lambda a, rule: F.coalesce(F.exists(a, rule), F.lit(False))
+    whole = F.concat(F.array("_lo"), F.col("_b"), F.array("_hi"))
+    rules = {
+        "not_finite": some(F.col("_b"), lambda b: b.isNull() | F.isnan(b) | (F.abs(b) == F.lit(float("inf")))),
+        "not_increasing": some(gaps(F.col("_b")), lambda g: g <= 0),
+        "outside": some(F.col("_b"), lambda b: (b <= F.col("_lo")) | (b >= F.col("_hi"))),
+        "too_near": some(gaps(F.col("_b")), lambda g: g < config.min_spacing_m - 1e-9),
+    }
+    if config.min_reach_m is not None:
+        rules["short_reach"] = some(gaps(whole), lambda g: g < config.min_reach_m - 1e-9)
+    faults = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda f: f.isNotNull())
+    return rows.select("mip", "family", "setting", F.explode(faults).alias("fault"))
+
+
+def compare_runs(selections: DataFrame, tolerance_m: float = 2000.0) -> tuple[DataFrame, DataFrame]:
+    """Runs of a path side by side: a row for each run, and the chain clusters of their breaks with the runs that have them.
+
+    selections: (mip, run, breaks_m, n_candidates, final_sse), of any kind of runs.
+    """
+    km = lambda a: F.transform(F.array_sort(a), lambda b: F.round(b / 1000, 2))
+    runs = selections.select(
+        "mip", "run", F.size("breaks_m").alias("n_breaks"), km("breaks_m").alias("breaks_km"), "n_candidates", "final_sse",
+        (F.col("n_candidates") / F.greatest(F.size("breaks_m"), F.lit(1))).alias("candidates_per_break"),
+    )
+    single = selections.select("mip", "run", F.explode("breaks_m").alias("break_m"))
+    clusters = chain_clusters(single, tolerance_m, keys=("mip",), ties=("run",)).groupBy("mip", "cluster_id").agg(
+        (F.percentile("break_m", F.lit(0.5)) / 1000).alias("center_km"), F.countDistinct("run").alias("n_runs_supported"),
+        F.sort_array(F.collect_set("run")).alias("runs_supported"), F.transform(F.sort_array(F.collect_list("break_m")), lambda b: F.round(b / 1000, 2)).alias("members_km"),
+    )
+    return runs, clusters
+
+
 def break_rows(selections: DataFrame) -> DataFrame:
     """(mip, family, setting, break_m) of the valid selections, with how many of them there are."""
     valid = selections.where("status = 'ok'")

@@ -262,10 +262,19 @@ def threshold_summary(consensus: DataFrame, config: TuningConfig = TuningConfig(
         F.count_if(kept).alias("n_kept"), F.count("*").alias("n_all"), F.avg(F.when(kept, F.col("support"))).alias("support"), F.avg(F.when(kept, F.col("span_m"))).alias("span_m"), F.max(F.when(kept, F.col("span_m"))).alias("max_span_m")
     )
     return per.groupBy("family", "threshold").agg(
-        F.count("*").alias("n_paths"), F.avg("n_kept").alias("mean_kept"), F.avg(F.col("n_kept") / F.col("n_all")).alias("mean_kept_share"), F.avg("support").alias("mean_support"), F.avg("span_m").alias("mean_span_m"), F.max("max_span_m").alias("max_span_m")
+        F.count("*").alias("n_paths"), F.avg("n_kept").alias("mean_kept"), F.avg(F.col("n_kept") / F.col("n_all")).alias("mean_kept_share"), F.avg("support").alias("mean_support"), F.avg("span_m").alias("mean_span_m"), F.max("max_span_m").alias("max_span_m"), F.avg("max_span_m").alias("mean_max_span_m")
     )
 
 
+def threshold_candidates(summary: DataFrame, family: str | None = None) -> DataFrame:
+    """Thresholds of each family (or of one) that none beats in kept clusters, their support and their widest, best first."""
+    rows = summary.withColumn("setting", F.col("threshold").cast("string"))
+    front = pareto(rows, ("mean_kept", "mean_support"), ("mean_max_span_m",)).where("is_pareto").drop("setting", "is_pareto")
+    front = front if family is None else front.where(F.col("family") == family)
+    order = Window.partitionBy("family").orderBy(F.col("mean_support").desc_nulls_last(), F.col("mean_max_span_m").asc_nulls_last(), F.col("mean_kept").desc_nulls_last(), "threshold")
+    return front.withColumn("rank", F.row_number().over(order))
+
+
 def percent_rank(value: Column, keys: tuple[str, ...], higher_is_better: bool = True) -> Column:
     """Average rank over the number of rows; ties share their mean rank."""
     w = Window.partitionBy(*keys).orderBy(value.asc() if higher_is_better else value.desc())

@@ -53,8 +53,12 @@ def plan_windows(profile: DataFrame, config: WindowConfig = WindowConfig(), fami
     table = F.array(*[F.struct(F.lit(f.name).alias("family"), F.lit(f.n_windows).alias("n"), F.lit(f.raw or config.method == "raw").alias("raw")) for f in families])
     rows = facts.withColumn("_f", F.explode(table)).select("*", "_f.family", F.col("_f.n").alias("n_nominal"), "_f.raw").drop("_f")
     least = F.col("spacing_m") * max(config.min_points, 3)
-    top = F.least(F.col("width_high") * config.high_multiple, F.col("length_m") * config.max_fraction)
-    low = F.greatest(F.col("width_low") * config.low_multiple, least)
+    known = F.col("width_low").isNotNull()
+    top = F.when(known, F.lit(config.most_m)) if config.most_m is not None else F.col("width_high") * config.high_multiple
+    if config.max_fraction is not None:
+        top = F.least(top, F.col("length_m") * config.max_fraction)
+    low = F.greatest(F.when(known, F.lit(config.least_m)) if config.least_m is not None else F.col("width_low") * config.low_multiple, least)
+    low = F.when(known, low)
     rows = rows.withColumn("_low", low).withColumn("_high", F.greatest(top, F.col("_low")))
     n = F.col("n_nominal")
     close = F.abs(F.col("_high") - F.col("_low")) <= 1e-8 + 1e-5 * F.abs(F.col("_high"))

@@ -117,7 +117,7 @@ def _frames(body: str) -> str:
 
 ORACLES: dict[str, str] = {
     "profile_short": f"WITH {SP} SELECT mip, pos, dist_m, round(CASE WHEN width > 0 THEN ln(width) END, 6) AS log_width, CAST(n_channels > 1 AS DOUBLE) AS multi FROM profile",
-    "node_heights": f"WITH {OBS} SELECT node_id, round(wse, 6) AS wse FROM ({HEIGHTS} AND reach_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) GROUP BY node_id)",
+    "node_heights": f"WITH {OBS} SELECT node_id, round(wse, 6) AS wse FROM ({HEIGHTS} AND reach_id IN (SELECT s_suppkey FROM supplier) GROUP BY node_id)",
     "nodes_with_heights": f"WITH {OBS}, h AS ({HEIGHTS} GROUP BY node_id) SELECT p_partkey AS node_id, p_size AS reach_id, round(wse, 6) AS wse FROM part LEFT JOIN h ON node_id = p_partkey",
     "enriched_nodes": "SELECT p_partkey AS node_id, round(p_size + coalesce(CAST(s_nationkey AS DOUBLE), 0), 6) AS multi_n_chan, round(p_retailprice + coalesce(s_acctbal, 0), 6) AS multi_width FROM part LEFT JOIN supplier ON s_suppkey = p_partkey",
     "ordered_nodes": "SELECT l_suppkey AS mip, l_orderkey * 10 + l_linenumber AS node_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, round(sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS dist_m FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber)",
@@ -210,7 +210,7 @@ ORACLES: dict[str, str] = {
           CASE WHEN b.ch IS NULL THEN '1-URGENT' WHEN a.ch IS NULL THEN '2-HIGH' WHEN (a.ch - b.ch) / abs(b.ch) > 0.02 THEN '1-URGENT' WHEN (a.ch - b.ch) / abs(b.ch) < -0.02 THEN '2-HIGH' ELSE 'tie' END AS winner FROM a FULL OUTER JOIN b USING (mip)""",
     "threshold_summary": f"""WITH RECURSIVE {BR}, {anchored(900)}, t AS (SELECT unnest([0.5, 0.625, 0.75, 0.875])::DOUBLE AS threshold),
         p AS (SELECT family, threshold, mip, count(*) FILTER (support >= threshold) AS n_kept, count(*) AS n_all, avg(support) FILTER (support >= threshold) AS s, avg(span_m) FILTER (support >= threshold) AS w, max(span_m) FILTER (support >= threshold) AS x FROM consensus CROSS JOIN t GROUP BY 1, 2, 3)
-        SELECT family, threshold, count(*) AS n_paths, round(avg(n_kept), 6) AS mean_kept, round(avg(n_kept / n_all), 6) AS mean_kept_share, round(avg(s), 6) AS mean_support, round(avg(w), 6) AS mean_span_m, round(max(x), 6) AS max_span_m FROM p GROUP BY 1, 2""",
+        SELECT family, threshold, count(*) AS n_paths, round(avg(n_kept), 6) AS mean_kept, round(avg(n_kept / n_all), 6) AS mean_kept_share, round(avg(s), 6) AS mean_support, round(avg(w), 6) AS mean_span_m, round(max(x), 6) AS max_span_m, round(avg(x), 6) AS mean_max_span_m FROM p GROUP BY 1, 2""",
     "percent_rank": """SELECT p_partkey, round((rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 6) AS up,
         round((rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 6) AS down FROM part""",
     "downstream_pairs": "SELECT DISTINCT l_suppkey AS reach_id, l_partkey % 100 AS dn_id FROM lineitem WHERE l_partkey % 100 <> 0 AND l_partkey % 100 <> l_suppkey",
@@ -223,4 +223,47 @@ ORACLES: dict[str, str] = {
         SELECT mip, CASE WHEN mip % 2 = 1 THEN 'reversed_to_match_node_dist' ELSE 'already_oriented' END AS status, mip % 2 = 1 AS reversed, round(CASE WHEN mip % 2 = 1 THEN gap ELSE 0 END, 6) AS error_forward_m,
           round(CASE WHEN mip % 2 = 1 THEN 0 ELSE gap END, 6) AS error_reverse_m, round(gap, 6) AS margin_m FROM g""",
     "metric_at_nodes": f"WITH {SP} SELECT n.mip, n.pos, round(quantile_cont(p.width, 0.5), 6) AS width FROM profile n JOIN profile p ON p.mip = n.mip AND abs(p.dist_m - n.dist_m) <= 500 GROUP BY 1, 2",
+    "threshold_candidates": f"""WITH RECURSIVE {BR}, {anchored(900)}, t AS (SELECT unnest([0.5, 0.625, 0.75, 0.875])::DOUBLE AS threshold),
+        p AS (SELECT family, threshold, mip, count(*) FILTER (support >= threshold) AS n, avg(support) FILTER (support >= threshold) AS s, max(span_m) FILTER (support >= threshold) AS x FROM consensus CROSS JOIN t GROUP BY 1, 2, 3),
+        q AS (SELECT family, threshold, round(avg(n), 6) AS n, round(avg(s), 6) AS s, round(avg(x), 6) AS x FROM p GROUP BY 1, 2)
+        SELECT family, threshold, CAST(row_number() OVER (PARTITION BY family ORDER BY s DESC NULLS LAST, x NULLS LAST, n DESC, threshold) AS INTEGER) AS rank FROM q a
+        WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.family = a.family AND b.n >= a.n AND b.s >= a.s AND b.x <= a.x AND (b.n > a.n OR b.s > a.s OR b.x < a.x))""",
+    "family_choice": f"""WITH {SETTINGS}, top AS (SELECT *, row_number() OVER (ORDER BY mean_ch DESC NULLS LAST, mean_centrality DESC NULLS LAST, instability NULLS LAST, mean_span_penalty NULLS LAST, mean_sse_ratio NULLS LAST, family) AS k FROM reps),
+        a AS (SELECT * FROM top WHERE k = 1), b AS (SELECT * FROM top WHERE k = 2),
+        l AS (SELECT e.mip, e.ch FROM evaluated e JOIN a USING (family, setting)), r AS (SELECT e.mip, e.ch FROM evaluated e JOIN b USING (family, setting)),
+        j AS (SELECT l.mip IS NOT NULL AND r.mip IS NOT NULL AS both_there, CASE WHEN r.mip IS NULL THEN 1 WHEN l.mip IS NULL THEN 2 WHEN (l.ch - r.ch) / greatest(abs(r.ch), 1e-12) > 0.02 THEN 1 WHEN (l.ch - r.ch) / greatest(abs(r.ch), 1e-12) < -0.02 THEN 2 ELSE 0 END AS w FROM l FULL OUTER JOIN r ON l.mip = r.mip),
+        c AS (SELECT count(*) AS n_paths, count(*) FILTER (both_there) AS n_both, count(*) FILTER (w > 0) AS n_decided, count(*) FILTER (w = 0) AS n_ties, count(*) FILTER (w = 1) AS w1, count(*) FILTER (w = 2) AS w2 FROM j),
+        v AS (SELECT c.*, a.family AS fa, b.family AS fb, round((a.mean_ch - b.mean_ch) / greatest(abs(b.mean_ch), 1e-12), 5) AS gap,
+          CASE WHEN w1 >= 0.75 * n_decided AND n_decided > 0 THEN 1 WHEN w2 >= 0.75 * n_decided AND n_decided > 0 THEN 2
+               WHEN (-a.mean_centrality, a.instability, a.mean_span_penalty, a.mean_sse_ratio) <= (-b.mean_centrality, b.instability, b.mean_span_penalty, b.mean_sse_ratio) THEN 3 ELSE 4 END AS how FROM c, a, b)
+        SELECT CASE WHEN how IN (1, 3) THEN fa ELSE fb END AS family, CASE WHEN how IN (1, 3) THEN fb ELSE fa END AS runner_up, CASE WHEN how <= 2 THEN 'path_wins' ELSE 'robustness' END AS reason, gap, n_paths, n_both, n_decided, n_ties,
+          CASE WHEN how IN (1, 3) THEN w1 ELSE w2 END AS wins, CASE WHEN how IN (1, 3) THEN w2 ELSE w1 END AS runner_up_wins FROM v""",
+    "break_faults": f"""WITH {BR}, b AS (SELECT DISTINCT mip, family, setting, break_m FROM breaks), e AS (SELECT mip, min(dist_m) AS lo, max(dist_m) AS hi FROM profile GROUP BY mip),
+        g AS (SELECT mip, family, setting, break_m, break_m - lag(break_m) OVER w AS gap, row_number() OVER w AS k, count(*) OVER (PARTITION BY mip, family, setting) AS n, lo, hi FROM b JOIN e USING (mip) WINDOW w AS (PARTITION BY mip, family, setting ORDER BY break_m))
+        SELECT DISTINCT mip, family, setting, 'outside' AS fault FROM g WHERE break_m <= lo OR break_m >= hi
+        UNION ALL SELECT DISTINCT mip, family, setting, 'too_near' FROM g WHERE gap < 500 - 1e-9
+        UNION ALL SELECT DISTINCT mip, family, setting, 'short_reach' FROM g WHERE coalesce(gap, break_m - lo) < 600 - 1e-9 OR (k = n AND hi - break_m < 600 - 1e-9)""",
+    "run_comparison": f"""WITH {BR}, b AS (SELECT mip, setting, count(DISTINCT break_m) AS n FROM breaks GROUP BY 1, 2)
+        SELECT mip, setting AS run, CAST(n AS INTEGER) AS n_breaks, CAST(n + mip % 3 AS INTEGER) AS n_candidates, CAST(mip AS DOUBLE) AS final_sse, round((n + mip % 3) / n, 6) AS candidates_per_break FROM b""",
+    "run_clusters": f"""WITH {BR}, b AS (SELECT DISTINCT mip, setting, break_m FROM breaks),
+        c AS (SELECT *, sum(fresh) OVER (PARTITION BY mip ORDER BY break_m, setting) AS cluster_id FROM (SELECT *, CASE WHEN break_m - lag(break_m) OVER (PARTITION BY mip ORDER BY break_m, setting) > 400 THEN 1 ELSE 0 END AS fresh FROM b))
+        SELECT mip, CAST(cluster_id AS INTEGER) AS cluster_id, round(quantile_cont(break_m, 0.5) / 1000, 6) AS center_km, count(DISTINCT setting) AS n_runs_supported, string_agg(DISTINCT setting, ',' ORDER BY setting) AS runs_supported, CAST(count(*) AS INTEGER) AS n_members FROM c GROUP BY mip, cluster_id""",
+    "renamed_paths": "SELECT o_custkey AS old_path_id, arg_min(o_custkey % 100, o_orderkey) AS new_path_id FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1",
+    "mainstem_paths": "SELECT count(DISTINCT o_custkey) AS n_paths, count(DISTINCT o_orderkey) AS n_reaches FROM orders WHERE o_orderkey % 4 < 2",
+    "side_channels": f"""WITH {LP}, n AS (SELECT mip, max(pos) AS last FROM profile GROUP BY mip)
+        f AS (SELECT mip, pos, last, width, mip * 1000000 + pos AS i FROM profile JOIN n USING (mip) WHERE pos % 10 = 3),
+        c AS (SELECT *, least(concat_ws('-', i, CASE WHEN pos + 1 <= last THEN i + 1 END, i + 500000), concat(i + 500000, '-', i + 600000), CASE WHEN pos + 4 <= last THEN concat(i + 3, '-', i + 4, '-', i + 600000) ELSE concat(i + 600000) END) AS name FROM f),
+        r AS (SELECT *, row_number() OVER (PARTITION BY mip ORDER BY name) - 1 AS component FROM c)
+        SELECT p.mip, p.i + j AS reach_id, CAST(p.component AS INTEGER) AS component, 2::INTEGER AS k_max, 1.0::DOUBLE AS k_eff, 1.0::DOUBLE AS k_eff_raw, round((p.width / 2 + p.width / 3) / 2, 6) AS width_extra,
+          600.0::DOUBLE AS l_main, 900.0::DOUBLE AS l_dominant, 0.0::DOUBLE AS l_extra, 'ok' AS status
+        FROM r p CROSS JOIN (SELECT unnest([1, 2, 3]) AS j) WHERE p.pos + 4 <= last""",
+    "sampled_lines": f"""WITH {SP}, s AS (SELECT mip, pos, x, y, coalesce(sum(step) OVER (PARTITION BY mip ORDER BY pos), 0) AS s FROM (SELECT mip, pos, x, y, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM profile WINDOW w AS (PARTITION BY mip ORDER BY pos))),
+        g AS (SELECT *, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY mip ORDER BY pos)), t AS (SELECT mip, max(s) AS total FROM s GROUP BY mip),
+        k AS (SELECT mip, total, unnest(range(0, CAST(ceil(total / 50) AS BIGINT))) AS k FROM t), d AS (SELECT mip, k, 50.0 * k AS dist_m FROM k UNION ALL SELECT mip, CAST(ceil(total / 50) AS BIGINT), total FROM t WHERE total - 50.0 * (ceil(total / 50) - 1) > 1e-9)
+        SELECT d.mip, CAST(d.k AS INTEGER) AS k, round(CAST(dist_m AS DOUBLE), 6) AS dist_m, round(g.x + (dist_m - g.s) * (g.x2 - g.x) / (g.s2 - g.s), 6) AS x, round(g.y + (dist_m - g.s) * (g.y2 - g.y) / (g.s2 - g.s), 6) AS y
+        FROM d JOIN t USING (mip) JOIN g ON g.mip = d.mip AND ((g.s <= d.dist_m AND d.dist_m < g.s2) OR (d.dist_m = t.total AND g.s2 = t.total))""",
+    "node_coordinates": f"""WITH {SP}, s AS (SELECT mip, pos, x, y, dist_m, coalesce(sum(step) OVER (PARTITION BY mip ORDER BY pos), 0) AS s FROM (SELECT mip, pos, x, y, dist_m, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM profile WINDOW w AS (PARTITION BY mip ORDER BY pos))),
+        g AS (SELECT *, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY mip ORDER BY pos)), t AS (SELECT mip, max(s) AS total FROM s GROUP BY mip)
+        SELECT n.mip, n.pos, round(g.x + (least(n.dist_m, total) - g.s) * (g.x2 - g.x) / (g.s2 - g.s), 6) AS x, round(g.y + (least(n.dist_m, total) - g.s) * (g.y2 - g.y) / (g.s2 - g.s), 6) AS y
+        FROM s n JOIN t USING (mip) JOIN g ON g.mip = n.mip AND ((g.s <= least(n.dist_m, total) AND least(n.dist_m, total) < g.s2) OR (n.dist_m >= total AND g.s2 = total))""",
 }

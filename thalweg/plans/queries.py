@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CalibrationConfig, ConsensusConfig, Family, PipelineConfig, SelectionConfig, WindowConfig
+from ..config import CalibrationConfig, ConsensusConfig, Family, PipelineConfig, SelectionConfig, TuningConfig, WindowConfig
 from ..operators import calibration, centerline, changepoint, consensus, features, geometry, graph, profile, selection, support, tuning, windows
 from . import runner, standin
 
@@ -89,7 +89,7 @@ def profile_short(spark, d):
 
 def node_heights(spark, d):
     standin.views(spark, d, "supplier")
-    reaches = spark.table("supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("reach_id"))
+    reaches = spark.table("supplier").select(F.col("s_suppkey").alias("reach_id"))
     return rounded(profile.node_heights(_observations(spark, d), reaches, dark=0.5))
 
 
@@ -327,6 +327,53 @@ def percent_rank(spark, d):
     return rounded(p.select("p_partkey", tuning.percent_rank(F.col("p_size"), ("p_brand",), True).alias("up"), tuning.percent_rank(F.col("p_size"), ("p_brand",), False).alias("down")))
 
 
+def threshold_candidates(spark, d):
+    summary = tuning.threshold_summary(consensus.consensus(_breaks(spark, d), ConsensusConfig(900.0)))
+    return tuning.threshold_candidates(rounded(summary)).select("family", "threshold", "rank")
+
+
+def family_choice(spark, d):
+    """How the two best families compare: the gap of their indexes, and the paths won by each."""
+    front = _front(spark, d)
+    evaluated = _evaluated(spark, d)
+    found = tuning.choose_family(evaluated, front, TuningConfig(mean_ch_gap=1.0))
+    names = [found["family"], found["runner_up"]]
+    return rounded(spark.createDataFrame(
+        [(found["family"], found["runner_up"], found["reason"], found["gap"], found["n_paths"], found["n_both"], found["n_decided"], found["n_ties"], *(found["wins"][f] for f in names))],
+        "family string, runner_up string, reason string, gap double, n_paths long, n_both long, n_decided long, n_ties long, wins long, runner_up_wins long",
+    ), 5)
+
+
+def _chosen(spark, d):
+    rows = _breaks(spark, d).groupBy("mip", "family", "setting").agg(F.array_sort(F.collect_set("break_m")).alias("breaks_m"))
+    return rows.withColumn("status", F.lit("ok")).withColumn("n_candidates", F.size("breaks_m") + F.col("mip").cast("int") % 3).withColumn("final_sse", F.col("mip").cast("double"))
+
+
+def break_faults(spark, d):
+    return selection.break_faults(_chosen(spark, d), _short(spark, d), SelectionConfig(min_spacing_m=500.0, min_reach_m=600.0))
+
+
+def run_comparison(spark, d):
+    runs, _ = selection.compare_runs(_chosen(spark, d).withColumnRenamed("setting", "run"), 400.0)
+    return rounded(runs.select("mip", "run", "n_breaks", "n_candidates", "final_sse", "candidates_per_break"))
+
+
+def run_clusters(spark, d):
+    _, clusters = selection.compare_runs(_chosen(spark, d).withColumnRenamed("setting", "run"), 400.0)
+    return rounded(clusters.select("mip", "cluster_id", "center_km", "n_runs_supported", F.concat_ws(",", "runs_supported").alias("runs_supported"), F.size("members_km").alias("n_members")))
+
+
+def renamed_paths(spark, d):
+    standin.views(spark, d, "orders")
+    old = spark.sql("SELECT o_orderkey AS reach_id, o_custkey AS main_path_id FROM orders")
+    return profile.renamed_paths(old, spark.sql("SELECT o_orderkey AS reach_id, o_custkey % 100 AS main_path_id FROM orders WHERE o_orderkey % 3 > 0"))
+
+
+def mainstem_paths(spark, d):
+    standin.views(spark, d, "orders")
+    return centerline.mainstem_paths(spark.sql("SELECT o_orderkey AS reach_id, o_custkey AS main_path_id, o_orderkey % 4 < 2 AS is_mainstem FROM orders"))
+
+
 def change_points(spark, d):
     p = _short(spark, d)
     plan = windows.final_plan(windows.plan_windows(p, FIXED, TWO))
@@ -439,7 +486,7 @@ NAMES = (
     "profile_short node_heights nodes_with_heights enriched_nodes ordered_nodes reach_means distance_faults feature_health spacing_and_quantiles window_plan window_feasibility "
     "rolling_features rolling_slope filled_gaps rolling_sinuosity moving_average curvature standardized useful_features nan_rates chain_clusters support_table candidates all_run_candidates "
     "consensus_table stable_segments segment_labels cut_indices exact_positions gap_pairs family_gaps limit_sweep plateau relative_quality calinski_harabasz span_statistics setting_centrality "
-    "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary percent_rank change_points selections segments support_sweep reach_summary two_stage "
+    "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary threshold_candidates family_choice break_faults run_comparison run_clusters renamed_paths mainstem_paths percent_rank change_points selections segments support_sweep reach_summary two_stage "
     "downstream_pairs line_graph width_summary side_channels line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines smoothed_lines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

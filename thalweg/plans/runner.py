@@ -18,11 +18,14 @@ from ..operators import calibration, changepoint, consensus, features, selection
 def settle(df: DataFrame) -> DataFrame:
     """Compute df once, in the shared folder of spark.checkpoint.dir, and forget how it was made.
 
-    Only where that is unset (a local session) a folder of our own is used.
+    Only where that is unset and the master is local a folder of our own is used.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="thalweg-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="thalweg-"))
     return df.checkpoint(eager=True)
 
 
@@ -45,7 +48,8 @@ def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), t
 
 def select_and_agree(base: dict[str, DataFrame], settings: dict[str, list[Setting]], config: PipelineConfig, agree: ConsensusConfig) -> dict[str, DataFrame]:
     """Selections of every setting, and the consensus of them."""
-    chosen = settle(selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection))
+    breaks = changepoint.run_breaks(base["runs"]) if config.selection.source == "all_runs" else None
+    chosen = settle(selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection, breaks))
     rows = selection.break_rows(chosen)
     table = consensus.consensus(rows, agree)
     return {"selections": chosen, "break_rows": rows, "consensus": table, "stable": consensus.stable_breaks(table)}
@@ -98,8 +102,10 @@ def evaluate(grid: dict[str, DataFrame], columns, config: TuningConfig = TuningC
 
 def analyse(grid: dict[str, DataFrame], columns, config: TuningConfig = TuningConfig()) -> dict:
     """The tables of a tuning analysis and the chosen family with the settings to keep."""
-    evaluated = evaluate(grid, columns, config)
-    stats = tuning.pareto(tuning.instability(tuning.setting_statistics(evaluated)))
+    # Several tables and three collects are made from these.
+    grid = grid | {"features": settle(grid["features"])}
+    evaluated = settle(evaluate(grid, columns, config))
+    stats = settle(tuning.pareto(tuning.instability(tuning.setting_statistics(evaluated))))
     reps = tuning.representatives(stats)
     choice = tuning.choose_family(evaluated, stats, config)
     local = tuning.local_grid(stats, reps, config.min_keep)
@@ -118,31 +124,72 @@ def recommended(analysis: dict) -> tuple[str, tuple[Setting, ...]]:
 
 def calibrated(grid: dict[str, DataFrame], families=None) -> tuple[dict[str, DataFrame], dict]:
     """The grid under a merge threshold calibrated from its own breaks."""
-    positions = support.collapse_exact(grid["break_rows"])
+    positions = settle(support.collapse_exact(grid["break_rows"]))
     if families is not None:
         positions = positions.where(F.col("family").isin(list(target_families(families))))
     found = calibration.calibrate(positions)
     return recluster(grid, ConsensusConfig(1000.0 * found["threshold_km"])), found
 
 
-def run_stage(profile: DataFrame, stage, config: PipelineConfig = PipelineConfig(), external: DataFrame | None = None) -> dict:
-    """Tune, calibrate, analyse and finalise one stage; the seconds of each step are kept."""
+def run_stage(profile: DataFrame, stage, config: PipelineConfig = PipelineConfig(), external: DataFrame | None = None, known: dict | None = None) -> dict:
+    """Tune, calibrate, analyse and finalise one stage; the seconds of each step are kept.
+
+    known: family, settings and threshold_m of an earlier tuning, which is then not done again.
+    """
     check_stage(stage)
     config = config.with_(features=stage.features, families=select_families(stage.families))
     if needs_geometry(stage.features) and external is None:
         raise ValueError("this stage needs geometry features")
     seconds, began = {}, time.perf_counter()
-    grid = tune(profile, config, external)
-    grid, found = calibrated(grid, stage.families)
-    seconds["calibration"] = time.perf_counter() - began
-    analysis = analyse(grid, stage.features)
-    seconds["analysis"] = time.perf_counter() - began - seconds["calibration"]
-    family, settings = recommended(analysis)
-    if family is None:
-        family, settings = stage.families[-1], FINAL_SETTINGS
-    final = finalize(profile, config, family, settings or FINAL_SETTINGS, 1000.0 * found["threshold_km"], external=external)
+    last = began
+
+    def lap(name: str) -> None:
+        nonlocal last
+        seconds[name], last = time.perf_counter() - last, time.perf_counter()
+
+    out: dict = {}
+    if known is None:
+        grid = tune(profile, config, external)
+        lap("tuning")
+        grid, found = calibrated(grid, stage.families)
+        lap("calibration")
+        analysis = analyse(grid, stage.features)
+        lap("analysis")
+        family, settings = recommended(analysis)
+        if family is None:
+            family = stage.families[-1]
+        known = {"family": family, "settings": settings or FINAL_SETTINGS, "threshold_m": 1000.0 * found["threshold_km"]}
+        out = {"grid": grid, "calibration": found, "analysis": analysis}
+    final = finalize(profile, config, known["family"], known["settings"], known["threshold_m"], external=external)
+    lap("final")
     seconds["total"] = time.perf_counter() - began
-    return {"grid": grid, "calibration": found, "analysis": analysis, "final": final, "family": family, "settings": settings or FINAL_SETTINGS, "threshold_m": 1000.0 * found["threshold_km"], "seconds": seconds}
+    return out | known | {"final": final, "seconds": seconds}
+
+
+def tuning_tables(stage: dict) -> dict[str, DataFrame]:
+    """The tables that a tuned stage leaves: its grid, what became of it, and the analysis."""
+    grid, analysis = stage["grid"], stage["analysis"]
+    summary = run_summary(grid).withColumn("break_range", F.col("max_breaks") - F.col("min_breaks")).withColumn("candidate_range", F.col("max_candidates") - F.col("min_candidates"))
+    tables = {
+        "windows": grid["plan"], "selections": grid["selections"], "consensus": grid["consensus"], "excluded": grid["excluded"], "run_summary": summary,
+        "penalties": grid["runs"].select("mip", "family", "window_m", "window_label", "penalty", "status", F.size("break_m").alias("n_breaks")),
+        "run_breaks": changepoint.run_breaks(grid["runs"]), "setting_breaks": grid["break_rows"].select("mip", "family", "setting", "break_m"),
+        "history": grid["selections"].select("mip", "family", "setting", F.explode("history").alias("h")).select("mip", "family", "setting", "h.*"),
+        "missing": features.nan_rates(grid["features"], *[c for c in grid["features"].columns if c not in ("mip", "window_m", "pos", "dist_m", "window_pts")]),
+        "threshold_candidates": tuning.threshold_candidates(analysis["threshold_summary"], analysis["choice"]["family"]),
+        "gap_pairs": stage["calibration"]["pairs"], "gap_sweep": stage["calibration"]["sweep"],
+    }
+    return tables | {k: v for k, v in analysis.items() if isinstance(v, DataFrame)}
+
+
+def final_tables(final: dict[str, DataFrame], config: PipelineConfig = PipelineConfig()) -> dict[str, DataFrame]:
+    """The tables of a final run."""
+    names = ("stable", "segments", "consensus", "selections", "skipped", "plan", "support")
+    out = {k: final[k] for k in names if k in final}
+    if "consensus" in final:
+        reaches = reach_summary(final)
+        out |= {"reach_summary": reaches, "summary": overall_summary(reaches)}
+    return out
 
 
 SEGMENT_KEY = 1_000_000
