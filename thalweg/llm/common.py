@@ -82,6 +82,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def one_thread() -> None:
+    """Keep numpy's matrix products in a Python worker to the task's own core; other cores have tasks of their own."""
+    import ctypes
+    from pathlib import Path
+
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def release() -> None:
     """Give memory that a finished task no longer needs back to the system.
 

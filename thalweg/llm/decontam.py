@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, mix64, plain_id, release, small_batches
+from .common import ids_of, mix64, one_thread, plain_id, release, small_batches
 
 PASSAGE = 32
 DIM, EXTRA = 128, 16
@@ -210,6 +210,7 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     half = PASSAGE // 2
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         items, space, asked = shared.value
         for batch in batches:
             texts = [None if t is None or t != t else t for t in batch["text"]]

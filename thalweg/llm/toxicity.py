@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import one_thread, small_batches
 
 DECAY = 0.9
 WORD = 24
@@ -60,7 +60,7 @@ SHARP, SHARP_POWER = 10.0, 10
 #: Share of a landmark's own kernel value that is added to it before the root is taken.
 RIDGE = 1e-4
 #: Pairs of words and landmarks that are compared at once.
-COLUMNS = 8192
+COLUMNS = 2048
 #: Kernel values of less than this are taken as 0, and so are those of words that lack more than a quarter of a
 #: landmark's letters (or more than one of a shorter one's).
 FLOOR = 1.2
@@ -71,9 +71,12 @@ CACHE_WORDS = 250_000
 _SINGLES = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 
 
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
 def fold(word: str) -> str:
     """A word's letters in lower case without accents."""
-    word = word.lower()
+    word = word.lower().strip(_SIGNS)
     if not word.isascii():
         word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
@@ -103,18 +106,17 @@ def triples(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     one = np.zeros((len(b), a.shape[1]), dtype=np.float32)
     two, three = one.copy(), np.zeros(a.shape[1], dtype=np.float32)
     decay = np.float32(DECAY)
+    # What a place of b adds counts from the next one on, less with each place.
+    behind = np.tril(DECAY ** np.maximum(np.subtract.outer(np.arange(len(b)), np.arange(len(b))) - 1, 0), -1).astype(np.float32)
     for letter in a:
         same = (b == letter).astype(np.float32)
-        three += np.einsum("jp,jp->p", two, same)
-        # Both recurrences run over the places of b; what a place adds counts from the next one on.
         hit = one * same
         one *= decay
+        one += behind @ same
+        same *= two
+        three += np.einsum("jp->p", same)
         two *= decay
-        for j in range(1, len(b)):
-            one[j] += same[j - 1]
-            two[j] += hit[j - 1]
-            same[j] += decay * same[j - 1]
-            hit[j] += decay * hit[j - 1]
+        two += behind @ hit
     return three
 
 
@@ -224,7 +226,7 @@ class Reader:
         found: list[np.ndarray] = []
         for lo in range(0, len(texts), 256):
             lists = [words_of(t) for t in texts[lo : lo + 256]]
-            self._learn(sorted(w for w in set().union(*lists) if w not in self.of))
+            self._learn([w for w in set().union(*lists) if w not in self.of])
             found += [np.array(sorted({i for w in ws for i in self.of[w]}), dtype=np.int64) for ws in lists]
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in found])
         return owner, np.concatenate([np.zeros(0, dtype=np.int64), *found])
@@ -476,6 +478,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one_thread()
         m = shared.value
         for text in batches:
             yield pd.Series(m.score([None if t is None or t != t else t for t in text]).astype(np.float64))
