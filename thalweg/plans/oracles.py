@@ -250,7 +250,7 @@ ORACLES: dict[str, str] = {
         SELECT mip, CAST(cluster_id AS INTEGER) AS cluster_id, round(quantile_cont(break_m, 0.5) / 1000, 6) AS center_km, count(DISTINCT setting) AS n_runs_supported, string_agg(DISTINCT setting, ',' ORDER BY setting) AS runs_supported, CAST(count(*) AS INTEGER) AS n_members FROM c GROUP BY mip, cluster_id""",
     "renamed_paths": "SELECT o_custkey AS old_path_id, arg_min(o_custkey % 100, o_orderkey) AS new_path_id FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1",
     "mainstem_paths": "SELECT count(DISTINCT o_custkey) AS n_paths, count(DISTINCT o_orderkey) AS n_reaches FROM orders WHERE o_orderkey % 4 < 2",
-    "side_channels": f"""WITH {LP}, n AS (SELECT mip, max(pos) AS last FROM profile GROUP BY mip)
+    "side_channels": f"""WITH {LP}, n AS (SELECT mip, max(pos) AS last FROM profile GROUP BY mip),
         f AS (SELECT mip, pos, last, width, mip * 1000000 + pos AS i FROM profile JOIN n USING (mip) WHERE pos % 10 = 3),
         c AS (SELECT *, least(concat_ws('-', i, CASE WHEN pos + 1 <= last THEN i + 1 END, i + 500000), concat(i + 500000, '-', i + 600000), CASE WHEN pos + 4 <= last THEN concat(i + 3, '-', i + 4, '-', i + 600000) ELSE concat(i + 600000) END) AS name FROM f),
         r AS (SELECT *, row_number() OVER (PARTITION BY mip ORDER BY name) - 1 AS component FROM c)
