@@ -49,7 +49,7 @@ from .common import one_thread, small_batches
 DECAY = 0.9
 WORD = 24
 #: Bounds of the landmarks: all, ordinary words, and strings less than LIFT times as common in toxic rows.
-LANDMARKS, ORDINARY, WEAK = 512, 128, 64
+LANDMARKS, ORDINARY, WEAK = 256, 96, 64
 LIFT = 8.0
 #: Share of false ones among the strings taken as commoner in toxic rows (Benjamini and Hochberg).
 FALSE = 0.05
