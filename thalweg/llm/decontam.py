@@ -41,7 +41,7 @@ PASSAGE = 32
 DIM, EXTRA = 128, 16
 #: Terms are words of at most this share of the items (two items at least), and the rarest of each item.
 TERM_SHARE, TERMS_AT_LEAST = 0.02, 4
-CANDIDATE = 0.3
+CANDIDATE = 0.45
 COPY, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
 ANSWER_TERMS = 5
 ITEM_BLOCK = 1024
