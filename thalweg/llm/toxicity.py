@@ -66,7 +66,7 @@ COLUMNS = 2048
 FLOOR = 1.2
 #: Bound of the training sample: labelled rows of each kind, and characters of a row in it.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 
 _SINGLES = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 
