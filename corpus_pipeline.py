@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.llm import decontam, langid, neardup, packing, secrets
-from thalweg.llm.common import cut, filesystem, scratch, table
+from thalweg.llm.common import cut, filesystem, scratch, shuffles_dropped, table
 
 #: Words in a shingle and the similarity, in percent, of near duplicates.
 SHINGLE, PERCENT = 5, 80
@@ -101,6 +101,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     atexit.register(drop)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        made = stage(spark, docs, sf_dir)
+        with shuffles_dropped(spark):
+            made.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thalweg.llm import decontam, langid, neardup, packing, queries, secrets, sharding, tokenbin, topk, toxicity, urls
+from thalweg.llm import common, decontam, langid, neardup, packing, queries, secrets, sharding, tokenbin, topk, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -107,6 +107,39 @@ def test_components(spark):
     assert rows(neardup.components(edges), "id", "label") == sorted([(i, 4) for i in range(4, 10)] + [(i, 20) for i in (20, 21, 22)], key=repr)
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.length())) if n.startswith("shuffle_")}
+
+
+def left_behind(spark, before):
+    """New shuffle files that are still there after ten seconds; Spark removes them in the background."""
+    for _ in range(100):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    return shuffle_files(spark) - before
+
+
+def test_shuffle_files_go_with_their_query(spark, docs):
+    kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    want = rows(kept, "k", "count")
+    before = shuffle_files(spark)
+    assert rows(common.cut(kept), "k", "count") == want and not common.is_empty(kept)
+    assert not left_behind(spark, before)
+    assert spark.conf.get(common._CLEANUP, None) is None
+    kept.collect()  # a frame of the caller keeps its own
+    assert shuffle_files(spark) - before and rows(kept, "k", "count") == want
+    before = shuffle_files(spark)
+    found = neardup.groups(docs, 3, 85)
+    assert not left_behind(spark, before)
+    assert [r["kept"] for r in found.collect()] == [r["kept"] for r in found.collect()]
+    spark.conf.set(common._CLEANUP, "false")
+    common.cut(kept)
+    assert spark.conf.get(common._CLEANUP) == "false"
+    spark.conf.unset(common._CLEANUP)
+
+
 def test_secrets(docs, none):
     got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
     for i, t, _ in ROWS:

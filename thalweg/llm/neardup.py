@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ids_of, mix64, plain_id, release, small_batches
+from .common import cut, ids_of, is_empty, mix64, plain_id, release, small_batches
 from .shingles import shingle_sets
 
 BANDS, ROWS = 20, 4
@@ -201,9 +201,9 @@ def components(edges: DataFrame) -> DataFrame:
         # The label of my label is at least as small.
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = cut(lower.join(jump, "label", "left").select("id", "was", F.least("label", "further").alias("label")))
-        moved = new.where("label <> was").limit(1).count()
+        settled = is_empty(new.where("label <> was"))
         labels = new.select("id", "label")
-        if not moved:
+        if settled:
             return labels
 
 
@@ -214,7 +214,7 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """
     seen = cut(features(docs, k))
     several = seen.where("fp_hi is not null").groupBy("doc_id").agg(F.min("fp_hi").alias("lo"), F.max("fp_hi").alias("hi")).where("lo < hi")
-    if not several.isEmpty():
+    if not is_empty(several):
         return _by_row(docs, k, percent)
     # Equal sets have equal sizes and bands, so a class takes those of any of its rows; copies are united before they are sent.
     classes = seen.where("fp_hi is not null").groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
