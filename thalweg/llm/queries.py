@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, secrets, sharding, tokenbin, topk, toxicity, urls
+from . import decontam, langid, merkle, mixing, neardup, packing, resample, secrets, sharding, tokenbin, topk, toxicity, urls
 from .common import doc_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, and its place in the draw."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it verifies after some were tampered with."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op2_language_id": op2_language_id,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_source_mixing": op13_source_mixing,
 }
 
-ORACLES: dict[str, str] = {"op5_near_dedup": neardup.ORACLE, "op7_exact_topk": topk.ORACLE, "op9_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op5_near_dedup": neardup.ORACLE, "op7_exact_topk": topk.ORACLE, "op9_sharding": sharding.ORACLE, "op11_importance_resampling": resample.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
