@@ -290,6 +290,47 @@ def test_pipeline(spark):
     assert ids == kept - leaked
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, rejected boolean, _judged string, _ROW_KEY string, own string, `a.b` string, `c``d` string, m map<string,int>"
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_other_columns_alone(spark, tmp_path, stage):
+    rng = np.random.default_rng(8)
+    words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    rows = [(i, " ".join(rng.choice(words, 40)), "en", "s", 0, f"s{i}", "xx", i % 2 == 0, "j", "k", f"o{i}", f"dot{i}", f"tick{i}", {"n": i}) for i in range(40)]
+    rows += [(i, t, g, s, n, "twin", *rest) for i, t, g, s, n, _, *rest in rows[:5]]  # equal ids and texts, other columns differ
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    spark.createDataFrame([(1, "an item that no document holds at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = stage(spark, docs, str(tmp_path))
+    assert got.dtypes == docs.dtypes
+    full = {(r[0], r[5]): r for r in rows}
+    out = got.collect()
+    assert len(out) == (40 if stage is corpus_pipeline.near_dedup else 45)
+    for r in out:
+        want = full[r["doc_id"], r["score"]]
+        assert tuple(r)[:4] == want[:4] and tuple(r)[5:] == want[5:]
+
+
+def test_a_stage_leaves_nothing_in_the_shared_folder(spark, tmp_path):
+    kept = lambda: sum(len(files) for _, _, files in os.walk(common.shared_dir(spark).removeprefix("file:")))
+    docs = spark.createDataFrame([(i, f"{BASE} {'x ' * (i % 3)}", "en") for i in range(30)], "doc_id long, text string, lang string")
+    before = kept()
+    with common.checkpoints_dropped(spark):
+        corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+        assert kept() > before
+    assert kept() == before and spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_a_worker_forgets_what_other_operators_keep():
+    tokenbin.encoder(WORD)
+    assert "tokens" in common.HELD
+    common.working("tokens")
+    assert "tokens" in common.HELD
+    common.working("shingles")
+    assert "tokens" not in common.HELD
+    assert tokenbin.encoder(WORD).encode(["a word"])  # and makes it anew
+
+
 def test_pipeline_stages_judge_each_row_by_its_own_text(spark, tmp_path):
     rng = np.random.default_rng(4)
     words = [f"term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -86,11 +87,37 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+#: Folders of the checkpoints made inside checkpoints_dropped().
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once, keep it in the shared folder and forget how it was made, its shuffle files too."""
     shared_dir(df.sparkSession)
     with shuffles_dropped(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
+        kept = df.select("*").checkpoint(eager=True)
+    if (made := _MADE.get()) is not None:
+        made.append(kept._jdf.logicalPlan().rdd().getCheckpointFile().get())
+    return kept
+
+
+@contextmanager
+def checkpoints_dropped(spark: SparkSession) -> Iterator[None]:
+    """What cut() keeps inside goes at the end, when all that was made of it must be written."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for folder in made:
+            drop_folder(spark, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -124,6 +151,27 @@ def one_thread() -> None:
                 break
 
 
+#: What this worker keeps from task to task: how to forget it, by the operator that keeps it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def working(on: str) -> None:
+    """Called where a task starts: what other operators keep in this worker goes.
+
+    Workers live on between stages, and so would caches that no later stage reads.
+    """
+    others = [name for name in HELD if name != on]
+    for name in others:
+        HELD.pop(name)()
+    if others:
+        release()
+
+
+def columns_of(docs: DataFrame) -> list:
+    """All columns of docs by their own names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def release() -> None:
     """Give memory that a finished task no longer needs back to the system.
 

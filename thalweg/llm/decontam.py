@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, mix64, one_thread, plain_id, release, small_batches
+from .common import ids_of, mix64, one_thread, plain_id, release, small_batches, working
 
 PASSAGE = 32
 DIM, EXTRA = 128, 16
@@ -147,6 +147,7 @@ def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
     terms = spark.sparkContext.broadcast(items.terms)
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("decontam")
         w = _test_matrix(n, k)
         total = np.zeros((n, k + 1))
         passages = 0
@@ -182,6 +183,7 @@ def sketch(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
     for r in got:
         part = np.frombuffer(r["part"]).reshape(-1, k + 1)
         s[r["chunk"] : r["chunk"] + len(part)] = part
+    terms.destroy()
     return s[:, :k], s[:, k], sum(r["passages"] for r in got)
 
 
@@ -210,6 +212,7 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     half = PASSAGE // 2
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("decontam")
         one_thread()
         items, space, asked = shared.value
         for batch in batches:

@@ -22,14 +22,14 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, small_batches
+from .common import columns_of, release, small_batches, working
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -213,23 +213,38 @@ def fit(docs: DataFrame, usable: Column | None = None) -> Model:
     return train([(r["text"], r["lang"]) for r in sample(docs, F.lit(True) if usable is None else usable)])
 
 
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, the columns of `keep`, lang_pred, score and rejected of each document.
+def judge_of(spark: SparkSession, model: Model) -> Callable[..., Column]:
+    """A function of a text column that gives a struct of lang_pred and score.
 
     The model is a few MB of numbers whatever the corpus, so it is broadcast.
     """
-    spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        working("langid")
         m = shared.value
         for text in batches:
             names, score = m.predict(text.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": score})
         release()
 
-    judged = docs.select("doc_id", *keep, judge("text").alias("_judged"))
-    out = judged.select("doc_id", *keep, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"))
-    return out.withColumn("rejected", (F.col("lang_pred") == UND) | (F.col("score") < F.lit(model.threshold)))
+    return judge
+
+
+def rejected(judged: Column, model: Model) -> Column:
+    """Whether the model rejects what judge_of() gave."""
+    return (judged["lang_pred"] == UND) | (judged["score"] < F.lit(model.threshold))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and rejected of each document."""
+    judged = docs.select("doc_id", judge_of(docs.sparkSession, model)("text").alias("judged"))
+    return judged.select("doc_id", "judged.lang_pred", "judged.score", rejected(F.col("judged"), model).alias("rejected"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model does not reject, with all their columns and no others."""
+    held = docs.select(F.struct(*columns_of(docs)).alias("own"), judge_of(docs.sparkSession, model)("text").alias("judged"))
+    return held.where(~rejected(F.col("judged"), model)).select("own.*")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ids_of, is_empty, mix64, plain_id, release, small_batches
+from .common import cut, ids_of, is_empty, mix64, plain_id, release, small_batches, working
 from .shingles import shingle_sets
 
 BANDS, ROWS = 20, 4
@@ -98,6 +98,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("shingles")
         for batch in batches:
             texts = [None if t is None or t != t else t for t in batch["text"]]
             for lo in range(0, len(texts), 128):
@@ -123,13 +124,32 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The shingle sets, as bytes, of the documents whose doc_id is in ids.id."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("shingles")
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), k)
             yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.tobytes() for s in sets]})
         release()
 
-    wanted = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return wanted.mapInPandas(make, "id long, shingles binary")
+    return _wanted(docs, ids).mapInPandas(make, "id long, shingles binary")
+
+
+def tokens_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """A row for each shingle of the documents whose doc_id is in ids.id."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("shingles")
+        for batch in batches:
+            texts, at = batch["text"].tolist(), batch["doc_id"].to_numpy()
+            for lo in range(0, len(texts), 64):
+                sets = shingle_sets(texts[lo : lo + 64], k)
+                yield pd.DataFrame({"id": np.repeat(at[lo : lo + 64], [len(s) for s in sets]), "token": np.concatenate(sets).view(np.int64)})
+        release()
+
+    return _wanted(docs, ids).mapInPandas(make, "id long, token long")
+
+
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -185,6 +205,9 @@ def forest(edges: DataFrame) -> DataFrame:
                     root[max(a, b)] = min(a, b)
         rows = [(find(x), x) for x in list(root)]
         yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"], dtype=np.int64)
+        del rows
+        root.clear()
+        release()
 
     return edges.mapInPandas(unite, "a long, b long")
 
@@ -269,15 +292,7 @@ def prefix_pairs(who: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     (the prefix and position filters of Xiao and others, 2008). The order is by rising
     number of sets, so those few are mostly a text's own and met by nobody.
     """
-    sets = sets_of(docs, who.select("id"), k)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for d, raw in zip(batch["id"], batch["shingles"]):
-                token = np.frombuffer(raw, dtype=np.int64)
-                yield pd.DataFrame({"id": np.full(len(token), d, dtype=np.int64), "token": token})
-
-    tokens = cut(sets.mapInPandas(spread, "id long, token long"))
+    tokens = cut(tokens_of(docs, who.select("id"), k))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "token")
     ranked = tokens.join(counts, "token").withColumn("r", F.row_number().over(order)).join(who, "id")
@@ -315,7 +330,7 @@ def _linked(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if not pairs.isEmpty():
+        if not is_empty(pairs):
             found = cut(verify(pairs, docs, k, percent))
             tested = tested.unionByName(pairs.select("a", "b"))
             links = links.unionByName(found)
@@ -325,7 +340,7 @@ def _linked(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         named = members.join(labels, "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("label"))
         split = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
         left = cut(named.join(split, "h"))
-        if left.isEmpty():
+        if is_empty(left):
             break
     return labels
 

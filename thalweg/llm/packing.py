@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ids_of, plain_id, release, small_batches
+from .common import cut, ids_of, plain_id, release, small_batches, working
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -76,6 +76,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("tokens")
         enc = encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:

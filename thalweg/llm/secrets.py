@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns_of
+
 #: The base patterns, in the order of their kinds. A match of a run pattern
 #: that is too short fails, so its least length is written in the pattern itself.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -224,8 +226,7 @@ def _part(pieces: Column, start: Column, stop: Column) -> Column:
 
 def mask(docs: DataFrame, sign: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by `sign`; overlapping spans count as one. A null text stays null."""
-    keyed = docs.withColumn("_row", F.struct(*docs.columns))
-    scanned = scan(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    scanned = scan(docs.select(F.struct(*columns_of(docs)).alias("doc_id"), "text"))
     parts = F.struct(
         F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"),
         _running(F.transform("spans", lambda s: s["stop"]), F.greatest).alias("reach"),
@@ -237,7 +238,8 @@ def mask(docs: DataFrame, sign: str = "[SECRET]") -> DataFrame:
         return F.concat(F.array_join(kept, ""), _part(p["pieces"], F.element_at(p["reach"], -1), F.length("text")))
 
     clean = F.when(F.size("spans") > 0, _once(parts, cutting)).otherwise(F.col("doc_id.text"))
-    return scanned.select(*[(clean.alias(c) if c == "text" else F.col(f"doc_id.`{c}`").alias(c)) for c in docs.columns])
+    own = F.col("doc_id")
+    return scanned.select(*[clean.alias(c) if c == "text" else own.getField(c).alias(c) for c in docs.columns])
 
 
 def base_by_hand(text: str | None) -> list[tuple[int, int, int]]:

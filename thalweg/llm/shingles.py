@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64
+from .common import HELD, mix64
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Space and the controls 9 to 13 part words; every other byte belongs to one.
@@ -31,6 +31,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
     got = _POWERS.get(base)
     if got is None or len(got) < n:
         got = _POWERS[base] = _powers(base, max(n, 1 << 16))
+        HELD["shingles"] = _POWERS.clear
     return got[:n]
 
 

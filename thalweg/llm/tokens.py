@@ -12,6 +12,8 @@ import re
 import sys
 from array import array
 
+from .common import HELD
+
 #: Words that a worker remembers.
 CACHE_WORDS = 200_000
 
@@ -159,4 +161,5 @@ def encoder(path: str) -> WordEncoder:
     """One encoder for each tokenizer file in each worker process."""
     if path not in _OF:
         _OF[path] = WordEncoder(path)
+    HELD["tokens"] = _OF.clear
     return _OF[path]
