@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.llm import decontam, langid, neardup, packing, secrets
-from thalweg.llm.common import cut, filesystem, scratch, shuffles_dropped, table
+from thalweg.llm.common import checkpoints_dropped, columns_of, cut, drop_folder, scratch, shuffles_dropped, table
 
 #: Words in a shingle and the similarity, in percent, of near duplicates.
 SHINGLE, PERCENT = 5, 80
@@ -27,14 +27,13 @@ SHINGLE, PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that the model rejects go. It learns from the rows' own labels."""
-    judged = langid.predict(docs, langid.fit(docs), *[c for c in docs.columns if c != "doc_id"])
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a number of each row by its id and text, and that column's name. Equal rows share it."""
     name = "_row_key"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
     return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
 
@@ -49,19 +48,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = cut(rows.join(first.select(F.col("f.k").alias("k")), "k", "left_anti").select("k"))
     repeated = cut(rows.where("copies > 1").join(gone, "k", "left_anti").select("k"))
     once = keyed.join(gone.unionByName(repeated).withColumnRenamed("k", key), key, "left_anti")
-    # Equal rows may differ in columns beside id and text: the smallest stays.
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = F.min(F.struct(F.lit(1), *others)).alias(key)
-    one = keyed.join(repeated.withColumnRenamed("k", key), key, "left_semi").drop(key).groupBy("doc_id", "text").agg(least)
-    kept = [F.col(f"{key}.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns]
-    return once.select(*docs.columns).unionByName(one.select(*kept))
+    # Equal rows may differ in columns beside id and text: that which is the smallest as JSON stays.
+    again = keyed.join(repeated.withColumnRenamed("k", key), key, "left_semi").select(F.struct(*columns_of(docs)).alias("own"))
+    one = again.groupBy("own.doc_id", "own.text").agg(F.min_by("own", F.to_json("own")).alias("own")).select("own.*")
+    return once.select(*columns_of(docs)).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     keyed, key = _keyed(docs)
     found = decontam.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return keyed.join(cut(found.select(F.col("doc_id").alias(key)).distinct()), key, "left_anti").select(*docs.columns)
+    return keyed.join(cut(found.select(F.col("doc_id").alias(key)).distinct()), key, "left_anti").select(*columns_of(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,16 +90,21 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     folder = scratch(spark, "pipeline")
-
-    def drop() -> None:
-        fs, root = filesystem(folder)
-        fs.delete_dir(root)
-
-    atexit.register(drop)
+    atexit.register(_drop, spark, folder)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        with shuffles_dropped(spark):
-            made.write.parquet(f"{folder}/{k}")
+        with checkpoints_dropped(spark):
+            made = stage(spark, docs, sf_dir)
+            with shuffles_dropped(spark):
+                made.write.parquet(f"{folder}/{k}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        drop_folder(spark, folder)
+    except Exception:  # the session has ended before; its folder is the caller's to clear
+        return
