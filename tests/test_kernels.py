@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from thalweg import config
-from thalweg.operators import centerline, changepoint, geometry, graph, selection
+from thalweg.operators import centerline, changepoint, gaps, geometry, graph, noding, selection
 
 
 def brute(x, pen, least, jump):
@@ -177,10 +177,170 @@ def test_lines():
 
 def test_merge_closes_gaps_and_drops_loops():
     parts = [np.array([[0.0, 0.0], [100.0, 0.0]]), np.array([[103.0, 0.0], [200.0, 0.0]]), np.array([[200.0, 0.0], [300.0, 0.0]])]
-    line, how, status = centerline.merge_path(parts, [0.0, 1.0, 2.0], gap=5.0)
-    assert status == "ok" and how == "reach_order" and geometry.along(line)[-1] == pytest.approx(300.0)
+    r = centerline.merge_path(parts, [0.0, 1.0, 2.0], gap=5.0)
+    assert r["status"] == "ok" and r["terminals"] == "reach_order" and geometry.along(r["line"])[-1] == pytest.approx(300.0) and r["n_snapped"] == 2
     loop = np.array([[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [5.0, 10.0], [5.0, -10.0], [20.0, -10.0]])
-    assert geometry.along(centerline.repair(loop))[-1] == pytest.approx(5 + 10 + 15)
+    line, status, rank = centerline.repair(loop)
+    assert geometry.along(line)[-1] == pytest.approx(5 + 10 + 15) and (status, rank) == ("repaired", 1)
+
+
+def A(*points):
+    return np.array(points, dtype=float)
+
+
+@pytest.mark.parametrize(
+    ("parts", "nodes", "edges", "rank", "length"),
+    [
+        ([A((0, 0), (60, 0)), A((40, 0), (100, 0))], 4, 3, 0, 100),  # an overlap
+        ([A((0, 0), (60, 0)), A((100, 0), (40, 0))], 4, 3, 0, 100),
+        ([A((0, 0), (10, 0)), A((5, 0), (5, 9))], 4, 3, 0, 19),  # a T
+        ([A((0, 0), (10, 0)), A((5, -4), (5, 9))], 5, 4, 0, 23),  # a cross
+        ([A((0, 0), (10, 0)), A((10, 0), (20, 5)), A((10, 0), (20, -5))], 4, 3, 0, 10 + 2 * 125**0.5),
+        ([A((0, 0), (4, 0), (9, 3)), A((9, 3), (4, 0), (0, 0))], 3, 2, 0, 4 + 34**0.5),  # the same line twice
+        ([A((0, 0), (10, 0), (5, 0))], 3, 2, 0, 10),  # a line that turns back
+        ([A((0, 0), (10, 0), (5, 0), (5, 3))], 4, 3, 0, 13),
+        ([A((0, 0), (4, 0), (9, 0)), A((-2, 0), (20, 0))], 5, 4, 0, 22),  # one inside another
+        ([A((0, 0), (10, 10), (10, 0), (0, 10))], 3, 3, 1, 10 + 800**0.5),  # a figure-eight's half
+        ([A((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))], 1, 1, 1, 16),
+        ([A((0, 0), (4, 0)), A((10, 10), (11, 10))], 4, 2, 0, 5),
+        ([A((1e7, 1e7), (1e7 + 60, 1e7 + 30)), A((1e7 + 40, 1e7 + 20), (1e7 + 100, 1e7 + 50))], 4, 3, 0, 12500**0.5),
+    ],
+)
+def test_noding(parts, nodes, edges, rank, length):
+    for order in (parts, parts[::-1], [p[::-1] for p in parts]):
+        net = noding.node_lines(order)
+        assert (len(net.points), len(net.pieces), net.cycle_rank()) == (nodes, edges, rank)
+        assert net.length() == pytest.approx(length)
+        joined = noding.chained(net)
+        assert sum(geometry.along(p)[-1] for p in joined) == pytest.approx(length)
+        again = noding.node_lines(joined)
+        assert again.length() == pytest.approx(length) and again.cycle_rank() == rank
+
+
+def test_noding_of_random_lines_is_by_hand():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        segments = rng.integers(0, 12, (25, 2, 2)).astype(float)
+        segments = [s for s in segments if (s[0] != s[1]).any()]
+        net = noding.node_lines(segments)
+        want = set()
+        from fractions import Fraction as Q
+
+        def meet(p, q):  # points that two segments share, exactly
+            (x1, y1), (x2, y2), (x3, y3), (x4, y4) = [[Q(int(v)) for v in e] for e in (*p, *q)]
+            d = (x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3)
+            on = lambda x, y, a: (a[1][0] - a[0][0]) * (y - int(a[0][1])) == (a[1][1] - a[0][1]) * (x - int(a[0][0])) and min(a[0][0], a[1][0]) <= x <= max(a[0][0], a[1][0]) and min(a[0][1], a[1][1]) <= y <= max(a[0][1], a[1][1])
+            found = {(Q(int(x)), Q(int(y))) for s, t in ((p, q), (q, p)) for x, y in s if on(Q(int(x)), Q(int(y)), t)}
+            if d:
+                u = ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / d
+                v = ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / d
+                if 0 <= u <= 1 and 0 <= v <= 1:
+                    found.add((x1 + u * (x2 - x1), y1 + u * (y2 - y1)))
+            return found
+
+        edges = set()
+        on_each = [set() for _ in segments]
+        for i, p in enumerate(segments):
+            on_each[i] |= {tuple(Q(int(v)) for v in e) for e in p}
+            for j, q in enumerate(segments):
+                if i != j:
+                    on_each[i] |= meet(p, q)
+        for points in on_each:
+            want |= points
+            ordered = sorted(points)
+            edges |= set(zip(ordered, ordered[1:]))
+        assert len(net.points) == len(want) and len(net.pieces) == len(edges)
+
+
+def test_overlapping_reaches_keep_their_length():
+    r = centerline.merge_path([A((0, 0), (60, 0)), A((40, 0), (100, 0))], [0.0, 1.0])
+    assert r["status"] == "ok" and geometry.along(r["line"])[-1] == 100
+    doubled = centerline.merge_path([A((0, 0), (50, 0), (100, 0)), A((0, 0), (50, 0), (100, 0)), A((100, 0), (150, 0))], [0.0, 1.0, 2.0])
+    assert doubled["status"] == "ok" and geometry.along(doubled["line"])[-1] == 150
+    tee = centerline.merge_path([A((0, 0), (100, 0)), A((100, -50), (100, 50))], [0.0, 1.0])
+    assert tee["status"] == "ok" and geometry.along(tee["line"])[-1] == 150
+
+
+def test_statuses_of_a_merged_line():
+    apart = centerline.merge_path([A((0, 0), (60, 0)), A((400, 0), (900, 0))], [0.0, 1.0])
+    assert (apart["status"], apart["terminals"], apart["n_components"]) == ("other_terminals", "longest_pair", 2)
+    assert geometry.along(apart["line"])[-1] == 500
+    ring = centerline.merge_path([A((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))], [0.0])
+    assert ring["status"] == "only_closed_pieces" and ring["cycle_rank"] == 1 and ring["repair"] == "closed"
+    assert centerline.merge_path([], [])["status"] == "empty"
+    ladder = [(0, 0)]
+    for k in range(6):
+        ladder += [(10 * k + 6, 0), (10 * k + 6, 3), (10 * k + 3, 3), (10 * k + 3, -2), (10 * k + 8, -2), (10 * k + 8, 0)]
+    ladder = A(*ladder, (80, 0))
+    line, status, rank = centerline.repair(ladder)
+    assert (status, rank) == ("too_many_cycles", 6) and line is ladder
+    line, status, rank = centerline.repair(ladder, max_cycles=6)
+    assert (status, rank) == ("repaired", 6) and geometry.along(line)[-1] == 104
+    assert centerline.repair(ladder, max_vertices=20)[1:] == ("too_many_vertices", None)
+    long = centerline.merge_path([ladder], [0.0], max_vertices=20)
+    assert (long["status"], long["repair"]) == ("too_many_vertices", "too_many_vertices")
+
+
+def ends_of(records):
+    return {(r["part"], r["end"]): r["status"] for r in records}
+
+
+def test_gaps_between_ends():
+    # Mutual nearest ends meet halfway; the outer ends stay.
+    parts, ends, how = gaps.snap_gaps([A((0, 0), (100, 0)), A((103, 0), (200, 0)), A((204, 0), (300, 0))])
+    assert [p[[0, -1]].tolist() for p in parts] == [[[0, 0], [101.5, 0]], [[101.5, 0], [202, 0]], [[202, 0], [300, 0]]]
+    assert ends_of(ends) == {(0, "start"): "outer", (0, "end"): "snapped_to_end", (1, "start"): "snapped_to_end", (1, "end"): "snapped_to_end", (2, "start"): "snapped_to_end", (2, "end"): "outer"} and how == "graph"
+    # Ends that are further apart than the gap stay.
+    parts, ends, _ = gaps.snap_gaps([A((0, 0), (100, 0)), A((106, 0), (200, 0))])
+    assert parts[0][-1].tolist() == [100, 0] and ends_of(ends)[0, "end"] == "unresolved"
+
+
+def test_gaps_to_lines_and_ends_that_stay():
+    # An end goes to the inside of the nearest part, which gets a vertex there.
+    parts, ends, _ = gaps.snap_gaps([A((0, 0), (200, 0)), A((50, 3), (50, 90))])
+    assert parts[1][0].tolist() == [50, 0] and [50, 0] in parts[0].tolist() and len(parts[0]) == 3
+    # What touches another part stays where it is, whatever is near.
+    parts, ends, _ = gaps.snap_gaps([A((0, 0), (50, 0), (100, 0)), A((100, 0), (150, 0), (200, 0)), A((102, 1), (150, 80))])
+    of = {(r["part"], r["end"]): r for r in ends}
+    assert of[0, "end"]["status"] == "protected" and of[0, "end"]["reasons"] == {"connected_endpoint", "connected_to_line"}
+    assert parts[0][-1].tolist() == [100, 0] and parts[2][0].tolist() == [102, 0]
+    # A stump: the last segment starts where another part ends.
+    parts, ends, _ = gaps.snap_gaps([A((0, 0), (100, 0), (102, 2)), A((100, 0), (200, 0))])
+    of = {(r["part"], r["end"]): r for r in ends}
+    assert "stump_candidate" in of[0, "end"]["reasons"] and "stump_target" in of[1, "start"]["reasons"] and parts[0][-1].tolist() == [102, 2]
+    # A line that passes one of two ends more closely than they are to each other comes first.
+    parts, ends, _ = gaps.snap_gaps([A((0, 0), (100, 0)), A((104, 0), (200, 0)), A((101, -50), (101, 50))])
+    assert parts[0][-1].tolist() == [101, 0] and parts[1][0].tolist() == [101, 0]
+
+
+def test_outer_ends_by_points_then_graph_then_distance():
+    parts = [A((0, 0), (50, 0), (100, 0)), A((100, 0), (100, 200), (100, 500)), A((100, 0), (200, 0), (300, 0))]
+    records = gaps.end_records(parts)
+    grid = gaps.SegmentGrid(parts)
+    gaps.protect(records, grid, 1e-6, 1e-6)
+    at = lambda found: [tuple(r["at"]) for r in found[0]]
+    assert gaps.outer_ends(parts, records, [A((0, 0))[0], A((300, 0))[0]])[1] == "points"
+    found = gaps.outer_ends(parts, records)
+    assert found[1] == "graph" and sorted(at(found)) == [(100, 500), (300, 0)]
+    found = gaps.outer_ends(parts, records, [A((0, 0))[0]])
+    assert found[1] == "points+graph" and at(found)[0] == (0, 0)
+    away = [A((0, 0), (100, 0)), A((150, 0), (400, 0))]
+    records = gaps.end_records(away)
+    gaps.protect(records, gaps.SegmentGrid(away), 1e-6, 1e-6)
+    assert sorted(at(gaps.outer_ends(away, records))) == [(0, 0), (400, 0)]
+    rows = gaps.end_rows(away, records)
+    assert [r[11] for r in rows] == [150, 50, 50, 300]
+    adaptive = gaps.end_records([A((0, 0), (50, 0), (300, 0))], 40.0, adaptive=True, most=100.0)
+    assert [r["tolerance_m"] for r in adaptive] == [pytest.approx(55), 100]
+
+
+def test_two_thousand_parts_merge_in_seconds():
+    import time
+
+    x = [np.linspace(k * 100, k * 100 + 97, 20) for k in range(2000)]
+    began = time.perf_counter()
+    r = centerline.merge_path([np.stack([v, 50 * np.sin(v / 300)], axis=1) for v in x], list(range(2000)))
+    assert r["status"] == "ok" and r["n_snapped"] == 2 * 1999 and time.perf_counter() - began < 30
 
 
 def test_smoother_keeps_a_line_and_calms_a_wiggle():

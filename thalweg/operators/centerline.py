@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LINE
+from .gaps import ENDS, end_rows, longest_way, snap_gaps
 from .geometry import along, as_points, at_distance, smooth_gaussian
+from .noding import Network, chained, end_network, node_lines
 
-MERGED = f"main_path_id long, line {LINE}, n_parts int, reach_ids array<long>, input_length_m double, merged_length_m double, removed_m double, loss_fraction double, terminals string, status string"
+NODED = "main_path_id long, n_nodes long, n_edges long, n_components long, cycle_rank long, n_dead_ends long, length_m double"
 
-
-def node_key(p, tolerance: float) -> tuple[int, int]:
-    return round(p[0] / tolerance), round(p[1] / tolerance)
+MERGED = (
+    f"main_path_id long, line {LINE}, n_parts int, reach_ids array<long>, input_length_m double, merged_length_m double, removed_m double, loss_fraction double, "
+    "terminals string, status string, n_snapped int, n_nodes int, n_edges int, n_components int, cycle_rank int, repair string"
+)
+#: Bounds beyond which a line is not repaired and a network not searched.
+MAX_CYCLES, MAX_VERTICES = 5, 250_000
 
 
 def nearest_on(xy: np.ndarray, p: np.ndarray) -> tuple[float, float, np.ndarray]:
@@ -41,114 +46,27 @@ def insert_point(xy: np.ndarray, distance: float, tolerance: float = 1e-6) -> np
     return np.insert(xy, k, at_distance(xy, np.array([distance]))[0], axis=0)
 
 
-def snap_gaps(parts: list[np.ndarray], gap: float, connected: float = 1e-6, keep: set[tuple[int, int]] = frozenset()) -> tuple[list[np.ndarray], int]:
-    """Close gaps between loose ends: mutual nearest ends meet halfway, other ends go to the nearest line.
-
-    An end that touches another part is left alone; ends in `keep` (part, 0 or -1) stay
-    where they are. Each end moves once at most, and each pair of parts is snapped once.
-    """
-    parts = [p.copy() for p in parts]
-    ends = [(i, e) for i in range(len(parts)) for e in (0, -1)]
-    point = lambda x: parts[x[0]][x[1]]
-
-    def to_lines(x) -> tuple[float, int, float, np.ndarray]:
-        found = [(*nearest_on(parts[j], point(x)), j) for j in range(len(parts)) if j != x[0]]
-        if not found:
-            return np.inf, -1, 0.0, point(x)
-        d, s, q, j = min(found, key=lambda f: (f[0], f[3]))
-        return d, j, s, q
-
-    loose = [x for x in ends if to_lines(x)[0] > connected]
-    free = [x for x in loose if x not in keep]
-    nearest = {}
-    for x in free:
-        others = [(float(np.hypot(*(point(x) - point(y)))), y) for y in free if y[0] != x[0]]
-        if others:
-            nearest[x] = min(others)
-    moved: set[tuple[int, int]] = set()
-    pairs = sorted((d, x, y) for x, (d, y) in nearest.items() if d <= gap and x < y and nearest.get(y, (0, None))[1] == x)
-    for d, x, y in pairs:
-        if x in moved or y in moved or min(to_lines(x)[0], to_lines(y)[0]) < d - connected:
-            continue
-        middle = (point(x) + point(y)) / 2
-        parts[x[0]][x[1]] = middle
-        parts[y[0]][y[1]] = middle
-        moved |= {x, y}
-    done: set[tuple[int, int]] = set()
-    for d, x in sorted((to_lines(x)[0], x) for x in loose if x not in moved and x not in keep):
-        d, j, s, q = to_lines(x)
-        if connected < d <= gap and (x[0], j) not in done:
-            parts[j] = insert_point(parts[j], s)
-            parts[x[0]][x[1]] = q
-            moved.add(x)
-            done.add((x[0], j))
-    return parts, len(moved)
-
-
-def node_parts(parts: list[np.ndarray], tolerance: float = 1e-6) -> list[np.ndarray]:
-    """Parts cut where they cross or touch each other or themselves (a grid keeps the tests few)."""
-    segments = [(i, k, p[k], p[k + 1]) for i, p in enumerate(parts) for k in range(len(p) - 1)]
-    if not segments:
-        return []
-    cell = max(np.median([np.hypot(*(b - a)) for _, _, a, b in segments]) * 4, tolerance * 10)
-    grid = defaultdict(list)
-    for n, (_, _, a, b) in enumerate(segments):
-        lo, hi = np.floor(np.minimum(a, b) / cell).astype(int), np.floor(np.maximum(a, b) / cell).astype(int)
-        for x in range(lo[0], hi[0] + 1):
-            for y in range(lo[1], hi[1] + 1):
-                grid[x, y].append(n)
-    cuts = defaultdict(set)
-    tried = set()
-    for members in grid.values():
-        for s, m in enumerate(members):
-            for n in members[s + 1 :]:
-                if (m, n) in tried:
-                    continue
-                tried.add((m, n))
-                i, k, a, b = segments[m]
-                j, q, c, d = segments[n]
-                if i == j and abs(k - q) <= 1:
-                    continue
-                r, t = b - a, d - c
-                cross = r[0] * t[1] - r[1] * t[0]
-                if abs(cross) < 1e-12:
-                    continue
-                u = ((c - a)[0] * t[1] - (c - a)[1] * t[0]) / cross
-                v = ((c - a)[0] * r[1] - (c - a)[1] * r[0]) / cross
-                if -1e-12 <= u <= 1 + 1e-12 and -1e-12 <= v <= 1 + 1e-12:
-                    cuts[i].add((k, float(np.clip(u, 0, 1))))
-                    cuts[j].add((q, float(np.clip(v, 0, 1))))
-    out = []
-    for i, p in enumerate(parts):
-        s = along(p)
-        at = sorted({0.0, float(s[-1]), *(float(s[k] + u * (s[k + 1] - s[k])) for k, u in cuts[i])})
-        for lo, hi in zip(at, at[1:]):
-            if hi - lo > tolerance:
-                inner = p[(s > lo + tolerance) & (s < hi - tolerance)]
-                out.append(np.vstack([at_distance(p, np.array([lo])), inner, at_distance(p, np.array([hi]))]))
-    return out
-
-
-class Pieces:
-    """A graph of line pieces between nodes; closed pieces are dropped."""
+class Ways:
+    """Ways through a network of pieces; closed pieces are no way."""
 
-    def __init__(self, parts: list[np.ndarray], tolerance: float):
-        self.parts, self.tolerance = parts, tolerance
+    def __init__(self, net: Network):
+        self.net = net
         self.near = defaultdict(list)
-        self.place = {}
-        for k, p in enumerate(parts):
-            a, b = node_key(p[0], tolerance), node_key(p[-1], tolerance)
-            if a == b:
-                continue
-            length = float(along(p)[-1])
-            self.near[a].append((b, length, k, False))
-            self.near[b].append((a, length, k, True))
-            self.place[a], self.place[b] = p[0], p[-1]
-
-    def shortest(self, source) -> tuple[dict, dict]:
+        for k, (a, b) in enumerate(net.ends.tolist()):
+            if a != b:
+                length = float(along(net.pieces[k])[-1])
+                self.near[a].append((b, length, k, False))
+                self.near[b].append((a, length, k, True))
+
+    def path(self, source: int, sink: int) -> np.ndarray | None:
+        """The shortest line between two nodes."""
+        if source == sink:
+            return None
         far, came, todo = {source: 0.0}, {}, [(0.0, source)]
         while todo:
             d, u = heapq.heappop(todo)
+            if u == sink:
+                break
             if d > far[u]:
                 continue
             for v, w, k, back in self.near[u]:
@@ -156,32 +74,24 @@ class Pieces:
                     far[v] = d + w
                     came[v] = (u, k, back)
                     heapq.heappush(todo, (d + w, v))
-        return far, came
-
-    def path(self, source, sink) -> np.ndarray | None:
-        _, came = self.shortest(source)
         if sink not in came:
             return None
         steps, n = [], sink
         while n != source:
             n, k, back = came[n]
-            steps.append(self.parts[k][::-1] if back else self.parts[k])
+            steps.append(self.net.pieces[k][::-1] if back else self.net.pieces[k])
         steps = steps[::-1]
         return np.vstack([steps[0], *[s[1:] for s in steps[1:]]])
 
-    def nearest(self, p):
-        return min(self.place, key=lambda n: float(np.hypot(*(self.place[n] - p))))
+    def nearest(self, p: np.ndarray) -> int:
+        used = np.array(sorted(n for n in self.near if self.near[n]))
+        return int(used[np.argmin(np.hypot(*(self.net.points[used] - p).T))])
 
-    def longest_ends(self):
-        """The pair of dead ends that are furthest apart along the pieces."""
-        ends = sorted(n for n in self.near if len(self.near[n]) == 1) or sorted(self.near)
-        best = (-1.0, None, None)
-        for a in ends:
-            far, _ = self.shortest(a)
-            for b in ends:
-                if b > a and far.get(b, -1.0) > best[0]:
-                    best = (far[b], a, b)
-        return best[1], best[2]
+    def longest_ends(self) -> tuple[int | None, int | None]:
+        """The pair of dead ends that are furthest apart along the pieces; in networks of rings, of any nodes."""
+        dead = sorted(n for n in self.near if len(self.near[n]) == 1)
+        a, b, _ = longest_way(self.near, dead)
+        return (a, b) if a is not None else longest_way(self.near, sorted(self.near))[:2]
 
 
 def terminals(lines: list[np.ndarray], order: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,80 +108,119 @@ def terminals(lines: list[np.ndarray], order: list[float]) -> tuple[np.ndarray,
     return outer(ranked[0]), outer(ranked[-1])
 
 
-def endpoint_records(lines: list[np.ndarray], connected: float = 1e-6) -> list[dict]:
-    """Both ends of every line: which, where, how far from the nearest other line, and whether it is loose."""
-    out = []
-    for i, p in enumerate(lines):
-        for end in (0, -1):
-            gap, part = min(((nearest_on(q, p[end])[0], j) for j, q in enumerate(lines) if j != i), default=(np.inf, -1))
-            out.append({"part": i, "end": end, "x": float(p[end][0]), "y": float(p[end][1]), "gap_m": gap, "nearest_part": part, "loose": gap > connected})
-    return out
-
+def repair(line: np.ndarray, tolerance: float = 1e-6, max_cycles: int = MAX_CYCLES, max_vertices: int = MAX_VERTICES) -> tuple[np.ndarray, str, int | None]:
+    """A line without its loops, a status and the line's cycle rank: the shortest way from its start to its end over itself.
 
-def farthest_pair(records: list[dict]) -> tuple[np.ndarray, np.ndarray] | None:
-    """The two loose ends that are furthest apart as the crow flies; of equal pairs the first."""
-    p = np.array([[r["x"], r["y"]] for r in records if r["loose"]])
-    if len(p) < 2:
-        return None
-    apart = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-    a, b = np.unravel_index(int(np.triu(apart, 1).argmax()), apart.shape)
-    return p[a], p[b]
+    Statuses: simple, repaired; the line stays as it is with too_many_vertices (its rank is not
+    known then), too_many_cycles or closed.
+    """
+    if len(line) > max_vertices:
+        return line, "too_many_vertices", None
+    net = node_lines([line], tolerance)
+    rank = net.cycle_rank()
+    if len(net.pieces) <= 1 and not rank:
+        return line, "simple", rank
+    if rank > max_cycles:
+        return line, "too_many_cycles", rank
+    ways = Ways(net)
+    if not ways.near:
+        return line, "closed", rank
+    found = ways.path(ways.nearest(line[0]), ways.nearest(line[-1]))
+    return (line, "closed", rank) if found is None else (found, "repaired", rank)
+
+
+def merge_path(lines: list[np.ndarray], order: list[float], gap: float = 5.0, tolerance: float = 1e-6, max_cycles: int = MAX_CYCLES, max_vertices: int = MAX_VERTICES) -> dict:
+    """One line along the parts between the terminals, how it was found, and what the network was like.
+
+    Reaches are joined where two ends meet, small gaps between the parts are closed, loops of
+    single parts are taken out, and of the network that the parts make where they cross, touch
+    or overlap the shortest way between the two terminals is kept. Where these are not connected it is the
+    longest of all ways between dead ends, and the status is other_terminals.
+    """
+    lines = [p for p in lines if len(p) >= 2]
+    out = {"line": np.zeros((0, 2)), "terminals": "none", "status": "empty", "n_snapped": 0, "n_nodes": 0, "n_edges": 0, "n_components": 0, "cycle_rank": 0, "repair": "simple", "parts": [], "ends": []}
+    if not lines:
+        return out
+    first, last = terminals(lines, order)
+    parts = chained(end_network(lines, tolerance))
+    before = parts
+    parts, ends, _ = snap_gaps(parts, gap, tolerance, tolerance, points=(first, last))
+    moved = [r for r in ends if r["moved_to"] is not None]
+    # A terminal that moved onto another part is where it moved to.
+    first, last = [next((r["moved_to"] for r in moved if (r["at"] == p).all()), p) for p in (first, last)]
+    kinds = []
+    for k, p in enumerate(parts):
+        parts[k], kind, _ = repair(p, tolerance, max_cycles, max_vertices)
+        kinds.append(kind)
+    worst = next((k for k in ("too_many_vertices", "too_many_cycles", "closed", "repaired") if k in kinds), "simple")
+    out |= {"line": max(parts, key=lambda p: along(p)[-1], default=lines[0]), "status": "no_path", "n_snapped": len(moved), "repair": worst, "parts": before, "ends": ends}
+    if sum(map(len, parts)) > max_vertices:
+        return out | {"status": "too_many_vertices"}
+    net = node_lines(parts, tolerance)
+    out |= {"n_nodes": len(net.points), "n_edges": len(net.pieces), "n_components": len(set(net.components())), "cycle_rank": net.cycle_rank()}
+    ways = Ways(net)
+    if not ways.near:
+        return out | {"line": lines[0], "status": "only_closed_pieces"}
+    found = ways.path(ways.nearest(first), ways.nearest(last))
+    if found is not None:
+        return out | {"line": found, "terminals": "reach_order", "status": "ok"}
+    a, b = ways.longest_ends()
+    found = None if a is None else ways.path(a, b)
+    return out if found is None else out | {"line": found, "terminals": "longest_pair", "status": "other_terminals"}
+
+
+def _mainstem(reaches: DataFrame) -> DataFrame:
+    rows = reaches.where(F.coalesce("is_mainstem", F.lit(False)) & F.col("main_path_id").isNotNull())
+    return rows.select("main_path_id", "reach_id", "dist_out", "geometry")
 
 
-def repair(line: np.ndarray, tolerance: float = 1e-6, max_vertices: int = 250_000) -> np.ndarray:
-    """A line without its loops: the shortest way from its start to its end over itself."""
-    if len(line) < 4 or len(line) > max_vertices:
-        return line
-    pieces = Pieces(node_parts([line], tolerance), max(tolerance, 1e-9))
-    if not pieces.place:
-        return line
-    a, b = pieces.nearest(line[0]), pieces.nearest(line[-1])
-    found = pieces.path(a, b) if a != b else None
-    return line if found is None else found
+def _path_lines(part: pd.DataFrame) -> tuple[list[np.ndarray], list[float], pd.DataFrame]:
+    """A path's lines and their order, upstream from the outlet."""
+    part = part.sort_values(["dist_out", "reach_id"], kind="stable")
+    lines = [as_points(g) if g is not None else np.zeros((0, 2)) for g in part["geometry"]]
+    used = [i for i, p in enumerate(lines) if len(p) >= 2]
+    return [lines[i] for i in used], [float(part["dist_out"].iloc[i]) for i in used], part
 
 
-def merge_path(lines: list[np.ndarray], order: list[float], gap: float = 5.0, tolerance: float = 1e-6) -> tuple[np.ndarray, str, str]:
-    """One line along the pieces between the terminals, how these were found, and a status."""
-    lines = [p for p in lines if len(p) >= 2]
-    if not lines:
-        return np.zeros((0, 2)), "none", "empty"
-    first, last = terminals(lines, order)
-    # The outer ends stay where they are.
-    at = lambda p: {(i, e) for i, q in enumerate(lines) for e in (0, -1) if (q[e] == p).all()}
-    parts, _ = snap_gaps(lines, gap, keep=at(first) | at(last))
-    pieces = Pieces(node_parts(parts, tolerance), max(tolerance, 1e-9) * 10)
-    if not pieces.place:
-        return lines[0], "none", "only_closed_pieces"
-    how, a, b = "reach_order", pieces.nearest(first), pieces.nearest(last)
-    found = pieces.path(a, b) if a != b else None
-    if found is None and (pair := farthest_pair(endpoint_records(lines))) is not None:
-        how, a, b = "farthest_pair", pieces.nearest(pair[0]), pieces.nearest(pair[1])
-        found = pieces.path(a, b) if a != b else None
-    if found is None:
-        how = "longest_pair"
-        a, b = pieces.longest_ends()
-        found = pieces.path(a, b) if a is not None else None
-    if found is None:
-        return max(lines, key=lambda p: along(p)[-1]), "none", "no_path"
-    return repair(found, tolerance), how, "ok"
-
-
-def merge_mainpaths(reaches: DataFrame, gap: float = 5.0, tolerance: float = 1e-6) -> DataFrame:
+def merge_mainpaths(reaches: DataFrame, gap: float = 5.0, tolerance: float = 1e-6, max_cycles: int = MAX_CYCLES, max_vertices: int = MAX_VERTICES) -> DataFrame:
     """MERGED lines of all paths from the geometry of their mainstem reaches, running upstream from the outlet."""
-    rows = reaches.where(F.coalesce("is_mainstem", F.lit(False)) & F.col("main_path_id").isNotNull()).select("main_path_id", "reach_id", "dist_out", "geometry")
+    names = [c.split()[0] for c in MERGED.replace(LINE, "LINE").split(", ")]
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["dist_out", "reach_id"], kind="stable")
-        lines = [as_points(g) if g is not None else np.zeros((0, 2)) for g in part["geometry"]]
-        used = [i for i, p in enumerate(lines) if len(p) >= 2]
-        line, how, status = merge_path([lines[i] for i in used], [float(part["dist_out"].iloc[i]) for i in used], gap, tolerance)
-        before, after = sum(float(along(lines[i])[-1]) for i in used), float(along(line)[-1]) if len(line) else 0.0
-        return pd.DataFrame(
-            [(int(part["main_path_id"].iloc[0]), [{"x": x, "y": y} for x, y in line.tolist()], len(used), sorted(set(part["reach_id"].astype(int))), before, after, before - after, (before - after) / before if before else None, how, status)],
-            columns=[c.split()[0] for c in MERGED.replace(LINE, "LINE").split(", ")],
-        )
-
-    return rows.groupBy("main_path_id").applyInPandas(merge, MERGED)
+        lines, order, part = _path_lines(part)
+        r = merge_path(lines, order, gap, tolerance, max_cycles, max_vertices)
+        before, after = sum(float(along(p)[-1]) for p in lines), float(along(r["line"])[-1]) if len(r["line"]) else 0.0
+        row = {
+            "main_path_id": int(part["main_path_id"].iloc[0]), "n_parts": len(lines), "reach_ids": sorted(set(part["reach_id"].astype(int))), "input_length_m": before, "merged_length_m": after,
+            "removed_m": before - after, "loss_fraction": (before - after) / before if before else None,
+        }
+        return pd.DataFrame([r | row | {"line": [{"x": x, "y": y} for x, y in r["line"].tolist()]}])[names]
+
+    return _mainstem(reaches).groupBy("main_path_id").applyInPandas(merge, MERGED)
+
+
+def endpoint_diagnostics(reaches: DataFrame, gap: float = 5.0, tolerance: float = 1e-6) -> DataFrame:
+    """Every end of a path's parts as merge_mainpaths() meets it: what protects it, whether it is an outer end, and where it moved."""
+    names = ["main_path_id", *[c.split()[0] for c in ENDS.split(", ")]]
+
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        lines, order, part = _path_lines(part)
+        r = merge_path(lines, order, gap, tolerance)
+        key = int(part["main_path_id"].iloc[0])
+        return pd.DataFrame([(key, *row) for row in end_rows(r["parts"], r["ends"])], columns=names)
+
+    return _mainstem(reaches).groupBy("main_path_id").applyInPandas(of, f"main_path_id long, {ENDS}")
+
+
+def noded(lines: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """The network of each path's lines(main_path_id, line): nodes, edges, components, cycle rank, dead ends and the length without repeats."""
+
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        net = node_lines([as_points(g) for g in part["line"] if g is not None], tolerance)
+        degree = np.bincount(net.ends.reshape(-1), minlength=len(net.points)) if len(net.pieces) else np.zeros(0, dtype=int)
+        return pd.DataFrame([(int(part["main_path_id"].iloc[0]), len(net.points), len(net.pieces), len(set(net.components())), net.cycle_rank(), int((degree == 1).sum()), net.length())], columns=[c.split()[0] for c in NODED.split(", ")])
+
+    return lines.where("main_path_id is not null").select("main_path_id", "line").groupBy("main_path_id").applyInPandas(of, NODED)
 
 
 def mainstem_paths(reaches: DataFrame) -> DataFrame:

@@ -115,6 +115,13 @@ def _frames(body: str) -> str:
     return " UNION ALL ".join(body.replace("{H}", str(h)).replace("{M}", str(m)) for m, h in ((1000, 2), (2000, 5)))
 
 
+#: Segments of the cut lines by reach, with the gap before each reach.
+def _cut(gap: str) -> str:
+    return f"""{SP}, ends AS (SELECT *, max(pos) OVER (PARTITION BY mip) AS last FROM profile),
+        points AS (SELECT mip, last, pos, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2, pos // 10 AS r, {gap} AS gap FROM ends WINDOW w AS (PARTITION BY mip ORDER BY pos)),
+        seg AS (SELECT mip, last, pos, r, CASE WHEN r > 0 AND pos % 10 = 0 THEN x + gap ELSE x END AS xa, y AS ya, x2 AS xb, y2 AS yb, x, gap FROM points WHERE x2 IS NOT NULL)"""
+
+
 ORACLES: dict[str, str] = {
     "profile_short": f"WITH {SP} SELECT mip, pos, dist_m, round(CASE WHEN width > 0 THEN ln(width) END, 6) AS log_width, CAST(n_channels > 1 AS DOUBLE) AS multi FROM profile",
     "node_heights": f"WITH {OBS} SELECT node_id, round(wse, 6) AS wse FROM ({HEIGHTS} AND reach_id IN (SELECT s_suppkey FROM supplier) GROUP BY node_id)",
@@ -266,4 +273,44 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY mip ORDER BY pos)), t AS (SELECT mip, max(s) AS total FROM s GROUP BY mip)
         SELECT n.mip, n.pos, round(g.x + (least(n.dist_m, total) - g.s) * (g.x2 - g.x) / (g.s2 - g.s), 6) AS x, round(g.y + (least(n.dist_m, total) - g.s) * (g.y2 - g.y) / (g.s2 - g.s), 6) AS y
         FROM s n JOIN t USING (mip) JOIN g ON g.mip = n.mip AND ((g.s <= least(n.dist_m, total) AND least(n.dist_m, total) < g.s2) OR (n.dist_m >= total AND g.s2 = total))""",
+    # The merged line is the whole line again, over the middle of each gap.
+    "merged_centerlines": f"""WITH {_cut("CASE WHEN mip % 3 = 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END")}, whole AS (
+          SELECT mip, last, sum(sqrt(pow(xb - xa, 2) + pow(yb - ya, 2))) AS own,
+                 sum(sqrt(pow((CASE WHEN (pos + 1) % 10 = 0 AND pos + 1 < last THEN xb + gap / 2 ELSE xb END) - (CASE WHEN r > 0 AND pos % 10 = 0 THEN x + gap / 2 ELSE x END), 2) + pow(yb - ya, 2))) AS merged,
+                 sum(CASE WHEN mip % 3 = 1 AND pos % 10 >= 7 AND pos // 10 * 10 + 10 < last THEN sqrt(pow(xb - xa, 2) + pow(yb - ya, 2)) ELSE 0 END) AS again
+          FROM seg GROUP BY mip, last)
+        SELECT mip AS main_path_id, CAST((last + 9) // 10 AS INTEGER) AS n_parts, round(own + again, 4) AS input_length_m, round(merged, 4) AS merged_length_m, round((own + again - merged) / (own + again), 4) AS loss_fraction,
+               'reach_order' AS terminals, 'ok' AS status, CAST(CASE WHEN mip % 3 = 0 THEN 2 * ((last + 9) // 10 - 1) ELSE 0 END AS INTEGER) AS n_snapped, 1::INTEGER AS n_components, 0::INTEGER AS cycle_rank, 'simple' AS repair
+        FROM whole""",
+    "endpoint_diagnostics": f"""WITH {_cut("CASE (pos // 10) % 4 WHEN 1 THEN 0.0::DOUBLE WHEN 3 THEN 8.0::DOUBLE ELSE 3.0::DOUBLE END")},
+        parts AS (SELECT *, sum(CASE WHEN r > 0 AND pos % 10 = 0 AND gap > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY mip ORDER BY pos) AS part FROM seg),
+        outer_ends AS (SELECT mip, last, xa AS x, ya AS y, part FROM parts WHERE pos = 0 UNION ALL SELECT mip, last, xb, yb, part FROM parts WHERE pos = last - 1),
+        far AS (
+          SELECT o.mip, o.x, o.y, min(sqrt(pow(s.xa + t * (s.xb - s.xa) - o.x, 2) + pow(s.ya + t * (s.yb - s.ya) - o.y, 2))) AS near
+          FROM outer_ends o LEFT JOIN (SELECT * FROM parts) s ON o.mip = s.mip AND o.part <> s.part
+          LEFT JOIN LATERAL (SELECT least(1, greatest(0, ((o.x - s.xa) * (s.xb - s.xa) + (o.y - s.ya) * (s.yb - s.ya)) / (pow(s.xb - s.xa, 2) + pow(s.yb - s.ya, 2)))) AS t) ON true
+          GROUP BY o.mip, o.x, o.y)
+        SELECT mip AS main_path_id, round(x, 4) AS x, round(y, 4) AS y, CASE WHEN near IS NULL THEN 'unresolved' ELSE 'outer' END AS status, '' AS reasons, round(near, 4) AS nearest_m, CAST(NULL AS DOUBLE) AS moved_to_x, CAST(NULL AS DOUBLE) AS moved_to_y FROM far
+        UNION ALL
+        SELECT mip, round(e.x, 4), round(e.y, 4), CASE WHEN gap = 3 THEN 'snapped_to_end' ELSE 'unresolved' END, '', round(gap, 4), CASE WHEN gap = 3 THEN round(e.middle, 4) END, CASE WHEN gap = 3 THEN round(e.y, 4) END
+        FROM parts p CROSS JOIN LATERAL (SELECT unnest([p.x, p.xa]) AS x, p.ya AS y, p.x + p.gap / 2 AS middle) e WHERE r > 0 AND pos % 10 = 0 AND gap > 0""",
+    # Nodes are all ends and crossings; a covered stretch with n nodes on it has n - 1 edges.
+    "noded_lines": """WITH lines AS (
+          SELECT l_suppkey AS mip, l_orderkey % 2 = 0 AS flat, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 10 * l_linenumber ELSE l_quantity END AS DOUBLE) AS level,
+                 CAST(CASE WHEN l_orderkey % 2 = 0 THEN l_quantity ELSE 10 * l_linenumber - 5 * (l_partkey % 3) END AS DOUBLE) AS lo,
+                 CAST(CASE WHEN l_orderkey % 2 = 0 THEN l_quantity + 1 + l_partkey % 15 ELSE 10 * l_linenumber + 5 + 10 * (l_partkey % 4) END AS DOUBLE) AS hi
+          FROM lineitem
+        ), fresh AS (
+          SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY mip, flat, level ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY mip, flat, level ORDER BY lo, hi) = 1 THEN 1 ELSE 0 END AS fresh FROM lines
+        ), island AS (
+          SELECT mip, flat, level, k, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY mip, flat, level ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM fresh) GROUP BY ALL
+        ), nodes AS (
+          SELECT mip, CASE WHEN flat THEN e ELSE level END AS x, CASE WHEN flat THEN level ELSE e END AS y FROM lines CROSS JOIN LATERAL (SELECT unnest([lo, hi]) AS e)
+          UNION
+          SELECT h.mip, v.level, h.level FROM island h JOIN island v ON h.mip = v.mip AND h.flat AND NOT v.flat AND v.level BETWEEN h.lo AND h.hi AND h.level BETWEEN v.lo AND v.hi
+        ), held AS (
+          SELECT i.mip, i.flat, i.level, i.k, count(*) - 1 AS edges FROM island i JOIN nodes n ON i.mip = n.mip AND CASE WHEN flat THEN n.y ELSE n.x END = i.level AND CASE WHEN flat THEN n.x ELSE n.y END BETWEEN i.lo AND i.hi GROUP BY ALL
+        )
+        SELECT mip AS main_path_id, n_nodes, n_edges, round(length_m, 4) AS length_m FROM (SELECT mip, count(*) AS n_nodes FROM nodes GROUP BY mip)
+        JOIN (SELECT mip, CAST(sum(edges) AS BIGINT) AS n_edges FROM held GROUP BY mip) USING (mip) JOIN (SELECT mip, sum(hi - lo) AS length_m FROM island GROUP BY mip) USING (mip)""",
 }

@@ -469,13 +469,38 @@ def metric_at_nodes(spark, d):
     return rounded(geometry.metric_at_nodes(p, p, "width", "median", 500.0))
 
 
+def _reaches(spark, d, gap: str, overlap: str = "0") -> DataFrame:
+    """Lines cut to reaches of ten nodes. gap: how far each reach starts behind the end of the one before; overlap: nodes of that one which it repeats."""
+    _short(spark, d).createOrReplaceTempView("profile")
+    return spark.sql(f"""
+      SELECT main_path_id, r AS reach_id, true AS is_mainstem, min(dist_m) AS dist_out, transform(array_sort(collect_list(struct(pos, CASE WHEN r > 0 AND pos = 10 * r THEN x + {gap} ELSE x END AS x, y))), n -> struct(n.x AS x, n.y AS y)) AS geometry
+      FROM (SELECT mip AS main_path_id, *, explode(sequence(CAST(greatest(floor((pos - 1) / 10), 0) AS INT), CAST(floor((pos + {overlap}) / 10) AS INT))) AS r FROM (SELECT *, max(pos) OVER (PARTITION BY mip) AS last FROM profile))
+      WHERE 10 * r < last GROUP BY main_path_id, r""")
+
+
 def merged_centerlines(spark, d):
-    """Lines cut to reaches of ten nodes, and merged again."""
-    p = _short(spark, d)
-    both = p.withColumn("_r", F.explode(F.array(F.floor(F.col("pos") / 10), F.when((F.col("pos") % 10 == 0) & (F.col("pos") > 0), F.floor(F.col("pos") / 10) - 1)))).where("_r is not null")
-    line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda n: F.struct(n["x"].alias("x"), n["y"].alias("y")))
-    reaches = both.groupBy(F.col("mip").alias("main_path_id"), F.col("_r").alias("reach_id")).agg(line.alias("geometry"), F.min("dist_m").alias("dist_out")).withColumn("is_mainstem", F.lit(True))
-    return rounded(centerline.merge_mainpaths(reaches).select("main_path_id", "n_parts", "input_length_m", "merged_length_m", "loss_fraction", "terminals", "status"), 4)
+    """Lines cut to reaches, with gaps, with overlaps and as they are, and merged again."""
+    reaches = _reaches(spark, d, "CASE WHEN main_path_id % 3 = 0 THEN 3.0D ELSE 0.0D END", "CASE WHEN mip % 3 = 1 THEN 3 ELSE 0 END")
+    turned = F.when(F.col("main_path_id") % 3 == 2, F.reverse("geometry")).otherwise(F.col("geometry"))
+    merged = centerline.merge_mainpaths(reaches.withColumn("geometry", turned))
+    return rounded(merged.select("main_path_id", "n_parts", "input_length_m", "merged_length_m", "loss_fraction", "terminals", "status", "n_snapped", "n_components", "cycle_rank", "repair"), 4)
+
+
+def endpoint_diagnostics(spark, d):
+    """Ends of parts with gaps of 3 and 8 metres between some of them."""
+    found = centerline.endpoint_diagnostics(_reaches(spark, d, "CASE CAST(r AS INT) % 4 WHEN 1 THEN 0.0D WHEN 3 THEN 8.0D ELSE 3.0D END"))
+    return rounded(found.select("main_path_id", "x", "y", "status", F.concat_ws(",", "reasons").alias("reasons"), "nearest_m", "moved_to_x", "moved_to_y"), 4)
+
+
+def noded_lines(spark, d):
+    """Networks of lines along two axes, which cross, touch and overlap."""
+    standin.views(spark, d, "lineitem")
+    lines = spark.sql("""
+      SELECT l_suppkey AS main_path_id, CASE WHEN l_orderkey % 2 = 0
+        THEN array(named_struct('x', CAST(l_quantity AS DOUBLE), 'y', 10.0D * l_linenumber), named_struct('x', CAST(l_quantity + 1 + l_partkey % 15 AS DOUBLE), 'y', 10.0D * l_linenumber))
+        ELSE array(named_struct('x', CAST(l_quantity AS DOUBLE), 'y', 10.0D * l_linenumber - 5 * (l_partkey % 3)), named_struct('x', CAST(l_quantity AS DOUBLE), 'y', 10.0D * l_linenumber + 5 + 10 * (l_partkey % 4))) END AS line
+      FROM lineitem""")
+    return rounded(centerline.noded(lines).select("main_path_id", "n_nodes", "n_edges", "length_m"), 4)
 
 
 def smoothed_lines(spark, d):
@@ -487,6 +512,6 @@ NAMES = (
     "rolling_features rolling_slope filled_gaps rolling_sinuosity moving_average curvature standardized useful_features nan_rates chain_clusters support_table candidates all_run_candidates "
     "consensus_table stable_segments segment_labels cut_indices exact_positions gap_pairs family_gaps limit_sweep plateau relative_quality calinski_harabasz span_statistics setting_centrality "
     "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary threshold_candidates family_choice break_faults run_comparison run_clusters renamed_paths mainstem_paths percent_rank change_points selections segments support_sweep reach_summary two_stage "
-    "downstream_pairs line_graph width_summary side_channels line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines smoothed_lines"
+    "downstream_pairs line_graph width_summary side_channels line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines endpoint_diagnostics noded_lines smoothed_lines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
