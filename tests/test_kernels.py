@@ -351,6 +351,39 @@ def test_smoother_keeps_a_line_and_calms_a_wiggle():
     assert centerline.simplest_similar(np.array([[0.0, 0.0], [20_000.0, 0.0]]), 50.0)["status"] == "turning_not_reduced"
 
 
+def test_distances_to_a_line_are_those_of_all_segments():
+    rng = np.random.default_rng(1)
+    for n, m in ((2, 5), (40, 90), (500, 300)):
+        line, points = np.cumsum(rng.normal(size=(n, 2)), axis=0), rng.normal(scale=12, size=(m, 2))
+        want = [centerline.nearest_on(line, p)[0] for p in points]
+        assert np.allclose(centerline.distances(line, points), want)
+
+
+def _river(n, seed, step=50.0):
+    rng = np.random.default_rng(seed)
+    x = np.arange(n) * step
+    return np.stack([x, 400 * np.sin(x / 2500) + 60 * np.sin(x / 300) + np.cumsum(rng.normal(scale=2, size=n))], axis=1)
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("budget", [15.0, 80.0, 900.0])
+def test_the_coarse_pass_does_not_change_the_sigma(seed, budget):
+    xy = _river(700, seed)
+    for statistic in ("p95", "max", "mean"):
+        with_, without = centerline.simplest_similar(xy, budget=budget, statistic=statistic), centerline.simplest_similar(xy, budget=budget, statistic=statistic, coarse=1)
+        assert with_["sigma_m"] == without["sigma_m"] and with_["status"] == without["status"] and np.array_equal(with_["line"], without["line"])
+        assert with_["n_fine"] < without["n_fine"] or without["n_fine"] < 6 or with_["sigma_m"] < 300
+
+
+def test_twenty_thousand_points_are_smoothed_in_seconds():
+    import time
+
+    began = time.perf_counter()
+    r = centerline.simplest_similar(_river(20_000, 3), budget=80.0)
+    assert r["status"] == "ok" and len(r["line"]) >= 20_000 and time.perf_counter() - began < 20
+    assert centerline.simplest_similar(_river(100, 1), budget=np.inf)["status"] == "budget_not_finite"
+
+
 def test_settings():
     assert [config.final_stable_count(n) for n in range(1, 7)] == [1, 2, 2, 3, 4, 5]
     assert config.setting_label(1, 0.1, 0.05) == "mw1_runs0p1_stop0p05"

@@ -257,44 +257,81 @@ def turning_energy(xy: np.ndarray) -> float:
     return float(turn.sum() / along(xy)[-1])
 
 
-def simplest_similar(xy: np.ndarray, step_m: float = 50.0, budget=None, budget_fraction: float = 0.30, width=None, statistic: str = "p95", iterations: int = 18, least_drop: float = 0.15) -> dict:
-    """The most smoothed line that stays within a budget of the original, if its turning falls enough.
+#: How much wider the steps of the coarse pass are, and how near to its result only fine tests count.
+COARSE, UNSURE = 4, 1.3
 
-    budget: metres at a distance along the line; by default a share of `width`, or a 400th
-    of the length. Sigma is doubled while it is feasible, then bisected in the logarithm.
-    """
-    line = resample(xy, step_m)
-    length = along(line)[-1]
-    d = along(line)
-    if budget is not None:
-        allowed = np.broadcast_to(np.asarray(budget(d) if callable(budget) else budget, dtype=float), d.shape)
-    elif width is not None:
-        allowed = budget_fraction * np.asarray(width(d), dtype=float)
-    else:
-        allowed = np.full(len(d), length / 400)
-    of = {"max": np.max, "mean": np.mean, "p95": lambda x: np.quantile(x, 0.95)}[statistic]
 
-    def feasible(sigma: float) -> bool:
-        return bool(of(distances(smooth_gaussian(line, sigma, step_m), line) - allowed) <= 0)
+class Similarity:
+    """Whether a line smoothed with a sigma stays within a budget of itself, on points of equal spacing."""
 
-    low, high = 2 * step_m, max(length / 2, 2000.0)
-    if not feasible(low):
-        return {"line": line, "sigma_m": 0.0, "status": "nothing_feasible", "drop": 0.0}
-    for _ in range(8):
+    def __init__(self, xy: np.ndarray, step_m: float, allowed, statistic: str):
+        self.line, self.step = resample(xy, step_m), step_m
+        self.allowed = np.broadcast_to(np.asarray(allowed(along(self.line)), dtype=float), len(self.line))
+        self.of = {"max": np.max, "mean": np.mean, "p95": lambda x: np.quantile(x, 0.95)}[statistic]
+        self.known: dict[float, bool] = {}
+
+    def __call__(self, sigma: float) -> bool:
+        if sigma not in self.known:
+            away = distances(smooth_gaussian(self.line, sigma, self.step), self.line)
+            self.known[sigma] = bool(self.of(away - self.allowed) <= 0)
+        return self.known[sigma]
+
+
+def largest_sigma(feasible, low: float, high: float, iterations: int) -> tuple[float, float]:
+    """The largest feasible sigma of those tried and the smallest that is not (infinite if all are).
+
+    Sigma is doubled from high on while it is feasible, then bisected in the logarithm.
+    """
+    for _ in range(9):
         if not feasible(high):
             break
         low, high = high, 2 * high
+    else:
+        return low, np.inf
     for _ in range(iterations):
-        middle = float(np.sqrt(low * high))
-        low, high = (middle, high) if feasible(middle) else (low, middle)
         if high / low < 1.01:
             break
-    smooth = smooth_gaussian(line, low, step_m)
+        middle = float(np.sqrt(low * high))
+        low, high = (middle, high) if feasible(middle) else (low, middle)
+    return low, high
+
+
+def simplest_similar(xy: np.ndarray, step_m: float = 50.0, budget=None, budget_fraction: float = 0.30, width=None, statistic: str = "p95", iterations: int = 18, least_drop: float = 0.15, coarse: float = COARSE) -> dict:
+    """The most smoothed line that stays within a budget of the original, if its turning falls enough.
+
+    budget: metres at a distance along the line; by default a share of `width`, or a 400th
+    of the length. A pass over points `coarse` times as far apart finds about where the
+    largest sigma is; the search is then made with full spacing, but tests only sigmas near
+    that, and both ends of what it finds. Should a test contradict the coarse pass, the
+    search is made again with full tests, so the result is that of a search without it.
+    """
+    length = float(along(xy)[-1])
+    if budget is not None:
+        allowed = budget if callable(budget) else lambda d: budget
+    elif width is not None:
+        allowed = lambda d: budget_fraction * np.asarray(width(d), dtype=float)
+    else:
+        allowed = lambda d: length / 400
+    fine = Similarity(xy, step_m, allowed, statistic)
+    line = fine.line
+    if not np.isfinite(fine.allowed).all():
+        return {"line": line, "sigma_m": 0.0, "status": "budget_not_finite", "drop": 0.0, "n_fine": 0}
+    low, high = 2 * step_m, max(length / 2, 2000.0)
+    if not fine(low):
+        return {"line": line, "sigma_m": 0.0, "status": "nothing_feasible", "drop": 0.0, "n_fine": 1}
+    search = fine
+    if coarse > 1 and length > 2 * coarse * step_m:
+        rough = Similarity(xy, coarse * step_m, allowed, statistic)
+        near = largest_sigma(rough, low, high, iterations)[0]
+        search = lambda sigma: sigma < near if not 1 / UNSURE < sigma / near < UNSURE else fine(sigma)
+    best, over = largest_sigma(search, low, high, iterations)
+    if search is not fine and not (fine(best) and (over == np.inf or not fine(over))):
+        best, over = largest_sigma(fine, low, high, iterations)
+    smooth = smooth_gaussian(line, best, step_m)
     before = turning_energy(line)
     drop = 1 - turning_energy(smooth) / before if before > 0 else 0.0
-    if drop < least_drop:
-        return {"line": line, "sigma_m": low, "status": "turning_not_reduced", "drop": drop}
-    return {"line": smooth, "sigma_m": low, "status": "ok", "drop": drop}
+    status = "turning_not_reduced" if drop < least_drop else "ok"
+    return {"line": smooth if status == "ok" else line, "sigma_m": best, "status": status, "drop": drop, "n_fine": len(fine.known)}
 
 
 def relative_groups(width: np.ndarray, length: np.ndarray, tolerance: float = 0.2, statistic: str = "mean") -> tuple[list[float], list[float]]:
@@ -323,17 +360,31 @@ def width_profile(breaks: list[float], widths: list[float]):
     return lambda d: w[np.clip(np.searchsorted(at[1:], np.asarray(d, dtype=float), side="right"), 0, len(w) - 1)]
 
 
+#: Segments of a block whose box is compared with points before its segments are.
+BLOCK = 32
+
+
 def distances(line: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Distance of each point to a line, some hundred points at once."""
+    """Distance of each point to a line.
+
+    Segments stand in blocks along the line. The vertex at a point's own share of the line
+    gives a first bound, and only blocks whose boxes are nearer than the bound are looked into.
+    """
     a, v = line[:-1], np.diff(line, axis=0)
     size = np.maximum((v**2).sum(axis=1), 1e-300)
-    out = np.empty(len(points))
-    step = max(1, (1 << 20) // max(1, len(a)))
-    for lo in range(0, len(points), step):
-        d = points[lo : lo + step, None, :] - a[None]
-        t = np.clip((d * v).sum(axis=2) / size, 0, 1)
-        out[lo : lo + step] = np.sqrt(((d - t[:, :, None] * v) ** 2).sum(axis=2).min(axis=1))
-    return out
+    guess = np.minimum(np.arange(len(points)) * len(line) // max(len(points), 1), len(line) - 1)
+    best = ((points - line[guess]) ** 2).sum(axis=1)
+    blocks = -(-len(a) // BLOCK)
+    for k in np.argsort(np.abs(np.arange(blocks) - blocks // 2), kind="stable") if blocks else ():
+        lo, hi = k * BLOCK, min(len(a), (k + 1) * BLOCK)
+        corners = line[lo : hi + 1]
+        out = np.maximum(np.maximum(corners.min(axis=0) - points, points - corners.max(axis=0)), 0)
+        some = np.flatnonzero((out**2).sum(axis=1) < best)
+        if len(some):
+            d = points[some, None, :] - a[None, lo:hi]
+            t = np.clip((d * v[lo:hi]).sum(axis=2) / size[lo:hi], 0, 1)
+            best[some] = np.minimum(best[some], ((d - t[:, :, None] * v[lo:hi]) ** 2).sum(axis=2).min(axis=1))
+    return np.sqrt(best)
 
 
 #: Reaches of this width in metres or less do not count for a path's budget.
