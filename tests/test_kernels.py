@@ -384,6 +384,49 @@ def test_twenty_thousand_points_are_smoothed_in_seconds():
     assert centerline.simplest_similar(_river(100, 1), budget=np.inf)["status"] == "budget_not_finite"
 
 
+def _unpruned(x, penalties, least, jump):
+    """The recursion over all starts, for one profile."""
+    n = len(x)
+    if n < 2 * least or n < 2:
+        return [[] for _ in penalties]
+    grid = sorted({*range(0, n, jump), n})
+    run, square = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)]), np.append(0.0, np.cumsum((x * x).sum(axis=1)))
+    out = []
+    for pen in penalties:
+        best, came = {0: -pen}, {}
+        for t in grid[1:]:
+            found = [(best[s] + square[t] - square[s] - ((run[t] - run[s]) ** 2).sum() / (t - s) + pen, s) for s in grid if s <= t - least and s in best]
+            if found:
+                best[t], came[t] = min(found)
+        breaks, t = [], n
+        while came.get(t, 0):
+            t = came[t]
+            breaks.append(t)
+        out.append(breaks[::-1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_dropped_starts_do_not_change_a_break(seed):
+    rng = np.random.default_rng(seed)
+    n, least, jump = int(rng.integers(2, 260)), int(rng.integers(1, 20)), int(rng.integers(1, 4))
+    level = np.repeat(rng.normal(scale=4, size=(n // 15 + 1, 2)), 15, axis=0)[:n]
+    x = level + rng.normal(scale=rng.choice([0.1, 0.3, 1]), size=(n, 2))
+    penalties = [0.5, 2.5, 10.0, 40.0]
+    assert changepoint.solve(x, penalties, least, jump) == _unpruned(x, penalties, least, jump)
+
+
+def test_work_grows_with_the_points_where_there_are_many_changes():
+    rng = np.random.default_rng(0)
+    work = {}
+    for n in (2000, 4000, 8000):
+        x = np.repeat(rng.normal(scale=3, size=(n // 50, 2)), 50, axis=0) + rng.normal(size=(n, 2))
+        starts: list[int] = []
+        changepoint.solve_all(x[None], [2.5, 10.0, 40.0], 10, 1, starts)
+        work[n] = sum(starts)
+    assert work[8000] < 2.5 * work[4000] and work[4000] < 2.5 * work[2000] and work[8000] < 8000**2 / 20
+
+
 def test_settings():
     assert [config.final_stable_count(n) for n in range(1, 7)] == [1, 2, 2, 3, 4, 5]
     assert config.setting_label(1, 0.1, 0.05) == "mw1_runs0p1_stop0p05"

@@ -4,12 +4,14 @@ Breaks minimise the sum of squared deviations from segment means over all featur
 penalty for each break, subject to a least segment size, among the multiples of `jump`.
 Method: the optimal partitioning recursion (Jackson and others, 2005; Killick, Fearnhead and
 Eckley, 2012), with segment costs from prefix sums that all penalties share, for many
-profiles of one length in each step. Nothing is pruned, so the minimum is exact on the grid;
-among equal costs the earliest start wins.
+profiles of one length in each step. A start that a later one beats even without its penalty
+is dropped, but only for ends that leave the later one its least segment; so the minimum is
+exact on the grid, and among equal costs the earliest start wins.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -24,8 +26,17 @@ from ..schemas import RUNS
 STEP_NUMBERS = 1 << 21
 
 
-def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int = 1) -> list[list[list[int]]]:
-    """For each of many profiles of one length (profiles by points by features), what solve() gives."""
+#: Profiles of more grid points are solved one by one, so that a start is dropped as soon as this profile can do without it.
+ALONE = 4096
+#: Steps between looks for starts to drop, and the share of a cost that rounding may hide.
+CLEAR, HIDDEN = 16, 1e-9
+
+
+def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int = 1, work: list[int] | None = None) -> list[list[list[int]]]:
+    """For each of many profiles of one length (profiles by points by features), what solve() gives.
+
+    work: gets the number of starts that were compared for each end.
+    """
     many, n = x.shape[:2]
     if n < 2 * min_size or n < 2:
         return [[[] for _ in penalties] for _ in range(many)]
@@ -37,15 +48,41 @@ def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: in
     best = np.full((many, len(pen), len(grid)), np.inf)
     best[:, :, 0] = -pen
     came = np.zeros((len(grid), many, len(pen)), dtype=np.int32)
+    lasts = np.searchsorted(grid, grid - min_size, side="right")  # starts far enough back
+    # What each start that is still compared brings, side by side.
+    held, held_run, held_square, held_best = np.zeros(len(grid), dtype=np.int64), np.empty_like(run), np.empty_like(square), np.empty_like(best)
+    m = seen = 0
+    going: deque[tuple[int, np.ndarray]] = deque()  # starts to drop, and from which end on
+    noise = HIDDEN * (1 + square[:, -1].max())
     for k in range(1, len(grid)):
-        last = int(np.searchsorted(grid, grid[k] - min_size, side="right"))  # starts far enough back
+        last = int(lasts[k])
         if not last:
             continue
-        apart = run[:, k : k + 1] - run[:, :last]
-        cost = square[:, k : k + 1] - square[:, :last] - (apart * apart).sum(axis=2) / (grid[k] - grid[:last])
-        total = best[:, :, :last] + cost[:, None, :]
-        came[k] = total.argmin(axis=2)
-        best[:, :, k] = np.take_along_axis(total, came[k][:, :, None], axis=2)[:, :, 0] + pen
+        if last > seen:
+            new = slice(m, m + last - seen)
+            held[new], held_run[:, new], held_square[:, new], held_best[:, :, new] = np.arange(seen, last), run[:, seen:last], square[:, seen:last], best[:, :, seen:last]
+            m, seen = m + last - seen, last
+        if not k % CLEAR and going and going[0][0] <= grid[k]:
+            gone = np.zeros(len(grid), dtype=bool)
+            while going and going[0][0] <= grid[k]:
+                gone[going.popleft()[1]] = True
+            stay = np.flatnonzero(~gone[held[:m]])
+            for array, axis in ((held, 0), (held_run, 1), (held_square, 1), (held_best, 2)):
+                moved = np.take(array, stay, axis=axis)
+                array[(slice(None),) * axis + (slice(0, len(stay)),)] = moved
+            m = len(stay)
+        apart = run[:, k : k + 1] - held_run[:, :m]
+        cost = square[:, k : k + 1] - held_square[:, :m] - (apart * apart).sum(axis=2) / (grid[k] - grid[held[:m]])
+        total = held_best[:, :, :m] + cost[:, None, :]
+        at = total.argmin(axis=2)
+        came[k] = held[at]
+        best[:, :, k] = np.take_along_axis(total, at[:, :, None], axis=2)[:, :, 0] + pen
+        if work is not None:
+            work.append(m)
+        if not k % CLEAR and last > CLEAR:
+            beaten = (total > best[:, :, k : k + 1] + noise).all(axis=(0, 1))
+            if beaten.any():
+                going.append((int(grid[k]) + min_size, held[:m][beaten]))
     out = []
     for g in range(many):
         of = []
@@ -98,7 +135,7 @@ def sweep(features: DataFrame, columns: Sequence[str], penalties: Sequence[float
         breaks: list = [None] * len(starts)
         for n, m in sorted(set(zip(sizes.tolist(), least.tolist()))):
             alike = np.flatnonzero((sizes == n) & (least == m))
-            step = max(1, STEP_NUMBERS // (n * max(len(penalties), len(columns), 1)))
+            step = 1 if n > ALONE * max(jump, 1) else max(1, STEP_NUMBERS // (n * max(len(penalties), len(columns), 1)))
             for lo in range(0, len(alike), step):
                 some = alike[lo : lo + step]
                 for g, found in zip(some, solve_all(x[starts[some, None] + np.arange(n)], penalties, m, jump)):
