@@ -163,3 +163,37 @@ def family_runs(runs: DataFrame, plan: DataFrame) -> DataFrame:
 def run_breaks(runs: DataFrame) -> DataFrame:
     """A row for each break of each run."""
     return runs.select("mip", "family", "window_m", "window_label", "penalty", F.explode("break_m").alias("break_m"))
+
+
+def table_function(penalties: Sequence[float], jump: int = 1, min_size: int | None = None):
+    """A Python table function for SQL: change_points(TABLE(rows) PARTITION BY mip, window_m ORDER BY pos).
+
+    Rows have mip, window_m, dist_m and window_pts, and features in all other columns but pos,
+    standardised and without missing values. It gives the rows of sweep().
+    """
+    wanted = [float(p) for p in penalties]
+
+    class ChangePoints:
+        def __init__(self):
+            self.key, self.dist, self.points, self.window_pts = None, [], [], 1
+
+        def eval(self, row):
+            if self.key is None:
+                self.names = [c for c in row.asDict() if c not in ("mip", "window_m", "pos", "dist_m", "window_pts")]
+                self.key, self.window_pts = (row["mip"], row["window_m"]), row["window_pts"]
+            self.dist.append(row["dist_m"])
+            self.points.append([float(row[c]) for c in self.names])
+
+        def terminate(self):
+            if self.key is None:
+                return
+            n, least = len(self.points), max(1, int(min_size if min_size is not None else self.window_pts))
+            for penalty, found in zip(wanted, solve(np.array(self.points).reshape(n, -1), wanted, least, jump)):
+                yield (*self.key, penalty, n, least, found, [float(self.dist[b]) for b in found], "ok" if n >= 2 * least else "too_short")
+
+    return F.udtf(ChangePoints, returnType=RUNS)
+
+
+def register(spark, name: str = "change_points", penalties: Sequence[float] = (2.5, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0), jump: int = 1, min_size: int | None = None) -> None:
+    """Let SQL call table_function() by a name."""
+    spark.udtf.register(name, table_function(penalties, jump, min_size))

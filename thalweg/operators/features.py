@@ -120,11 +120,51 @@ def curvature(df: DataFrame, step_m: float = 10.0, keys: tuple[str, ...] = ("mip
     return d.withColumn(out, F.when(F.col("_n") >= 5, k if signed else F.abs(k))).drop("_dx", "_dy", "_ddx", "_ddy", "_n")
 
 
+#: Distances in metres up to which two points count as one.
+SAME_M = 1e-6
+
+
+def aligned(points: DataFrame, external: DataFrame, *columns: str, keys: tuple[str, ...] = ("mip", "window_m")) -> DataFrame:
+    """points (keys, pos, dist_m) with columns of external (keys, dist_m) at their distances.
+
+    Where a group has as many rows on both sides, no pair of them further apart than SAME_M,
+    the values are taken as they are. Otherwise a point has the value at its distance, or
+    the one interpolated between the known values before and after it; before the first and
+    after the last it stays missing, and a single known value holds everywhere. Groups that
+    external lacks stay missing.
+
+    Both sides become one table ordered by distance, in which the known values around a
+    point are the last before it and the first after it: one shuffle by the keys, no range join.
+    """
+    place = Window.partitionBy(*keys, "_given").orderBy("dist_m", "_pos")
+    side = lambda df, given, pos, value: df.select(*keys, F.col("dist_m").cast("double").alias("dist_m"), pos.alias("_pos"), F.lit(given).alias("_given"), *[value(c) for c in columns])
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+    rows = side(points, False, F.col("pos"), lambda c: F.lit(None).cast("double").alias(c)).unionByName(side(external.where("dist_m is not null"), True, F.lit(0), known))
+    rows = rows.withColumn("_place", F.row_number().over(place))
+    # By place: the partner's distance and values, and whether all places of the group have a partner that near.
+    pair = Window.partitionBy(*keys, "_place")
+    near = F.coalesce((F.count("*").over(pair) == 2) & (F.max("dist_m").over(pair) - F.min("dist_m").over(pair) <= SAME_M), F.lit(False))
+    rows = rows.withColumn("_near", near).select("*", *[F.max(c).over(pair).alias(f"_own_{c}") for c in columns])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("dist_m", F.desc("_given")).rowsBetween(Window.unboundedPreceding, 0)
+    after = group.orderBy("dist_m", "_given").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("_same", F.min("_near").over(group))
+    for c in columns:
+        point = F.when(F.col(c).isNotNull(), F.struct(F.col("dist_m").alias("d"), F.col(c).alias("v")))
+        rows = rows.withColumn("_a", F.last(point, ignorenulls=True).over(before)).withColumn("_b", F.first(point, ignorenulls=True).over(after)).withColumn("_n", F.count(c).over(group))
+        a, b = F.col("_a"), F.col("_b")
+        between = F.when(b["d"] - a["d"] <= 0, a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("dist_m") - a["d"]) / (b["d"] - a["d"]))
+        value = F.when(F.col("_same"), F.col(f"_own_{c}")).when(F.col("_n") == 1, F.coalesce(a["v"], b["v"])).otherwise(between)
+        rows = rows.withColumn(f"_to_{c}", value)
+    return rows.where(~F.col("_given")).select(*keys, F.col("_pos").alias("pos"), "dist_m", *[F.col(f"_to_{c}").alias(c) for c in columns])
+
+
 def build_features(profile: DataFrame, plan: DataFrame, features, config: FeatureConfig = FeatureConfig(), external: DataFrame | None = None) -> DataFrame:
     """(mip, window_m, pos, dist_m, window_pts, a column for each feature).
 
-    external: (mip, window_m, pos, sinuosity, curvature) from the geometry operators. The raw
-    window has width and channels only.
+    external: (mip, window_m, pos, sinuosity, curvature) from the geometry operators, or with
+    dist_m in place of pos, and is then aligned by distance. The raw window has width and
+    channels only.
     """
     features = check_features(features)
     rows = expand(profile, plan).withColumn("_w", log_width(F.col("width")) if config.log_width else F.col("width").cast("double"))
@@ -142,6 +182,8 @@ def build_features(profile: DataFrame, plan: DataFrame, features, config: Featur
     if geometry:
         if external is None:
             raise ValueError("sinuosity and curvature need the geometry features of the paths")
+        if "pos" not in external.columns:
+            external = aligned(rows.where(~raw).select("mip", "window_m", "pos", "dist_m"), external, *geometry)
         rows = rows.join(external.select("mip", "window_m", "pos", *[F.col(g).alias(f"{g}_f") for g in geometry]), ["mip", "window_m", "pos"], "left")
         if "curvature" in geometry and config.abs_curvature:
             rows = rows.withColumn("curvature_f", F.abs("curvature_f"))

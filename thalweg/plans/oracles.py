@@ -122,6 +122,29 @@ def _cut(gap: str) -> str:
         seg AS (SELECT mip, last, pos, r, CASE WHEN r > 0 AND pos % 10 = 0 THEN x + gap ELSE x END AS xa, y AS ya, x2 AS xb, y2 AS yb, x, gap FROM points WHERE x2 IS NOT NULL)"""
 
 
+#: Change points of the two windows and four penalties: features, prefix sums, and the recursion over ends with the best sums as a list.
+CHANGES = f"""WITH RECURSIVE {EXPAND}, logged AS (SELECT *, CASE WHEN width > 0 THEN ln(width) END AS lw, CAST(n_channels > 1 AS DOUBLE) AS multi FROM expanded),
+    rolled AS (""" + _frames("""SELECT mip, window_m, pos, CASE WHEN count(lw) OVER w >= 5 THEN quantile_cont(lw, 0.5) OVER w END AS a, CASE WHEN count(multi) OVER w >= 5 THEN avg(multi) OVER w END AS b
+        FROM logged WHERE window_m = {M} WINDOW w AS (PARTITION BY mip ORDER BY pos ROWS BETWEEN {H} PRECEDING AND {H} FOLLOWING)""") + """),
+    scaled AS (SELECT mip, window_m, pos, CASE WHEN stddev_pop(a) OVER w > 0 THEN (a - avg(a) OVER w) / stddev_pop(a) OVER w ELSE a * 0 END AS a, CASE WHEN stddev_pop(b) OVER w > 0 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE b * 0 END AS b FROM rolled WINDOW w AS (PARTITION BY mip, window_m)),
+    filled AS (SELECT mip, window_m, pos, coalesce(a, quantile_cont(a, 0.5) OVER w, 0) AS a, coalesce(b, quantile_cont(b, 0.5) OVER w, 0) AS b FROM scaled WINDOW w AS (PARTITION BY mip, window_m)),
+    run AS (SELECT mip, window_m, pos, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(a * a + b * b) OVER w AS q FROM filled WINDOW w AS (PARTITION BY mip, window_m ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    lists AS (SELECT mip, window_m, CAST(window_m / 200 AS INTEGER) AS least, count(*) AS n, list_prepend(0.0, list(a ORDER BY pos)) AS a, list_prepend(0.0, list(b ORDER BY pos)) AS b, list_prepend(0.0, list(q ORDER BY pos)) AS q FROM run GROUP BY mip, window_m),
+    penalties AS (SELECT unnest([1.0, 2.0, 5.0, 10.0])::DOUBLE AS penalty),
+    best(mip, window_m, penalty, k, sums, came) AS (
+      SELECT mip, window_m, penalty, 0, [-penalty], [0] FROM lists CROSS JOIN penalties
+      UNION ALL
+      SELECT mip, window_m, penalty, k, list_append(sums, CASE WHEN len(costs) > 0 THEN list_min(costs) + penalty ELSE 'inf'::DOUBLE END), list_append(came, CASE WHEN len(costs) > 0 THEN CAST(list_position(costs, list_min(costs)) - 1 AS INTEGER) ELSE 0 END)
+      FROM (SELECT x.mip, x.window_m, penalty, k + 1 AS k, sums, came, [sums[s + 1] + q[k + 2] - q[s + 1] - (pow(a[k + 2] - a[s + 1], 2) + pow(b[k + 2] - b[s + 1], 2)) / (k + 1 - s) FOR s IN range(0, k + 2 - least)] AS costs
+            FROM best x JOIN lists l ON x.mip = l.mip AND x.window_m = l.window_m WHERE k < n)),
+    back(mip, window_m, penalty, t, found, came) AS (
+      SELECT x.mip, x.window_m, penalty, CASE WHEN n >= 2 * least THEN came[n + 1] ELSE 0 END, CAST([] AS INTEGER[]), came FROM best x JOIN lists l ON x.mip = l.mip AND x.window_m = l.window_m WHERE k = n
+      UNION ALL
+      SELECT mip, window_m, penalty, came[t + 1], list_prepend(CAST(t AS INTEGER), found), came FROM back WHERE t > 0),
+    changes AS (SELECT mip, window_m, penalty, n, least, found FROM back JOIN lists USING (mip, window_m) WHERE t = 0)"""
+CHANGE_POINTS = f"{CHANGES} SELECT mip, window_m, penalty, CAST(n AS INTEGER) AS n_points, least AS min_size, array_to_string(found, ',') AS breaks, CASE WHEN n >= 2 * least THEN 'ok' ELSE 'too_short' END AS status FROM changes"
+
+
 ORACLES: dict[str, str] = {
     "profile_short": f"WITH {SP} SELECT mip, pos, dist_m, round(CASE WHEN width > 0 THEN ln(width) END, 6) AS log_width, CAST(n_channels > 1 AS DOUBLE) AS multi FROM profile",
     "node_heights": f"WITH {OBS} SELECT node_id, round(wse, 6) AS wse FROM ({HEIGHTS} AND reach_id IN (SELECT s_suppkey FROM supplier) GROUP BY node_id)",
@@ -313,4 +336,16 @@ ORACLES: dict[str, str] = {
         )
         SELECT mip AS main_path_id, n_nodes, n_edges, round(length_m, 4) AS length_m FROM (SELECT mip, count(*) AS n_nodes FROM nodes GROUP BY mip)
         JOIN (SELECT mip, CAST(sum(edges) AS BIGINT) AS n_edges FROM held GROUP BY mip) USING (mip) JOIN (SELECT mip, sum(hi - lo) AS length_m FROM island GROUP BY mip) USING (mip)""",
+    "aligned_features": f"""WITH {SP}, ext AS (
+          SELECT mip, dist_m + CASE mip % 5 WHEN 0 THEN 5e-7 WHEN 1 THEN 70.0 ELSE 0 END AS d, pos, width, CASE WHEN pos % 6 <> 0 THEN n_channels END AS n_channels FROM profile
+          WHERE CASE mip % 5 WHEN 0 THEN true WHEN 1 THEN pos % 3 = 0 WHEN 2 THEN pos % 4 = 1 WHEN 3 THEN pos = 2 ELSE false END
+        ), long AS (SELECT mip, d, pos, 'w' AS c, width AS v FROM ext UNION ALL SELECT mip, d, pos, 'n', n_channels FROM ext), known AS (SELECT mip, d, c, v, count(*) OVER (PARTITION BY mip, c) AS n FROM long WHERE v IS NOT NULL),
+        need AS (SELECT p.mip, p.pos, p.dist_m, c FROM profile p CROSS JOIN (SELECT unnest(['w', 'n']) AS c)),
+        around AS (SELECT need.*, a.d AS d1, a.v AS v1, b.d AS d2, b.v AS v2 FROM need ASOF LEFT JOIN known a ON need.mip = a.mip AND need.c = a.c AND need.dist_m >= a.d ASOF LEFT JOIN known b ON need.mip = b.mip AND need.c = b.c AND need.dist_m <= b.d),
+        found AS (
+          SELECT r.mip, r.pos, r.c, CASE WHEN r.mip % 5 = 0 THEN same.v WHEN one.v IS NOT NULL THEN one.v WHEN d1 = d2 THEN v1 ELSE v1 + (v2 - v1) * (dist_m - d1) / (d2 - d1) END AS v
+          FROM around r LEFT JOIN long same ON same.mip = r.mip AND same.pos = r.pos AND same.c = r.c LEFT JOIN (SELECT mip, c, v FROM known WHERE n = 1) one ON one.mip = r.mip AND one.c = r.c)
+        SELECT mip, pos, round(max(v) FILTER (WHERE c = 'w'), 6) AS width, round(max(v) FILTER (WHERE c = 'n'), 6) AS n_channels FROM found GROUP BY mip, pos""",
+    "change_points": CHANGE_POINTS,
+    "change_points_sql": CHANGE_POINTS,
 }

@@ -374,11 +374,34 @@ def mainstem_paths(spark, d):
     return centerline.mainstem_paths(spark.sql("SELECT o_orderkey AS reach_id, o_custkey AS main_path_id, o_orderkey % 4 < 2 AS is_mainstem FROM orders"))
 
 
-def change_points(spark, d):
+def aligned_features(spark, d):
+    """Values of other points brought to the nodes: all of them, shifted ones, a few, one, and none, from path to path."""
+    p = _short(spark, d)
+    m = F.pmod("mip", F.lit(5))
+    kept = F.when(m == 0, F.lit(True)).when(m == 1, F.col("pos") % 3 == 0).when(m == 2, F.col("pos") % 4 == 1).when(m == 3, F.col("pos") == 2).otherwise(F.lit(False))
+    at = F.col("dist_m") + F.when(m == 0, 5e-7).when(m == 1, 70.0).otherwise(0.0)
+    external = p.where(kept).select("mip", F.lit(1.0).alias("window_m"), at.alias("dist_m"), "width", F.when(F.col("pos") % 6 != 0, F.col("n_channels")).alias("n_channels"))
+    points = p.select("mip", F.lit(1.0).alias("window_m"), "pos", "dist_m")
+    return rounded(features.aligned(points, external, "width", "n_channels").select("mip", "pos", "width", "n_channels"))
+
+
+def _standardized(spark, d):
     p = _short(spark, d)
     plan = windows.final_plan(windows.plan_windows(p, FIXED, TWO))
-    z = features.impute(features.standardize(features.build_features(p, plan, ("width", "channels")), "width", "channels"), "width", "channels")
-    runs = changepoint.sweep(z, ["width", "channels"], SMALL.penalties, 1)
+    return features.impute(features.standardize(features.build_features(p, plan, ("width", "channels")), "width", "channels"), "width", "channels")
+
+
+def change_points_sql(spark, d):
+    """The rows of change_points, from SQL by the table function."""
+    changepoint.register(spark, "change_points", SMALL.penalties, 1)
+    _standardized(spark, d).createOrReplaceTempView("standardized_rows")
+    return spark.sql("""
+      SELECT mip, window_m, penalty, n_points, min_size, concat_ws(',', transform(break_index, i -> CAST(i AS STRING))) AS breaks, status
+      FROM change_points(TABLE(SELECT mip, window_m, pos, dist_m, window_pts, width, channels FROM standardized_rows) PARTITION BY (mip, window_m) ORDER BY pos)""")
+
+
+def change_points(spark, d):
+    runs = changepoint.sweep(_standardized(spark, d), ["width", "channels"], SMALL.penalties, 1)
     return runs.select("mip", "window_m", "penalty", "n_points", "min_size", F.concat_ws(",", F.transform("break_index", lambda i: i.cast("string"))).alias("breaks"), "status")
 
 
@@ -511,7 +534,7 @@ NAMES = (
     "profile_short node_heights nodes_with_heights enriched_nodes ordered_nodes reach_means distance_faults feature_health spacing_and_quantiles window_plan window_feasibility "
     "rolling_features rolling_slope filled_gaps rolling_sinuosity moving_average curvature standardized useful_features nan_rates chain_clusters support_table candidates all_run_candidates "
     "consensus_table stable_segments segment_labels cut_indices exact_positions gap_pairs family_gaps limit_sweep plateau relative_quality calinski_harabasz span_statistics setting_centrality "
-    "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary threshold_candidates family_choice break_faults run_comparison run_clusters renamed_paths mainstem_paths percent_rank change_points selections segments support_sweep reach_summary two_stage "
+    "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary threshold_candidates family_choice break_faults run_comparison run_clusters renamed_paths mainstem_paths percent_rank aligned_features change_points change_points_sql selections segments support_sweep reach_summary two_stage "
     "downstream_pairs line_graph width_summary side_channels line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines endpoint_diagnostics noded_lines smoothed_lines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
