@@ -191,7 +191,7 @@ def table_function(penalties: Sequence[float], jump: int = 1, min_size: int | No
             for penalty, found in zip(wanted, solve(np.array(self.points).reshape(n, -1), wanted, least, jump)):
                 yield (*self.key, penalty, n, least, found, [float(self.dist[b]) for b in found], "ok" if n >= 2 * least else "too_short")
 
-    return F.udtf(ChangePoints, returnType=RUNS)
+    return F.udtf(ChangePoints, returnType=RUNS).asDeterministic()
 
 
 def register(spark, name: str = "change_points", penalties: Sequence[float] = (2.5, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0), jump: int = 1, min_size: int | None = None) -> None:

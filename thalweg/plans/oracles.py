@@ -145,6 +145,24 @@ CHANGES = f"""WITH RECURSIVE {EXPAND}, logged AS (SELECT *, CASE WHEN width > 0
 CHANGE_POINTS = f"{CHANGES} SELECT mip, window_m, penalty, CAST(n AS INTEGER) AS n_points, least AS min_size, array_to_string(found, ',') AS breaks, CASE WHEN n >= 2 * least THEN 'ok' ELSE 'too_short' END AS status FROM changes"
 
 
+#: Junctions of the looped main stems by following pairs of ends, and components of what is beside the stem likewise.
+LOOPS = f"""WITH RECURSIVE {LP}, reaches AS (
+      SELECT mip, mip * 1000000 + pos AS r, true AS main, CASE WHEN pos % 10 = 3 THEN [mip * 1000000 + pos + 1, mip * 1000000 + 500000 + pos] WHEN pos % 20 = 4 THEN [mip * 1000000 + pos + 1, mip * 1000000 + 700000 + pos] ELSE [mip * 1000000 + pos + 1] END AS dn FROM profile
+      UNION ALL SELECT mip, mip * 1000000 + 500000 + pos, false, [mip * 1000000 + 600000 + pos] FROM profile WHERE pos % 10 = 3
+      UNION ALL SELECT mip, mip * 1000000 + 600000 + pos, false, [mip * 1000000 + pos + 4] FROM profile WHERE pos % 10 = 3
+      UNION ALL SELECT mip, mip * 1000000 + 700000 + pos, false, [mip * 1000000 + pos + 2] FROM profile WHERE pos % 20 = 4
+    ), pairs AS (SELECT 2 * a.r + 1 AS a, 2 * b.r AS b FROM (SELECT r, unnest(dn) AS d FROM reaches) a JOIN reaches b ON a.d = b.r),
+    ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    joined(a, b) AS (SELECT a, a FROM ways UNION SELECT j.a, x.b FROM joined j JOIN ways x ON j.b = x.a),
+    named AS (SELECT a, min(b) AS n FROM joined GROUP BY a),
+    net AS (SELECT mip, r, main, coalesce(u.n, 2 * r) AS u, coalesce(v.n, 2 * r + 1) AS v FROM reaches LEFT JOIN named u ON u.a = 2 * r LEFT JOIN named v ON v.a = 2 * r + 1),
+    beside AS (SELECT mip, u AS a, v AS b FROM net WHERE NOT main UNION ALL SELECT mip, v, u FROM net WHERE NOT main),
+    linked(mip, a, b) AS (SELECT mip, a, a FROM beside UNION SELECT l.mip, l.a, x.b FROM linked l JOIN beside x ON l.mip = x.mip AND l.b = x.a),
+    labels AS (SELECT mip, a AS node, min(b) AS label FROM linked GROUP BY mip, a),
+    held AS (SELECT u.mip, u.label, count(*) AS n FROM net JOIN labels u ON u.mip = net.mip AND u.node = net.u JOIN labels v ON v.mip = net.mip AND v.node = net.v AND v.label = u.label GROUP BY ALL HAVING count(*) >= 2),
+    parts AS (SELECT mip, label AS component, node, n AS n_inside FROM labels JOIN held USING (mip, label))"""
+
+
 ORACLES: dict[str, str] = {
     "profile_short": f"WITH {SP} SELECT mip, pos, dist_m, round(CASE WHEN width > 0 THEN ln(width) END, 6) AS log_width, CAST(n_channels > 1 AS DOUBLE) AS multi FROM profile",
     "node_heights": f"WITH {OBS} SELECT node_id, round(wse, 6) AS wse FROM ({HEIGHTS} AND reach_id IN (SELECT s_suppkey FROM supplier) GROUP BY node_id)",
@@ -348,4 +366,19 @@ ORACLES: dict[str, str] = {
         SELECT mip, pos, round(max(v) FILTER (WHERE c = 'w'), 6) AS width, round(max(v) FILTER (WHERE c = 'n'), 6) AS n_channels FROM found GROUP BY mip, pos""",
     "change_points": CHANGE_POINTS,
     "change_points_sql": CHANGE_POINTS,
+    "side_components": f"{LOOPS} SELECT mip, component, node, n_inside FROM parts",
+    # A junction of the main stem is numbered by the reach above it, and so its place is that reach's place and one.
+    "corridors": f"""{LOOPS}, stem AS (SELECT mip, node, row_number() OVER (PARTITION BY mip ORDER BY node) - 1 AS place FROM (SELECT mip, u AS node FROM net WHERE main UNION SELECT mip, v FROM net WHERE main)),
+        ends AS (SELECT n.mip, p.component, s.place AS s, t.place AS t FROM net n JOIN parts p ON p.mip = n.mip AND p.node = n.u LEFT JOIN stem s ON s.mip = n.mip AND s.node = n.u LEFT JOIN stem t ON t.mip = n.mip AND t.node = n.v WHERE NOT main),
+        span AS (SELECT e.mip, e.component, f.source, max(e.t) AS sink FROM ends e JOIN (SELECT mip, component, min(s) AS source FROM ends GROUP BY ALL) f ON f.mip = e.mip AND f.component = e.component WHERE e.t > f.source GROUP BY ALL),
+        out_of(mip, component, source, sink, node) AS (
+          SELECT sp.mip, component, source, sink, node FROM span sp JOIN stem ON stem.mip = sp.mip AND place = source
+          UNION
+          SELECT o.mip, component, source, sink, n.v FROM out_of o JOIN net n ON n.mip = o.mip AND n.u = o.node LEFT JOIN stem ON stem.mip = n.mip AND stem.node = n.v WHERE coalesce(place, -1) <= sink),
+        into_it(mip, component, source, sink, node) AS (
+          SELECT sp.mip, component, source, sink, node FROM span sp JOIN stem ON stem.mip = sp.mip AND place = sink
+          UNION
+          SELECT o.mip, component, source, sink, n.u FROM into_it o JOIN net n ON n.mip = o.mip AND n.v = o.node LEFT JOIN stem ON stem.mip = n.mip AND stem.node = n.u WHERE coalesce(place, source) >= source),
+        inside AS (SELECT * FROM out_of INTERSECT SELECT * FROM into_it)
+        SELECT n.mip, a.component, a.source, a.sink, n.r AS reach_id FROM net n JOIN inside a ON a.mip = n.mip AND a.node = n.u JOIN inside b ON b.mip = n.mip AND b.node = n.v AND b.component = a.component""",
 }

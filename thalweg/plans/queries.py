@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CalibrationConfig, ConsensusConfig, Family, PipelineConfig, SelectionConfig, TuningConfig, WindowConfig
-from ..operators import calibration, centerline, changepoint, consensus, features, geometry, graph, profile, selection, support, tuning, windows
+from ..operators import calibration, centerline, changepoint, consensus, features, geometry, graph, network, profile, selection, support, tuning, windows
 from . import runner, standin
 
 #: Windows of 5 and 10 points, for profiles of 50 points and more.
@@ -459,6 +459,26 @@ def side_channels(spark, d):
     return rounded(graph.enrichment(reaches))
 
 
+def _loops(spark, d) -> DataFrame:
+    """Junctions of main stems with a loop at every tenth node, and a short one inside every other of these."""
+    standin.long(spark, d).createOrReplaceTempView("profile")
+    reaches = spark.sql("""
+      SELECT mip * 1000000 + pos AS reach_id, mip AS main_path_id, true AS is_mainstem,
+             CASE WHEN pos % 10 = 3 THEN array(mip * 1000000 + pos + 1, mip * 1000000 + 500000 + pos) WHEN pos % 20 = 4 THEN array(mip * 1000000 + pos + 1, mip * 1000000 + 700000 + pos) ELSE array(mip * 1000000 + pos + 1) END AS rch_id_dn FROM profile
+      UNION ALL SELECT mip * 1000000 + 500000 + pos, mip, false, array(mip * 1000000 + 600000 + pos) FROM profile WHERE pos % 10 = 3
+      UNION ALL SELECT mip * 1000000 + 600000 + pos, mip, false, array(mip * 1000000 + pos + 4) FROM profile WHERE pos % 10 = 3
+      UNION ALL SELECT mip * 1000000 + 700000 + pos, mip, false, array(mip * 1000000 + pos + 2) FROM profile WHERE pos % 20 = 4""")
+    return network.junctions(reaches)
+
+
+def side_components(spark, d):
+    return network.side_components(_loops(spark, d))
+
+
+def corridors(spark, d):
+    return network.corridors(_loops(spark, d))
+
+
 def _lines(spark, d) -> DataFrame:
     p = _short(spark, d)
     line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda n: F.struct(n["x"].alias("x"), n["y"].alias("y")))
@@ -535,6 +555,6 @@ NAMES = (
     "rolling_features rolling_slope filled_gaps rolling_sinuosity moving_average curvature standardized useful_features nan_rates chain_clusters support_table candidates all_run_candidates "
     "consensus_table stable_segments segment_labels cut_indices exact_positions gap_pairs family_gaps limit_sweep plateau relative_quality calinski_harabasz span_statistics setting_centrality "
     "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary threshold_candidates family_choice break_faults run_comparison run_clusters renamed_paths mainstem_paths percent_rank aligned_features change_points change_points_sql selections segments support_sweep reach_summary two_stage "
-    "downstream_pairs line_graph width_summary side_channels line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines endpoint_diagnostics noded_lines smoothed_lines"
+    "downstream_pairs line_graph width_summary side_channels side_components corridors line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines endpoint_diagnostics noded_lines smoothed_lines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

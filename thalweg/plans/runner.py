@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 from dataclasses import replace
 
@@ -13,20 +12,7 @@ from ..config import (
     FINAL_SETTINGS, ConsensusConfig, PipelineConfig, Setting, Setup, TuningConfig, check_stage, final_stable_count, needs_geometry, select_families, selector_grid, target_families,
 )
 from ..operators import calibration, changepoint, consensus, features, selection, support, tuning, windows
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute df once, in the shared folder of spark.checkpoint.dir, and forget how it was made.
-
-    Only where that is unset and the master is local a folder of our own is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="thalweg-"))
-    return df.checkpoint(eager=True)
+from ..settled import settle
 
 
 def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), tuning_run: bool = False, external: DataFrame | None = None) -> dict[str, DataFrame]:
