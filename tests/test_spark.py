@@ -1,4 +1,5 @@
 import importlib
+import json
 import os
 import subprocess
 import sys
@@ -163,8 +164,18 @@ def test_command_line(spark, tmp_path):
     for name in ("tuning/width_channels/selections", "tuning/width_channels/run_summary", "tuning/width_channels/windows", "01_width_channels/segments", "01_width_channels/reach_summary", "01_width_channels/skipped"):
         assert f"{tmp_path}/out/{name}" in made, name
         spark.read.parquet(f"{tmp_path}/out/{name}")
-    manifest = spark.read.json(f"{tmp_path}/out/manifest").first()
-    assert "01_width_channels" in str(manifest)
+    manifest = json.loads(spark.read.text(f"{tmp_path}/out/manifest").first()["value"])
+    stage = manifest["stages"]["width_channels"]
+    assert set(runner.STEPS) <= set(stage["seconds"]) and {"calibration", "analysis"} <= set(stage["seconds"])
+    assert all(stage["seconds"][k] > 0 for k in runner.STEPS if k != "geometry_features") and stage["seconds"]["geometry_features"] == 0
+    chosen = spark.read.parquet(f"{tmp_path}/out/tuning/width_channels/selections")
+    final = spark.read.parquet(f"{tmp_path}/out/01_width_channels/selections")
+    counts = stage["counts"]
+    assert counts["nodes"] == {"rows": n, "without_width": 0}
+    assert counts["selections"]["selections"] == chosen.count() + final.count()
+    assert counts["selections"]["breaks"] == sum(df.agg(F.sum("n_breaks")).first()[0] for df in (chosen, final))
+    assert counts["solves"]["runs"] > 0 and counts["features"]["rows"] > n and counts["support"]["clusters"] > 0
+    assert spark.read.parquet(f"{tmp_path}/out/01_width_channels/break_faults").count() == 0
     again = cli.run(spark, [*args, "--resume"])
     assert not any("tuning/" in p for p in again) and f"{tmp_path}/out/01_width_channels/segments" in again
 

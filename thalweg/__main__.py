@@ -61,7 +61,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> list[str]:
     added = graph.enrichment(reaches, nodes.withColumnRenamed("n_channels", "n_chan_mod"))
     main_reaches = profile.mainstem(reaches).select("reach_id", F.col("main_path_id").alias("mip"))
     rich = profile.enrich_nodes(nodes, added).join(main_reaches, "reach_id").withColumn("width", F.col("multi_width")).withColumn("n_channels", F.col("multi_n_chan"))
-    paths = runner.settle(profile.order_nodes(rich))
+    steps = runner.Metrics()
+    with steps.step("prepare_nodes"):
+        paths = runner.settle(steps.watch(profile.order_nodes(rich), "nodes", rows=F.count("*"), without_width=F.count_if(F.col("width").isNull())))
     write({"distance_faults": profile.distance_faults(paths)}, a.out)
     external = None
     setups = [s for s in SETUPS if s.name in set(a.setups)]
@@ -69,7 +71,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> list[str]:
         lines = runner.settle(centerline.merge_mainpaths(reaches, a.gap))
         turned = geometry.orient(lines.select(F.col("main_path_id").alias("mip"), "line"), paths)
         write({"centerlines": lines, "line_faults": centerline.line_faults(lines, reaches), "orientation": turned.drop("line")}, a.out)
-        external = runner.settle(geometry.geometry_features(paths, turned, windows.plan_windows(paths)))
+        with steps.step("geometry_features"):
+            external = runner.settle(steps.watch(geometry.geometry_features(paths, turned, windows.plan_windows(paths)), "geometry", rows=F.count("*")))
     tuned: dict = {}
     for s in setups:
         for stage in s.stages:
@@ -87,7 +90,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> list[str]:
         write(runner.final_tables(done.get("final", done)), f"{a.out}/{s.name}")
         if "skipped" in done and "final" not in done:
             write({"skipped_segments": done["skipped"]}, f"{a.out}/{s.name}")
-    facts = {"arguments": vars(a), "stages": {n: {"family": t["family"], "threshold_m": t["threshold_m"], "seconds": t["seconds"]} for n, t in tuned.items()}, "written": made}
+            write({k: done["second"][k] for k in ("consensus", "selections", "break_faults", "stable")}, f"{a.out}/{s.name}/second")
+    facts = {"arguments": vars(a), "stages": {n: {"family": t["family"], "threshold_m": t["threshold_m"], "seconds": {k: v + t["seconds"].get(k, 0.0) for k, v in steps.seconds.items()} | {k: v for k, v in t["seconds"].items() if k not in steps.seconds}, "counts": steps.counts() | t["metrics"].counts()} for n, t in tuned.items()}, "written": made}
     sinks.write_json(spark, facts, f"{a.out}/manifest")
     return [*made, f"{a.out}/manifest"]
 

@@ -171,6 +171,9 @@ def merge_path(lines: list[np.ndarray], order: list[float], gap: float = 5.0, to
 
 def _mainstem(reaches: DataFrame) -> DataFrame:
     rows = reaches.where(F.coalesce("is_mainstem", F.lit(False)) & F.col("main_path_id").isNotNull())
+    if "geometry_parts" in reaches.columns:  # a reach of several lines is as many rows
+        line = F.explode_outer(F.coalesce("geometry_parts", F.array("geometry")))
+        return rows.select("main_path_id", "reach_id", "dist_out", line.alias("geometry"))
     return rows.select("main_path_id", "reach_id", "dist_out", "geometry")
 
 

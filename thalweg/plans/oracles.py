@@ -381,4 +381,9 @@ ORACLES: dict[str, str] = {
           SELECT o.mip, component, source, sink, n.u FROM into_it o JOIN net n ON n.mip = o.mip AND n.v = o.node LEFT JOIN stem ON stem.mip = n.mip AND stem.node = n.u WHERE coalesce(place, source) >= source),
         inside AS (SELECT * FROM out_of INTERSECT SELECT * FROM into_it)
         SELECT n.mip, a.component, a.source, a.sink, n.r AS reach_id FROM net n JOIN inside a ON a.mip = n.mip AND a.node = n.u JOIN inside b ON b.mip = n.mip AND b.node = n.v AND b.component = a.component""",
+    "line_formats": f"""WITH {SP}, s AS (SELECT mip, pos, count(*) OVER (PARTITION BY mip) AS n, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM profile WINDOW w AS (PARTITION BY mip ORDER BY pos)),
+        t AS (SELECT mip, n, sum(CASE WHEN mip % 3 = 0 AND pos = n // 2 THEN 0 ELSE step END) AS length FROM s WHERE n > 3 GROUP BY mip, n),
+        u AS (SELECT *, CASE WHEN mip % 7 = 1 THEN 'malformed' WHEN mip % 7 = 2 THEN 'missing' ELSE 'ok' END AS status, lpad(hex(n), 8, '0') AS h FROM t)
+        SELECT mip, status, CASE WHEN status = 'ok' THEN CASE WHEN mip % 3 = 0 THEN 2 ELSE 1 END END AS n_parts, CASE WHEN status = 'ok' THEN round(length, 4) END AS length_m, 'ok' AS text_status, round(length, 4) AS text_length_m,
+          CASE WHEN status = 'missing' THEN NULL WHEN mip % 3 = 0 THEN '010500000002000000' ELSE '0102000000' || h[7:8] || h[5:6] || h[3:4] || h[1:2] END AS head FROM u""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CalibrationConfig, ConsensusConfig, Family, PipelineConfig, SelectionConfig, TuningConfig, WindowConfig
 from ..operators import calibration, centerline, changepoint, consensus, features, geometry, graph, network, profile, selection, support, tuning, windows
+from ..sources import wkb
 from . import runner, standin
 
 #: Windows of 5 and 10 points, for profiles of 50 points and more.
@@ -485,6 +486,18 @@ def _lines(spark, d) -> DataFrame:
     return p.groupBy("mip").agg(line.alias("line"))
 
 
+def line_formats(spark, d):
+    """Lines as binary and as text, read again; some cut in two parts, some cut short, some none."""
+    half = F.floor(F.size("line") / 2).cast("int")
+    two = F.array(F.slice("line", F.lit(1), half), F.slice("line", half + 1, F.size("line")))
+    lines = _lines(spark, d).where("size(line) > 3").withColumn("parts", F.when(F.col("mip") % 3 == 0, two).otherwise(F.array("line")))
+    made = lines.select("mip", wkb.to_wkb(F.col("parts")).alias("b"), wkb.to_wkt(F.col("parts")).alias("t"))
+    spoilt = made.withColumn("b", F.when(F.col("mip") % 7 == 1, F.expr("substring(b, 1, length(b) - 3)")).when(F.col("mip") % 7 != 2, F.col("b")))
+    back = wkb.with_parts(wkb.with_parts(spoilt, "b", "from_b", "status"), "t", "from_t", "text_status")
+    length = lambda c: F.aggregate(F.transform(c, geometry.line_length), F.lit(0.0), lambda s, x: s + x)
+    return rounded(back.select("mip", "status", F.size("from_b").alias("n_parts"), length("from_b").alias("length_m"), "text_status", length("from_t").alias("text_length_m"), F.hex(F.expr("substring(b, 1, 9)")).alias("head")), 4)
+
+
 def line_summary(spark, d):
     return rounded(geometry.summarize_lines(_lines(spark, d).withColumnRenamed("mip", "main_path_id")), 4)
 
@@ -555,6 +568,6 @@ NAMES = (
     "rolling_features rolling_slope filled_gaps rolling_sinuosity moving_average curvature standardized useful_features nan_rates chain_clusters support_table candidates all_run_candidates "
     "consensus_table stable_segments segment_labels cut_indices exact_positions gap_pairs family_gaps limit_sweep plateau relative_quality calinski_harabasz span_statistics setting_centrality "
     "setting_statistics instability pareto representatives family_overview family_rank local_grid compare_families threshold_summary threshold_candidates family_choice break_faults run_comparison run_clusters renamed_paths mainstem_paths percent_rank aligned_features change_points change_points_sql selections segments support_sweep reach_summary two_stage "
-    "downstream_pairs line_graph width_summary side_channels side_components corridors line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines endpoint_diagnostics noded_lines smoothed_lines"
+    "downstream_pairs line_graph width_summary side_channels side_components corridors line_formats line_summary oriented_lines geometry_windows sampled_lines node_coordinates metric_at_nodes merged_centerlines endpoint_diagnostics noded_lines smoothed_lines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import (
@@ -15,38 +17,95 @@ from ..operators import calibration, changepoint, consensus, features, selection
 from ..settled import settle
 
 
-def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), tuning_run: bool = False, external: DataFrame | None = None) -> dict[str, DataFrame]:
+#: The names under which seconds are reported.
+STEPS = (
+    "window_selection", "prepare_nodes", "geometry_features", "feature_building", "standardization", "pelt_sweeps", "breakpoint_support", "final_break_selection", "final_break_selection_grid", "total",
+)
+
+
+class Metrics:
+    """Seconds of steps, and counts that Spark observes while it writes what the steps make.
+
+    A step counts once for each time it is timed; steps inside others are in both.
+    """
+
+    def __init__(self):
+        self.seconds: dict[str, float] = dict.fromkeys(STEPS, 0.0)
+        self.observed: dict[str, list[Observation]] = {}
+
+    @contextmanager
+    def step(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+
+    def watch(self, df: DataFrame, name: str, **counts: Column) -> DataFrame:
+        """df with counts taken when it is first computed, under a name; to be settled or written before counts() is asked."""
+        seen = Observation()
+        self.observed.setdefault(name, []).append(seen)
+        return df.observe(seen, *[c.alias(k) for k, c in counts.items()])
+
+    def counts(self) -> dict[str, dict[str, int]]:
+        """The sums of what was counted, by name."""
+        out: dict[str, dict[str, int]] = {}
+        for name, some in self.observed.items():
+            for seen in some:
+                for k, v in seen.get.items():
+                    out.setdefault(name, {})[k] = out.get(name, {}).get(k, 0) + (v or 0)
+        return out
+
+
+def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), tuning_run: bool = False, external: DataFrame | None = None, metrics: Metrics | None = None) -> dict[str, DataFrame]:
     """Window plan, standardised features, runs and support of every path and family.
 
     A tuning run leaves out families of which a window does not fit; a final run drops the window.
+    metrics: gets seconds and counts; steps that are only planned, and computed with a later
+    one, take as long as planning them.
     """
-    plan = windows.plan_windows(profile, config.window, config.families)
-    used = windows.tuning_plan(plan) if tuning_run else windows.final_plan(plan)
+    m = metrics or Metrics()
+    with m.step("window_selection"):
+        plan = windows.plan_windows(profile, config.window, config.families)
+        used = windows.tuning_plan(plan) if tuning_run else windows.final_plan(plan)
     columns = list(config.features)
-    table = features.build_features(profile, used, config.features, config.feature, external)
-    if config.standardize:
-        table = features.standardize(table, *columns)
-    # Several tables below are made from these, and solving is the dear part.
-    z = settle(features.impute(table, *columns))
-    runs = settle(changepoint.family_runs(changepoint.sweep(z, columns, config.penalties, config.jump, config.min_size), used))
-    return {"plan": plan, "windows": used, "features": table, "z": z, "runs": runs, "support": support.support_table(runs, config.stability_tolerance_m)}
-
-
-def select_and_agree(base: dict[str, DataFrame], settings: dict[str, list[Setting]], config: PipelineConfig, agree: ConsensusConfig) -> dict[str, DataFrame]:
+    with m.step("feature_building"):
+        table = features.build_features(profile, used, config.features, config.feature, external)
+    with m.step("standardization"):
+        if config.standardize:
+            table = features.standardize(table, *columns)
+        # Several tables below are made from these, and solving is the dear part.
+        z = features.impute(table, *columns)
+        z = settle(m.watch(z, "features", rows=F.count("*")))
+    with m.step("pelt_sweeps"):
+        runs = changepoint.family_runs(changepoint.sweep(z, columns, config.penalties, config.jump, config.min_size), used)
+        runs = settle(m.watch(runs, "solves", runs=F.count("*"), breaks=F.sum(F.size("break_m")), too_short=F.count_if(F.col("status") != "ok")))
+    with m.step("breakpoint_support"):
+        clusters = support.support_table(runs, config.stability_tolerance_m)
+        if metrics is not None:
+            clusters = settle(m.watch(clusters, "support", clusters=F.count("*")))
+    return {"plan": plan, "windows": used, "features": table, "z": z, "runs": runs, "support": clusters}
+
+
+def select_and_agree(base: dict[str, DataFrame], settings: dict[str, list[Setting]], config: PipelineConfig, agree: ConsensusConfig, metrics: Metrics | None = None, step: str = "final_break_selection") -> dict[str, DataFrame]:
     """Selections of every setting, and the consensus of them."""
+    m = metrics or Metrics()
     breaks = changepoint.run_breaks(base["runs"]) if config.selection.source == "all_runs" else None
-    chosen = settle(selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection, breaks))
+    with m.step(step):
+        chosen = selection.select(base["z"], base["windows"], base["support"], config.features, settings, config.selection, breaks)
+        chosen = settle(m.watch(chosen, "selections", selections=F.count("*"), breaks=F.sum("n_breaks"), not_ok=F.count_if(F.col("status") != "ok")))
     rows = selection.break_rows(chosen)
     table = consensus.consensus(rows, agree)
     return {"selections": chosen, "break_rows": rows, "consensus": table, "stable": consensus.stable_breaks(table)}
 
 
-def finalize(profile: DataFrame, config: PipelineConfig = PipelineConfig(), family: str = "w2", settings=FINAL_SETTINGS, threshold_m: float = 11_500.0, stable_count: int | None = None, external: DataFrame | None = None, base: dict | None = None) -> dict[str, DataFrame]:
+def finalize(profile: DataFrame, config: PipelineConfig = PipelineConfig(), family: str = "w2", settings=FINAL_SETTINGS, threshold_m: float = 11_500.0, stable_count: int | None = None, external: DataFrame | None = None, base: dict | None = None, metrics: Metrics | None = None) -> dict[str, DataFrame]:
     """The final run of one family with a few settings: stable breaks and segments of each path."""
     config = config.with_(families=select_families([family]))
-    base = base or base_tables(profile, config, external=external)
+    base = base or base_tables(profile, config, external=external, metrics=metrics)
     count = final_stable_count(len(settings)) if stable_count is None else stable_count
-    out = base | select_and_agree(base, {family: list(settings)}, config, ConsensusConfig(threshold_m, stable_count=count))
+    out = base | select_and_agree(base, {family: list(settings)}, config, ConsensusConfig(threshold_m, stable_count=count), metrics)
+    out["break_faults"] = selection.break_faults(out["selections"], profile, config.selection)
     out["segments"] = consensus.segments(profile.select("mip", "pos", "dist_m"), out["stable"])
     out["skipped"] = windows.skipped_paths(base["plan"])
     return out
@@ -59,11 +118,11 @@ def support_sweep(profile: DataFrame, counts=(3, 4, 5), **options) -> DataFrame:
     return rows.groupBy("count", "mip").agg(F.count_if(F.col("n_settings_supported") >= F.col("count")).alias("n_stable"), F.avg("span_m").alias("mean_span_m"))
 
 
-def tune(profile: DataFrame, config: PipelineConfig = PipelineConfig(), external: DataFrame | None = None, agree: ConsensusConfig = ConsensusConfig()) -> dict[str, DataFrame]:
+def tune(profile: DataFrame, config: PipelineConfig = PipelineConfig(), external: DataFrame | None = None, agree: ConsensusConfig = ConsensusConfig(), metrics: Metrics | None = None) -> dict[str, DataFrame]:
     """The grid of every family: selections and consensus."""
-    base = base_tables(profile, config, tuning_run=True, external=external)
+    base = base_tables(profile, config, tuning_run=True, external=external, metrics=metrics)
     grids = {f.name: list(selector_grid(f)) for f in config.families}
-    out = base | select_and_agree(base, grids, config, agree)
+    out = base | select_and_agree(base, grids, config, agree, metrics, "final_break_selection_grid")
     out["excluded"] = windows.excluded_runs(base["plan"])
     return out
 
@@ -126,30 +185,22 @@ def run_stage(profile: DataFrame, stage, config: PipelineConfig = PipelineConfig
     config = config.with_(features=stage.features, families=select_families(stage.families))
     if needs_geometry(stage.features) and external is None:
         raise ValueError("this stage needs geometry features")
-    seconds, began = {}, time.perf_counter()
-    last = began
-
-    def lap(name: str) -> None:
-        nonlocal last
-        seconds[name], last = time.perf_counter() - last, time.perf_counter()
-
+    m = Metrics()
     out: dict = {}
-    if known is None:
-        grid = tune(profile, config, external)
-        lap("tuning")
-        grid, found = calibrated(grid, stage.families)
-        lap("calibration")
-        analysis = analyse(grid, stage.features)
-        lap("analysis")
-        family, settings = recommended(analysis)
-        if family is None:
-            family = stage.families[-1]
-        known = {"family": family, "settings": settings or FINAL_SETTINGS, "threshold_m": 1000.0 * found["threshold_km"]}
-        out = {"grid": grid, "calibration": found, "analysis": analysis}
-    final = finalize(profile, config, known["family"], known["settings"], known["threshold_m"], external=external)
-    lap("final")
-    seconds["total"] = time.perf_counter() - began
-    return out | known | {"final": final, "seconds": seconds}
+    with m.step("total"):
+        if known is None:
+            grid = tune(profile, config, external, metrics=m)
+            with m.step("calibration"):
+                grid, found = calibrated(grid, stage.families)
+            with m.step("analysis"):
+                analysis = analyse(grid, stage.features)
+                family, settings = recommended(analysis)
+            if family is None:
+                family = stage.families[-1]
+            known = {"family": family, "settings": settings or FINAL_SETTINGS, "threshold_m": 1000.0 * found["threshold_km"]}
+            out = {"grid": grid, "calibration": found, "analysis": analysis}
+        final = finalize(profile, config, known["family"], known["settings"], known["threshold_m"], external=external, metrics=m)
+    return out | known | {"final": final, "metrics": m, "seconds": m.seconds}
 
 
 def tuning_tables(stage: dict) -> dict[str, DataFrame]:
@@ -170,7 +221,7 @@ def tuning_tables(stage: dict) -> dict[str, DataFrame]:
 
 def final_tables(final: dict[str, DataFrame], config: PipelineConfig = PipelineConfig()) -> dict[str, DataFrame]:
     """The tables of a final run."""
-    names = ("stable", "segments", "consensus", "selections", "skipped", "plan", "support")
+    names = ("stable", "segments", "consensus", "selections", "break_faults", "skipped", "plan", "support")
     out = {k: final[k] for k in names if k in final}
     if "consensus" in final:
         reaches = reach_summary(final)

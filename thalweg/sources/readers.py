@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ConsensusConfig
 from ..operators.profile import web_mercator
 from ..schemas import finite, first_of, require
+from . import wkb
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -37,6 +38,10 @@ def normalize_reaches(df: DataFrame) -> DataFrame:
     number = lambda c: finite(F.col(c)) if c in df.columns else F.lit(None).cast("double")
     flag = F.col("is_mainstem").cast("boolean") if "is_mainstem" in df.columns else F.lit(None).cast("boolean")
     geometry = [F.col("geometry")] if "geometry" in df.columns else []
+    if geometry and dict(df.dtypes)["geometry"] in ("binary", "string"):
+        # One line as it is; the parts of several are kept beside it.
+        df = wkb.with_parts(df, "geometry", "geometry_parts")
+        geometry = [F.when(F.size("geometry_parts") == 1, F.col("geometry_parts")[0]).alias("geometry"), F.col("geometry_parts"), F.col("geometry_status")]
     return df.select(F.col("reach_id").cast("long"), F.col("main_path_id").cast("long"), flag.alias("is_mainstem"), down.alias("rch_id_dn"), *[number(c).alias(c) for c in ("reach_len", "width", "dist_out", "n_chan")], *geometry)
 
 
