@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import FINAL_SETTINGS
 from . import queries as q
 from . import standin
 
@@ -163,6 +164,43 @@ LOOPS = f"""WITH RECURSIVE {LP}, reaches AS (
     parts AS (SELECT mip, label AS component, node, n AS n_inside FROM labels JOIN held USING (mip, label))"""
 
 
+_SETTINGS = ", ".join(f"('{x.label}', {x.min_support_runs}::DOUBLE, {x.min_windows}, {x.stop_relative}::DOUBLE)" for x in FINAL_SETTINGS)
+#: Squared error of the rows from lo to hi - 1 over both windows, from their running sums.
+_ERROR = lambda lo, hi: f"(q[{hi} + 1] - q[{lo} + 1] - (pow(a1[{hi} + 1] - a1[{lo} + 1], 2) + pow(b1[{hi} + 1] - b1[{lo} + 1], 2) + pow(a2[{hi} + 1] - a2[{lo} + 1], 2) + pow(b2[{hi} + 1] - b2[{lo} + 1], 2)) / ({hi} - {lo}))"
+#: Selections of the final settings: clusters of the changes, candidates by support, and the greedy choice, one break in each step.
+CHOSEN = f"""{CHANGES}, found_breaks AS (SELECT mip, window_m, penalty, 200.0::DOUBLE * (unnest(found) + 1) AS break_m FROM changes),
+    chained AS (SELECT *, sum(fresh) OVER (PARTITION BY mip ORDER BY break_m, window_m, penalty ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, CASE WHEN break_m - lag(break_m) OVER (PARTITION BY mip ORDER BY break_m, window_m, penalty) > 1000 THEN 1 ELSE 0 END AS fresh FROM found_breaks)),
+    totals AS (SELECT mip, count(*) AS runs, count(DISTINCT window_m) AS windows FROM changes GROUP BY mip),
+    clusters AS (SELECT mip, round(quantile_cont(break_m, 0.5), 6) AS m, count(DISTINCT (window_m, penalty)) AS pairs, count(DISTINCT window_m) AS seen FROM chained GROUP BY mip, c),
+    wanted AS (SELECT * FROM (VALUES {_SETTINGS}) AS t(setting, least_runs, least_windows, stop)),
+    sums AS (SELECT x.mip, x.n, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2, [x.q[k] + y.q[k] FOR k IN range(1, x.n + 2)] AS q FROM lists x JOIN lists y ON x.mip = y.mip WHERE x.window_m = 1000 AND y.window_m = 2000),
+    offered AS (
+      SELECT s.mip, w.setting, w.stop, coalesce(list(DISTINCT m ORDER BY m) FILTER (WHERE m IS NOT NULL), []) AS offers FROM sums s CROSS JOIN wanted w JOIN totals t ON t.mip = s.mip
+      LEFT JOIN clusters c ON c.mip = s.mip AND c.pairs / t.runs::DOUBLE >= w.least_runs AND c.seen >= least(w.least_windows, t.windows) AND c.m > 200 AND c.m < 200 * s.n GROUP BY ALL),
+    greedy(mip, setting, step, error, cuts, picked, gains) AS (
+      SELECT o.mip, o.setting, 0, {_ERROR("0", "n")}, [0, CAST(n AS BIGINT)], CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]) FROM offered o JOIN sums s ON s.mip = o.mip WHERE len(offers) > 0
+      UNION ALL
+      SELECT mip, setting, step + 1, error - best.g, list_sort(list_distinct(list_append(cuts, best.i))), list_append(picked, best.m), list_append(gains, best.g)
+      FROM (SELECT *, list_filter(tried, lambda t: t.g > list_max([t2.g FOR t2 IN tried]) - 1e-12)[1] AS best FROM (
+        SELECT mip, setting, step, error, cuts, picked, gains,
+               [{{'m': p.m, 'i': p.i, 'g': CASE WHEN p.i = p.lo THEN 0 ELSE {_ERROR("p.lo", "p.hi")} - {_ERROR("p.lo", "p.i")} - {_ERROR("p.i", "p.hi")} END}} FOR p IN
+                 [{{'m': c.m, 'i': c.i, 'lo': list_max(list_filter(cuts, lambda x: x <= c.i)), 'hi': list_min(list_filter(cuts, lambda x: x > c.i))}} FOR c IN
+                   [{{'m': m, 'i': CAST(ceil(m / 200) - 1 AS BIGINT)}} FOR m IN offers IF len(list_filter(picked, lambda x: abs(x - m) < 1000)) = 0] IF c.i > 0 AND c.i < n]] AS tried
+        FROM (SELECT g.*, o.offers, s.n, s.a1, s.b1, s.a2, s.b2, s.q FROM greedy g JOIN offered o ON o.mip = g.mip AND o.setting = g.setting JOIN sums s ON s.mip = g.mip WHERE g.step < 30)) WHERE len(tried) > 0)
+      WHERE best.g > 1e-12),
+    ways AS (SELECT mip, setting, picked, gains, error FROM greedy QUALIFY row_number() OVER (PARTITION BY mip, setting ORDER BY step DESC) = 1),
+    based AS (SELECT mip, setting, error AS base FROM greedy WHERE step = 0),
+    stopped AS (
+      SELECT o.mip, o.setting, o.offers, base, picked, gains, CASE WHEN picked IS NULL THEN 0 ELSE coalesce(list_min([k FOR k IN range(1, len(gains) + 1) IF (CASE WHEN base > 0 THEN gains[k] / base ELSE 0 END) < o.stop]) - 1, len(gains)) END AS k
+      FROM offered o LEFT JOIN ways w ON w.mip = o.mip AND w.setting = o.setting LEFT JOIN based b ON b.mip = o.mip AND b.setting = o.setting),
+    selections AS (
+      SELECT mip, 'w2' AS family, setting, CASE WHEN len(offers) > 0 THEN 'ok' ELSE 'no_candidates' END AS status, len(offers) AS n_candidates, k AS n_breaks, base, base - coalesce(list_sum(gains[:k]), 0) AS final, coalesce(list_sort(picked[:k]), []) AS chosen FROM stopped)"""
+AGREED = f"""{CHOSEN}, breaks AS (SELECT mip, family, setting, unnest(chosen) AS break_m, n_settings FROM (SELECT *, count(*) FILTER (WHERE status = 'ok') OVER (PARTITION BY mip, family) AS n_settings FROM selections) WHERE status = 'ok'),
+    {anchored(1500)}, stable AS (SELECT DISTINCT mip, round(center_m, 6) AS b FROM consensus WHERE n_settings_supported >= 4),
+    labels AS (SELECT p.mip, p.pos, p.dist_m, (SELECT count(*) FROM stable s WHERE s.mip = p.mip AND s.b <= p.dist_m) AS label FROM profile p),
+    segments AS (SELECT mip, min(pos) AS first_pos, max(pos) + 1 AS end_pos, count(*) AS n_nodes, min(dist_m) AS start_m, max(dist_m) AS end_m FROM labels GROUP BY mip, label)"""
+
+
 ORACLES: dict[str, str] = {
     "profile_short": f"WITH {SP} SELECT mip, pos, dist_m, round(CASE WHEN width > 0 THEN ln(width) END, 6) AS log_width, CAST(n_channels > 1 AS DOUBLE) AS multi FROM profile",
     "node_heights": f"WITH {OBS} SELECT node_id, round(wse, 6) AS wse FROM ({HEIGHTS} AND reach_id IN (SELECT s_suppkey FROM supplier) GROUP BY node_id)",
@@ -386,4 +424,11 @@ ORACLES: dict[str, str] = {
         u AS (SELECT *, CASE WHEN mip % 7 = 1 THEN 'malformed' WHEN mip % 7 = 2 THEN 'missing' ELSE 'ok' END AS status, lpad(hex(n), 8, '0') AS h FROM t)
         SELECT mip, status, CASE WHEN status = 'ok' THEN CASE WHEN mip % 3 = 0 THEN 2 ELSE 1 END END AS n_parts, CASE WHEN status = 'ok' THEN round(length, 4) END AS length_m, 'ok' AS text_status, round(length, 4) AS text_length_m,
           CASE WHEN status = 'missing' THEN NULL WHEN mip % 3 = 0 THEN '010500000002000000' ELSE '0102000000' || h[7:8] || h[5:6] || h[3:4] || h[1:2] END AS head FROM u""",
+    "selections": f"""{CHOSEN} SELECT mip, family, setting, status, CAST(n_candidates AS INTEGER) AS n_candidates, CAST(n_breaks AS INTEGER) AS n_breaks, round(base, 6) AS base_sse, round(final, 6) AS final_sse,
+        array_to_string([CAST(b AS VARCHAR) FOR b IN chosen], ',') AS breaks FROM selections""",
+    "segments": f"{AGREED} SELECT mip, first_pos, end_pos, n_nodes, start_m, end_m, CAST(row_number() OVER (PARTITION BY mip ORDER BY first_pos) - 1 AS INTEGER) AS segment_id FROM segments",
+    "support_sweep": f"{AGREED} SELECT k AS count, mip, count(*) FILTER (WHERE n_settings_supported >= k) AS n_stable, round(avg(span_m), 6) AS mean_span_m FROM consensus CROSS JOIN (SELECT unnest([3, 4, 5]) AS k) GROUP BY k, mip",
+    "reach_summary": f"""{AGREED}, s AS (SELECT mip, count(*) AS n_segments, avg(end_m - start_m) AS mean, quantile_cont(end_m - start_m, 0.5) AS median FROM segments GROUP BY mip),
+        c AS (SELECT mip, family, count(*) AS n_stable, avg(support) AS support, avg(span_m) AS span FROM consensus WHERE n_settings_supported >= 4 GROUP BY mip, family)
+        SELECT s.mip, n_segments, round(mean, 6) AS mean_segment_m, round(median, 6) AS median_segment_m, c.family, coalesce(n_stable, 0) AS n_stable, round(support, 6) AS mean_support, round(span, 6) AS mean_span_m, 'ok' AS status FROM s LEFT JOIN c USING (mip)""",
 }
