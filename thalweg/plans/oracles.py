@@ -431,4 +431,12 @@ ORACLES: dict[str, str] = {
     "reach_summary": f"""{AGREED}, s AS (SELECT mip, count(*) AS n_segments, avg(end_m - start_m) AS mean, quantile_cont(end_m - start_m, 0.5) AS median FROM segments GROUP BY mip),
         c AS (SELECT mip, family, count(*) AS n_stable, avg(support) AS support, avg(span_m) AS span FROM consensus WHERE n_settings_supported >= 4 GROUP BY mip, family)
         SELECT s.mip, n_segments, round(mean, 6) AS mean_segment_m, round(median, 6) AS median_segment_m, c.family, coalesce(n_stable, 0) AS n_stable, round(support, 6) AS mean_support, round(span, 6) AS mean_span_m, 'ok' AS status FROM s LEFT JOIN c USING (mip)""",
+    # Breaks of one setting in turn each take the nearest free break of the other.
+    "setting_centrality": f"""WITH RECURSIVE {BR}, own AS (SELECT mip, family, setting, list(DISTINCT break_m ORDER BY break_m) AS l FROM breaks GROUP BY ALL),
+        walk(mip, family, setting, other, l, n, k, hits, free) AS (
+          SELECT a.mip, a.family, a.setting, b.setting, a.l, len(a.l) + len(b.l), 0, 0, b.l FROM own a JOIN own b ON a.mip = b.mip AND a.family = b.family AND a.setting <> b.setting
+          UNION ALL
+          SELECT mip, family, setting, other, l, n, k + 1, hits + CASE WHEN best IS NULL THEN 0 ELSE 1 END, CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda y: y <> best.m) END
+          FROM (SELECT *, list_sort([{{'d': abs(y - l[k + 1]), 'm': y}} FOR y IN free IF abs(y - l[k + 1]) <= 450])[1] AS best FROM walk WHERE k < len(l)))
+        SELECT o.mip, o.family, o.setting, round(coalesce(avg(2.0::DOUBLE * hits / n), 1), 6) AS centrality FROM own o LEFT JOIN (SELECT * FROM walk WHERE k = len(l)) w ON w.mip = o.mip AND w.family = o.family AND w.setting = o.setting GROUP BY ALL""",
 }
