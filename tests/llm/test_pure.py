@@ -290,6 +290,24 @@ def _trees_by_hand(x, y, rate, penalty, edges):
     return 1 / (1 + np.exp(-(np.log(p / (1 - p)) + np.where(x[:, j] < e, *value))))
 
 
+def test_url_processes_that_were_left_out_are_not_false_alarms():
+    for name in ("encyclopedias", "source trees", "shops", "news", "interfaces"):
+        m = urls.Model(*urls.sample_urls(4000, without=(name,)), trees=40)
+        held, y = urls.sample_urls(300, seed=11, pool=1, only=(name,))
+        assert not y.any() and (m.score(held) >= 0.5).mean() < 0.2, name
+    assert set(urls.sample_urls(50, only=("redirects",))[1]) == {1}
+
+
+def test_well_known_shapes_of_urls_are_allowed():
+    m = urls.Model(*urls.sample_urls())
+    fine = [
+        "https://en.wikipedia.org/wiki/Central_limit_theorem", "https://github.com/apache/spark/blob/master/core/src/main/scala/org/apache/spark/SparkContext.scala", "https://www.youtube.com/watch?v=dQw4w9WgXcQ",
+        "https://www.amazon.com/dp/B08N5WRWNW", "https://stackoverflow.com/questions/11227809/why-is-processing-a-sorted-array-faster", "https://arxiv.org/abs/1706.03762", "https://docs.python.org/3/library/itertools.html#itertools.chain",
+    ]
+    assert (m.score(fine) < 0.2).all()
+    assert (m.score(["http://xk3j9qpl2vz8.top/a8f3", "http://192.168.3.4:8081/login.php", "http://cheap-pills-online-best-4411.biz/"]) > 0.8).all()
+
+
 def test_boosted_trees_split_as_a_plain_search_does():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4)).round(1)

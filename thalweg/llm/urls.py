@@ -37,15 +37,10 @@ BAD_WEIGHTS = [22, 12, 16, 0, 0, 8, 6, 8, 8, 6, 1, 1, 1, 1, 2, 4, 4, 5]
 TRAIN_ROWS = 20_000
 
 
-def sample_urls(n: int = 8000, seed: int = 6, pool: int = 0) -> tuple[list[str], np.ndarray]:
-    """n labelled URLs (1: unwanted), always the same.
-
-    Unwanted ones are made by ways of building hosts, paths and queries that machines use: generated
-    hosts, farms of hyphens, stacks of subdomains, bare addresses, redirects with long parameters, and
-    deep numbered paths. Words are made up of syllables; those of pool 0 and of pool 1 are disjoint.
-    """
-    draw = random.Random(seed)
-    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+def _processes(draw: random.Random, pool: int) -> tuple[dict, dict]:
+    """Ways of making ordinary URLs, and ways of making unwanted ones, by name; each gives one without its scheme."""
+    letters, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    mixed = letters + letters.upper() + digits
 
     def text(alphabet: str, lo: int, hi: int) -> str:
         return "".join(draw.choices(alphabet, k=draw.randint(lo, hi)))
@@ -56,38 +51,63 @@ def sample_urls(n: int = 8000, seed: int = 6, pool: int = 0) -> tuple[list[str],
             if zlib.crc32(w.encode()) % 2 == pool:
                 return w
 
-    def ordinary() -> str:
-        host = draw.choice(["", "", "www.", "www.", "m.", "blog.", word() + "."]) + draw.choice([word(), word(), word() + "-" + word(), word() + text(digits, 1, 2)])
-        if draw.random() < 0.3:
-            host += "." + word()
-        parts = [draw.choice([word(), word() + "-" + word() + "-" + word(), text(digits, 1, 5), draw.choice("en de fr es it".split()), str(draw.randint(1998, 2026))]) for _ in range(draw.choice([0, 1, 2, 2, 3, 4]))]
-        path = "/" + "/".join(parts) + draw.choice(["", "", "/", ".html"]) if parts else draw.choice(["", "/"])
-        query = "&".join(draw.choice(["page=" + text(digits, 1, 2), "ref=" + word(1, 1), f"utm_source={word()}", f"q={word()}", f"id={text(digits, 2, 6)}"]) for _ in range(draw.choice([0, 0, 0, 1, 2])))
-        return host + "." + draw.choices(SUFFIXES, GOOD_WEIGHTS)[0] + path + ("?" + query if query else "") + draw.choice(["", "", "", "#top"])
-
-    def unwanted() -> str:
-        suffix = "." + draw.choices(SUFFIXES, BAD_WEIGHTS)[0]
-        plain = draw.choice(["", "", "www."]) + draw.choice([word(), word() + "-" + word()]) + suffix
-        tail = draw.choice(["", "/", "/" + word(), "/" + text(letters + digits, 4, 12), "/?" + word(1, 1) + "=" + text(digits, 1, 8)])
-        kind = draw.randrange(6)
-        if kind == 0:
-            return text(draw.choice([letters, letters + digits, "bcdfghjklmnpqrstvwxz" + digits]), 9, 26) + suffix + tail
-        if kind == 1:
-            return "-".join([*(word(1, 3) for _ in range(draw.randint(3, 6))), *draw.choice([[], [text(digits, 2, 5)]])]) + suffix + tail
-        if kind == 2:
-            return ".".join(draw.choice([word(1, 3), text(letters + digits, 4, 12), text(digits, 2, 8)]) for _ in range(draw.randint(4, 7))) + suffix + tail
-        if kind == 3:
-            host = ".".join(str(draw.randint(1, 254)) for _ in range(4)) + draw.choice(["", ":" + text(digits, 4, 4).replace("0", "8")])
-            return host + "/" + draw.choice([text(letters + digits, 6, 20), word() + "/" + word() + ".php"])
-        values = [lambda: text("0123456789abcdef", 16, 48), lambda: text(letters + letters.upper() + digits, 20, 60), lambda: "http%3A%2F%2F" + word() + "%2F" + word(), lambda: text(digits, 8, 16)]
-        if kind == 4:
-            query = "&".join(word(1, 2) + "=" + draw.choice(values)() for _ in range(draw.randint(3, 9)))
-            return plain + "/" + draw.choice(["", word(1, 2), text(letters, 1, 3)]) + "?" + query
-        parts = [draw.choice([text(digits, 3, 12), text(letters + digits, 6, 24), word(1, 2)]) for _ in range(draw.randint(5, 10))]
-        return plain + "/" + "/".join(parts) + draw.choice(["", "?" + word(1, 1) + "=" + draw.choice(values)()])
-
-    y = np.arange(n) % 2
-    return [draw.choice(["http://", "https://"]) + (unwanted() if bad else ordinary()) for bad in y], y
+    words = lambda sign, lo, hi: sign.join(word(1, 4) for _ in range(draw.randint(lo, hi)))
+    title = lambda sign, lo, hi: sign.join(word(1, 4).capitalize() for _ in range(draw.randint(lo, hi)))
+    year = lambda: str(draw.randint(1998, 2026))
+    version = lambda: ".".join(text(digits, 1, 2) for _ in range(draw.randint(2, 3)))
+    some = lambda x, share: x if draw.random() < share else ""
+
+    def site() -> str:
+        name = draw.choice([word(), word(), word(1, 2), word() + "-" + word(), word() + text(digits, 1, 2), text(letters, 2, 5)])
+        return draw.choice(["", "", "www.", "www.", word(1, 2) + ".", text(letters, 2, 3) + "."]) + name + some("." + word(1, 2), 0.15) + "." + draw.choices(SUFFIXES, GOOD_WEIGHTS)[0]
+
+    good = {
+        "front pages": lambda: site() + draw.choice(["", "/", "/" + word() + "/"]),
+        "sections": lambda: site() + "/" + words("/", 1, 4) + draw.choice(["", "/", ".html", ".php"]),
+        "encyclopedias": lambda: site() + "/" + draw.choice(["wiki/", "w/", ""]) + title("_", 1, 6) + some("_(" + word() + ")", 0.2) + some("%27s_" + word(), 0.1) + some("#" + title("_", 1, 3), 0.2),
+        "source trees": lambda: site() + f"/{word()}/{word()}/{draw.choice(['blob', 'tree', 'raw'])}/{draw.choice(['main', 'master', 'v' + version(), text(hexes, 7, 40)])}/" + words("/", 2, 8) + "/" + draw.choice([title("", 1, 3), words("_", 1, 3)]) + "." + text(letters, 1, 5) + some("#L" + text(digits, 1, 4), 0.2),
+        "videos": lambda: site() + draw.choice([f"/watch?{text(letters, 1, 1)}={text(mixed + '-_', 10, 12)}", f"/{text(mixed + '-_', 9, 12)}", f"/v/{text(digits, 7, 10)}"]) + some(f"&{word(1, 1)}={text(mixed, 12, 34)}", 0.2) + some(f"&t={text(digits, 1, 4)}s", 0.2),
+        "shops": lambda: site() + draw.choice([f"/dp/{text(letters.upper() + digits, 10, 10)}", f"/{title('-', 2, 6)}/dp/{text(letters.upper() + digits, 10, 10)}", f"/p/{words('-', 2, 6)}-{text(digits, 4, 9)}", f"/products/{words('-', 1, 5)}?{word(1, 2)}={text(digits, 6, 14)}", f"/itm/{text(digits, 10, 13)}"]),
+        "forums": lambda: site() + draw.choice([f"/questions/{text(digits, 4, 8)}/{words('-', 3, 9)}", f"/t/{words('-', 2, 8)}/{text(digits, 2, 7)}", f"/viewtopic.php?f={text(digits, 1, 3)}&t={text(digits, 2, 7)}", f"/r/{word()}/comments/{text(letters + digits, 6, 7)}/{words('_', 2, 8)}/"]) + some("#" + text(digits, 2, 8), 0.15),
+        "news": lambda: site() + draw.choice([f"/{year()}/{text('01', 1, 1)}{text(digits, 1, 1)}/{text('0123', 1, 1)}{text(digits, 1, 1)}/", f"/{word()}/{year()}/", f"/{word()}/"]) + words("-", 3, 10) + draw.choice(["", "/", ".html", "-" + text(digits, 5, 8), "_" + text(digits, 3, 9) + ".html"]),
+        "manuals": lambda: site() + f"/{draw.choice(['docs', 'doc', 'manual', 'en', word()])}/{draw.choice(['latest', 'stable', version()])}/" + words("/", 1, 4) + draw.choice([".html", "/", ""]) + some("#" + words(draw.choice("-._"), 1, 4), 0.4),
+        "searches": lambda: site() + f"/{draw.choice(['search', 'find', 's', ''])}?{word(1, 1)}={words('+', 1, 6)}" + "".join(f"&{word(1, 2)}={draw.choice([word(1, 1), text(digits, 1, 3), word(1, 3)])}" for _ in range(draw.choice([0, 0, 1, 2, 4]))),
+        "interfaces": lambda: site() + f"/{draw.choice(['api/', ''])}v{text(digits, 1, 1)}/{word()}/" + draw.choice([text(digits, 2, 9), "-".join(text(hexes, k, k) for k in (8, 4, 4, 4, 12)), word()]) + some("/" + word(), 0.4) + some(f"?{word(1, 2)}={words('%2C', 1, 4)}", 0.3),
+        "papers": lambda: site() + draw.choice([f"/abs/{text(digits, 4, 4)}.{text(digits, 5, 5)}", f"/pdf/{text(digits, 4, 4)}.{text(digits, 5, 5)}v{text('123', 1, 1)}", f"/10.{text(digits, 4, 4)}/{word(1, 2)}.{year()}.{text(digits, 3, 6)}", f"/article/S{text(digits, 4, 4)}-{text(digits, 4, 4)}({text(digits, 2, 2)}){text(digits, 5, 5)}-{text(digits, 1, 1)}/fulltext"]),
+        "downloads": lambda: (lambda n, v: site() + f"/{word()}/{n}/{draw.choice(['releases/download', 'files', 'archive'])}/v{v}/{n}-{v}{draw.choice(['', '-' + word(1, 2), '-x86_64'])}.{draw.choice(['zip', 'tar.gz', 'pdf', 'exe', 'jar'])}")(word(), version()),
+        "short links": lambda: text(letters, 2, 6) + "." + draw.choice("co ly io me gl".split()) + "/" + text(mixed, 5, 8),
+    }
+    bad_suffix = lambda: "." + draw.choices(SUFFIXES, BAD_WEIGHTS)[0]
+    plain = lambda: draw.choice(["", "", "www."]) + draw.choice([word(), word() + "-" + word(), word() + text(digits, 1, 3)]) + bad_suffix()
+    tail = lambda: draw.choice(["", "/", "/" + word(), "/" + text(letters + digits, 4, 12), "/?" + word(1, 1) + "=" + text(digits, 1, 8), "/" + words("-", 2, 5) + ".html", f"/{title('_', 1, 3)}"])
+    value = lambda: draw.choice([text(hexes, 16, 48), text(mixed, 20, 60), "http%3A%2F%2F" + word() + "%2F" + word(), text(digits, 8, 16)])
+    bad = {
+        "generated hosts": lambda: text(draw.choice([letters, letters + digits, "bcdfghjklmnpqrstvwxz" + digits]), 9, 26) + bad_suffix() + tail(),
+        "hyphen farms": lambda: "-".join([*(word(1, 3) for _ in range(draw.randint(3, 6))), *draw.choice([[], [text(digits, 2, 5)]])]) + bad_suffix() + tail(),
+        "stacks of subdomains": lambda: ".".join(draw.choice([word(1, 3), text(letters + digits, 4, 12), text(digits, 2, 8)]) for _ in range(draw.randint(4, 7))) + bad_suffix() + tail(),
+        "bare addresses": lambda: ".".join(str(draw.randint(1, 254)) for _ in range(4)) + draw.choice(["", ":" + text("12345678", 4, 4)]) + "/" + draw.choice([text(letters + digits, 6, 20), word() + "/" + word() + ".php"]),
+        "redirects": lambda: plain() + "/" + draw.choice(["", word(1, 2), text(letters, 1, 3)]) + "?" + "&".join(word(1, 2) + "=" + value() for _ in range(draw.randint(3, 9))),
+        "numbered paths": lambda: plain() + "/" + "/".join(draw.choice([text(digits, 3, 12), text(letters + digits, 6, 24), word(1, 2)]) for _ in range(draw.randint(5, 10))) + draw.choice(["", "?" + word(1, 1) + "=" + value()]),
+    }
+    return good, bad
+
+
+#: Names of the processes, for those that leave some out.
+GOOD_PROCESSES, BAD_PROCESSES = (tuple(x) for x in _processes(random.Random(0), 0))
+
+
+def sample_urls(n: int = 12_000, seed: int = 6, pool: int = 0, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray]:
+    """n labelled URLs (1: unwanted), always the same, half of each kind, by all processes in turn.
+
+    Ordinary ones are made as sites of many sorts name their pages, with deep trees, numbers,
+    capitals and long parameters among them; unwanted ones as machines build hosts, paths and
+    queries. Words are made up of syllables; those of pool 0 and of pool 1 are disjoint.
+    without, only: processes that are left out, or that alone are used.
+    """
+    draw = random.Random(seed)
+    kinds = [[f for name, f in x.items() if name not in without and (not only or name in only)] for x in _processes(draw, pool)]
+    y = np.arange(n) % 2 if all(kinds) else np.full(n, int(bool(kinds[1])))
+    return [draw.choice(["http://", "https://"]) + kinds[bad][(i // 2) % len(kinds[bad])]() for i, bad in enumerate(y.tolist())], y
 
 
 FEATURES = (
