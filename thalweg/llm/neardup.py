@@ -247,10 +247,14 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     members = cut(reps.join(buckets, "h"))
     labels = _linked(members, docs, k, percent)
     named = classes.select("fp_hi", "fp_lo", F.col("doc_id").alias("id")).join(labels, "id", "left")
-    named = named.select("fp_hi", "fp_lo", F.coalesce("label", "id").alias("_component"))
-    out = seen.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(named, ["fp_hi", "fp_lo"], "left")
+    # Settled, so that a join is all that its stage does and large classes can be split.
+    named = cut(named.select("fp_hi", "fp_lo", F.coalesce("label", "id").alias("_component")))
+    own = seen.select("doc_id", "n_shingles", "fp_hi", "fp_lo")
     component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = own.where("fp_hi is not null").join(named, ["fp_hi", "fp_lo"]).select("doc_id", "n_shingles", component.alias("component_id"))
+    # Rows without shingles are in no class, and stay out of the join.
+    out = out.unionByName(own.where("fp_hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def row_key(docs: DataFrame) -> DataFrame:
@@ -293,16 +297,16 @@ def prefix_pairs(who: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     number of sets, so those few are mostly a text's own and met by nobody.
     """
     tokens = cut(tokens_of(docs, who.select("id"), k))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     order = Window.partitionBy("id").orderBy("df", "token")
-    ranked = tokens.join(counts, "token").withColumn("r", F.row_number().over(order)).join(who, "id")
+    ranked = cut(tokens.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))).withColumn("r", F.row_number().over(order)).join(who, "id")
     large = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     # rest: the overlap that this shingle and those behind it can give at most.
     first = cut(ranked.where((F.col("r") <= large) & (F.col("df") > 1)).select("token", "id", "n", "label", (F.col("n") - F.col("r") + 1).alias("rest")))
     # Most rows of a token belong to one group; only the others look for partners.
     shares = first.groupBy("token", "label").agg(F.count("*").alias("c"))
     mixed = shares.groupBy("token").agg(F.max_by("label", "c").alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    rows = first.join(mixed.select("token", "top"), "token")
+    rows = cut(first.join(cut(mixed.select("token", "top")), "token"))
     names = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "rest")]
     x = rows.where("label <> top").select("token", *names("x"))
     y = rows.select("token", "top", *names("y"))
