@@ -6,6 +6,7 @@ components; each adds channels and width to the main reaches that it runs along.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -110,12 +111,14 @@ class Network:
         for i in side:
             for n in self.edges[i]:
                 nodes[sets.find(n)].add(n)
-        found = []
-        for group in sorted(nodes.values(), key=min):
-            inside = {i for i, (u, v) in self.edges.items() if u in group and v in group}
-            if len(inside) >= 2:
-                found.append((group, {i for i in side if self.edges[i][0] in group}))
-        return found
+        of = {n: root for root, group in nodes.items() for n in group}
+        inside, own = defaultdict(int), defaultdict(set)
+        for u, v in self.edges.values():
+            if u in of and of[u] == of.get(v):
+                inside[of[u]] += 1
+        for i in side:
+            own[of[self.edges[i][0]]].add(i)
+        return [(nodes[root], own[root]) for root in sorted(nodes, key=lambda x: min(nodes[x])) if inside[root] >= 2]
 
     def main_order(self) -> list[str]:
         """Junctions of the main stem from its one source to its one sink, by fewest reaches."""
@@ -159,6 +162,42 @@ def reverse(out: dict[str, list[tuple[str, int]]]) -> dict[str, list[tuple[str,
     return back
 
 
+def first_met(starts: list[str], out: dict[str, list[tuple[str, int]]]) -> dict[str, int]:
+    """For each junction that some start reaches, the first of the starts that does, by its number."""
+    met: dict[str, int] = {}
+    for k, start in enumerate(starts):
+        todo = [] if start in met else [start]
+        while todo:
+            n = todo.pop()
+            if n not in met:
+                met[n] = k
+                todo.extend(v for v, _ in out.get(n, ()) if v not in met)
+    return met
+
+
+class Corridors:
+    """The reaches between any two places of the main stem, found without another walk over the network.
+
+    A place reaches all places after it. So what lies between two places is decided by the last
+    place that a reach's upper end is reached from, and the first that its lower end reaches.
+    """
+
+    def __init__(self, net: Network, order: list[str]):
+        self.at = {n: k for k, n in enumerate(order)}
+        every = net.out(net.reach)
+        up = {n: len(order) - 1 - k for n, k in first_met(order[::-1], every).items()}
+        down = first_met(order, reverse(every))
+        held = sorted((up[u], down[v], i) for i, (u, v) in net.edges.items() if u in up and v in down)
+        self.straight = [x for x in held if x[0] <= x[1]]
+        self.turned = [x for x in held if x[0] > x[1]]  # only where ways run in a circle
+        self.main = net.out(i for i in net.reach if net.main(i))
+
+    def between(self, source: str, sink: str) -> set[int]:
+        s, t = self.at[source], self.at[sink]
+        near = self.straight[bisect_left(self.straight, (s,)) : bisect_left(self.straight, (t + 1,))]
+        return {i for low, high, i in [*near, *self.turned] if low >= s and high <= t}
+
+
 def topological(out: dict) -> list[str]:
     """Junctions in downstream order; a cycle is an error."""
     into = defaultdict(int)
@@ -286,11 +325,10 @@ def _median(values) -> float | None:
     return known[k] if len(known) % 2 else (known[k - 1] + known[k]) / 2
 
 
-def main_between(net: Network, source: str, sink: str) -> list[int]:
-    """Main reaches of the way of fewest reaches from source to sink."""
-    out = net.out(i for i in net.reach if net.main(i))
+def main_between(out: dict[str, list[tuple[str, int]]], source: str, sink: str) -> list[int]:
+    """Main reaches of the way of fewest reaches from source to sink. out: ways along main reaches."""
     came, todo = {source: None}, deque([source])
-    while todo:
+    while todo and sink not in came:
         n = todo.popleft()
         for v, i in out.get(n, ()):
             if v not in came:
@@ -303,14 +341,15 @@ def main_between(net: Network, source: str, sink: str) -> list[int]:
     return way[::-1]
 
 
-def resolve_component(net: Network, order: list[str], nodes: set[str], side: set[int], by_width: bool = False, undirected: bool = True) -> dict | None:
+def resolve_component(net: Network, order: list[str], nodes: set[str], side: set[int], by_width: bool = False, undirected: bool = True, corridors: Corridors | None = None) -> dict | None:
     """What one side component adds, and to which main reaches; None if it does not leave and join the main stem.
 
     by_width: the dominant side way is the greatest by length times width. undirected: where no
     side way runs downstream all along, ways over reaches in either direction are tried; if their
     bound cuts them off, the status is "truncated".
     """
-    at = {n: k for k, n in enumerate(order)}
+    corridors = corridors or Corridors(net, order)
+    at = corridors.at
     touched = sorted((n for n in nodes if n in at), key=at.get)
     starts = {net.edges[i][0] for i in side}
     ends = {net.edges[i][1] for i in side}
@@ -319,11 +358,9 @@ def resolve_component(net: Network, order: list[str], nodes: set[str], side: set
     if not splits or not merges:
         return None
     source, sink = splits[0], merges[-1]
-    every = net.out(net.reach)
-    inside = reachable(source, every) & reachable(sink, reverse(every))
-    ids = {i for i, (u, v) in net.edges.items() if u in inside and v in inside}
+    ids = corridors.between(source, sink)
     k_max = most_parallel(net, ids, source, sink)
-    main = main_between(net, source, sink)
+    main = main_between(corridors.main, source, sink)
     length = lambda p: sum(net.length(i) for i in p)
     score = (lambda i: net.length(i) * net.wide(i)) if by_width else net.length
     l_main = length(i for i in main if i in ids)
@@ -370,9 +407,10 @@ def enrich(rows: pd.DataFrame, by_width: bool = False, undirected: bool = True)
         order = net.main_order()
     except ValueError as e:
         return pd.DataFrame([(mip, None, None, None, None, None, None, None, None, None, str(e))], columns=names)
+    corridors = Corridors(net, order)
     for k, (nodes, side) in enumerate(net.components()):
         try:
-            r = resolve_component(net, order, nodes, side, by_width, undirected)
+            r = resolve_component(net, order, nodes, side, by_width, undirected, corridors)
         except ValueError as e:
             r = {"reaches": set(), "status": str(e)}
         for i in sorted(r["reaches"]) if r else ():
