@@ -4,7 +4,7 @@ import random
 
 import pandas as pd
 
-from thalweg.operators import graph
+from thalweg.operators import graph, network
 
 COLUMNS = "reach_id main_path_id is_mainstem rch_id_dn reach_len width n_chan".split()
 
@@ -49,3 +49,32 @@ def test_corridors_of_a_path_are_what_the_source_reaches_and_what_reaches_the_si
                 inside = graph.reachable(order[s], every) & graph.reachable(order[t], graph.reverse(every))
                 assert held.between(order[s], order[t]) == {i for i, (u, v) in net.edges.items() if u in inside and v in inside}
     assert turned
+
+
+def _many(paths):
+    rows = []
+    for mip in range(paths):
+        rng = random.Random(100 + mip)
+        n, base = rng.randrange(3, 40), mip * 100_000
+        part = _stem(n, [rng.randrange(n - 1) for _ in range(rng.randrange(6))])
+        rows += [(base + r.reach_id, mip, r.is_mainstem, [base + x for x in r.rch_id_dn] + ([None, 0] if mip % 2 else []), r.reach_len, r.width) for r in part.itertuples()]
+    rows += [(*r[:2], None, None, *r[4:]) for r in rows[::29]] + [(*r[:3], [5, *r[3]], *r[4:]) for r in rows[::31]]
+    return rows + [(9 * 100_000 + 77, 9, True, [9 * 100_000 + 78], 1.0, 1.0), (9 * 100_000 + 78, 9, True, [9 * 100_000 + 77], 1.0, 1.0)]
+
+
+def test_networks_are_the_same_by_path_and_by_rounds_and_paths_in_tasks_settle_no_rounds(spark, monkeypatch):
+    reaches = spark.createDataFrame(_many(24), "reach_id long, main_path_id long, is_mainstem boolean, rch_id_dn array<long>, reach_len double, width double").repartition(3)
+    settled, settle = [], network.settle
+    monkeypatch.setattr(network, "settle", lambda df: settled.append(1) or settle(df))
+
+    def found():
+        large = network.large_paths(reaches, "main_path_id")
+        net = network.junctions(reaches, large)
+        tables = [net, network.side_components(net, large), network.corridors(net, large=large)]
+        return [sorted(map(tuple, t.collect())) for t in tables]
+
+    own = found()
+    assert len(settled) == 1 and all(map(len, own))
+    for limit in (20,):  # larger paths by rounds
+        monkeypatch.setattr(network, "IN_TASK", limit)
+        assert found() == own
