@@ -3,8 +3,9 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from thalweg.operators import graph, network
+from thalweg.operators import centerline, graph, network
 
 COLUMNS = "reach_id main_path_id is_mainstem rch_id_dn reach_len width n_chan".split()
 
@@ -78,3 +79,18 @@ def test_networks_are_the_same_by_path_and_by_rounds_and_paths_in_tasks_settle_n
     for limit in (20,):  # larger paths by rounds
         monkeypatch.setattr(network, "IN_TASK", limit)
         assert found() == own
+
+
+def test_the_smoother_holds_a_few_lines_at_once_however_many_a_batch_has(spark):
+    at = F.sequence(F.lit(0), F.lit(40) + F.col("id").cast("int") % 5)
+    lines = spark.range(400, numPartitions=1).select(F.col("id").alias("mip"), F.transform(at, lambda k: F.struct((100.0 * k).alias("x"), (30.0 * (k % 3)).alias("y"))).alias("line"))
+    df = centerline.smooth_mainpaths(lines.where("mip % 50 <> 7"), 100.0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan or "PythonMapInArrow" in plan
+    got = {r["mip"]: r for r in df.collect()}
+    assert len(got) == 392
+    for mip in (0, 63, 64, 399):
+        own = lines.where(F.col("mip") == mip).first()["line"]
+        want = centerline.simplest_similar(centerline.as_points(own), 100.0)
+        assert (got[mip]["sigma_m"], got[mip]["status"]) == (want["sigma_m"], want["status"])
+        assert [(p["x"], p["y"]) for p in got[mip]["line"]] == [tuple(p) for p in want["line"].tolist()]
