@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from thalweg.operators import centerline, graph, network
+from thalweg.config import GeometryConfig
+from thalweg.operators import centerline, geometry, graph, network
 
 COLUMNS = "reach_id main_path_id is_mainstem rch_id_dn reach_len width n_chan".split()
 
@@ -94,3 +96,41 @@ def test_the_smoother_holds_a_few_lines_at_once_however_many_a_batch_has(spark):
         want = centerline.simplest_similar(centerline.as_points(own), 100.0)
         assert (got[mip]["sigma_m"], got[mip]["status"]) == (want["sigma_m"], want["status"])
         assert [(p["x"], p["y"]) for p in got[mip]["line"]] == [tuple(p) for p in want["line"].tolist()]
+
+
+class _Counted(np.ndarray):
+    looked = 0
+
+    def __ge__(self, other):
+        _Counted.looked += len(self)
+        return np.asarray(self) >= other
+
+
+def test_stretches_of_a_line_are_smoothed_without_a_look_at_all_its_points():
+    rng = np.random.default_rng(4)
+    d, xy = geometry.sample(np.cumsum(rng.normal(60, 20, (90, 2)), axis=0))
+    borders = np.linspace(0, d[-1], 61)
+    groups = [(float(a), float(b), float(w)) for a, b, w in zip(borders, borders[1:], rng.uniform(1, 900, 60))]
+    config = GeometryConfig()
+    _Counted.looked = 0
+    got = geometry.smooth_by_width(xy, d.view(_Counted), groups, config)
+    assert _Counted.looked < 3 * len(d)
+    total, weight = np.zeros_like(xy), np.zeros(len(xy))
+    for lo, hi, width in groups:
+        blend = min(5 * config.step_m if config.blend_m is None else config.blend_m, (hi - lo) / 2)
+        at = np.flatnonzero((d >= lo - blend) & (d <= hi + blend))
+        if len(at) >= 3:
+            sigma = np.clip(config.sigma_width_fraction * width, config.sigma_min_m, config.sigma_max_m)
+            w = np.clip(1 - np.maximum(np.maximum(lo - d[at], d[at] - hi), 0) / blend, 0, 1)
+            total[at] += geometry.smooth_gaussian(xy[at], float(sigma), config.step_m) * w[:, None]
+            weight[at] += w
+    want = np.where(weight[:, None] > 0, total / np.where(weight > 0, weight, 1)[:, None], xy)
+    want[0], want[-1] = xy[0], xy[-1]
+    assert np.array_equal(got, want)
+
+
+def test_medians_of_few_and_many_numbers_are_numpys():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 8, 64, 65, 200):
+        x = rng.normal(size=n)
+        assert geometry.median_of(x) == np.median(x)
