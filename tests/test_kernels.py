@@ -436,3 +436,49 @@ def test_settings():
         config.check_stage(config.Stage("x", ("sinuosity",), ("raw", "w2")))
     with pytest.raises(ValueError):
         config.check_features(("depth",))
+
+
+def test_parts_that_go_on_are_not_cut_to_look_for_loops(monkeypatch):
+    """Of a path of seven parts with gaps only the network of all parts is made, not one for each part too."""
+    made = []
+    whole = centerline.node_lines
+    monkeypatch.setattr(centerline, "node_lines", lambda parts, *a: made.append(len(parts)) or whole(parts, *a))
+    lines = [np.stack([200.0 * np.arange(10) + 2008 * k, np.sin(np.arange(10))], axis=1) for k in range(7)]
+    assert centerline.merge_path(lines, list(range(7)), 5.0)["repair"] == "simple" and made == [7]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_what_goes_on_is_one_piece(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(40):
+        p = np.stack([np.cumsum(rng.uniform(1e-8, 1e-4, 12)), rng.normal(0, 1, 12)], axis=1)[:: rng.choice([-1, 1])][:, :: rng.choice([-1, 1])]
+        if noding.advances(p, 1e-6):
+            net = noding.node_lines([p], 1e-6)
+            assert len(net.pieces) == 1 and net.cycle_rank() == 0
+    assert not noding.advances(np.array([[0.0, 0], [5, 0], [5, 5], [0, 5], [0, -1]]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ends_compared_at_once_are_as_by_cells(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    parts = [np.cumsum(rng.normal(0, 3, (5, 2)), axis=0) + rng.uniform(0, 20, 2) for _ in range(8)]
+    parts += [parts[0][::-1] + 3, np.stack([parts[1][-1], parts[1][-1] + 9])]
+
+    def rows():
+        new, records, how = gaps.snap_gaps(parts, 5.0)
+        return [p.tolist() for p in new], how, gaps.end_rows(parts, records)
+
+    at_once = rows()
+    monkeypatch.setattr(gaps, "ALL_PAIRS", 0)
+    assert repr(at_once) == repr(rows())
+
+
+def test_far_parts_of_ends_take_one_search(monkeypatch):
+    """Whether all loose ends are connected is asked once, not once for each of them."""
+    n = []
+    search = gaps.shortest
+    monkeypatch.setattr(gaps, "shortest", lambda *a: n.append(1) or search(*a))
+    parts = [np.array([[0.0, 0], [10.0 + k, 100 * np.sin(k)]]) for k in range(12)]
+    records = gaps.end_records(parts)
+    gaps.by_graph(parts, records, records, 1e-6)
+    assert len(n) <= 3
