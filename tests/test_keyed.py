@@ -142,3 +142,20 @@ def test_merged_lines_of_paths(spark):
     ends = centerline.endpoint_diagnostics(reaches).where("main_path_id = 2").collect()
     assert {(r["x"], r["status"], r["moved_to_x"]) for r in ends} == {(0.0, "outer", None), (100.0, "snapped_to_end", 101.5), (103.0, "snapped_to_end", 101.5), (200.0, "outer", None)}
     assert [r["fault"] for r in centerline.line_faults(centerline.merge_mainpaths(reaches), reaches).orderBy("main_path_id").collect()] == ["length_lost", "empty_line"]
+
+
+def test_paths_go_on_from_batch_to_batch(spark):
+    """Many paths stand in one Arrow batch, and one that is cut by the end of a batch is put together again."""
+    line = lambda m, k: [{"x": 1000.0 * k + 3 * (k % 2) + 100 * i, "y": float(m)} for i in range(10)]
+    rows = [(m, 100 * m + k, float(k % 3), True, None if m == 4 and k == 2 else line(m, k)) for m in range(1, 10) for k in range(m)]
+    schema = "main_path_id long, reach_id long, dist_out double, is_mainstem boolean, geometry array<struct<x:double,y:double>>"
+    reaches = spark.createDataFrame(rows, schema)
+    of = lambda: [sorted(map(repr, f(reaches).collect())) for f in (centerline.merge_mainpaths, centerline.endpoint_diagnostics)]
+    whole = of()
+    assert len(whole[0]) == 9 and "GroupsInPandas" not in centerline.merge_mainpaths(reaches)._jdf.queryExecution().toString()
+    known = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert of() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", known)
