@@ -65,6 +65,19 @@ def test_greedy_matches_direct_errors():
     assert selection.prefix(base, made, 1.0, 0.0) == 0 and selection.prefix(base, made, 0.0, 0.0) == len(made)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_ends_where_every_stop_rule_has(seed):
+    rng = np.random.default_rng(seed)
+    dist = 200.0 * np.arange(80)
+    profile = selection.Profile(dist, [rng.normal(0, 1, (80, 2)) + np.repeat(rng.normal(0, 2, 8), 10)[:, None]])
+    rules = config.SelectionConfig(min_spacing_m=400.0, stop_absolute=1.0)
+    base, every = selection.greedy(profile, dist[2:78:2], rules)
+    some = selection.greedy(profile, dist[2:78:2], rules, 0.05)[1]
+    assert len(some) < len(every) and some == every[: len(some)]
+    for stop in (0.05, 0.06, 0.2, 0.9):
+        assert selection.prefix(base, some, stop, 1.0) == selection.prefix(base, every, stop, 1.0)
+
+
 def test_greedy_rules():
     dist = np.arange(1, 101) * 1000.0
     x = np.repeat([[0.0], [5.0], [0.0], [5.0]], 25, axis=0)
@@ -482,3 +495,24 @@ def test_far_parts_of_ends_take_one_search(monkeypatch):
     records = gaps.end_records(parts)
     gaps.by_graph(parts, records, records, 1e-6)
     assert len(n) <= 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_costs_at_once_are_as_step_by_step(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(0, 1, (5, 40, 2)) + np.repeat(rng.normal(0, 2, (5, 4, 2)), 10, axis=1), seed % 2 + 1)
+    x[1] = 0.0
+    cases = [(x, m, jump) for m in (1, 5, 20) for jump in (1, 3)]
+    at_once = [changepoint.solve_all(*c[:1], [0.0, 1.0, 5.0], *c[1:]) for c in cases]
+    monkeypatch.setattr(changepoint, "AT_ONCE", 0)
+    assert at_once == [changepoint.solve_all(*c[:1], [0.0, 1.0, 5.0], *c[1:]) for c in cases]
+
+
+def test_short_profiles_of_many_batches_are_solved_together():
+    """Paths of several Arrow batches wait for each other, and stay whole and in order."""
+    batches = [pd.DataFrame({"mip": [m, m, m + 1], "v": [1, 2, 3]}) for m in range(1, 9)]
+    used = []
+    out = list(changepoint.by_path(iter(batches), lambda rows: used.append(len(rows)) or rows, 10))
+    assert len(used) <= 3 and max(used) >= 10
+    assert pd.concat(out, ignore_index=True).equals(pd.concat(batches, ignore_index=True))
+    assert all(not (set(a["mip"]) & set(b["mip"])) for a, b in itertools.combinations(out, 2))

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,10 @@ STEP_NUMBERS = 1 << 21
 
 #: Profiles of more grid points are solved one by one, so that a start is dropped as soon as this profile can do without it.
 ALONE = 4096
+#: Costs of all pairs of grid points are taken in one step where they are no more numbers than this.
+AT_ONCE = 1 << 18
+#: Rows that are solved together at least, if there are so many: only profiles of one length share their steps.
+ROWS = 1 << 17
 #: Steps between looks for starts to drop, and the share of a cost that rounding may hide.
 CLEAR, HIDDEN = 16, 1e-9
 
@@ -49,6 +54,9 @@ def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: in
     best[:, :, 0] = -pen
     came = np.zeros((len(grid), many, len(pen)), dtype=np.int32)
     lasts = np.searchsorted(grid, grid - min_size, side="right")  # starts far enough back
+    if run.size * len(grid) <= AT_ONCE and work is None:
+        _step_at_once(run, square, grid, lasts, pen, best, came)
+        return _breaks(best, came, grid)
     # What each start that is still compared brings, side by side.
     held, held_run, held_square, held_best = np.zeros(len(grid), dtype=np.int64), np.empty_like(run), np.empty_like(square), np.empty_like(best)
     m = seen = 0
@@ -83,15 +91,31 @@ def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: in
             beaten = (total > best[:, :, k : k + 1] + noise).all(axis=(0, 1))
             if beaten.any():
                 going.append((int(grid[k]) + min_size, held[:m][beaten]))
+    return _breaks(best, came, grid)
+
+
+def _step_at_once(run: np.ndarray, square: np.ndarray, grid: np.ndarray, lasts: np.ndarray, pen: np.ndarray, best: np.ndarray, came: np.ndarray) -> None:
+    """The recursion for few short profiles: all costs first, no start is dropped."""
+    apart = run[:, :, None] - run[:, None, :]
+    cost = square[:, :, None] - square[:, None, :] - (apart * apart).sum(axis=3) / np.maximum(grid[:, None] - grid, 1)
+    for k in range(int(np.searchsorted(lasts, 0, side="right")), len(grid)):
+        total = best[:, :, : lasts[k]] + cost[:, k, None, : lasts[k]]
+        came[k] = total.argmin(axis=2)
+        best[:, :, k] = total.min(axis=2) + pen
+
+
+def _breaks(best: np.ndarray, came: np.ndarray, grid: np.ndarray) -> list[list[list[int]]]:
+    """The breaks of each profile and penalty, from the start of the last segment back."""
+    at, known, back = grid.tolist(), np.isfinite(best).tolist(), came.transpose(1, 2, 0).tolist()
     out = []
-    for g in range(many):
+    for of_known, of_back in zip(known, back):
         of = []
-        for p in range(len(pen)):
-            breaks, k = [], len(grid) - 1
-            while k > 0 and np.isfinite(best[g, p, k]):
-                k = int(came[k, g, p])
+        for ok, start in zip(of_known, of_back):
+            breaks, k = [], len(at) - 1
+            while k > 0 and ok[k]:
+                k = start[k]
                 if k:
-                    breaks.append(int(grid[k]))
+                    breaks.append(at[k])
             of.append(breaks[::-1])
         out.append(of)
     return out
@@ -102,18 +126,23 @@ def solve(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int =
     return solve_all(np.asarray(x, dtype=float)[None], penalties, min_size, jump)[0]
 
 
-def by_path(batches: Iterator[pd.DataFrame], use: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """use() on whole paths, many at once, of batches whose rows ascend by mip; the last path of a batch may go on in the next."""
+def by_path(batches: Iterator[pd.DataFrame], use: Callable[[pd.DataFrame], pd.DataFrame], least: int = 0) -> Iterator[pd.DataFrame]:
+    """use() on whole paths, many at once, of batches whose rows ascend by mip; the last path of a batch may go on in the next.
+
+    least: rows to wait for before paths are used.
+    """
     kept: list[pd.DataFrame] = []
+    rows = 0
     for batch in batches:
         if not len(batch):
             continue
         last = batch["mip"].iloc[-1]
         at = int(np.searchsorted(batch["mip"].to_numpy(), last))
-        if at or (kept and kept[-1]["mip"].iloc[-1] != last):
+        if rows + at >= least and (at or (kept and kept[-1]["mip"].iloc[-1] != last)):
             yield use(pd.concat([*kept, batch.iloc[:at]], ignore_index=True))
-            kept = []
-        kept.append(batch.iloc[at:])
+            kept, rows, batch = [], 0, batch.iloc[at:]
+        kept.append(batch)
+        rows += len(batch)
     if kept:
         yield use(pd.concat(kept, ignore_index=True))
 
@@ -151,7 +180,7 @@ def sweep(features: DataFrame, columns: Sequence[str], penalties: Sequence[float
         )
 
     rows = features.select("mip", "window_m", "pos", "dist_m", "window_pts", *columns)
-    return rows.repartition("mip").sortWithinPartitions("mip", "window_m", "pos").mapInPandas(lambda batches: by_path(batches, fit), RUNS)
+    return rows.repartition("mip").sortWithinPartitions("mip", "window_m", "pos").mapInPandas(lambda batches: by_path(batches, fit, ROWS), RUNS)
 
 
 def family_runs(runs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -165,6 +194,10 @@ def run_breaks(runs: DataFrame) -> DataFrame:
     return runs.select("mip", "family", "window_m", "window_label", "penalty", F.explode("break_m").alias("break_m"))
 
 
+#: Columns of a table function's rows that are no features.
+KEYS = ("mip", "window_m", "pos", "dist_m", "window_pts")
+
+
 def table_function(penalties: Sequence[float], jump: int = 1, min_size: int | None = None):
     """A Python table function for SQL: change_points(TABLE(rows) PARTITION BY mip, window_m ORDER BY pos).
 
@@ -175,23 +208,27 @@ def table_function(penalties: Sequence[float], jump: int = 1, min_size: int | No
 
     class ChangePoints:
         def __init__(self):
-            self.key, self.dist, self.points, self.window_pts = None, [], [], 1
+            self.held: list[pa.RecordBatch] = []
 
-        def eval(self, row):
-            if self.key is None:
-                self.names = [c for c in row.asDict() if c not in ("mip", "window_m", "pos", "dist_m", "window_pts")]
-                self.key, self.window_pts = (row["mip"], row["window_m"]), row["window_pts"]
-            self.dist.append(row["dist_m"])
-            self.points.append([float(row[c]) for c in self.names])
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            self.held.append(rows)
+            return iter(())
 
-        def terminate(self):
-            if self.key is None:
+        def terminate(self) -> Iterator[pa.RecordBatch]:
+            if not self.held:
                 return
-            n, least = len(self.points), max(1, int(min_size if min_size is not None else self.window_pts))
-            for penalty, found in zip(wanted, solve(np.array(self.points).reshape(n, -1), wanted, least, jump)):
-                yield (*self.key, penalty, n, least, found, [float(self.dist[b]) for b in found], "ok" if n >= 2 * least else "too_short")
-
-    return F.udtf(ChangePoints, returnType=RUNS).asDeterministic()
+            column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in self.held])
+            first, dist = self.held[0], column("dist_m")
+            x = np.stack([column(c).astype(float) for c in first.schema.names if c not in KEYS], axis=1)
+            n, least = len(x), max(1, int(min_size if min_size is not None else first.column("window_pts")[0].as_py()))
+            found = solve(x, wanted, least, jump)
+            each = lambda value, kind: pa.array([value] * len(wanted), kind)
+            yield pa.RecordBatch.from_arrays([
+                each(first.column("mip")[0].as_py(), pa.int64()), each(first.column("window_m")[0].as_py(), pa.float64()), pa.array(wanted, pa.float64()), each(n, pa.int32()), each(least, pa.int32()),
+                pa.array(found, pa.list_(pa.int32())), pa.array([[float(dist[b]) for b in breaks] for breaks in found], pa.list_(pa.float64())), each("ok" if n >= 2 * least else "too_short", pa.string()),
+            ], names=[c.split()[0] for c in RUNS.split(", ")])
+
+    return F.arrow_udtf(ChangePoints, returnType=RUNS).asDeterministic()
 
 
 def register(spark, name: str = "change_points", penalties: Sequence[float] = (2.5, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0), jump: int = 1, min_size: int | None = None) -> None:
