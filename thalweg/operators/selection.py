@@ -64,8 +64,12 @@ class Profile:
         return self.square[hi] - self.square[lo] - ((self.run[hi] - self.run[lo]) ** 2).sum(axis=-1) / n
 
 
-def greedy(profile: Profile, positions: np.ndarray, config: SelectionConfig) -> tuple[float, list[tuple[float, float, float]]]:
-    """The error without breaks, and (position, error after, improvement) in the order of choice."""
+def greedy(profile: Profile, positions: np.ndarray, config: SelectionConfig, least: float | None = None) -> tuple[float, list[tuple[float, float, float]]]:
+    """The error without breaks, and (position, error after, improvement) in the order of choice.
+
+    least: the lowest relative stop value that is asked of prefix(). The first choice that it,
+    or the absolute one, does not let through is then the last one made, as no prefix goes beyond.
+    """
     dist, n = profile.dist, len(profile.dist)
     index = np.searchsorted(dist, positions, side="left")
     base = float(profile.error(np.array(0), np.array(n)))
@@ -75,19 +79,22 @@ def greedy(profile: Profile, positions: np.ndarray, config: SelectionConfig) ->
         at = np.flatnonzero(free)
         edges = np.array(cuts)
         k = np.searchsorted(edges, index[at], side="right")
-        lo, hi = edges[k - 1], edges[np.minimum(k, len(edges) - 1)]
-        gain = profile.error(lo, hi) - profile.error(lo, index[at]) - profile.error(index[at], hi)
-        gain[index[at] == lo] = 0.0  # no new segment
+        lo, hi, here = edges[k - 1], edges[np.minimum(k, len(edges) - 1)], index[at]
+        whole, left, right = profile.error(np.concatenate([lo, lo, here]), np.concatenate([hi, here, hi])).reshape(3, -1)
+        gain = whole - left - right
+        gain[here == lo] = 0.0  # no new segment
         best, which = 0.0, -1
-        for g, j in zip(gain, at):  # ascending positions; a later one must be better by more than rounding
+        for g, j in zip(gain.tolist(), at.tolist()):  # ascending positions; a later one must be better by more than rounding
             if g > best + 1e-12 and _fits(chosen, float(positions[j]), dist, config):
-                best, which = float(g), int(j)
+                best, which = g, j
         if which < 0:
             break
         chosen.append(float(positions[which]))
         cuts = sorted({*cuts, int(index[which])})
         error -= best
         made.append((float(positions[which]), error, best))
+        if least is not None and prefix(base, made[-1:], least, config.stop_absolute) == 0:
+            break
         free[which] = False
         free &= np.abs(positions - positions[which]) >= config.min_spacing_m
     return base, made
@@ -145,6 +152,7 @@ def select(features: DataFrame, windows: DataFrame, support: DataFrame, columns:
         profile = Profile(dist, [t[:, useful] for t in tables], weights[cuts])
         done: dict[tuple[float, int], tuple] = {}
         out = []
+        least = min((s.stop_relative for s in settings.get(family, [])), default=0.0)
         for setting in settings.get(family, []):
             effective = min(setting.min_windows, len(tables))
             key = (setting.min_support_runs, effective)
@@ -154,7 +162,7 @@ def select(features: DataFrame, windows: DataFrame, support: DataFrame, columns:
                     ok &= s[:, 3] >= config.min_frequency
                 c = np.unique(np.round(center[ok], 6))
                 c = c[(c > dist[0]) & (c < dist[-1])]
-                done[key] = (c, *(greedy(profile, c, config) if len(c) and useful.any() else (None, [])))
+                done[key] = (c, *(greedy(profile, c, config, least) if len(c) and useful.any() else (None, [])))
             c, base, made = done[key]
             status = "constant_features" if not useful.any() else "no_candidates" if not len(c) else "ok"
             k = prefix(base, made, setting.stop_relative, config.stop_absolute) if status == "ok" else 0
