@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from thalweg.config import GeometryConfig
-from thalweg.operators import centerline, geometry, graph, network
+from thalweg.operators import centerline, features, geometry, graph, network, support, windows
+from thalweg.plans import queries, runner, standin
 
 COLUMNS = "reach_id main_path_id is_mainstem rch_id_dn reach_len width n_chan".split()
 
@@ -134,3 +135,38 @@ def test_medians_of_few_and_many_numbers_are_numpys():
     for n in (1, 2, 3, 8, 64, 65, 200):
         x = rng.normal(size=n)
         assert geometry.median_of(x) == np.median(x)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_are_dealt_once_and_their_windows_planned_once(spark):
+    profile = standin.short(spark, "/root/testdata/sf0.001")
+    assert _plan(windows.path_facts(profile, queries.FIXED)).count("Exchange hashpartitioning") == 1
+    base = runner.base_tables(profile, queries.SMALL)
+    for table in ("plan", "windows"):
+        plan = _plan(base[table])
+        assert "Window [" not in plan and "FileScan" not in plan
+    assert "Expand" not in _plan(base["support"])
+
+
+def test_clusters_keep_their_penalties_by_window(spark):
+    runs = spark.createDataFrame(
+        [(1, "w2", w, label, p, b) for w, label, p, b in [(2000.0, "W2km", 1.0, [500.0, 5000.0]), (1000.0, "W1km", 2.0, [600.0]), (1000.0, "W1km", 1.0, [550.0, 620.0]), (1000.0, "W1km", 5.0, [])]],
+        "mip long, family string, window_m double, window_label string, penalty double, break_m array<double>",
+    )
+    one, two = support.support_table(runs, 1000.0).orderBy("cluster_id").collect()
+    assert (one["support_by_window"], one["support_counts_by_window"]) == ({"W1km": [1.0, 2.0], "W2km": [1.0]}, {"W1km": 3, "W2km": 1})
+    assert (one["n_windows_supported"], one["n_penalties_supported"], one["n_run_pairs_supported"], one["runs_total"], one["windows_total"]) == (2, 2, 3, 4, 2)
+    assert (two["support_by_window"], two["support_counts_by_window"], two["support_runs"]) == ({"W2km": [1.0]}, {"W2km": 1}, 0.25)
+
+
+def test_quantiles_of_a_frame_are_those_of_percentile_without_its_table(spark):
+    value = F.when(F.col("id") % 7 != 3, F.round(F.sin("id") * 20) / 10)
+    rows = spark.range(300).select((F.col("id") % 5).alias("mip"), F.lit(1.0).alias("window_m"), F.floor(F.col("id") / 5).cast("int").alias("pos"), (1 + F.col("id") % 5).alias("half"), value.alias("v"))
+    w = features.frame()
+    for how, q in (("median", 0.5), ("p90", 0.9)):
+        assert "percentile" not in _plan(rows.select(features.rolling(F.col("v"), how, w)))
+        both = rows.select(features.rolling(F.col("v"), how, w, 1).alias("a"), F.percentile("v", F.lit(q)).over(w).alias("b"))
+        assert both.where("not (a <=> b)").count() == 0 and both.where("a is not null").count() > 250

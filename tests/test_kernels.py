@@ -516,3 +516,55 @@ def test_short_profiles_of_many_batches_are_solved_together():
     assert len(used) <= 3 and max(used) >= 10
     assert pd.concat(out, ignore_index=True).equals(pd.concat(batches, ignore_index=True))
     assert all(not (set(a["mip"]) & set(b["mip"])) for a, b in itertools.combinations(out, 2))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_profiles_of_nearly_one_length_are_solved_together(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.array([40, 9, 37, 1, 36, 21, 40])
+    x = np.round(rng.normal(0, 1, (7, 40, 2)) + np.repeat(rng.normal(0, 2, (7, 4, 2)), 10, axis=1), seed % 2 + 1)
+    for least in (1, 5, 10):
+        want = [changepoint.solve(of[:n], [0.0, 1.0, 5.0], least) for of, n in zip(x, sizes)]
+        assert changepoint.solve_all(x, [0.0, 1.0, 5.0], least, sizes=sizes) == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_many_greedy_choices_at_once_are_those_of_plain_loops(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    rules = config.SelectionConfig(min_spacing_m=700.0, stop_absolute=0.5, min_reach_m=[None, 900.0][seed % 2], max_breaks=[30, 3][seed // 4])
+    problems = []
+    for k in range(40):
+        n, columns = int(rng.integers(2, 50)), 1 + k % 3
+        x = np.round(rng.normal(0, 1, (n, columns)), k % 2)  # whole numbers make equal gains
+        dist = 200.0 * np.arange(1, n + 1)
+        some = rng.choice(dist, min(n, int(rng.integers(1, 20))), replace=False) - 100.0 * (k % 2)
+        problems.append((selection.Profile(dist, [x]), np.sort(some), [None, 0.0, 0.05][k % 3]))
+
+    def plain(profile, positions, least):
+        error = lambda a, b: float(profile.error(np.array(a), np.array(b)))
+        base = now = error(0, len(profile.dist))
+        cuts, chosen, made = [0, len(profile.dist)], [], []
+        while len(made) < rules.max_breaks:
+            best, which = 0.0, None
+            for m, at in zip(positions.tolist(), np.searchsorted(profile.dist, positions).tolist()):
+                ends = [profile.dist[0], *sorted([*chosen, m]), profile.dist[-1]]
+                if not 0 < at < cuts[-1] or any(abs(m - b) < rules.min_spacing_m for b in chosen) or (rules.min_reach_m is not None and np.diff(ends).min() < rules.min_reach_m - 1e-9):
+                    continue
+                lo, hi = max(c for c in cuts if c <= at), min(c for c in cuts if c > at)
+                gain = 0.0 if lo == at else error(lo, hi) - error(lo, at) - error(at, hi)
+                if gain > best + 1e-12:
+                    best, which = gain, (m, at)
+            if which is None:
+                break
+            now -= best
+            chosen.append(which[0])
+            cuts = sorted({*cuts, which[1]})
+            made.append((which[0], now, best))
+            if least is not None and selection.prefix(base, made[-1:], least, rules.stop_absolute) == 0:
+                break
+        return base, made
+
+    want = [plain(*p) for p in problems]
+    assert selection.greedy_all(problems, rules) == want and sum(len(made) for _, made in want) > 40
+    monkeypatch.setattr(selection, "STEP_POSITIONS", 7)
+    assert selection.greedy_all(problems, rules) == want

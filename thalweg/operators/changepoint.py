@@ -31,15 +31,20 @@ STEP_NUMBERS = 1 << 21
 ALONE = 4096
 #: Costs of all pairs of grid points are taken in one step where they are no more numbers than this.
 AT_ONCE = 1 << 18
-#: Rows that are solved together at least, if there are so many: only profiles of one length share their steps.
-ROWS = 1 << 17
+#: Rows that are solved together at least, if there are so many: only profiles of nearly one length share their steps.
+ROWS = 1 << 18
+#: Profiles of no more points are solved together with those that have this share of their points at least.
+MIXED, NEARLY = 256, 7 / 8
 #: Steps between looks for starts to drop, and the share of a cost that rounding may hide.
 CLEAR, HIDDEN = 16, 1e-9
 
 
-def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int = 1, work: list[int] | None = None) -> list[list[list[int]]]:
+def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: int = 1, work: list[int] | None = None, sizes: np.ndarray | None = None) -> list[list[list[int]]]:
     """For each of many profiles of one length (profiles by points by features), what solve() gives.
 
+    sizes: the points of each profile, all multiples of jump, where shorter ones are filled up to
+    the length of x. What is filled in lies behind a profile's end and changes none of its breaks.
+
     work: gets the number of starts that were compared for each end.
     """
     many, n = x.shape[:2]
@@ -50,13 +55,14 @@ def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: in
     grid = np.unique(np.append(np.arange(0, n, jump), n))
     run, square = run[:, grid], square[:, grid]
     pen = np.asarray(penalties, dtype=float)
+    ends = [len(grid) - 1] * many if sizes is None else np.searchsorted(grid, sizes).tolist()
     best = np.full((many, len(pen), len(grid)), np.inf)
     best[:, :, 0] = -pen
     came = np.zeros((len(grid), many, len(pen)), dtype=np.int32)
     lasts = np.searchsorted(grid, grid - min_size, side="right")  # starts far enough back
     if run.size * len(grid) <= AT_ONCE and work is None:
         _step_at_once(run, square, grid, lasts, pen, best, came)
-        return _breaks(best, came, grid)
+        return _breaks(best, came, grid, ends)
     # What each start that is still compared brings, side by side.
     held, held_run, held_square, held_best = np.zeros(len(grid), dtype=np.int64), np.empty_like(run), np.empty_like(square), np.empty_like(best)
     m = seen = 0
@@ -91,7 +97,7 @@ def solve_all(x: np.ndarray, penalties: Sequence[float], min_size: int, jump: in
             beaten = (total > best[:, :, k : k + 1] + noise).all(axis=(0, 1))
             if beaten.any():
                 going.append((int(grid[k]) + min_size, held[:m][beaten]))
-    return _breaks(best, came, grid)
+    return _breaks(best, came, grid, ends)
 
 
 def _step_at_once(run: np.ndarray, square: np.ndarray, grid: np.ndarray, lasts: np.ndarray, pen: np.ndarray, best: np.ndarray, came: np.ndarray) -> None:
@@ -104,14 +110,14 @@ def _step_at_once(run: np.ndarray, square: np.ndarray, grid: np.ndarray, lasts:
         best[:, :, k] = total.min(axis=2) + pen
 
 
-def _breaks(best: np.ndarray, came: np.ndarray, grid: np.ndarray) -> list[list[list[int]]]:
-    """The breaks of each profile and penalty, from the start of the last segment back."""
+def _breaks(best: np.ndarray, came: np.ndarray, grid: np.ndarray, ends: list[int]) -> list[list[list[int]]]:
+    """The breaks of each profile and penalty, from the start of the last segment back; ends: where profiles end on the grid."""
     at, known, back = grid.tolist(), np.isfinite(best).tolist(), came.transpose(1, 2, 0).tolist()
     out = []
-    for of_known, of_back in zip(known, back):
+    for of_known, of_back, end in zip(known, back, ends):
         of = []
         for ok, start in zip(of_known, of_back):
-            breaks, k = [], len(at) - 1
+            breaks, k = [], end
             while k > 0 and ok[k]:
                 k = start[k]
                 if k:
@@ -151,7 +157,7 @@ def sweep(features: DataFrame, columns: Sequence[str], penalties: Sequence[float
     """A row for each path, window and penalty (see RUNS), from standardised features without missing values.
 
     The least segment is the window's number of points unless it is given. Paths are dealt to
-    partitions and read in order, many in one batch; profiles of one length are solved together.
+    partitions and read in order, many in one batch; short profiles of nearly one length and long ones of one length are solved together.
     """
     columns, penalties = list(columns), [float(p) for p in penalties]
 
@@ -162,12 +168,17 @@ def sweep(features: DataFrame, columns: Sequence[str], penalties: Sequence[float
         x, dist = rows[columns].to_numpy(dtype=float), rows["dist_m"].to_numpy()
         least = np.maximum(rows["window_pts"].to_numpy()[starts] if min_size is None else np.full(len(starts), int(min_size)), 1)
         breaks: list = [None] * len(starts)
-        for n, m in sorted(set(zip(sizes.tolist(), least.tolist()))):
-            alike = np.flatnonzero((sizes == n) & (least == m))
-            step = 1 if n > ALONE * max(jump, 1) else max(1, STEP_NUMBERS // (n * max(len(penalties), len(columns), 1)))
-            for lo in range(0, len(alike), step):
-                some = alike[lo : lo + step]
-                for g, found in zip(some, solve_all(x[starts[some, None] + np.arange(n)], penalties, m, jump)):
+        for m in np.unique(least).tolist():
+            alike = np.flatnonzero(least == m)
+            alike = alike[np.argsort(sizes[alike], kind="stable")]  # the longest last
+            while len(alike):
+                n = int(sizes[alike[-1]])
+                step = 1 if n > ALONE * max(jump, 1) else max(1, STEP_NUMBERS // (n * max(len(penalties), len(columns), 1)))
+                shortest = n * NEARLY if jump == 1 and n <= MIXED else n
+                lo = max(len(alike) - step, int(np.searchsorted(sizes[alike], shortest)))
+                some, alike = alike[lo:], alike[:lo]
+                rows_of = starts[some, None] + np.minimum(np.arange(n), sizes[some, None] - 1)
+                for g, found in zip(some, solve_all(x[rows_of], penalties, m, jump, sizes=sizes[some])):
                     breaks[g] = found
         each = len(penalties)
         return pd.DataFrame(

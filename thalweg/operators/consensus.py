@@ -41,7 +41,7 @@ def consensus(breaks: DataFrame, config: ConsensusConfig = ConsensusConfig(), co
         F.min("break_m").alias("min_m"),
         F.max("break_m").alias("max_m"),
         F.count("*").alias("n_members"),
-        F.countDistinct("setting").alias("n_settings_supported"),
+        F.size(F.collect_set("setting")).cast("long").alias("n_settings_supported"),
         F.max("n_settings").alias("n_settings_valid"),
         F.transform(ordered, lambda s: s["break_m"]).alias("members_m"),
         F.array_distinct(F.transform(ordered, lambda s: s["setting"])).alias("settings_supported"),

@@ -19,29 +19,33 @@ def support_table(runs: DataFrame, tolerance_m: float = 1000.0) -> DataFrame:
 
     Runs without breaks count in the totals.
     """
-    totals = runs.groupBy("mip", "family").agg(F.count("*").alias("runs_total"), F.countDistinct("window_m").alias("windows_total"))
+    # Sizes of sets: each distinct count beside another would go over a copy of all rows.
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")
+    totals = runs.groupBy("mip", "family").agg(F.count("*").alias("runs_total"), distinct("window_m").alias("windows_total"))
     breaks = runs.select("mip", "family", "window_m", "window_label", "penalty", F.explode("break_m").alias("break_m"))
     clustered = chain_clusters(breaks, tolerance_m, ties=("window_m", "penalty"))
     pair = F.struct("window_m", "penalty")
-    by_window = clustered.groupBy("mip", "family", "cluster_id", "window_m", "window_label").agg(F.sort_array(F.collect_set("penalty")).alias("p"), F.count("*").alias("n"))
-    maps = by_window.groupBy("mip", "family", "cluster_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("window_label", "p")))).alias("support_by_window"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("window_label", F.col("n").cast("int"))))).alias("support_counts_by_window"),
-    )
     table = clustered.groupBy("mip", "family", "cluster_id").agg(
         F.percentile("break_m", F.lit(0.5)).alias("center_m"),
         F.count("*").alias("n_members"),
         F.sort_array(F.collect_list("break_m")).alias("members_m"),
-        F.countDistinct("window_m").alias("n_windows_supported"),
+        distinct("window_m").alias("n_windows_supported"),
         F.sort_array(F.collect_set("window_label")).alias("windows_supported"),
-        F.countDistinct("penalty").alias("n_penalties_supported"),
+        distinct("penalty").alias("n_penalties_supported"),
         F.sort_array(F.collect_set("penalty")).alias("penalties_supported"),
-        F.count_distinct(pair).alias("n_run_pairs_supported"),
+        distinct(pair).alias("n_run_pairs_supported"),
         F.sort_array(F.collect_set(pair)).alias("run_pairs_supported"),
+        F.sort_array(F.collect_list(F.struct("window_label", "window_m", "penalty"))).alias("_members"),
     )
-    out = table.join(totals, ["mip", "family"]).join(maps, ["mip", "family", "cluster_id"])
+    window = lambda m: F.struct(m["window_label"], m["window_m"])
+    penalties = lambda w: F.transform(F.filter("_members", lambda m: window(m) == w), lambda m: m["penalty"])
+    by_window = lambda value: F.map_from_entries(F.transform(F.array_distinct(F.transform("_members", window)), lambda w: F.struct(w["window_label"], value(penalties(w)))))
+    out = table.join(totals, ["mip", "family"])
     return (
-        out.withColumn("frequency", F.col("n_members") / F.col("runs_total"))
+        out.withColumn("support_by_window", by_window(F.array_distinct))
+        .withColumn("support_counts_by_window", by_window(F.size))
+        .drop("_members")
+        .withColumn("frequency", F.col("n_members") / F.col("runs_total"))
         .withColumn("support_runs", F.col("n_run_pairs_supported") / F.col("runs_total"))
         .withColumn("support_windows", F.col("n_windows_supported") / F.col("windows_total"))
     )

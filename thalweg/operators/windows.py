@@ -37,9 +37,8 @@ def path_facts(profile: DataFrame, config: WindowConfig) -> DataFrame:
         F.count("*").alias("n_nodes"),
         (F.max("dist_m") - F.min("dist_m")).alias("length_m"),
         F.percentile("_s", F.lit(0.5)).alias("spacing_m"),
-        F.percentile("_w", F.lit(config.low_quantile)).alias("width_low"),
-        F.percentile("_w", F.lit(config.high_quantile)).alias("width_high"),
-    )
+        F.percentile("_w", F.array(F.lit(config.low_quantile), F.lit(config.high_quantile))).alias("_q"),
+    ).select("mip", "n_nodes", "length_m", "spacing_m", F.get("_q", F.lit(0)).alias("width_low"), F.get("_q", F.lit(1)).alias("width_high"))
 
 
 def plan_windows(profile: DataFrame, config: WindowConfig = WindowConfig(), families: Sequence[Family] = FAMILIES) -> DataFrame:

@@ -66,7 +66,8 @@ def base_tables(profile: DataFrame, config: PipelineConfig = PipelineConfig(), t
     """
     m = metrics or Metrics()
     with m.step("window_selection"):
-        plan = windows.plan_windows(profile, config.window, config.families)
+        # Three tables below and those of skipped paths need it; it is a row for each window of a path.
+        plan = settle(windows.plan_windows(profile, config.window, config.families))
         used = windows.tuning_plan(plan) if tuning_run else windows.final_plan(plan)
     columns = list(config.features)
     with m.step("feature_building"):
