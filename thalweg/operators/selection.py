@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SelectionConfig, Setting
+from ..settled import settle
 from .changepoint import ROWS, by_path
 from .support import chain_clusters
 from .windows import label
@@ -295,8 +296,8 @@ def select(features: DataFrame, windows: DataFrame, support: DataFrame, columns:
                 )
         return pd.DataFrame(out, columns=names)
 
-    # Dealt once by themselves: in one stage with the points of the paths, their clusters would be counted in a single task.
-    points = points.repartition("mip")
+    # Clusters are counted by themselves: in one stage with the many points of the paths they would get a single task.
+    points = settle(points)
     ordered = rows.unionByName(points).repartition("mip").sortWithinPartitions("mip", "family", "kind", "window_m", "pos")
     return ordered.mapInPandas(lambda batches: by_path(batches, each, ROWS), SELECTIONS)
 
