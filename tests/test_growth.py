@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from thalweg.config import GeometryConfig
-from thalweg.operators import centerline, features, geometry, graph, network, support, windows
+from thalweg.operators import centerline, features, geometry, graph, network, noding, support, windows
 from thalweg.plans import queries, runner, standin
 
 COLUMNS = "reach_id main_path_id is_mainstem rch_id_dn reach_len width n_chan".split()
@@ -170,3 +170,79 @@ def test_quantiles_of_a_frame_are_those_of_percentile_without_its_table(spark):
         assert "percentile" not in _plan(rows.select(features.rolling(F.col("v"), how, w)))
         both = rows.select(features.rolling(F.col("v"), how, w, 1).alias("a"), F.percentile("v", F.lit(q)).over(w).alias("b"))
         assert both.where("not (a <=> b)").count() == 0 and both.where("a is not null").count() > 250
+
+
+def _along_axes(rng, n, size, longest):
+    """n lines along two axes, which cross, touch and overlap."""
+    a = rng.integers(0, size, (n, 2)).astype(float)
+    b = a.copy()
+    b[np.arange(n), rng.integers(0, 2, n)] += rng.choice([-1, 1], n) * rng.integers(1, longest, n)
+    return [np.array(ends) for ends in zip(a, b)]
+
+
+def _network(net):
+    """A network's places and pieces, in whichever order they came."""
+    of = [tuple(p) for p in np.round(net.points, 6).tolist()]
+    pieces = [(*sorted((of[x], of[y])), len(p), round(float(geometry.along(p)[-1]), 6)) for (x, y), p in zip(net.ends.tolist(), net.pieces)]
+    return sorted(of), sorted(pieces), net.cycle_rank(), round(net.length(), 6)
+
+
+def test_lines_that_lie_on_each_other_are_not_compared_pair_by_pair(monkeypatch):
+    seen, found = [], noding.box_pairs
+
+    def counted(*args):
+        for i, j in found(*args):
+            seen.append(len(i))
+            yield i, j
+
+    monkeypatch.setattr(noding, "box_pairs", counted)
+    lines = [np.array([[x, 10.0 * y], [x + 9, 10.0 * y]]) for x in range(60) for y in range(7)] + [np.array([[5.0 * x, y], [5.0 * x, y + 20]]) for x in range(12) for y in range(50)]
+    net = noding.node_lines(lines)
+    assert net.length() == 7 * 68 + 12 * 69 and net.cycle_rank() == 11 * 6
+    assert sum(seen) < len(lines)
+
+
+def test_lines_made_one_give_the_network_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    whole = noding._united
+    for k in range(120):
+        parts = _along_axes(rng, 30, 12, 7)
+        if k % 3 == 1:  # others that run across
+            parts += [np.array([p, p + [rng.choice([-1, 1]), 9]]) for p in rng.integers(0, 12, (3, 2)).astype(float)]
+        if k % 3 == 2:  # others of several points, which run along too
+            parts += [np.cumsum(rng.integers(-2, 3, (5, 2)) * rng.choice([0, 1], (5, 2)), axis=0) + 6.0 for _ in range(3)]
+        one = _network(noding.node_lines(parts))
+        monkeypatch.setattr(noding, "_united", lambda a, b, may, tolerance: whole(a, b, may & False, tolerance))
+        assert one == _network(noding.node_lines(parts))
+        monkeypatch.setattr(noding, "_united", whole)
+
+
+def test_places_are_those_of_one_point_after_the_other():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        p = rng.integers(0, 4, (40, 2)) + rng.choice([0, 0, 5e-7, 1.1e-6, 1.9e-6, 3e-6, 5e-6], (40, 2))
+        at, want = [], []
+        for q in p:
+            near = [k for k, r in enumerate(at) if np.hypot(*(r - q)) <= 2e-6]
+            want.append(near[0] if near else len(at))
+            at += [] if near else [q]
+        found, points = noding.places(p, 1e-6)
+        assert found.tolist() == want and (points == np.array(at)).all()
+
+
+def test_networks_of_paths_are_read_in_arrow_batches_whole_also_without_lines(spark):
+    rng = np.random.default_rng(5)
+    paths = {k: _along_axes(rng, 20, 12, 7) for k in range(40)}
+    rows = [(k, [(float(x), float(y)) for x, y in p]) for k, lines in paths.items() for p in lines] + [(99, None), (98, []), (98, [(1.0, 2.0)]), (0, None), (None, [(0.0, 0.0), (1.0, 1.0)])]
+    df = spark.createDataFrame(rows, "main_path_id long, line array<struct<x:double,y:double>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = centerline.noded(df)
+        assert "InArrow" in _plan(made) and "InPandas" not in _plan(made)
+        got = {r[0]: tuple(r)[1:] for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == {*paths, 98, 99} and got[98] == got[99] == (0, 0, 0, 0, 0, 0.0)
+    for k, lines in paths.items():
+        net = noding.node_lines(lines)
+        assert got[k][:4] == (len(net.points), len(net.pieces), len(set(net.components())), net.cycle_rank()) and abs(got[k][5] - net.length()) < 1e-9
