@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from thalweg.config import GeometryConfig
@@ -212,7 +213,7 @@ def test_lines_made_one_give_the_network_of_all_pairs(monkeypatch):
         if k % 3 == 2:  # others of several points, which run along too
             parts += [np.cumsum(rng.integers(-2, 3, (5, 2)) * rng.choice([0, 1], (5, 2)), axis=0) + 6.0 for _ in range(3)]
         one = _network(noding.node_lines(parts))
-        monkeypatch.setattr(noding, "_united", lambda a, b, may, tolerance: whole(a, b, may & False, tolerance))
+        monkeypatch.setattr(noding, "_united", lambda a, b, may, *rest: whole(a, b, may & False, *rest))
         assert one == _network(noding.node_lines(parts))
         monkeypatch.setattr(noding, "_united", whole)
 
@@ -246,3 +247,32 @@ def test_networks_of_paths_are_read_in_arrow_batches_whole_also_without_lines(sp
     for k, lines in paths.items():
         net = noding.node_lines(lines)
         assert got[k][:4] == (len(net.points), len(net.pieces), len(set(net.components())), net.cycle_rank()) and abs(got[k][5] - net.length()) < 1e-9
+
+
+def test_paths_noded_at_once_are_as_each_alone(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = [[*_along_axes(rng, 25, 12, 7), *(rng.uniform(0, 12, (rng.integers(2, 5), 2)) for _ in range(k % 3))] for k in range(30)]
+    made, whole = [], noding.node_points
+    xy = np.concatenate([p for lines in parts for p in lines])
+    line = np.repeat(np.arange(sum(map(len, parts))), [len(p) for lines in parts for p in lines])
+    path = np.repeat(np.arange(30), [sum(map(len, lines)) for lines in parts])
+    got = np.stack(noding.figures(xy, line, path, 31), axis=1)
+    assert got[30].tolist() == [0] * 6
+    for k, lines in enumerate(parts):
+        net = noding.node_lines(lines)
+        degree = np.bincount(net.ends.reshape(-1))
+        want = [len(net.points), len(net.pieces), len(set(net.components())), net.cycle_rank(), (degree == 1).sum(), net.length()]
+        assert got[k, :5].tolist() == want[:5] and abs(got[k, 5] - want[5]) < 1e-9
+    rows = [(k, [tuple(map(float, p)) for p in line]) for k, lines in enumerate(parts) for line in lines]
+    df = spark.createDataFrame(rows, "main_path_id long, line array<struct<x:double,y:double>>")
+    run = centerline.noded(df).collect()
+    assert {r[0]: r[1] for r in run} == {k: int(n) for k, n in enumerate(got[:30, 0])}
+    # Many paths take few calls.
+    monkeypatch.setattr(noding, "node_points", lambda *a: made.append(1) or whole(*a))
+    monkeypatch.setattr(centerline, "figures", noding.figures)
+    batch = pa.RecordBatch.from_pylist([{"main_path_id": k, "line": [{"x": x, "y": y} for x, y in line]} for k, line in rows])
+    for points, calls in ((1 << 15, 3), (1, 30)):  # one for each batch, and one for the last path
+        monkeypatch.setattr(centerline, "POINTS", points)
+        made.clear()
+        out = pa.Table.from_batches(list(centerline.node_batches([batch.slice(0, 100), batch.slice(100)], 1e-6)))
+        assert len(made) == calls and out["n_nodes"].to_pylist() == got[:30, 0].tolist()
