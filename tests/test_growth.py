@@ -276,3 +276,11 @@ def test_paths_noded_at_once_are_as_each_alone(spark, monkeypatch):
         made.clear()
         out = pa.Table.from_batches(list(centerline.node_batches([batch.slice(0, 100), batch.slice(100)], 1e-6)))
         assert len(made) == calls and out["n_nodes"].to_pylist() == got[:30, 0].tolist()
+
+
+def test_lines_without_a_coordinate_leave_the_others_as_they_are():
+    lone = [np.array([[0.0, 0], [10, 0]]), np.array([[5.0, -1], [5, 2]])]
+    for lost in (np.array([[5, -1], [5, np.nan]]), np.array([[2, 0], [np.nan, 0]]), np.array([[np.nan, np.nan], [1, 0]])):
+        assert _network(noding.node_lines([*lone, lost]))[1] == _network(noding.node_lines(lone))[1]
+    net = noding.node_lines([*lone, np.array([[0, 7], [np.inf, 7]])])
+    assert len(net.pieces) == 5 and np.isinf(net.length()) and sorted(net.lengths())[:4] == [1, 2, 5, 5]
